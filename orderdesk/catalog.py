@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import lists as L
 from .plans import reports as R
 from .sources.driver import Tables, driver_tables
 
@@ -41,6 +42,28 @@ def _registry() -> dict[str, Callable[[Tables], DataFrame]]:
         "dash_moderator": R.dash_moderator,
         "dash_accountant": R.dash_accountant,
         "dash_storeman": R.dash_storeman,
+        # catalogue, lookups, lists and searches
+        "scan_products": L.scan_products,
+        "orderable_products": L.orderable_products,
+        "low_stock_products": L.low_stock_products,
+        "product_categories": L.product_categories,
+        "product_search": lambda t: L.product_search(t, search="ring", category="ECONOMY"),
+        "user_lookup": L.user_lookup,
+        "bookings_by_moderator": L.bookings_by_moderator,
+        "delivered_today": L.delivered_today,
+        "recent_bookings": L.recent_bookings,
+        "pending_approvals": L.pending_approvals,
+        "ready_orders": L.ready_orders,
+        "booking_list": L.booking_list,
+        "booking_search": lambda t: L.booking_list(t, search="7_3"),
+        "filtered_bookings": lambda t: L.booking_list(t, search="77", status="approved"),
+        "delivery_list": L.delivery_list,
+        "delivery_list_all": lambda t: L.delivery_list(t, status=""),
+        "payment_list": L.payment_list,
+        "payment_list_filtered": lambda t: L.payment_list(t, search="12", payment_status="pending",
+                                                          booking_status="approved"),
+        "row_text_search": lambda t: L.row_text_search(t, "widget (3"),
+        "booking_details": L.booking_details,
     }
 
 

@@ -35,7 +35,7 @@ def like_contains(c: Column, search: str) -> Column:
     still acting as wildcards (the reference does not escape them). A lone
     backslash is doubled so it matches itself."""
     pattern = "%" + search.replace("\\", "\\\\") + "%"
-    return c.cast("string").ilike(F.lit(pattern))
+    return c.cast("string").ilike(pattern)
 
 
 def any_contains(cols: Iterable[Column], search: str) -> Column:
