@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators import workflow as W
 from .plans import lists as L
 from .plans import reports as R
 from .sources.driver import Tables, driver_tables
@@ -64,6 +65,19 @@ def _registry() -> dict[str, Callable[[Tables], DataFrame]]:
                                                           booking_status="approved"),
         "row_text_search": lambda t: L.row_text_search(t, "widget (3"),
         "booking_details": L.booking_details,
+        # bulk forms of the write requests
+        "workflow_state": lambda t: W.workflow_state(t.bookings, t.workflow_commands),
+        "workflow_rejections": lambda t: W.workflow_rejections(t.bookings, t.workflow_commands),
+        "payment_updates_applied": lambda t: W.payment_updates_applied(t.payments, t.payment_updates),
+        "payment_update_rejections": lambda t: W.payment_update_rejections(t.payments, t.payment_updates),
+        "delivery_upsert": lambda t: W.delivery_upsert(t.delivery_details, t.bookings, t.workflow_commands),
+        "price_requests": lambda t: W.price_requests(t.booking_requests, t.booking_request_items, t.products),
+        "request_rejections": lambda t: W.request_rejections(t.booking_requests, t.booking_request_items,
+                                                             t.products),
+        "new_booking_items": lambda t: W.new_booking_items(t.booking_requests, t.booking_request_items,
+                                                           t.products),
+        "initial_payments": lambda t: W.initial_payments(t.booking_requests, t.booking_request_items,
+                                                         t.products),
     }
 
 
