@@ -12,9 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import workflow as W
+from .plans import documents as DOC
 from .plans import lists as L
 from .plans import reports as R
 from .sources.driver import Tables, driver_tables
+from .sources.driver import _read
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -78,8 +80,26 @@ def _registry() -> dict[str, Callable[[Tables], DataFrame]]:
                                                            t.products),
         "initial_payments": lambda t: W.initial_payments(t.booking_requests, t.booking_request_items,
                                                          t.products),
+        # documents, chart data, export rows, display texts, carts
+        "booking_document": DOC.booking_document,
+        "chart_series": DOC.chart_series,
+        "monthly_csv_rows": DOC.monthly_csv_rows,
+        "display_formats": DOC.display_formats,
+        "payment_weeks": DOC.payment_weeks,
+        "merged_cart_lines": lambda t: DOC.merged_cart_lines(t.cart_lines),
+        "cart_totals": DOC.cart_totals,
+    }
+
+
+def _text_queries() -> dict[str, QueryFn]:
+    """Input cleaning over the driver's raw texts (whole documents and pages)."""
+    return {
+        "clean_documents": lambda spark, d: DOC.clean_documents(_read(spark, d, "documents"), "doc_id", "text"),
+        "clean_pages": lambda spark, d: DOC.clean_documents(_read(spark, d, "pages"), "page_id", "html"),
     }
 
 
 def queries() -> dict[str, QueryFn]:
-    return {name: _on_tables(fn) for name, fn in _registry().items()}
+    out = {name: _on_tables(fn) for name, fn in _registry().items()}
+    out.update(_text_queries())
+    return out
