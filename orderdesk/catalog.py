@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .operators import audits as A
 from .operators import workflow as W
 from .plans import documents as DOC
 from .plans import lists as L
@@ -88,6 +90,17 @@ def _registry() -> dict[str, Callable[[Tables], DataFrame]]:
         "payment_weeks": DOC.payment_weeks,
         "merged_cart_lines": lambda t: DOC.merged_cart_lines(t.cart_lines),
         "cart_totals": DOC.cart_totals,
+        # integrity audits
+        "audit_unique": A.audit_unique,
+        "audit_fk": A.audit_fk,
+        "audit_enum": A.audit_enum,
+        "audit_not_null": A.audit_not_null,
+        "audit_length": A.audit_length,
+        "audit_formats": A.audit_formats,
+        "audit_amounts": A.audit_amounts,
+        "audit_stock": A.audit_stock,
+        "cascade_delete": lambda t: A.cascade_delete_summary(
+            t, t.bookings.filter(F.col("status") == "rejected").select("id")),
     }
 
 
