@@ -17,15 +17,26 @@ from .operators import workflow as W
 from .plans import documents as DOC
 from .plans import lists as L
 from .plans import reports as R
-from .sources.driver import Tables, driver_tables
-from .sources.driver import _read
+from .sources.driver import Tables, _read, driver_tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+_TABLES: dict[tuple[int, str], tuple[SparkSession, Tables]] = {}
+
+
+def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
+    """One lazy table bundle per (session, folder), shared by the queries, the
+    way an application loads its tables once and runs many reports."""
+    key = (id(spark), sf_dir)
+    if key not in _TABLES or _TABLES[key][0] is not spark:
+        _TABLES[key] = (spark, driver_tables(spark, sf_dir))
+    return _TABLES[key][1]
+
+
 def _on_tables(fn: Callable[[Tables], DataFrame]) -> QueryFn:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(driver_tables(spark, sf_dir))
+        return fn(tables_for(spark, sf_dir))
     run.__doc__ = fn.__doc__
     return run
 

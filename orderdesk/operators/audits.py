@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text as TX
 from ..sources import schemas as S
 from ..sources.driver import Tables
-from .joins import USERS_BROADCAST_ROWS, broadcast_if_bounded
+from .joins import USERS_BROADCAST_ROWS, is_bounded
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -79,8 +79,8 @@ def audit_fk(t: Tables) -> DataFrame:
     parts = []
     for child, col, parent in FOREIGN_KEYS:
         keys = tabs[parent].select(F.col("id").alias("__parent_id"))
-        if parent == "users":
-            keys = broadcast_if_bounded(keys, USERS_BROADCAST_ROWS)
+        if parent == "users" and is_bounded(tabs[parent], USERS_BROADCAST_ROWS):
+            keys = F.broadcast(keys)
         c = tabs[child].select(col).filter(F.col(col).isNotNull())
         orphans = c.join(keys, c[col] == keys["__parent_id"], "left_anti")
         g = orphans.groupBy(col).count()
@@ -203,13 +203,10 @@ def cascade_delete(t: Tables, deleted_ids: DataFrame) -> Tables:
     def keep(df: DataFrame, key: str) -> DataFrame:
         return df.join(gone, df[key] == gone["__gone"], "left_anti")
 
-    return Tables(users=t.users, products=t.products, bookings=keep(t.bookings, "id"),
-                  booking_items=keep(t.booking_items, "booking_id"),
-                  payments=keep(t.payments, "booking_id"),
-                  delivery_details=keep(t.delivery_details, "booking_id"),
-                  workflow_commands=t.workflow_commands, payment_updates=t.payment_updates,
-                  booking_requests=t.booking_requests, booking_request_items=t.booking_request_items,
-                  cart_lines=t.cart_lines)
+    return t.replace(bookings=keep(t.bookings, "id"),
+                     booking_items=keep(t.booking_items, "booking_id"),
+                     payments=keep(t.payments, "booking_id"),
+                     delivery_details=keep(t.delivery_details, "booking_id"))
 
 
 def cascade_delete_summary(t: Tables, deleted_ids: DataFrame) -> DataFrame:

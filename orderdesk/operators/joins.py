@@ -17,10 +17,22 @@ USERS_BROADCAST_ROWS = 100_000
 PRODUCTS_BROADCAST_ROWS = 2_000_000
 
 
+# Size checks already made, by DataFrame identity (the frame is kept alive so
+# its id cannot be reused).
+_CHECKED: dict[tuple[int, int], tuple[DataFrame, bool]] = {}
+
+
+def is_bounded(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows; the count stops at the bound."""
+    key = (id(df), max_rows)
+    if key not in _CHECKED:
+        _CHECKED[key] = (df, df.limit(max_rows + 1).count() <= max_rows)
+    return _CHECKED[key][1]
+
+
 def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if is_bounded(df, max_rows) else df
 
 
 def with_user_names(b: DataFrame, users: DataFrame, roles: dict[str, str]) -> DataFrame:
@@ -29,7 +41,9 @@ def with_user_names(b: DataFrame, users: DataFrame, roles: dict[str, str]) -> Da
     The same small dimension is joined several times under different aliases
     (moderator, accountant, storeman).
     """
-    names = broadcast_if_bounded(users.select("id", "full_name"), USERS_BROADCAST_ROWS)
+    names = users.select("id", "full_name")
+    if is_bounded(users, USERS_BROADCAST_ROWS):
+        names = F.broadcast(names)
     out = b
     for fk, alias in roles.items():
         u = names.select(F.col("id").alias(f"__{alias}_id"), F.col("full_name").alias(alias))
@@ -40,4 +54,4 @@ def with_user_names(b: DataFrame, users: DataFrame, roles: dict[str, str]) -> Da
 def product_dim(products: DataFrame, *cols: str) -> DataFrame:
     """Pruned product columns keyed by ``product_id``, broadcast when bounded."""
     dim = products.select(F.col("id").alias("product_id"), *cols)
-    return broadcast_if_bounded(dim, PRODUCTS_BROADCAST_ROWS)
+    return F.broadcast(dim) if is_bounded(products, PRODUCTS_BROADCAST_ROWS) else dim

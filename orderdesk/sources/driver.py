@@ -9,34 +9,48 @@ states the same mapping independently in DuckDB SQL.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from typing import Optional
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas as S
 
 
-@dataclass
 class Tables:
-    """The six tables of the booking database, plus optional job inputs."""
-
-    users: DataFrame
-    products: DataFrame
-    bookings: DataFrame
-    booking_items: DataFrame
-    payments: DataFrame
-    delivery_details: DataFrame
-    workflow_commands: Optional[DataFrame] = None
-    payment_updates: Optional[DataFrame] = None
-    booking_requests: Optional[DataFrame] = None
-    booking_request_items: Optional[DataFrame] = None
-    cart_lines: Optional[DataFrame] = None
+    """The six tables of the booking database, plus optional job inputs.
+
+    Members are DataFrames or zero-argument factories; a factory runs on first
+    access, so a query only reads the tables it uses.
+    """
+
+    FIELDS = ("users", "products", "bookings", "booking_items", "payments", "delivery_details",
+              "workflow_commands", "payment_updates", "booking_requests", "booking_request_items",
+              "cart_lines")
+
+    def __init__(self, **parts):
+        unknown = set(parts) - set(self.FIELDS)
+        if unknown:
+            raise TypeError(f"unknown tables: {sorted(unknown)}")
+        self.__dict__["_parts"] = {name: parts.get(name) for name in self.FIELDS}
+
+    def __getattr__(self, name: str):
+        parts = self.__dict__["_parts"]
+        if name not in parts:
+            raise AttributeError(name)
+        value = parts[name]
+        if value is not None and not isinstance(value, DataFrame):
+            value = parts[name] = value()
+        return value
+
+    def replace(self, **changes) -> "Tables":
+        """A copy with some members replaced."""
+        merged = dict(self.__dict__["_parts"])
+        merged.update(changes)
+        return Tables(**merged)
 
     def register(self, spark: SparkSession) -> None:
         """Expose every present table as a temp view for ``spark.sql``."""
-        for name, df in vars(self).items():
+        for name in self.FIELDS:
+            df = getattr(self, name)
             if df is not None:
                 df.createOrReplaceTempView(name)
 
@@ -212,12 +226,5 @@ def cart_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def driver_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """All logical tables over one driver data folder (lazy; nothing is read yet)."""
-    return Tables(
-        users=users(spark, sf_dir), products=products(spark, sf_dir),
-        bookings=bookings(spark, sf_dir), booking_items=booking_items(spark, sf_dir),
-        payments=payments(spark, sf_dir), delivery_details=delivery_details(spark, sf_dir),
-        workflow_commands=workflow_commands(spark, sf_dir),
-        payment_updates=payment_updates(spark, sf_dir),
-        booking_requests=booking_requests(spark, sf_dir),
-        booking_request_items=booking_request_items(spark, sf_dir),
-        cart_lines=cart_lines(spark, sf_dir))
+    makers = {name: globals()[name] for name in Tables.FIELDS}
+    return Tables(**{name: (lambda f=f: f(spark, sf_dir)) for name, f in makers.items()})
