@@ -121,10 +121,14 @@ def effective_deliveries(bookings: DataFrame, commands: DataFrame) -> DataFrame:
 def workflow_rejections(bookings: DataFrame, commands: DataFrame) -> DataFrame:
     """Review and delivery commands that changed nothing, with the reference's
     message: ``cmd_id, booking_id, action, reason``."""
-    state = workflow_state(bookings, commands).select(
-        F.col("id").alias("booking_id"), "review_cmd_id", "delivery_cmd_id")
+    return rejections_from_state(commands, workflow_state(bookings, commands))
+
+
+def rejections_from_state(commands: DataFrame, state: DataFrame) -> DataFrame:
+    """``workflow_rejections`` given an already computed ``workflow_state``."""
+    st = state.select(F.col("id").alias("booking_id"), "review_cmd_id", "delivery_cmd_id")
     wf = commands.filter(F.col("action").isin(*REVIEW_ACTIONS, *DELIVERY_ACTIONS))
-    j = wf.join(state, "booking_id", "left")
+    j = wf.join(st, "booking_id", "left")
     effective = ((F.col("cmd_id") == F.col("review_cmd_id"))
                  | (F.col("cmd_id") == F.col("delivery_cmd_id")))
     reason = F.when(F.col("action").isin(*REVIEW_ACTIONS), F.lit(MSG_REVIEW_NOOP)).otherwise(
@@ -192,7 +196,12 @@ def delivery_upsert(delivery_details: DataFrame, bookings: DataFrame, commands:
     """Delivery details after the effective delivery commands: an existing row
     gets the new payload (``created_at`` kept), a missing one is inserted with
     the command id as its id. Unique key: ``booking_id``."""
-    new = effective_deliveries(bookings, commands)
+    return upsert_deliveries(delivery_details, effective_deliveries(bookings, commands))
+
+
+def upsert_deliveries(delivery_details: DataFrame, new: DataFrame) -> DataFrame:
+    """Merge effective delivery commands (``booking_id, ts, cmd_id, actor_id``
+    and the form payload) into the delivery details on ``booking_id``."""
     old = delivery_details.select(F.col("booking_id").alias("old_booking_id"),
                                   *[F.col(c).alias(f"old_{c}") for c in delivery_details.columns
                                     if c != "booking_id"])
@@ -241,7 +250,11 @@ def price_requests(requests: DataFrame, request_items: DataFrame, products: Data
     line against the catalogue snapshot (never decremented, as in the
     reference). Accepted amount = sum of price x quantity over valid lines.
     """
-    lines = priced_lines(request_items, products)
+    return outcomes_from_lines(requests, priced_lines(request_items, products))
+
+
+def outcomes_from_lines(requests: DataFrame, lines: DataFrame) -> DataFrame:
+    """``price_requests`` over already priced lines (see ``priced_lines``)."""
     agg = lines.groupBy("request_id").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.count_if(F.col("valid")).alias("n_valid"),
