@@ -28,9 +28,10 @@ def write_json_documents(df: DataFrame, path: str, column: str = "document", mod
 def commit_versioned(spark: SparkSession, outputs: dict[str, DataFrame], root: str, version: str) -> None:
     """Write ``outputs`` under ``root/<name>/version=<version>``, then point
     ``root/_CURRENT`` at the version. Each output is written in full before
-    the pointer moves."""
+    the pointer moves; a retried job rewrites its own (still invisible)
+    version folder."""
     for name, df in outputs.items():
-        df.write.mode("errorifexists").parquet(f"{root}/{name}/version={version}")
+        df.write.mode("overwrite").parquet(f"{root}/{name}/version={version}")
     spark.createDataFrame([(version, sorted(outputs))], "version string, tables array<string>") \
         .coalesce(1).write.mode("overwrite").json(f"{root}/_CURRENT")
 
@@ -41,4 +42,8 @@ def current_version(spark: SparkSession, root: str) -> str:
 
 def read_current(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Read one output of the committed version."""
-    return spark.read.parquet(f"{root}/{name}/version={current_version(spark, root)}")
+    return read_version(spark, root, name, current_version(spark, root))
+
+
+def read_version(spark: SparkSession, root: str, name: str, version: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/{name}/version={version}")

@@ -1,0 +1,55 @@
+"""Apply review and delivery commands as they arrive (micro-batches).
+
+Each micro-batch folds its commands, in (ts, cmd_id) order, onto the
+bookings state committed by the previous batch, like the web app applies
+posts in arrival order. Batch ``n`` always reads version ``n-1`` (batch 0
+reads the base table) and writes version ``n``, so a replayed batch after a
+failure recomputes the same result instead of applying its commands twice.
+Progress is kept in the stream's checkpoint location (a shared folder on a
+cluster).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators import workflow as W
+from ..sources import schemas as S
+from ..sources.sinks import commit_versioned, read_version
+
+STATE_COLS = ("status", "accountant_id", "storeman_id", "updated_at")
+
+
+def _version(batch_id: int) -> str:
+    return f"{batch_id:012d}"
+
+
+def fold_batch(bookings: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New bookings state and the ineffective commands of one batch."""
+    state = W.workflow_state(bookings, commands)
+    s = state.select(F.col("id").alias("__id"), *[F.col(c).alias(f"__{c}") for c in STATE_COLS])
+    b = bookings.join(s, bookings["id"] == s["__id"], "left")
+    new = b.select(*[F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if c in STATE_COLS else F.col(c)
+                     for c in bookings.columns])
+    return new, W.rejections_from_state(commands, state)
+
+
+def start_command_stream(spark: SparkSession, bookings: DataFrame, source_dir: str, output_root: str,
+                         checkpoint_location: str, files_per_batch: int = 1,
+                         available_now: bool = True) -> StreamingQuery:
+    """Stream parquet command files from ``source_dir`` into versioned
+    bookings states under ``output_root``."""
+    stream = (spark.readStream.schema(S.WORKFLOW_COMMANDS)
+              .option("maxFilesPerTrigger", files_per_batch).parquet(source_dir))
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        base = bookings if batch_id == 0 else read_version(spark, output_root, "bookings", _version(batch_id - 1))
+        new, rejected = fold_batch(base, batch)
+        commit_versioned(spark, {"bookings": new, "rejected_commands": rejected}, output_root,
+                         _version(batch_id))
+
+    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint_location)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()
