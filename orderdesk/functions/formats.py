@@ -54,3 +54,8 @@ def status_label(s: Column) -> Column:
 def status_badge(s: Column) -> Column:
     """Badge text of the list pages: first ``_`` replaced, upper-cased."""
     return F.upper(F.regexp_replace(s, "^([^_]*)_", "$1 "))
+
+
+def payment_badge(payment_type: Column) -> Column:
+    """Badge class of the payment type: ``Online Paid`` shows as paid, else pending."""
+    return F.when(payment_type == "Online Paid", F.lit("paid")).otherwise(F.lit("pending"))

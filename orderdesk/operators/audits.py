@@ -73,17 +73,19 @@ def audit_unique(t: Tables) -> DataFrame:
 
 def audit_fk(t: Tables) -> DataFrame:
     """Child rows whose non-NULL reference has no parent, per missing value:
-    ``table_name, fk_column, missing_id, n``. Parents are read as key columns only;
-    the users table is broadcast after a size check."""
+    ``table_name, fk_column, missing_id, n``. Children are counted per key
+    before the anti join; parents are read as key columns only and the users
+    table is broadcast after a size check."""
     tabs = _tables(t)
     parts = []
     for child, col, parent in FOREIGN_KEYS:
         keys = tabs[parent].select(F.col("id").alias("__parent_id"))
         if parent == "users" and is_bounded(tabs[parent], USERS_BROADCAST_ROWS):
             keys = F.broadcast(keys)
-        c = tabs[child].select(col).filter(F.col(col).isNotNull())
-        orphans = c.join(keys, c[col] == keys["__parent_id"], "left_anti")
-        g = orphans.groupBy(col).count()
+        # Count per referenced key first: a hot key is pre-combined in every
+        # task, and the anti join sees distinct keys only.
+        c = tabs[child].filter(F.col(col).isNotNull()).groupBy(col).count()
+        g = c.join(keys, c[col] == keys["__parent_id"], "left_anti")
         parts.append(g.select(F.lit(child).alias("table_name"), F.lit(col).alias("fk_column"),
                               F.col(col).cast("long").alias("missing_id"), F.col("count").alias("n")))
     return _union(parts)

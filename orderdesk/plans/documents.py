@@ -94,7 +94,8 @@ def display_formats(t: Tables) -> DataFrame:
         FM.date_text(F.col("created_at")).alias("created_date_text"),
         FM.datetime_text(F.col("updated_at")).alias("updated_text"),
         FM.status_label(F.col("status")).alias("status_label"),
-        FM.status_badge(F.col("status")).alias("status_badge"))
+        FM.status_badge(F.col("status")).alias("status_badge"),
+        FM.payment_badge(F.col("payment_type")).alias("payment_badge"))
 
 
 def payment_weeks(t: Tables) -> DataFrame:

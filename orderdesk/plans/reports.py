@@ -145,8 +145,9 @@ def payment_type_stats(t: Tables) -> DataFrame:
     # One row per payment type (an enum), so this window sees a handful of rows.
     total = F.sum("revenue").over(Window.partitionBy())
     denom = F.when(total != 0, total).otherwise(F.lit(1))
+    pct = F.round(F.col("revenue").cast("double") * 100.0 / denom.cast("double"), 1)
     return g.select("payment_type", "count", _money(F.col("revenue")).alias("revenue"),
-                    F.round(F.col("revenue").cast("double") * 100.0 / denom.cast("double"), 1).alias("pct"))
+                    pct.alias("pct"), FM.pct_text(pct).alias("pct_text"))
 
 
 def status_distribution(t: Tables) -> DataFrame:
