@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 # Staff accounts: a bounded dimension (head count), safe to broadcast.
 USERS_BROADCAST_ROWS = 100_000
-# Catalogue: broadcast (id, name, price, stock) only while below this many rows.
-PRODUCTS_BROADCAST_ROWS = 2_000_000
+# Catalogue: broadcast the pruned columns (id, name, price, stock: tens of MB
+# hashed) only while at most this many rows.
+PRODUCTS_BROADCAST_ROWS = 1_000_000
 
 
 # Size checks already made, by DataFrame identity (the frame is kept alive so
