@@ -17,7 +17,7 @@ from .operators import workflow as W
 from .plans import documents as DOC
 from .plans import lists as L
 from .plans import reports as R
-from .sources.driver import Tables, _read, driver_tables
+from .sources.driver import Tables, driver_tables, read_driver_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -95,7 +95,7 @@ def _registry() -> dict[str, Callable[[Tables], DataFrame]]:
                                                          t.products),
         # documents, chart data, export rows, display texts, carts
         "booking_document": DOC.booking_document,
-        "chart_series": DOC.chart_series,
+        "chart_series": DOC.chart_points,
         "monthly_csv_rows": DOC.monthly_csv_rows,
         "display_formats": DOC.display_formats,
         "payment_weeks": DOC.payment_weeks,
@@ -118,8 +118,8 @@ def _registry() -> dict[str, Callable[[Tables], DataFrame]]:
 def _text_queries() -> dict[str, QueryFn]:
     """Input cleaning over the driver's raw texts (whole documents and pages)."""
     return {
-        "clean_documents": lambda spark, d: DOC.clean_documents(_read(spark, d, "documents"), "doc_id", "text"),
-        "clean_pages": lambda spark, d: DOC.clean_documents(_read(spark, d, "pages"), "page_id", "html"),
+        "clean_documents": lambda spark, d: DOC.clean_documents(read_driver_table(spark, d, "documents"), "doc_id", "text"),
+        "clean_pages": lambda spark, d: DOC.clean_documents(read_driver_table(spark, d, "pages"), "page_id", "html"),
     }
 
 

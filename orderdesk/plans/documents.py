@@ -3,7 +3,7 @@ text cleaning and shopping-cart arithmetic."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
@@ -58,9 +58,26 @@ def booking_document(t: Tables) -> DataFrame:
     return b.select("id", F.to_json(doc, JSON_OPTIONS).alias("document"))
 
 
+def chart_points(t: Tables, as_of=D.DEFAULT_AS_OF) -> DataFrame:
+    """Chart data of the reports page, one row per point:
+    ``series ('revenue'|'status'), position, label, value`` — month labels
+    and paid revenue in month order, status labels and counts (non-zero
+    statuses) in the page's order."""
+    m = R.monthly_revenue(t, as_of)
+    # One row per month with revenue (bounded by the calendar), so this
+    # window sees a handful of rows.
+    rev = m.select(F.lit("revenue").alias("series"),
+                   F.row_number().over(Window.orderBy("month")).alias("position"),
+                   F.col("month_name").alias("label"), F.col("revenue").cast("double").alias("value"))
+    st = R.status_distribution(t).select(F.lit("status").alias("series"), "position",
+                                         F.col("status_label").alias("label"),
+                                         F.col("n").cast("double").alias("value"))
+    return rev.unionByName(st)
+
+
 def chart_series(t: Tables, as_of=D.DEFAULT_AS_OF) -> DataFrame:
-    """One row with the reports page's chart arrays: month labels and revenue
-    (month order), status labels and counts (non-zero statuses)."""
+    """The same points as the page's parallel arrays, in one row:
+    ``revenue_labels, revenue_data, status_labels, status_data``."""
     m = R.monthly_revenue(t, as_of)
     m = m.agg(F.array_sort(F.collect_list(F.struct("month", "month_name", "revenue"))).alias("s"))
     m = m.select(F.transform("s", lambda x: x["month_name"]).alias("revenue_labels"),
@@ -106,9 +123,9 @@ def payment_weeks(t: Tables) -> DataFrame:
                     F.month("payment_date").alias("month"))
 
 
-def clean_documents(spark_tables: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def clean_documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Form-input cleaning (trim, strip tags, HTML-escape) over whole texts."""
-    return spark_tables.select(id_col, TX.clean_text(F.col(text_col)).alias("clean_text"))
+    return df.select(id_col, TX.clean_text(F.col(text_col)).alias("clean_text"))
 
 
 # ---------------------------------------------------------------- carts

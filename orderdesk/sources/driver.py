@@ -55,10 +55,14 @@ class Tables:
                 df.createOrReplaceTempView(name)
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read_driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the driver's parquet tables (schema from the file footer)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_read = read_driver_table
+
+
 def _plus_days(ts_col: str, days: Column) -> Column:
     return F.date_add(F.to_date(F.col(ts_col)), days.cast("int"))
 
