@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from .joins import product_dim
 
+# Largest proven id set broadcast for restricting the items.
+RESTRICT_BROADCAST_ROWS = 100_000
+
 
 def ordered_listagg(label: Column, sep: str = ", ") -> Column:
     """``GROUP_CONCAT`` with a fixed order: NULL parts skipped, NULL when none
@@ -24,15 +27,21 @@ def ordered_listagg(label: Column, sep: str = ", ") -> Column:
 
 
 def item_labels(items: DataFrame, products: DataFrame, with_quantity: bool = True,
-                bookings: Optional[DataFrame] = None) -> DataFrame:
+                bookings: Optional[DataFrame] = None, bookings_bound: Optional[int] = None) -> DataFrame:
     """``booking_id, products``: ``"name (qty), ..."`` or ``"name, ..."``.
 
     ``bookings`` (one ``id`` column) restricts the work to those bookings with
-    a semi join before any aggregation, e.g. after a top-k.
+    a semi join before any aggregation. ``bookings_bound`` is a proven upper
+    bound of its rows (e.g. the ``n`` of a top-n); within
+    ``RESTRICT_BROADCAST_ROWS`` the ids are broadcast so the items are
+    filtered in place instead of being shuffled for the semi join.
     """
     li = items.select("booking_id", "product_id", "quantity")
     if bookings is not None:
-        li = li.join(bookings.select(F.col("id").alias("booking_id")), "booking_id", "left_semi")
+        ids = bookings.select(F.col("id").alias("booking_id"))
+        if bookings_bound is not None and bookings_bound <= RESTRICT_BROADCAST_ROWS:
+            ids = F.broadcast(ids)
+        li = li.join(ids, "booking_id", "left_semi")
     j = li.join(product_dim(products, "name"), "product_id", "left")
     label = (F.concat(F.col("name"), F.lit(" ("), F.col("quantity").cast("string"), F.lit(")"))
              if with_quantity else F.col("name"))
@@ -40,8 +49,11 @@ def item_labels(items: DataFrame, products: DataFrame, with_quantity: bool = Tru
 
 
 def with_item_labels(b: DataFrame, items: DataFrame, products: DataFrame,
-                     with_quantity: bool = True, restrict: bool = False) -> DataFrame:
+                     with_quantity: bool = True, restrict: bool = False,
+                     bound: Optional[int] = None) -> DataFrame:
     """``b`` plus a ``products`` column. ``restrict`` first semi-joins the items
-    to the bookings in ``b`` (use it when ``b`` is small, e.g. a top-k)."""
-    labels = item_labels(items, products, with_quantity, bookings=b.select("id") if restrict else None)
+    to the bookings in ``b`` (use it when a filter or top-k narrows ``b``);
+    ``bound`` is a proven upper bound of ``b``'s rows, if any."""
+    labels = item_labels(items, products, with_quantity, bookings=b.select("id") if restrict else None,
+                         bookings_bound=bound)
     return b.join(labels, b["id"] == labels["booking_id"], "left").drop("booking_id")

@@ -39,16 +39,18 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
 def with_user_names(b: DataFrame, users: DataFrame, roles: dict[str, str]) -> DataFrame:
     """Left-join the users table once per role: ``{fk column: output name}``.
 
-    The same small dimension is joined several times under different aliases
-    (moderator, accountant, storeman).
+    The same small dimension is joined several times under different roles
+    (moderator, accountant, storeman). Every join uses an identical broadcast
+    side, renamed only after the join, so Spark builds one broadcast and
+    reuses it for all roles.
     """
-    names = users.select("id", "full_name")
+    names = users.select(F.col("id").alias("__uid"), F.col("full_name").alias("__uname"))
     if is_bounded(users, USERS_BROADCAST_ROWS):
         names = F.broadcast(names)
     out = b
     for fk, alias in roles.items():
-        u = names.select(F.col("id").alias(f"__{alias}_id"), F.col("full_name").alias(alias))
-        out = out.join(u, out[fk] == u[f"__{alias}_id"], "left").drop(f"__{alias}_id")
+        out = (out.join(names, out[fk] == names["__uid"], "left")
+               .drop("__uid").withColumnRenamed("__uname", alias))
     return out
 
 

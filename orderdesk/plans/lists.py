@@ -109,14 +109,14 @@ def _newest(b: DataFrame, n: int) -> DataFrame:
 def recent_bookings(t: Tables, moderator_id: int = 1, n: int = 5) -> DataFrame:
     """A moderator's newest bookings with their product names."""
     top = _newest(t.bookings.filter(F.col("moderator_id") == moderator_id).select(*BOOKING_COLS), n)
-    out = with_item_labels(top, t.booking_items, t.products, with_quantity=False, restrict=True)
+    out = with_item_labels(top, t.booking_items, t.products, with_quantity=False, restrict=True, bound=n)
     return _out(out.orderBy(F.desc("created_at"), F.desc("id")))
 
 
 def _status_top(t: Tables, status: str, n: int) -> DataFrame:
     top = _newest(t.bookings.filter(F.col("status") == status).select(*BOOKING_COLS), n)
     top = with_user_names(top, t.users, {"moderator_id": "moderator_name"})
-    out = with_item_labels(top, t.booking_items, t.products, with_quantity=False, restrict=True)
+    out = with_item_labels(top, t.booking_items, t.products, with_quantity=False, restrict=True, bound=n)
     return _out(out.orderBy(F.desc("created_at"), F.desc("id")))
 
 

@@ -60,3 +60,21 @@ def test_workflow_uses_aggregates_not_windows(spark):
 def test_dashboard_single_scan(spark):
     text = plan(QUERIES["dash_accountant"](spark, SMOKE_DIR))
     assert text.count("orders.parquet") == 1
+
+
+def test_filters_reach_stored_tables(spark, golden, tmp_path):
+    """On stored tables (not the driver-data mapping) the status and date
+    filters of the revenue reports are pushed into the parquet scans."""
+    from orderdesk.plans import lists as L
+    from orderdesk.plans import reports as R
+    from orderdesk.sources.seed import read_tables, write_tables
+
+    root = str(tmp_path / "db")
+    write_tables(golden, root)
+    t = read_tables(spark, root)
+    text = plan(R.monthly_revenue(t, "2024-03-05"))
+    assert "EqualTo(payment_status,paid)" in text
+    assert "GreaterThanOrEqual(payment_date,2023-09-05)" in text
+    text = plan(L.delivery_list(t))
+    assert "In(status, [approved,delivered,not_delivered])" in text or "EqualTo(status,approved)" in text
+    assert R.monthly_revenue(t, "2024-03-05").count() == 2
