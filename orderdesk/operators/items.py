@@ -22,7 +22,7 @@ RESTRICT_BROADCAST_ROWS = 100_000
 def ordered_listagg(label: Column, sep: str = ", ") -> Column:
     """``GROUP_CONCAT`` with a fixed order: NULL parts skipped, NULL when none
     are left, elements sorted by their text (the reference leaves order open)."""
-    parts = F.array_sort(F.collect_list(label))
+    parts = F.sort_array(F.collect_list(label))
     return F.when(F.size(parts) > 0, F.array_join(parts, sep))
 
 

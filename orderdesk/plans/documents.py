@@ -41,7 +41,7 @@ def booking_document(t: Tables) -> DataFrame:
                               "product_id", "left")
     item = F.struct("line_no", "product_id", "quantity", "booking_id",
                     _money_text(F.col("unit_price")).alias("unit_price"), "product_name")
-    items = li.groupBy("booking_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    items = li.groupBy("booking_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
     b = b.join(items, b["id"] == items["booking_id"], "left").drop("booking_id")
 
     dd = t.delivery_details
