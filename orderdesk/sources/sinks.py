@@ -2,10 +2,13 @@
 several outputs (the reference's multi-table transaction).
 
 Plain parquet folders have no cross-table transaction. ``commit_versioned``
-writes every output of a job into a new version folder and only then writes
-the ``_CURRENT`` pointer; readers follow the pointer, so they see either the
-previous complete version or the new complete one. A failed job leaves an
-unreferenced version folder behind, never a half-visible one.
+writes every output of a job into a new version folder and only then appends
+a commit record for it under ``_commits``; readers take the greatest
+committed version, so they see either the previous complete version or the
+new complete one. Records are only ever added, never rewritten, so there is
+no moment without a committed version. A failed job leaves an unreferenced
+version folder behind, never a half-visible one. Version names must sort in
+commit order (e.g. zero-padded numbers or ISO timestamps).
 """
 
 from __future__ import annotations
@@ -26,18 +29,23 @@ def write_json_documents(df: DataFrame, path: str, column: str = "document", mod
 
 
 def commit_versioned(spark: SparkSession, outputs: dict[str, DataFrame], root: str, version: str) -> None:
-    """Write ``outputs`` under ``root/<name>/version=<version>``, then point
-    ``root/_CURRENT`` at the version. Each output is written in full before
-    the pointer moves; a retried job rewrites its own (still invisible)
+    """Write ``outputs`` under ``root/<name>/version=<version>``, then append
+    the commit record of ``version``. Each output is written in full before
+    the record appears; a retried job rewrites its own (still invisible)
     version folder."""
     for name, df in outputs.items():
         df.write.mode("overwrite").parquet(f"{root}/{name}/version={version}")
-    spark.createDataFrame([(version, sorted(outputs))], "version string, tables array<string>") \
-        .coalesce(1).write.mode("overwrite").json(f"{root}/_CURRENT")
+    spark.createDataFrame([(version, sorted(outputs))], COMMIT_SCHEMA) \
+        .coalesce(1).write.mode("overwrite").json(f"{root}/_commits/version={version}")
+
+
+COMMIT_SCHEMA = "version string, tables array<string>"
 
 
 def current_version(spark: SparkSession, root: str) -> str:
-    return spark.read.schema("version string, tables array<string>").json(f"{root}/_CURRENT").first()["version"]
+    """The greatest committed version under ``root`` (one small record per commit)."""
+    recs = spark.read.schema(COMMIT_SCHEMA).json(f"{root}/_commits/*")
+    return recs.agg(F.max("version")).first()[0]
 
 
 def read_current(spark: SparkSession, root: str, name: str) -> DataFrame:
