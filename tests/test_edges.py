@@ -1,0 +1,63 @@
+"""Edge values of FIXTURES.md §5: NULL parts in GROUP_CONCAT (D9), empty
+tables (D6), month-end as_of and future payment dates (D15)."""
+
+from __future__ import annotations
+
+import datetime as dt
+from decimal import Decimal
+
+from pyspark.sql import functions as F
+
+from orderdesk.functions import dates as D
+from orderdesk.plans import lists as L
+from orderdesk.plans import reports as R
+from orderdesk.sources import schemas as S
+from orderdesk.sources.seed import seed_tables
+
+from .conftest import d
+
+
+def test_group_concat_skips_null_parts(spark, golden):
+    # A NULL quantity violates the declared schema; plant it with a nullable one.
+    items = spark.createDataFrame([(1, 1, 1, None, Decimal("1.00")), (1, 2, 2, 3, Decimal("1.00")),
+                                   (2, 1, 77, 1, Decimal("1.00"))],
+                                  "booking_id long, line_no int, product_id long, quantity int, "
+                                  "unit_price decimal(10,2)")
+    t = golden.replace(booking_items=items)
+    rows = {r["id"]: r["products"] for r in L.booking_list(t).collect()}
+    # NULL quantity makes its label NULL; an unknown product has no name.
+    assert rows[1] == "Smartphone Case (3)"
+    assert rows[2] is None
+    names = {r["id"]: r["products"] for r in L.recent_bookings(t, 1).collect()}
+    assert names[1] == "Smartphone Case, Wireless Headphones"
+
+
+def test_empty_tables(spark):
+    t = seed_tables(spark)
+    assert R.revenue_overview(t).first().asDict() == {"total_revenue": 0.0, "today_revenue": 0.0,
+                                                      "week_revenue": 0.0, "month_revenue": 0.0}
+    assert R.booking_stats(t).first().asDict() == {"total": 0, "pending": 0, "approved": 0,
+                                                   "delivered": 0, "rejected": 0}
+    assert R.payment_stats(t).first()["total_payments"] == 0
+    assert R.status_distribution(t).count() == 0
+    assert R.monthly_revenue(t).count() == 0 and R.top_products(t).count() == 0
+    assert L.booking_list(t).count() == 0
+
+
+def test_month_end_as_of_clamps(spark):
+    row = spark.range(1).select(D.months_back("2024-08-31", 6).alias("x")).first()
+    assert row["x"] == dt.date(2024, 2, 29)
+
+
+def test_future_and_boundary_payment_dates(spark, golden):
+    pays = golden.payments.unionByName(spark.createDataFrame(
+        [(7, 7, "paid", d("2024-09-15"), None, None, None, None, None, None)], S.PAYMENTS))
+    bookings = golden.bookings.withColumn("amount", F.when(F.col("id") == 7, F.lit(Decimal("5.00")).cast("decimal(10,2)"))
+                                          .otherwise(F.col("amount")))
+    t = golden.replace(payments=pays, bookings=bookings)
+    months = {r["month"]: r["revenue"] for r in R.monthly_revenue(t, "2024-08-31").collect()}
+    # Lower bound only: the future month counts; 2024-01-20 is before 2024-02-29.
+    assert months == {"2024-03": 119.98, "2024-09": 5.0}
+    months = {r["month"] for r in R.monthly_revenue(t, "2024-07-20").collect()}
+    # as_of - 6 months = 2024-01-20 and the bound is inclusive (>=).
+    assert months == {"2024-01", "2024-03", "2024-09"}
