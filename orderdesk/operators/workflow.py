@@ -283,33 +283,52 @@ def request_rejections(requests: DataFrame, request_items: DataFrame, products:
             .filter(F.col("outcome") == "rejected").select("request_id", "message"))
 
 
-def new_bookings(requests: DataFrame, request_items: DataFrame, products: DataFrame) -> DataFrame:
-    """Booking rows to append for the accepted requests (status pending)."""
-    acc = (price_requests(requests, request_items, products)
-           .filter(F.col("outcome") == "accepted").select("request_id", "amount"))
-    r = requests.join(acc, "request_id", "inner")
+def accepted_ids(outcomes: DataFrame) -> DataFrame:
+    """``request_id, amount, new_id`` of the accepted requests; the request id
+    is kept as the booking id (see ``plans.jobs.dense_ids`` for new numbers)."""
+    return (outcomes.filter(F.col("outcome") == "accepted")
+            .select("request_id", "amount", F.col("request_id").alias("new_id")))
+
+
+def booking_rows(requests: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Booking rows to append: cleaned customer fields, amount, status pending."""
+    r = requests.join(accepted.select("request_id", "amount", "new_id"), "request_id", "inner")
     return r.select(
-        F.col("request_id").alias("id"),
+        F.col("new_id").alias("id"), "request_id",
         *[TX.clean_text(F.col(c)).alias(c) for c in
           ("customer_name", "customer_phone", "customer_address", "payment_type")],
-        "amount", F.lit("pending").alias("status"), "moderator_id")
+        F.col("amount").cast("decimal(10,2)").alias("amount"), F.lit("pending").alias("status"),
+        "moderator_id")
 
 
-def new_booking_items(requests: DataFrame, request_items: DataFrame, products: DataFrame) -> DataFrame:
-    """Item rows of the accepted requests: the valid lines at catalogue price."""
-    acc = (price_requests(requests, request_items, products)
-           .filter(F.col("outcome") == "accepted").select("request_id"))
-    lines = priced_lines(request_items, products).filter(F.col("valid"))
-    j = lines.join(acc, "request_id", "left_semi")
-    return j.select(F.col("request_id").alias("booking_id"), "line_no", "product_id", "quantity",
-                    F.col("price").cast("double").alias("unit_price"))
+def item_rows(lines: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Item rows to append: the valid lines of accepted requests at catalogue price."""
+    j = lines.filter(F.col("valid")).join(accepted.select("request_id", "new_id"), "request_id", "inner")
+    return j.select(F.col("new_id").alias("booking_id"), "line_no", "product_id", "quantity",
+                    F.col("price").alias("unit_price"))
 
 
-def initial_payments(requests: DataFrame, request_items: DataFrame, products: DataFrame) -> DataFrame:
+def payment_rows(bookings: DataFrame) -> DataFrame:
     """Payment row of each new booking: 'Online Paid' → paid, else pending; no date."""
-    nb = new_bookings(requests, request_items, products)
-    return nb.select(
+    return bookings.select(
         F.col("id").alias("booking_id"),
         F.when(F.col("payment_type") == "Online Paid", "paid").otherwise("pending").alias("payment_status"),
         F.lit(None).cast("date").alias("payment_date"),
         F.col("moderator_id").alias("updated_by"))
+
+
+def new_bookings(requests: DataFrame, request_items: DataFrame, products: DataFrame) -> DataFrame:
+    """Booking rows to append for the accepted requests (status pending)."""
+    return booking_rows(requests, accepted_ids(price_requests(requests, request_items, products)))
+
+
+def new_booking_items(requests: DataFrame, request_items: DataFrame, products: DataFrame) -> DataFrame:
+    """Item rows of the accepted requests: the valid lines at catalogue price."""
+    acc = accepted_ids(price_requests(requests, request_items, products))
+    out = item_rows(priced_lines(request_items, products), acc)
+    return out.withColumn("unit_price", F.col("unit_price").cast("double"))
+
+
+def initial_payments(requests: DataFrame, request_items: DataFrame, products: DataFrame) -> DataFrame:
+    """Payment row of each new booking: 'Online Paid' → paid, else pending; no date."""
+    return payment_rows(new_bookings(requests, request_items, products))

@@ -50,27 +50,14 @@ def process_booking_requests(spark: SparkSession, t: Tables, root: str, version:
     ensure_checkpoint_dir(spark)
     lines = W.priced_lines(t.booking_request_items, t.products).checkpoint()
     outcome = W.outcomes_from_lines(t.booking_requests, lines).checkpoint()
-    accepted = outcome.filter(F.col("outcome") == "accepted")
+    accepted = W.accepted_ids(outcome)
     if dense:
         start = (t.bookings.agg(F.max("id")).first()[0] or 0) + 1
         ids = dense_ids(accepted.select("request_id"), "request_id", start, "new_id").checkpoint()
-    else:
-        ids = accepted.select("request_id", F.col("request_id").alias("new_id"))
-    accepted = accepted.join(ids, "request_id", "inner")
-    heads = t.booking_requests.join(accepted.select("request_id", "amount", "new_id"), "request_id", "inner")
-    new_bookings = heads.select(
-        F.col("new_id").alias("id"), "request_id",
-        *[W.TX.clean_text(F.col(c)).alias(c) for c in
-          ("customer_name", "customer_phone", "customer_address", "payment_type")],
-        F.col("amount").cast("decimal(10,2)").alias("amount"), F.lit("pending").alias("status"),
-        "moderator_id")
-    items = (lines.filter(F.col("valid")).join(accepted.select("request_id", "new_id"), "request_id", "inner")
-             .select(F.col("new_id").alias("booking_id"), "line_no", "product_id", "quantity",
-                     F.col("price").alias("unit_price")))
-    payments = new_bookings.select(
-        F.col("id").alias("booking_id"),
-        F.when(F.col("payment_type") == "Online Paid", "paid").otherwise("pending").alias("payment_status"),
-        F.lit(None).cast("date").alias("payment_date"), F.col("moderator_id").alias("updated_by"))
+        accepted = accepted.drop("new_id").join(ids, "request_id", "inner")
+    new_bookings = W.booking_rows(t.booking_requests, accepted)
+    items = W.item_rows(lines, accepted)
+    payments = W.payment_rows(new_bookings)
     rejections = outcome.filter(F.col("outcome") == "rejected").select("request_id", "message")
     outputs = {"new_bookings": new_bookings, "new_booking_items": items, "new_payments": payments,
                "request_rejections": rejections}
