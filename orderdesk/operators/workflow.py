@@ -33,6 +33,9 @@ DELIVERY_ACTIONS = ("delivered", "not_delivered")
 MSG_REVIEW_NOOP = "Booking not found or already processed."
 MSG_DELIVERY_NOOP = "Booking not found or not ready for delivery."
 MSG_BAD_DELIVERY_STATUS = "Please select a valid delivery status."
+# Our wording: the database refuses a non-date, the transaction rolls back and
+# the page shows the driver's error text, which is not reproduced.
+MSG_BAD_DELIVERY_DATE = "Invalid delivery date."
 MSG_BAD_PAYMENT_STATUS = "Please select a valid payment status."
 MSG_NO_PAYMENT = "Payment record not found."
 MSG_PAYMENT_FAILED = "Failed to update payment status."
@@ -60,6 +63,12 @@ def _form_date(c: Column) -> Column:
     return _blank_to_null(TX.clean_text(c)).try_cast("date")
 
 
+def _date_ok(c: Column) -> Column:
+    """A non-blank date that is not a date makes the database refuse the post."""
+    raw = _blank_to_null(TX.clean_text(c))
+    return raw.isNull() | raw.try_cast("date").isNotNull()
+
+
 # ---------------------------------------------------------------- reviews and deliveries
 
 def _review_gate(bookings: DataFrame, commands: DataFrame) -> DataFrame:
@@ -81,7 +90,9 @@ def _winning_delivery(gate: DataFrame, commands: DataFrame) -> DataFrame:
                          F.when(F.col("initial_status") == "pending",
                                 F.struct(F.col("r.ts").alias("ts"), F.col("r.cmd_id").alias("cmd_id")))
                          .alias("after")))
-    dl = commands.filter(F.col("action").isin(*DELIVERY_ACTIONS))
+    # A delivery whose date the database refuses rolls back with its status
+    # change, so it never counts.
+    dl = commands.filter(F.col("action").isin(*DELIVERY_ACTIONS) & _date_ok(F.col("delivery_date")))
     dl = dl.join(open_from, "booking_id", "inner")
     later = F.col("after").isNull() | (F.struct("ts", "cmd_id") > F.col("after"))
     return (dl.filter(later).groupBy("booking_id")
@@ -131,8 +142,9 @@ def rejections_from_state(commands: DataFrame, state: DataFrame) -> DataFrame:
     j = wf.join(st, "booking_id", "left")
     effective = ((F.col("cmd_id") == F.col("review_cmd_id"))
                  | (F.col("cmd_id") == F.col("delivery_cmd_id")))
-    reason = F.when(F.col("action").isin(*REVIEW_ACTIONS), F.lit(MSG_REVIEW_NOOP)).otherwise(
-        F.lit(MSG_DELIVERY_NOOP))
+    reason = (F.when(F.col("action").isin(*REVIEW_ACTIONS), F.lit(MSG_REVIEW_NOOP))
+              .when(~_date_ok(F.col("delivery_date")), F.lit(MSG_BAD_DELIVERY_DATE))
+              .otherwise(F.lit(MSG_DELIVERY_NOOP)))
     return (j.filter(~F.coalesce(effective, F.lit(False)))
             .select("cmd_id", "booking_id", "action", reason.alias("reason")))
 
@@ -144,12 +156,6 @@ def _valid_payment_status() -> Column:
     return F.coalesce((~TX.is_blank(status)) & status.isin("pending", "paid", "failed"), F.lit(False))
 
 
-def _date_ok(c: Column) -> Column:
-    """A non-blank date that is not a date makes the database refuse the post."""
-    raw = _blank_to_null(TX.clean_text(c))
-    return raw.isNull() | raw.try_cast("date").isNotNull()
-
-
 def _valid_payment_update() -> Column:
     return _valid_payment_status() & _date_ok(F.col("payment_date"))
 

@@ -23,7 +23,7 @@ def _random_commands(rng: random.Random, n_bookings: int, n_cmds: int):
         booking = hot if rng.random() < 1 / 3 else rng.randrange(n_bookings + 5)  # some unknown bookings
         t = T0 + dt.timedelta(seconds=rng.randrange(n_cmds // 2))  # many equal timestamps
         action = rng.choice(ACTIONS)
-        payload = ("Co", f"T{cmd_id}", rng.choice(["", "2024-02-03", "0"]), "n") if action in W.DELIVERY_ACTIONS \
+        payload = ("Co", f"T{cmd_id}", rng.choice(["", "2024-02-03", "0", "bad"]), "n") if action in W.DELIVERY_ACTIONS \
             else (None, None, None, None)
         rows.append((cmd_id, t, booking, rng.randrange(25), action, *payload))
     return rows
@@ -32,11 +32,12 @@ def _random_commands(rng: random.Random, n_bookings: int, n_cmds: int):
 def _replay(initial: dict[int, str], commands):
     state = {b: {"status": s, "acc": None, "store": None, "upd": T0} for b, s in initial.items()}
     rejected = set()
-    for cmd_id, t, b, actor, action, *_ in sorted(commands, key=lambda r: (r[1], r[0])):
+    for cmd_id, t, b, actor, action, _co, _trk, date, _notes in sorted(commands, key=lambda r: (r[1], r[0])):
         row = state.get(b)
         if action in W.REVIEW_ACTIONS and row and row["status"] == "pending":
             row.update(status="approved" if action == "approve" else "rejected", acc=actor, upd=t)
-        elif action in W.DELIVERY_ACTIONS and row and row["status"] == "approved":
+        elif action in W.DELIVERY_ACTIONS and row and row["status"] == "approved" and date != "bad":
+            # A refused date rolls the whole delivery back.
             row.update(status=action, store=actor, upd=t)
         else:
             rejected.add(cmd_id)
