@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..sources import schemas as S
 from .joins import product_dim
 
 REVIEW_ACTIONS = ("approve", "reject")
@@ -43,6 +44,13 @@ MSG_MISSING_CUSTOMER = "Please fill in all required customer details."
 MSG_NO_ITEMS = "Please select at least one product."
 MSG_INVALID_PRODUCT = "Invalid product selected."
 MSG_NO_VALID_ITEMS = "No valid items in the booking."
+# Our wording for a booking row the database refuses (the page shows the
+# driver's error text, which is not reproduced).
+MSG_DB_NAME = "Database refused the booking: customer_name longer than 100 characters."
+MSG_DB_PHONE = "Database refused the booking: customer_phone longer than 20 characters."
+MSG_DB_PAYMENT_TYPE = "Database refused the booking: payment_type is not an allowed value."
+MSG_DB_AMOUNT = "Database refused the booking: amount out of range."
+MAX_AMOUNT = 99999999.99
 
 
 def _first(*fields: str) -> Column:
@@ -275,6 +283,13 @@ def outcomes_from_lines(requests: DataFrame, lines: DataFrame) -> DataFrame:
                .when(F.coalesce(F.col("n_lines"), F.lit(0)) == 0, F.lit(MSG_NO_ITEMS))
                .when(F.col("bad").isNotNull(), F.col("bad.error"))
                .when(F.col("n_valid") == 0, F.lit(MSG_NO_VALID_ITEMS)))
+    # Last, the booking row itself must fit its columns (in column order).
+    name, phone = TX.clean_text(F.col("customer_name")), TX.clean_text(F.col("customer_phone"))
+    ptype = TX.clean_text(F.col("payment_type"))
+    message = (message.when(F.length(name) > 100, F.lit(MSG_DB_NAME))
+               .when(F.length(phone) > 20, F.lit(MSG_DB_PHONE))
+               .when(~ptype.isin(*S.PAYMENT_TYPES), F.lit(MSG_DB_PAYMENT_TYPE))
+               .when(F.col("total") > F.lit(MAX_AMOUNT), F.lit(MSG_DB_AMOUNT)))
     ok = message.isNull()
     return r.select(
         "request_id",

@@ -113,6 +113,13 @@ def _php_create_booking(header, lines):
         valid += 1
     if not valid:
         return "rejected", W.MSG_NO_VALID_ITEMS, None
+    name, phone, _address, ptype = (v.strip() for v in header)
+    if len(name) > 100:
+        return "rejected", W.MSG_DB_NAME, None
+    if len(phone) > 20:
+        return "rejected", W.MSG_DB_PHONE, None
+    if ptype not in ("Online Paid", "Cash on Delivery"):
+        return "rejected", W.MSG_DB_PAYMENT_TYPE, None
     return "accepted", None, float(total)
 
 
@@ -120,7 +127,10 @@ def test_price_requests_match_handler(spark, golden):
     rng = random.Random(3)
     reqs, items = [], []
     for rid in range(1, 400):
-        header = tuple(rng.choice(["x", "x", "x", "", "0", " "]) if rng.random() < 0.1 else "x" for _ in range(4))
+        header = [rng.choice(["x", "x", "x", "", "0", " "]) if rng.random() < 0.1 else "x" for _ in range(3)]
+        header.append(rng.choice(["Online Paid", "Cash on Delivery", "Cash on Delivery", "Card", ""]))
+        if rng.random() < 0.05:
+            header[1] = "+1 (555) 000-0000 ext 12"  # longer than the phone column
         reqs.append((rid, *header, 1))
         n = 0 if rng.random() < 0.05 else rng.randrange(1, 5)
         for ln in range(1, n + 1):

@@ -163,3 +163,17 @@ def test_stock_audit_sums_lines(spark, golden):
     rows = {r["product_id"]: r for r in A.audit_stock(t).collect()}
     assert (rows[3]["demand"], rows[3]["shortfall"]) == (40, 10)
     assert rows[1]["demand"] == 0
+
+
+def test_request_refused_by_columns(spark, golden):
+    req = spark.createDataFrame(
+        [(1, "Test Customer", "+1 (555) 000-0000 ext 12", "Addr", "Cash on Delivery", 1),
+         (2, "Test Customer", "1234567890", "Addr", "Card", 1),
+         (3, "T & C", "1234567890", "Addr", "Online Paid", 1)], S.BOOKING_REQUESTS)
+    items = spark.createDataFrame([(1, 1, 1, 1), (2, 1, 1, 1), (3, 1, 1, 1)], S.BOOKING_REQUEST_ITEMS)
+    out = {r["request_id"]: (r["outcome"], r["message"])
+           for r in W.price_requests(req, items, golden.products).collect()}
+    assert out[1] == ("rejected", W.MSG_DB_PHONE)
+    assert out[2] == ("rejected", W.MSG_DB_PAYMENT_TYPE)
+    assert out[3] == ("accepted", None)
+    assert W.new_bookings(req, items, golden.products).first()["customer_name"] == "T &amp; C"
