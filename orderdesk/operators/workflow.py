@@ -34,9 +34,10 @@ DELIVERY_ACTIONS = ("delivered", "not_delivered")
 MSG_REVIEW_NOOP = "Booking not found or already processed."
 MSG_DELIVERY_NOOP = "Booking not found or not ready for delivery."
 MSG_BAD_DELIVERY_STATUS = "Please select a valid delivery status."
-# Our wording: the database refuses a non-date, the transaction rolls back and
-# the page shows the driver's error text, which is not reproduced.
-MSG_BAD_DELIVERY_DATE = "Invalid delivery date."
+# Our wording: the database refuses delivery details that do not fit their
+# columns (a non-date, an over-long text), the transaction rolls back and the
+# page shows the driver's error text, which is not reproduced.
+MSG_DB_DELIVERY = "Database refused the delivery details."
 MSG_BAD_PAYMENT_STATUS = "Please select a valid payment status."
 MSG_NO_PAYMENT = "Payment record not found."
 MSG_PAYMENT_FAILED = "Failed to update payment status."
@@ -77,6 +78,16 @@ def _date_ok(c: Column) -> Column:
     return raw.isNull() | raw.try_cast("date").isNotNull()
 
 
+def _fits(c: Column, n: int) -> Column:
+    """The cleaned text fits a ``VARCHAR(n)`` column (NULL fits)."""
+    return F.coalesce(F.length(TX.clean_text(c)) <= n, F.lit(True))
+
+
+def _delivery_fits() -> Column:
+    return (_date_ok(F.col("delivery_date")) & _fits(F.col("delivery_company"), 100)
+            & _fits(F.col("tracking_number"), 100))
+
+
 # ---------------------------------------------------------------- reviews and deliveries
 
 def _review_gate(bookings: DataFrame, commands: DataFrame) -> DataFrame:
@@ -98,9 +109,9 @@ def _winning_delivery(gate: DataFrame, commands: DataFrame) -> DataFrame:
                          F.when(F.col("initial_status") == "pending",
                                 F.struct(F.col("r.ts").alias("ts"), F.col("r.cmd_id").alias("cmd_id")))
                          .alias("after")))
-    # A delivery whose date the database refuses rolls back with its status
-    # change, so it never counts.
-    dl = commands.filter(F.col("action").isin(*DELIVERY_ACTIONS) & _date_ok(F.col("delivery_date")))
+    # Delivery details the database refuses roll back with the status change,
+    # so such a command never counts.
+    dl = commands.filter(F.col("action").isin(*DELIVERY_ACTIONS) & _delivery_fits())
     dl = dl.join(open_from, "booking_id", "inner")
     later = F.col("after").isNull() | (F.struct("ts", "cmd_id") > F.col("after"))
     return (dl.filter(later).groupBy("booking_id")
@@ -151,7 +162,7 @@ def rejections_from_state(commands: DataFrame, state: DataFrame) -> DataFrame:
     effective = ((F.col("cmd_id") == F.col("review_cmd_id"))
                  | (F.col("cmd_id") == F.col("delivery_cmd_id")))
     reason = (F.when(F.col("action").isin(*REVIEW_ACTIONS), F.lit(MSG_REVIEW_NOOP))
-              .when(~_date_ok(F.col("delivery_date")), F.lit(MSG_BAD_DELIVERY_DATE))
+              .when(~_delivery_fits(), F.lit(MSG_DB_DELIVERY))
               .otherwise(F.lit(MSG_DELIVERY_NOOP)))
     return (j.filter(~F.coalesce(effective, F.lit(False)))
             .select("cmd_id", "booking_id", "action", reason.alias("reason")))
@@ -164,8 +175,13 @@ def _valid_payment_status() -> Column:
     return F.coalesce((~TX.is_blank(status)) & status.isin("pending", "paid", "failed"), F.lit(False))
 
 
+def _payment_fits() -> Column:
+    return (_date_ok(F.col("payment_date")) & _fits(F.col("payment_method"), 50)
+            & _fits(F.col("transaction_id"), 100))
+
+
 def _valid_payment_update() -> Column:
-    return _valid_payment_status() & _date_ok(F.col("payment_date"))
+    return _valid_payment_status() & _payment_fits()
 
 
 def payment_updates_applied(payments: DataFrame, updates: DataFrame) -> DataFrame:
@@ -199,7 +215,7 @@ def payment_update_rejections(payments: DataFrame, updates: DataFrame) -> DataFr
     j = updates.join(has_row, "booking_id", "left")
     reason = (F.when(~_valid_payment_status(), F.lit(MSG_BAD_PAYMENT_STATUS))
               .when(F.col("has_row").isNull(), F.lit(MSG_NO_PAYMENT))
-              .when(~_date_ok(F.col("payment_date")), F.lit(MSG_PAYMENT_FAILED)))
+              .when(~_payment_fits(), F.lit(MSG_PAYMENT_FAILED)))
     return (j.select("cmd_id", "booking_id", F.lit("update_payment").alias("action"), reason.alias("reason"))
             .filter(F.col("reason").isNotNull()))
 

@@ -177,3 +177,23 @@ def test_request_refused_by_columns(spark, golden):
     assert out[2] == ("rejected", W.MSG_DB_PAYMENT_TYPE)
     assert out[3] == ("accepted", None)
     assert W.new_bookings(req, items, golden.products).first()["customer_name"] == "T &amp; C"
+
+
+def test_refused_delivery_details_roll_back(spark):
+    bookings = _bookings(spark, {51: "approved"})
+    rows = [(1, T0, 51, 7, "delivered", "Co", "T" * 101, "2024-03-09", None),
+            (2, T0 + dt.timedelta(minutes=1), 51, 8, "not_delivered", "Co", "T2", "2024-03-10", None)]
+    commands = spark.createDataFrame(rows, S.WORKFLOW_COMMANDS)
+    state = W.workflow_state(bookings, commands).first()
+    assert (state["status"], state["storeman_id"]) == ("not_delivered", 8)
+    rej = {r["cmd_id"]: r["reason"] for r in W.workflow_rejections(bookings, commands).collect()}
+    assert rej == {1: W.MSG_DB_DELIVERY}
+
+
+def test_refused_payment_update(spark):
+    payments = _payments(spark, [61])
+    upd = spark.createDataFrame([(1, T0, 61, 2, "paid", "M" * 51, "T1", "", "x"),
+                                 (2, T0, 61, 2, "paid", "Card", "T2", "2024-02-30", "x")], S.PAYMENT_UPDATES)
+    assert W.payment_updates_applied(payments, upd).first()["payment_status"] == "pending"
+    rej = {r["cmd_id"]: r["reason"] for r in W.payment_update_rejections(payments, upd).collect()}
+    assert rej == {1: W.MSG_PAYMENT_FAILED, 2: W.MSG_PAYMENT_FAILED}
