@@ -1,7 +1,7 @@
 """Structured Streaming forms of the jobs.
 
 The reference has no streaming operator (no watermark, window or state
-store); its requests are applied one by one as they arrive. ``commands``
-applies arriving review/delivery commands in micro-batches with the same
-rules as the batch job.
+store); its form posts are applied one by one as they arrive. ``commands``
+applies arriving review/delivery commands and payment posts in micro-batches
+with the same rules as the batch jobs.
 """

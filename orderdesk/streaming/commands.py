@@ -1,16 +1,23 @@
-"""Apply review and delivery commands as they arrive (micro-batches).
-
-Each micro-batch folds its commands, in (ts, cmd_id) order, onto the
-bookings state committed by the previous batch, like the web app applies
-posts in arrival order. Batch ``n`` always reads version ``n-1`` (batch 0
-reads the base table) and writes version ``n``, so a replayed batch after a
-failure recomputes the same result instead of applying its commands twice.
-Progress is kept in the stream's checkpoint location (a shared folder on a
-cluster).
+"""Apply form posts as they arrive (micro-batches).
+
+Each micro-batch folds its posts, in (ts, cmd_id) order, onto the tables
+committed by the previous batch, like the web app applies posts in arrival
+order. Batch ``n`` always reads version ``n-1`` (batch 0 reads the base
+tables) and writes version ``n``, so a replayed batch after a failure
+recomputes the same result instead of applying its posts twice. Progress is
+kept in the stream's checkpoint location (a shared folder on a cluster).
+
+* ``start_command_stream``: review and delivery commands → bookings,
+  delivery details (upserted by the effective deliveries) and the commands
+  that changed nothing;
+* ``start_payment_stream``: payment-status posts → payments and the posts
+  that changed nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,30 +33,67 @@ def _version(batch_id: int) -> str:
     return f"{batch_id:012d}"
 
 
-def fold_batch(bookings: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New bookings state and the ineffective commands of one batch."""
+def fold_batch(bookings: DataFrame, delivery_details: DataFrame,
+               commands: DataFrame) -> dict[str, DataFrame]:
+    """New bookings state, delivery details and ineffective commands of one batch."""
     state = W.workflow_state(bookings, commands)
     s = state.select(F.col("id").alias("__id"), *[F.col(c).alias(f"__{c}") for c in STATE_COLS])
     b = bookings.join(s, bookings["id"] == s["__id"], "left")
-    new = b.select(*[F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if c in STATE_COLS else F.col(c)
-                     for c in bookings.columns])
-    return new, W.rejections_from_state(commands, state)
+    new_bookings = b.select(*[F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if c in STATE_COLS else F.col(c)
+                              for c in bookings.columns])
+    effective = state.filter(F.col("delivery_cmd_id").isNotNull()).select(
+        F.col("id").alias("__bid"), F.col("delivery_cmd_id").alias("__cid"))
+    delivered = commands.join(effective, (commands["booking_id"] == effective["__bid"])
+                              & (commands["cmd_id"] == effective["__cid"]), "left_semi")
+    return {"bookings": new_bookings,
+            "delivery_details": W.upsert_deliveries(delivery_details, delivered),
+            "rejected_commands": W.rejections_from_state(commands, state)}
 
 
-def start_command_stream(spark: SparkSession, bookings: DataFrame, source_dir: str, output_root: str,
-                         checkpoint_location: str, files_per_batch: int = 1,
-                         available_now: bool = True) -> StreamingQuery:
-    """Stream parquet command files from ``source_dir`` into versioned
-    bookings states under ``output_root``."""
-    stream = (spark.readStream.schema(S.WORKFLOW_COMMANDS)
-              .option("maxFilesPerTrigger", files_per_batch).parquet(source_dir))
+def fold_payment_batch(payments: DataFrame, updates: DataFrame) -> dict[str, DataFrame]:
+    """Payments after one batch of posts and the posts that changed nothing."""
+    return {"payments": W.payment_updates_applied(payments, updates),
+            "rejected_updates": W.payment_update_rejections(payments, updates)}
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        base = bookings if batch_id == 0 else read_version(spark, output_root, "bookings", _version(batch_id - 1))
-        new, rejected = fold_batch(base, batch)
-        commit_versioned(spark, {"bookings": new, "rejected_commands": rejected}, output_root,
-                         _version(batch_id))
 
+def _start(spark: SparkSession, schema, source_dir: str, checkpoint_location: str, files_per_batch: int,
+           available_now: bool, apply: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+              .parquet(source_dir))
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
+
+
+def start_command_stream(spark: SparkSession, bookings: DataFrame, delivery_details: DataFrame,
+                         source_dir: str, output_root: str, checkpoint_location: str,
+                         files_per_batch: int = 1, available_now: bool = True) -> StreamingQuery:
+    """Stream parquet command files from ``source_dir`` into versioned
+    bookings and delivery details under ``output_root``."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        if batch_id == 0:
+            b, dd = bookings, delivery_details
+        else:
+            prev = _version(batch_id - 1)
+            b = read_version(spark, output_root, "bookings", prev)
+            dd = read_version(spark, output_root, "delivery_details", prev)
+        commit_versioned(spark, fold_batch(b, dd, batch), output_root, _version(batch_id))
+
+    return _start(spark, S.WORKFLOW_COMMANDS, source_dir, checkpoint_location, files_per_batch,
+                  available_now, apply)
+
+
+def start_payment_stream(spark: SparkSession, payments: DataFrame, source_dir: str, output_root: str,
+                         checkpoint_location: str, files_per_batch: int = 1,
+                         available_now: bool = True) -> StreamingQuery:
+    """Stream parquet payment-post files from ``source_dir`` into versioned
+    payments under ``output_root``."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        base = payments if batch_id == 0 else read_version(spark, output_root, "payments",
+                                                           _version(batch_id - 1))
+        commit_versioned(spark, fold_payment_batch(base, batch), output_root, _version(batch_id))
+
+    return _start(spark, S.PAYMENT_UPDATES, source_dir, checkpoint_location, files_per_batch,
+                  available_now, apply)

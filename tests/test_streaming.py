@@ -1,4 +1,4 @@
-"""Micro-batch command stream equals the batch fold when batches arrive in time order."""
+"""Micro-batch streams equal the batch jobs when posts arrive in time order."""
 
 from __future__ import annotations
 
@@ -7,26 +7,45 @@ from pyspark.sql import functions as F
 from orderdesk.catalog import tables_for
 from orderdesk.operators import workflow as W
 from orderdesk.sources import sinks
-from orderdesk.streaming.commands import start_command_stream
+from orderdesk.streaming.commands import start_command_stream, start_payment_stream
 
 from .conftest import SMOKE_DIR
 
 
-def test_stream_matches_batch(spark, tmp_path):
+def _arrivals(spark, df, folder: str) -> str:
+    """Write ``df`` as two arrival files: the earlier half, then the later half."""
+    cut = df.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    for part in (df.filter(F.col("ts") <= cut), df.filter(F.col("ts") > cut)):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def _same(a, b) -> bool:
+    return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_command_stream_matches_batch(spark, tmp_path):
     t = tables_for(spark, SMOKE_DIR)
     cmds = t.workflow_commands
-    cut = cmds.agg(F.percentile_approx("ts", 0.5)).first()[0]
-    src = str(tmp_path / "incoming")
-    # Two arrival files: the earlier half, then the later half.
-    cmds.filter(F.col("ts") <= cut).coalesce(1).write.parquet(src + "/part1")
-    cmds.filter(F.col("ts") > cut).coalesce(1).write.parquet(src + "/part2")
-    src_files = str(tmp_path / "flat")
-    for i, part in enumerate(("part1", "part2")):
-        spark.read.parquet(f"{src}/{part}").coalesce(1).write.mode("append").parquet(src_files)
-    q = start_command_stream(spark, t.bookings, src_files, str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    src = _arrivals(spark, cmds, str(tmp_path / "incoming"))
+    out = str(tmp_path / "out")
+    q = start_command_stream(spark, t.bookings, t.delivery_details, src, out, str(tmp_path / "ckpt"))
+    q.awaitTermination(300)
+    assert q.exception() is None
+    assert sinks.current_version(spark, out) == f"{1:012d}"  # two batches
+    final = sinks.read_current(spark, out, "bookings").select("id", "status")
+    assert _same(final, W.workflow_state(t.bookings, cmds).select("id", "status"))
+    dd = sinks.read_current(spark, out, "delivery_details")
+    assert _same(dd, W.delivery_upsert(t.delivery_details, t.bookings, cmds))
+
+
+def test_payment_stream_matches_batch(spark, tmp_path):
+    t = tables_for(spark, SMOKE_DIR)
+    ups = t.payment_updates
+    src = _arrivals(spark, ups, str(tmp_path / "posts"))
+    out = str(tmp_path / "out")
+    q = start_payment_stream(spark, t.payments, src, out, str(tmp_path / "ckpt"))
     q.awaitTermination(300)
     assert q.exception() is None
-    final = sinks.read_current(spark, str(tmp_path / "out"), "bookings")
-    expect = W.workflow_state(t.bookings, cmds).select("id", "status")
-    diff = final.select("id", "status").exceptAll(expect)
-    assert final.count() == t.bookings.count() and diff.count() == 0
+    final = sinks.read_current(spark, out, "payments")
+    assert _same(final, W.payment_updates_applied(t.payments, ups))
