@@ -41,7 +41,7 @@ def _on_tables(fn: Callable[[Tables], DataFrame]) -> QueryFn:
     return run
 
 
-def _registry() -> dict[str, Callable[[Tables], DataFrame]]:
+def registry() -> dict[str, Callable[[Tables], DataFrame]]:
     return {
         # reports and stats strips
         "revenue_overview": R.revenue_overview,
@@ -124,6 +124,6 @@ def _text_queries() -> dict[str, QueryFn]:
 
 
 def queries() -> dict[str, QueryFn]:
-    out = {name: _on_tables(fn) for name, fn in _registry().items()}
+    out = {name: _on_tables(fn) for name, fn in registry().items()}
     out.update(_text_queries())
     return out

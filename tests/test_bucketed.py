@@ -8,7 +8,7 @@ import io
 
 import pytest
 
-from orderdesk.catalog import _registry, tables_for
+from orderdesk.catalog import registry, tables_for
 from orderdesk.plans import lists as L
 from orderdesk.sources.bucketed import bucketed_tables, save_bucketed
 from tools.check_oracle import digest
@@ -38,8 +38,8 @@ def test_booking_list_plans_without_shuffle(both):
     assert "SortMergeJoin" in text
 
 
-@pytest.mark.parametrize("name", sorted(_registry()))
+@pytest.mark.parametrize("name", sorted(registry()))
 def test_same_results_on_bucketed_tables(both, name):
     t, bt = both
-    a, b = _registry()[name](t), _registry()[name](bt)
+    a, b = registry()[name](t), registry()[name](bt)
     assert digest(a.columns, [tuple(r) for r in a.collect()])[0] == digest(b.columns, [tuple(r) for r in b.collect()])[0]

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from orderdesk.catalog import _registry
+from orderdesk.catalog import registry
 from orderdesk.oracle import QUERIES
 from orderdesk.sources import schemas as S
 from orderdesk.sources.driver import Tables
@@ -123,7 +123,7 @@ def world(request, spark, tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - SKIP))
 def test_query_matches_oracle_with_nulls(world, name):
     t, con = world
-    df = _registry()[name](t)
+    df = registry()[name](t)
     rows = [tuple(r) for r in df.collect()]
     res = con.execute(QUERIES[name])
     ocols = [d[0] for d in res.description]
