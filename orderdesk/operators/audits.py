@@ -17,6 +17,7 @@ from ..functions import text as TX
 from ..sources import schemas as S
 from ..sources.driver import Tables
 from .joins import USERS_BROADCAST_ROWS, is_bounded
+from .skew import salted_join
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -200,10 +201,11 @@ def cascade_delete(t: Tables, deleted_ids: DataFrame) -> Tables:
     """Tables after deleting the bookings in ``deleted_ids`` (one ``id``
     column): items, payments and delivery details of those bookings go too
     (``ON DELETE CASCADE``)."""
-    gone = deleted_ids.select(F.col("id").alias("__gone"))
+    gone = deleted_ids.select("id").distinct()
 
     def keep(df: DataFrame, key: str) -> DataFrame:
-        return df.join(gone, df[key] == gone["__gone"], "left_anti")
+        ids = gone.withColumnRenamed("id", key)
+        return salted_join(df, ids, key, "left_anti")
 
     return t.replace(bookings=keep(t.bookings, "id"),
                      booking_items=keep(t.booking_items, "booking_id"),
@@ -214,12 +216,12 @@ def cascade_delete(t: Tables, deleted_ids: DataFrame) -> Tables:
 def cascade_delete_summary(t: Tables, deleted_ids: DataFrame) -> DataFrame:
     """Rows per table before and after the cascade, one pass per table:
     ``table_name, rows_before, rows_after``."""
-    gone = deleted_ids.select(F.col("id").alias("__gone")).distinct().withColumn("__hit", F.lit(True))
+    gone = deleted_ids.select("id").distinct().withColumn("__hit", F.lit(True))
     parts = []
     for name, key in (("bookings", "id"), ("booking_items", "booking_id"),
                       ("payments", "booking_id"), ("delivery_details", "booking_id")):
         df = getattr(t, name).select(key)
-        j = df.join(gone, df[key] == gone["__gone"], "left")
+        j = salted_join(df, gone.withColumnRenamed("id", key), key, "left")
         parts.append(j.agg(F.count(F.lit(1)).alias("rows_before"),
                            F.count_if(F.col("__hit").isNull()).alias("rows_after"))
                      .select(F.lit(name).alias("table_name"), "rows_before", "rows_after"))

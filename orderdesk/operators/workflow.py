@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..functions import text as TX
 from ..sources import schemas as S
 from .joins import product_dim
+from .skew import salted_join
 
 REVIEW_ACTIONS = ("approve", "reject")
 DELIVERY_ACTIONS = ("delivered", "not_delivered")
@@ -124,7 +125,7 @@ def _winning_delivery(gate: DataFrame, commands: DataFrame) -> DataFrame:
     # Delivery details the database refuses roll back with the status change,
     # so such a command never counts.
     dl = commands.filter(F.col("action").isin(*DELIVERY_ACTIONS) & _delivery_fits())
-    dl = dl.join(open_from, "booking_id", "inner")
+    dl = salted_join(dl, open_from, "booking_id", "inner")
     later = F.col("after").isNull() | (F.struct("ts", "cmd_id") > F.col("after"))
     return (dl.filter(later).groupBy("booking_id")
             .agg(_first("action", "actor_id", "delivery_company", "tracking_number",
@@ -170,7 +171,7 @@ def rejections_from_state(commands: DataFrame, state: DataFrame) -> DataFrame:
     """``workflow_rejections`` given an already computed ``workflow_state``."""
     st = state.select(F.col("id").alias("booking_id"), "review_cmd_id", "delivery_cmd_id")
     wf = commands.filter(F.col("action").isin(*REVIEW_ACTIONS, *DELIVERY_ACTIONS))
-    j = wf.join(st, "booking_id", "left")
+    j = salted_join(wf, st, "booking_id", "left")
     effective = ((F.col("cmd_id") == F.col("review_cmd_id"))
                  | (F.col("cmd_id") == F.col("delivery_cmd_id")))
     reason = (F.when(F.col("action").isin(*REVIEW_ACTIONS), F.lit(MSG_REVIEW_NOOP))
@@ -224,7 +225,7 @@ def payment_updates_applied(payments: DataFrame, updates: DataFrame) -> DataFram
 def payment_update_rejections(payments: DataFrame, updates: DataFrame) -> DataFrame:
     """Update posts that changed nothing: invalid status or no payment row."""
     has_row = payments.select("booking_id").distinct().withColumn("has_row", F.lit(True))
-    j = updates.join(has_row, "booking_id", "left")
+    j = salted_join(updates, has_row, "booking_id", "left")
     reason = (F.when(~_valid_payment_status(), F.lit(MSG_BAD_PAYMENT_STATUS))
               .when(F.col("has_row").isNull(), F.lit(MSG_NO_PAYMENT))
               .when(~_payment_fits(), F.lit(MSG_PAYMENT_FAILED)))
@@ -352,7 +353,7 @@ def booking_rows(requests: DataFrame, accepted: DataFrame) -> DataFrame:
 
 def item_rows(lines: DataFrame, accepted: DataFrame) -> DataFrame:
     """Item rows to append: the valid lines of accepted requests at catalogue price."""
-    j = lines.filter(F.col("valid")).join(accepted.select("request_id", "new_id"), "request_id", "inner")
+    j = salted_join(lines.filter(F.col("valid")), accepted.select("request_id", "new_id"), "request_id", "inner")
     return j.select(F.col("new_id").alias("booking_id"), "line_no", "product_id", "quantity",
                     F.col("price").alias("unit_price"))
 

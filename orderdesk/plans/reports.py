@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import formats as FM
 from ..operators.joins import product_dim
+from ..operators.skew import salted_join
 from ..operators.stats import count_where, one_row, status_counts, sum_where
 from ..sources.driver import Tables
 
@@ -112,7 +113,7 @@ def top_products(t: Tables, n: int = 10, ranked: bool = False) -> DataFrame:
     paid = (t.payments.filter(F.col("payment_status") == "paid").select("booking_id")
             .join(t.bookings.select(F.col("id").alias("booking_id")), "booking_id", "left_semi"))
     li = t.booking_items.select("booking_id", "product_id", "quantity", "unit_price")
-    j = li.join(paid, "booking_id", "left_semi")
+    j = salted_join(li, paid, "booking_id", "left_semi")
     dim = product_dim(t.products, F.col("id").alias("pid"), "name")
     j = j.join(dim, "product_id", "left")
     g = j.groupBy("pid", "name").agg(
