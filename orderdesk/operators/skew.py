@@ -33,10 +33,19 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
             .orderBy(F.desc("__n")).limit(MAX_HOT_KEYS).select(key))
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
+                hot: DataFrame | None = None) -> DataFrame:
     """``big.join(small, key, how)`` where ``small`` has at most one row per
-    ``key``; hot keys of ``big`` are split over several tasks."""
-    hot = F.broadcast(hot_keys(big, key).withColumn("__hot", F.lit(True)))
+    ``key``; hot keys of ``big`` are split over several tasks.
+
+    ``hot`` (one ``key`` column, from ``hot_keys``) may be computed once on a
+    cheaper input, e.g. the key column of the table ``big`` was filtered
+    from: the result is the same for any set of salted keys, only the
+    balance depends on it.
+    """
+    if hot is None:
+        hot = hot_keys(big.select(key), key)
+    hot = F.broadcast(hot.select(key).withColumn("__hot", F.lit(True)))
     content = F.xxhash64(*[F.col(c) for c in big.columns])
     b = (big.join(hot, key, "left")
          .withColumn("__salt", F.when(F.col("__hot"), F.pmod(content, F.lit(SALT_BUCKETS)))

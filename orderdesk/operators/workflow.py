@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions import text as TX
 from ..sources import schemas as S
 from .joins import product_dim
-from .skew import salted_join
+from .skew import hot_keys, salted_join
 
 REVIEW_ACTIONS = ("approve", "reject")
 DELIVERY_ACTIONS = ("delivered", "not_delivered")
@@ -114,7 +114,12 @@ def _review_gate(bookings: DataFrame, commands: DataFrame) -> DataFrame:
     return g.withColumn("r", F.when(F.col("initial_status") == "pending", F.col("r")))
 
 
-def _winning_delivery(gate: DataFrame, commands: DataFrame) -> DataFrame:
+def _hot_bookings(commands: DataFrame) -> DataFrame:
+    """Bookings with the most commands (counted on the key column alone)."""
+    return hot_keys(commands.select("booking_id"), "booking_id")
+
+
+def _winning_delivery(gate: DataFrame, commands: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """``booking_id, d``: earliest delivery command while the booking is approved."""
     open_from = (gate.filter((F.col("initial_status") == "approved")
                              | (F.col("r.action") == "approve"))
@@ -125,14 +130,15 @@ def _winning_delivery(gate: DataFrame, commands: DataFrame) -> DataFrame:
     # Delivery details the database refuses roll back with the status change,
     # so such a command never counts.
     dl = commands.filter(F.col("action").isin(*DELIVERY_ACTIONS) & _delivery_fits())
-    dl = salted_join(dl, open_from, "booking_id", "inner")
+    dl = salted_join(dl, open_from, "booking_id", "inner",
+                     hot=_hot_bookings(commands) if hot is None else hot)
     later = F.col("after").isNull() | (F.struct("ts", "cmd_id") > F.col("after"))
     return (dl.filter(later).groupBy("booking_id")
             .agg(_first("action", "actor_id", "delivery_company", "tracking_number",
                         "delivery_date", "notes").alias("d")))
 
 
-def workflow_state(bookings: DataFrame, commands: DataFrame) -> DataFrame:
+def workflow_state(bookings: DataFrame, commands: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Bookings after all review and delivery commands.
 
     ``id, initial_status, status, accountant_id, storeman_id, updated_at,
@@ -140,7 +146,7 @@ def workflow_state(bookings: DataFrame, commands: DataFrame) -> DataFrame:
     the effective commands (NULL when none).
     """
     gate = _review_gate(bookings, commands)
-    d = _winning_delivery(gate, commands)
+    d = _winning_delivery(gate, commands, hot)
     s = gate.join(d, gate["id"] == d["booking_id"], "left").drop("booking_id")
     reviewed = F.col("r").isNotNull()
     delivered = F.col("d").isNotNull()
@@ -164,14 +170,15 @@ def effective_deliveries(bookings: DataFrame, commands: DataFrame) -> DataFrame:
 def workflow_rejections(bookings: DataFrame, commands: DataFrame) -> DataFrame:
     """Review and delivery commands that changed nothing, with the reference's
     message: ``cmd_id, booking_id, action, reason``."""
-    return rejections_from_state(commands, workflow_state(bookings, commands))
+    hot = _hot_bookings(commands)
+    return rejections_from_state(commands, workflow_state(bookings, commands, hot), hot)
 
 
-def rejections_from_state(commands: DataFrame, state: DataFrame) -> DataFrame:
+def rejections_from_state(commands: DataFrame, state: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """``workflow_rejections`` given an already computed ``workflow_state``."""
     st = state.select(F.col("id").alias("booking_id"), "review_cmd_id", "delivery_cmd_id")
     wf = commands.filter(F.col("action").isin(*REVIEW_ACTIONS, *DELIVERY_ACTIONS))
-    j = salted_join(wf, st, "booking_id", "left")
+    j = salted_join(wf, st, "booking_id", "left", hot=_hot_bookings(commands) if hot is None else hot)
     effective = ((F.col("cmd_id") == F.col("review_cmd_id"))
                  | (F.col("cmd_id") == F.col("delivery_cmd_id")))
     reason = (F.when(F.col("action").isin(*REVIEW_ACTIONS), F.lit(MSG_REVIEW_NOOP))
@@ -351,9 +358,10 @@ def booking_rows(requests: DataFrame, accepted: DataFrame) -> DataFrame:
         "moderator_id")
 
 
-def item_rows(lines: DataFrame, accepted: DataFrame) -> DataFrame:
+def item_rows(lines: DataFrame, accepted: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Item rows to append: the valid lines of accepted requests at catalogue price."""
-    j = salted_join(lines.filter(F.col("valid")), accepted.select("request_id", "new_id"), "request_id", "inner")
+    j = salted_join(lines.filter(F.col("valid")), accepted.select("request_id", "new_id"), "request_id",
+                    "inner", hot=hot)
     return j.select(F.col("new_id").alias("booking_id"), "line_no", "product_id", "quantity",
                     F.col("price").alias("unit_price"))
 
@@ -375,7 +383,8 @@ def new_bookings(requests: DataFrame, request_items: DataFrame, products: DataFr
 def new_booking_items(requests: DataFrame, request_items: DataFrame, products: DataFrame) -> DataFrame:
     """Item rows of the accepted requests: the valid lines at catalogue price."""
     acc = accepted_ids(price_requests(requests, request_items, products))
-    out = item_rows(priced_lines(request_items, products), acc)
+    hot = hot_keys(request_items.select("request_id"), "request_id")
+    out = item_rows(priced_lines(request_items, products), acc, hot)
     return out.withColumn("unit_price", F.col("unit_price").cast("double"))
 
 
