@@ -62,3 +62,14 @@ def test_salted_queries_match_oracle(spark, low_thresholds, name):
     res = con.execute(E.oracle_sql()[name])
     ocols = [d[0] for d in res.description]
     assert digest(df.columns, rows)[0] == digest(ocols, res.fetchall())[0]
+
+
+def test_workflow_joins_are_salted_in_the_plan(spark):
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        E.queries()["workflow_rejections"](spark, SMOKE_DIR).explain(mode="formatted")
+    text = buf.getvalue()
+    # Both joins of commands with one-row-per-booking state use (booking_id, __salt).
+    assert text.count("__salt") >= 4 and "xxhash64" in text
