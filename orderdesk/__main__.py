@@ -3,7 +3,7 @@
     python -m orderdesk list
     python -m orderdesk run booking_list --data /root/testdata/sf0.1 -p search=77 -p status=approved
     python -m orderdesk run monthly_revenue --data DIR -p as_of=2001-06-15 --out /tmp/m --format csv
-    python -m orderdesk job requests --data DIR --out ROOT --version v1
+    python -m orderdesk job requests --data DIR --out ROOT --version v1   (or commands, reports)
 
 ``run`` calls the plan function of that name with ``-p key=value``
 parameters when it has one (reports, lists, documents, audits), otherwise the
@@ -58,7 +58,7 @@ def main(argv=None) -> int:
     run.add_argument("--format", default="parquet", choices=["parquet", "csv", "json"])
     run.add_argument("--show", type=int, default=20)
     job = sub.add_parser("job")
-    job.add_argument("kind", choices=["requests", "commands"])
+    job.add_argument("kind", choices=["requests", "commands", "reports"])
     job.add_argument("--data", required=True)
     job.add_argument("--out", required=True)
     job.add_argument("--version", required=True)
@@ -73,8 +73,9 @@ def main(argv=None) -> int:
     spark = build_session()
     t = catalog.tables_for(spark, args.data)
     if args.cmd == "job":
-        (J.process_booking_requests if args.kind == "requests" else J.apply_commands)(
-            spark, t, args.out, args.version)
+        jobs = {"requests": J.process_booking_requests, "commands": J.apply_commands,
+                "reports": J.reports_page}
+        jobs[args.kind](spark, t, args.out, args.version)
         print(f"committed version {args.version} under {args.out}")
         return 0
 

@@ -12,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import dates as D
 from ..operators import workflow as W
+from . import reports as R
 from ..session import ensure_checkpoint_dir
 from ..sources.driver import Tables
 from ..sources.sinks import commit_versioned
@@ -91,3 +93,22 @@ def apply_commands(spark: SparkSession, t: Tables, root: str, version: str) -> d
                "rejected_commands": rejected}
     commit_versioned(spark, outputs, root, version)
     return outputs
+
+
+def reports_page(spark: SparkSession, t: Tables, root: str, version: str,
+                 as_of=D.DEFAULT_AS_OF) -> dict[str, DataFrame]:
+    """All sections of the reports page from one pass: the bookings ⋈ paid
+    payments join that four sections share is computed once and checkpointed,
+    the sections are derived from it and committed together under ``root``."""
+    ensure_checkpoint_dir(spark)
+    paid = R.paid_bookings(t, *R.PAID_COLS).checkpoint()
+    outputs = {
+        "revenue_overview": R.revenue_overview(t, as_of, paid=paid),
+        "booking_stats": R.booking_stats_full(t),
+        "monthly_revenue": R.monthly_revenue(t, as_of, paid=paid),
+        "top_products": R.top_products(t, ranked=True, paid=paid),
+        "recent_transactions": R.recent_transactions(t, paid=paid),
+        "payment_type_stats": R.payment_type_stats(t, paid=paid),
+    }
+    commit_versioned(spark, outputs, root, version)
+    return outputs

@@ -20,6 +20,9 @@ def _money(c):
     return c.cast("double")
 
 
+PAID_COLS = ("amount", "customer_name", "payment_type", "created_at")
+
+
 def paid_bookings(t: Tables, *cols: str) -> DataFrame:
     """Bookings joined to their paid payment row.
 
@@ -33,14 +36,20 @@ def paid_bookings(t: Tables, *cols: str) -> DataFrame:
     return b.join(pay, b["id"] == pay["booking_id"], "inner").drop("booking_id")
 
 
-def revenue_overview(t: Tables, as_of=D.DEFAULT_AS_OF, same_year: bool = False) -> DataFrame:
+def _paid(t: Tables, paid: DataFrame | None, *cols: str) -> DataFrame:
+    """The paid-bookings join, or the shared precomputed one (``PAID_COLS``)."""
+    return paid_bookings(t, *cols) if paid is None else paid
+
+
+def revenue_overview(t: Tables, as_of=D.DEFAULT_AS_OF, same_year: bool = False,
+                     paid: DataFrame | None = None) -> DataFrame:
     """Total, today, this-week and this-month paid revenue.
 
     Week and month ignore the year unless ``same_year`` (the reference's
     ``WEEK(d) = WEEK(CURDATE())`` matches that week of every year). A paid
     payment without a date counts in the total only.
     """
-    j = paid_bookings(t, "amount")
+    j = _paid(t, paid, "amount")
     d, amt, true = F.col("payment_date"), F.col("amount"), F.lit(True)
     out = j.agg(
         sum_where(true, amt).alias("total_revenue"),
@@ -89,10 +98,11 @@ def payment_stats(t: Tables) -> DataFrame:
         _money(sum_where(s == "paid", F.col("amount"))).alias("total_revenue"))
 
 
-def monthly_revenue(t: Tables, as_of=D.DEFAULT_AS_OF, months: int = 6) -> DataFrame:
+def monthly_revenue(t: Tables, as_of=D.DEFAULT_AS_OF, months: int = 6,
+                    paid: DataFrame | None = None) -> DataFrame:
     """Paid revenue per payment month since ``as_of - months`` (lower bound
     only, so future-dated payments count), with orders and average value."""
-    j = (paid_bookings(t, "amount")
+    j = (_paid(t, paid, "amount")
          .filter(F.col("payment_date") >= D.months_back(as_of, months)))
     g = j.groupBy(FM.month_key(F.col("payment_date")).alias("month"),
                   FM.month_name(F.col("payment_date")).alias("month_name")).agg(
@@ -102,7 +112,7 @@ def monthly_revenue(t: Tables, as_of=D.DEFAULT_AS_OF, months: int = 6) -> DataFr
                     "orders", _money(aov).alias("avg_order_value")).orderBy("month")
 
 
-def top_products(t: Tables, n: int = 10, ranked: bool = False) -> DataFrame:
+def top_products(t: Tables, n: int = 10, ranked: bool = False, paid: DataFrame | None = None) -> DataFrame:
     """Best sellers among paid bookings: quantity, revenue, distinct orders.
 
     Items are first restricted to paid bookings that exist (both joins are on
@@ -110,10 +120,13 @@ def top_products(t: Tables, n: int = 10, ranked: bool = False) -> DataFrame:
     product dimension and aggregated with partial aggregation, so a hot
     product is pre-combined in every task before its shuffle.
     """
-    paid = (t.payments.filter(F.col("payment_status") == "paid").select("booking_id")
-            .join(t.bookings.select(F.col("id").alias("booking_id")), "booking_id", "left_semi"))
+    if paid is None:
+        paid_ids = (t.payments.filter(F.col("payment_status") == "paid").select("booking_id")
+                    .join(t.bookings.select(F.col("id").alias("booking_id")), "booking_id", "left_semi"))
+    else:
+        paid_ids = paid.select(F.col("id").alias("booking_id")).distinct()
     li = t.booking_items.select("booking_id", "product_id", "quantity", "unit_price")
-    j = salted_join(li, paid, "booking_id", "left_semi")
+    j = salted_join(li, paid_ids, "booking_id", "left_semi")
     dim = product_dim(t.products, F.col("id").alias("pid"), "name")
     j = j.join(dim, "product_id", "left")
     g = j.groupBy("pid", "name").agg(
@@ -130,18 +143,18 @@ def top_products(t: Tables, n: int = 10, ranked: bool = False) -> DataFrame:
     return out
 
 
-def recent_transactions(t: Tables, n: int = 10) -> DataFrame:
+def recent_transactions(t: Tables, n: int = 10, paid: DataFrame | None = None) -> DataFrame:
     """Latest paid bookings by payment date (NULL dates last), newest first."""
-    j = paid_bookings(t, "customer_name", "amount", "payment_type", "created_at")
+    j = _paid(t, paid, "customer_name", "amount", "payment_type", "created_at")
     top = j.orderBy(F.col("payment_date").desc_nulls_last(), F.asc("id")).limit(n)
     return top.select("id", "customer_name", _money(F.col("amount")).alias("amount"),
                       "payment_type", "payment_status", "payment_date", "created_at")
 
 
-def payment_type_stats(t: Tables) -> DataFrame:
+def payment_type_stats(t: Tables, paid: DataFrame | None = None) -> DataFrame:
     """Paid bookings and revenue per payment type, with the share of all paid
     revenue in percent (one decimal; a zero total divides by 1)."""
-    g = paid_bookings(t, "payment_type", "amount").groupBy("payment_type").agg(
+    g = _paid(t, paid, "payment_type", "amount").groupBy("payment_type").agg(
         F.count(F.lit(1)).alias("count"), F.sum("amount").alias("revenue"))
     # One row per payment type (an enum), so this window sees a handful of rows.
     total = F.sum("revenue").over(Window.partitionBy())

@@ -87,3 +87,16 @@ def test_dense_ids_across_partitions(spark):
         assert parts > 1
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_reports_page_equals_single_queries(spark, tmp_path):
+    from orderdesk.plans import reports as R
+    t = tables_for(spark, SMOKE_DIR)
+    root = str(tmp_path / "reports")
+    J.reports_page(spark, t, root, "v1")
+    pairs = {"revenue_overview": R.revenue_overview(t), "monthly_revenue": R.monthly_revenue(t),
+             "top_products": R.top_products(t, ranked=True), "recent_transactions": R.recent_transactions(t),
+             "payment_type_stats": R.payment_type_stats(t), "booking_stats": R.booking_stats_full(t)}
+    for name, expect in pairs.items():
+        got = sinks.read_current(spark, root, name)
+        assert got.exceptAll(expect).count() == 0 and expect.exceptAll(got).count() == 0, name
