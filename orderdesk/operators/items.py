@@ -48,12 +48,30 @@ def item_labels(items: DataFrame, products: DataFrame, with_quantity: bool = Tru
     return j.groupBy("booking_id").agg(ordered_listagg(label).alias("products"))
 
 
+def booking_labels(items: DataFrame, products: DataFrame) -> DataFrame:
+    """Both item texts of every booking in one pass: ``booking_id,
+    products_qty`` (``"name (qty), ..."``) and ``products_names``. Items and
+    product names are never edited once a booking is written, so this table
+    only grows: store it next to the bookings (``sources.bucketed``) and
+    append the labels of new bookings."""
+    li = items.select("booking_id", "product_id", "quantity").join(product_dim(products, "name"),
+                                                                    "product_id", "left")
+    qty = F.concat(F.col("name"), F.lit(" ("), F.col("quantity").cast("string"), F.lit(")"))
+    return li.groupBy("booking_id").agg(ordered_listagg(qty).alias("products_qty"),
+                                        ordered_listagg(F.col("name")).alias("products_names"))
+
+
 def with_item_labels(b: DataFrame, items: DataFrame, products: DataFrame,
                      with_quantity: bool = True, restrict: bool = False,
-                     bound: Optional[int] = None) -> DataFrame:
+                     bound: Optional[int] = None, stored: Optional[DataFrame] = None) -> DataFrame:
     """``b`` plus a ``products`` column. ``restrict`` first semi-joins the items
     to the bookings in ``b`` (use it when a filter or top-k narrows ``b``);
-    ``bound`` is a proven upper bound of ``b``'s rows, if any."""
+    ``bound`` is a proven upper bound of ``b``'s rows, if any. ``stored`` is a
+    ``booking_labels`` table: then nothing is aggregated, it is only joined."""
+    if stored is not None:
+        labels = stored.select("booking_id", F.col("products_qty" if with_quantity else "products_names")
+                               .alias("products"))
+        return b.join(labels, b["id"] == labels["booking_id"], "left").drop("booking_id")
     labels = item_labels(items, products, with_quantity, bookings=b.select("id") if restrict else None,
                          bookings_bound=bound)
     return b.join(labels, b["id"] == labels["booking_id"], "left").drop("booking_id")

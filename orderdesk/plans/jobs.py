@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..operators import workflow as W
+from ..operators.items import booking_labels
 from . import reports as R
 from ..session import ensure_checkpoint_dir
 from ..sources.driver import Tables
@@ -44,7 +45,8 @@ def dense_ids(df: DataFrame, order_col: str, start: int, name: str = "new_id") -
 def process_booking_requests(spark: SparkSession, t: Tables, root: str, version: str,
                              dense: bool = False) -> dict[str, DataFrame]:
     """Price and stock-check all requests; commit new bookings, their items,
-    their payment rows and the rejections as one version under ``root``.
+    their payment rows, their item texts (to append to ``booking_labels``)
+    and the rejections as one version under ``root``.
 
     New bookings keep the request id as their id, or with ``dense`` get the
     next ids after the largest existing booking id, in request order (the
@@ -62,6 +64,7 @@ def process_booking_requests(spark: SparkSession, t: Tables, root: str, version:
     payments = W.payment_rows(new_bookings)
     rejections = outcome.filter(F.col("outcome") == "rejected").select("request_id", "message")
     outputs = {"new_bookings": new_bookings, "new_booking_items": items, "new_payments": payments,
+               "new_booking_labels": booking_labels(items, t.products),
                "request_rejections": rejections}
     commit_versioned(spark, outputs, root, version)
     return outputs

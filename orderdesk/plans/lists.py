@@ -109,14 +109,16 @@ def _newest(b: DataFrame, n: int) -> DataFrame:
 def recent_bookings(t: Tables, moderator_id: int = 1, n: int = 5) -> DataFrame:
     """A moderator's newest bookings with their product names."""
     top = _newest(t.bookings.filter(F.col("moderator_id") == moderator_id).select(*BOOKING_COLS), n)
-    out = with_item_labels(top, t.booking_items, t.products, with_quantity=False, restrict=True, bound=n)
+    out = with_item_labels(top, t.booking_items, t.products, with_quantity=False, restrict=True, bound=n,
+                           stored=t.booking_labels)
     return _out(out.orderBy(F.desc("created_at"), F.desc("id")))
 
 
 def _status_top(t: Tables, status: str, n: int) -> DataFrame:
     top = _newest(t.bookings.filter(F.col("status") == status).select(*BOOKING_COLS), n)
     top = with_user_names(top, t.users, {"moderator_id": "moderator_name"})
-    out = with_item_labels(top, t.booking_items, t.products, with_quantity=False, restrict=True, bound=n)
+    out = with_item_labels(top, t.booking_items, t.products, with_quantity=False, restrict=True, bound=n,
+                           stored=t.booking_labels)
     return _out(out.orderBy(F.desc("created_at"), F.desc("id")))
 
 
@@ -142,7 +144,7 @@ def booking_list(t: Tables, search: Optional[str] = None, status: Optional[str]
     b = t.bookings.select(*BOOKING_COLS).filter(TX.all_of(preds))
     b = with_user_names(b, t.users, {"moderator_id": "moderator_name", "accountant_id": "accountant_name",
                                      "storeman_id": "storeman_name"})
-    b = with_item_labels(b, t.booking_items, t.products, restrict=bool(preds))
+    b = with_item_labels(b, t.booking_items, t.products, restrict=bool(preds), stored=t.booking_labels)
     pay = t.payments.select(F.col("booking_id").alias("pay_booking_id"), "payment_status")
     b = b.join(pay, b["id"] == pay["pay_booking_id"], "left").drop("pay_booking_id")
     b = b.withColumn("sort_bucket", F.when(F.col("status") == "pending", 1).otherwise(2))
@@ -158,7 +160,7 @@ def delivery_list(t: Tables, search: Optional[str] = None, status: Optional[str]
     preds.append(F.col("status").isin("approved", "delivered", "not_delivered"))
     b = t.bookings.select(*BOOKING_COLS).filter(TX.all_of(preds))
     b = with_user_names(b, t.users, {"moderator_id": "moderator_name", "accountant_id": "accountant_name"})
-    b = with_item_labels(b, t.booking_items, t.products, restrict=True)
+    b = with_item_labels(b, t.booking_items, t.products, restrict=True, stored=t.booking_labels)
     dd = t.delivery_details.select(F.col("booking_id").alias("dd_booking_id"), "delivery_company",
                                    "tracking_number", "delivery_date",
                                    F.col("notes").alias("delivery_notes"))
@@ -183,7 +185,7 @@ def payment_list(t: Tables, search: Optional[str] = None, payment_status: Option
         b = b.filter(F.col("payment_status") == payment_status)
     b = with_user_names(b, t.users, {"moderator_id": "moderator_name"})
     b = with_item_labels(b, t.booking_items, t.products,
-                         restrict=bool(preds) or TX.is_set(payment_status))
+                         restrict=bool(preds) or TX.is_set(payment_status), stored=t.booking_labels)
     b = b.withColumn("sort_bucket", F.when(F.col("payment_status") == "pending", 1).otherwise(2))
     return _out(b.orderBy("sort_bucket", F.desc("created_at"), F.asc("id")))
 

@@ -1,31 +1,36 @@
 """Booking-keyed tables stored bucketed on the booking id.
 
-Bookings, their items, payments and delivery details are all joined and
-grouped by the booking id. Written once as catalog tables bucketed (and
-sorted) on that key with the same bucket count, the per-booking item
-aggregate and the joins between them read co-partitioned buckets and need no
-shuffle of the large tables; only the small dimensions are broadcast.
+Bookings, their items, payments, delivery details and the per-booking item
+texts (``booking_labels``) are all joined and grouped by the booking id.
+Written once as catalog tables bucketed (and sorted) on that key with the
+same bucket count, the joins between them read co-partitioned buckets and
+need no shuffle of the large tables; with the stored item texts the list
+pages do not aggregate the items at all. Only the small dimensions are
+broadcast.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from ..operators.items import booking_labels
 from .driver import Tables
 
 BOOKING_KEYED = {"bookings": "id", "booking_items": "booking_id", "payments": "booking_id",
-                 "delivery_details": "booking_id"}
+                 "delivery_details": "booking_id", "booking_labels": "booking_id"}
 OTHER = ("users", "products")
 
 
 def save_bucketed(spark: SparkSession, t: Tables, database: str, buckets: int,
                   location: str | None = None) -> None:
-    """Write the six tables into ``database``: booking-keyed ones bucketed and
-    sorted by the booking id into ``buckets`` buckets, the others plain."""
+    """Write the six tables and the item texts into ``database``: booking-keyed
+    ones bucketed and sorted by the booking id into ``buckets`` buckets, the
+    others plain."""
     where = f" LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{where}")
     for name, key in BOOKING_KEYED.items():
-        (getattr(t, name).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+        df = booking_labels(t.booking_items, t.products) if name == "booking_labels" else getattr(t, name)
+        (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
          .format("parquet").saveAsTable(f"{database}.{name}"))
     for name in OTHER:
         getattr(t, name).write.mode("overwrite").format("parquet").saveAsTable(f"{database}.{name}")

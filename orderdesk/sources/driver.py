@@ -24,7 +24,7 @@ class Tables:
 
     FIELDS = ("users", "products", "bookings", "booking_items", "payments", "delivery_details",
               "workflow_commands", "payment_updates", "booking_requests", "booking_request_items",
-              "cart_lines")
+              "cart_lines", "booking_labels")
 
     def __init__(self, **parts):
         unknown = set(parts) - set(self.FIELDS)
@@ -230,5 +230,5 @@ def cart_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def driver_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """All logical tables over one driver data folder (lazy; nothing is read yet)."""
-    makers = {name: globals()[name] for name in Tables.FIELDS}
+    makers = {name: globals()[name] for name in Tables.FIELDS if name != "booking_labels"}
     return Tables(**{name: (lambda f=f: f(spark, sf_dir)) for name, f in makers.items()})

@@ -30,12 +30,19 @@ def both(spark, tmp_path_factory):
     return t, bucketed_tables(spark, "orderdesk_test_bkt", base=t)
 
 
-def test_booking_list_plans_without_shuffle(both):
+def test_booking_list_plans_without_shuffle(spark, both):
     _, bt = both
-    text = _plan(L.booking_list(bt).sortWithinPartitions("id"))  # leave out the page's global sort
-    # Only broadcasts remain: no hash-partitioning shuffle of the booking-keyed tables.
+    # As at scale: no size-based broadcast of the booking-keyed tables.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = _plan(L.booking_list(bt).sortWithinPartitions("id"))  # leave out the page's global sort
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Only broadcasts remain: no hash-partitioning shuffle of the booking-keyed tables,
+    # and the stored item texts are joined, not re-aggregated from the items.
     assert "hashpartitioning" not in text
     assert "SortMergeJoin" in text
+    assert "ObjectHashAggregate" not in text and "booking_items" not in text
 
 
 @pytest.mark.parametrize("name", sorted(registry()))

@@ -100,3 +100,15 @@ def test_reports_page_equals_single_queries(spark, tmp_path):
     for name, expect in pairs.items():
         got = sinks.read_current(spark, root, name)
         assert got.exceptAll(expect).count() == 0 and expect.exceptAll(got).count() == 0, name
+
+
+def test_new_booking_labels_match_items(spark, tmp_path):
+    from orderdesk.operators.items import item_labels
+    t = tables_for(spark, SMOKE_DIR)
+    root = str(tmp_path / "labels")
+    J.process_booking_requests(spark, t, root, "v1")
+    labels = sinks.read_current(spark, root, "new_booking_labels")
+    items = sinks.read_current(spark, root, "new_booking_items")
+    expect = item_labels(items, t.products).withColumnRenamed("products", "products_qty")
+    got = labels.select("booking_id", "products_qty")
+    assert got.exceptAll(expect).count() == 0 and expect.exceptAll(got).count() == 0
