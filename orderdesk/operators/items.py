@@ -71,6 +71,11 @@ def with_item_labels(b: DataFrame, items: DataFrame, products: DataFrame,
     if stored is not None:
         labels = stored.select("booking_id", F.col("products_qty" if with_quantity else "products_names")
                                .alias("products"))
+        if bound is not None and bound <= RESTRICT_BROADCAST_ROWS:
+            # A proven-small set of bookings (a top-n): filter the stored texts
+            # in place with its broadcast ids instead of shuffling them.
+            ids = F.broadcast(b.select(F.col("id").alias("booking_id")))
+            labels = labels.join(ids, "booking_id", "left_semi")
         return b.join(labels, b["id"] == labels["booking_id"], "left").drop("booking_id")
     labels = item_labels(items, products, with_quantity, bookings=b.select("id") if restrict else None,
                          bookings_bound=bound)
