@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import formats as FM
 from ..operators.joins import product_dim
-from ..operators.skew import salted_join
 from ..operators.stats import count_where, one_row, status_counts, sum_where
 from ..sources.driver import Tables
 
@@ -115,23 +114,26 @@ def monthly_revenue(t: Tables, as_of=D.DEFAULT_AS_OF, months: int = 6,
 def top_products(t: Tables, n: int = 10, ranked: bool = False, paid: DataFrame | None = None) -> DataFrame:
     """Best sellers among paid bookings: quantity, revenue, distinct orders.
 
-    Items are first restricted to paid bookings that exist (both joins are on
-    the booking key, so they share one partitioning), then joined to the
-    product dimension and aggregated with partial aggregation, so a hot
-    product is pre-combined in every task before its shuffle.
+    Items are first summed per (booking, product): partial aggregation, and
+    the shuffle is on both keys, so a hot booking or product is combined map-
+    side and spread. After that a booking has at most one row per product,
+    so the semi join with the paid, existing bookings sees a bounded input
+    per booking, and the distinct-order count is a plain count. The product
+    dimension is joined to the per-product totals (broadcast when bounded).
     """
     if paid is None:
         paid_ids = (t.payments.filter(F.col("payment_status") == "paid").select("booking_id")
                     .join(t.bookings.select(F.col("id").alias("booking_id")), "booking_id", "left_semi"))
     else:
         paid_ids = paid.select(F.col("id").alias("booking_id")).distinct()
-    li = t.booking_items.select("booking_id", "product_id", "quantity", "unit_price")
-    j = salted_join(li, paid_ids, "booking_id", "left_semi")
+    per_order = (t.booking_items.groupBy("booking_id", "product_id")
+                 .agg(F.sum("quantity").alias("q"), F.sum(F.col("quantity") * F.col("unit_price")).alias("r")))
+    per_order = per_order.join(paid_ids, "booking_id", "left_semi")
     dim = product_dim(t.products, F.col("id").alias("pid"), "name")
-    j = j.join(dim, "product_id", "left")
+    j = per_order.join(dim, "product_id", "left")
     g = j.groupBy("pid", "name").agg(
-        F.sum("quantity").alias("total_quantity"),
-        F.sum(F.col("quantity") * F.col("unit_price")).alias("total_revenue"),
+        F.sum("q").alias("total_quantity"),
+        F.sum("r").alias("total_revenue"),
         F.countDistinct("booking_id").alias("order_count"))
     top = g.orderBy(F.desc("total_revenue"), F.asc("pid")).limit(n)
     out = top.select(F.col("pid").alias("product_id"), "name", "total_quantity",
