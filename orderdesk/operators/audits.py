@@ -214,15 +214,17 @@ def cascade_delete(t: Tables, deleted_ids: DataFrame) -> Tables:
 
 
 def cascade_delete_summary(t: Tables, deleted_ids: DataFrame) -> DataFrame:
-    """Rows per table before and after the cascade, one pass per table:
-    ``table_name, rows_before, rows_after``."""
+    """Rows per table before and after the cascade: ``table_name, rows_before,
+    rows_after``. Rows are counted per booking first (partial aggregation),
+    so the join with the deleted ids sees one row per booking."""
     gone = deleted_ids.select("id").distinct().withColumn("__hit", F.lit(True))
     parts = []
     for name, key in (("bookings", "id"), ("booking_items", "booking_id"),
                       ("payments", "booking_id"), ("delivery_details", "booking_id")):
-        df = getattr(t, name).select(key)
-        j = salted_join(df, gone.withColumnRenamed("id", key), key, "left")
-        parts.append(j.agg(F.count(F.lit(1)).alias("rows_before"),
-                           F.count_if(F.col("__hit").isNull()).alias("rows_after"))
+        per_key = getattr(t, name).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+        j = per_key.join(gone.withColumnRenamed("id", key), key, "left")
+        parts.append(j.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("rows_before"),
+                           F.coalesce(F.sum(F.when(F.col("__hit").isNull(), F.col("__n"))), F.lit(0))
+                           .alias("rows_after"))
                      .select(F.lit(name).alias("table_name"), "rows_before", "rows_after"))
     return _union(parts)
