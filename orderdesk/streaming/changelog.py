@@ -89,3 +89,15 @@ def start_changelog_stream(spark: SparkSession, bookings: DataFrame, delivery_de
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
+
+
+def compact(spark: SparkSession, root: str, bookings: DataFrame, delivery_details: DataFrame,
+            target_root: str, version: str) -> None:
+    """Write the current tables (base plus all changes under ``root``) as a
+    new committed base under ``target_root``; a new change log then starts
+    from it (new ``root`` and checkpoint)."""
+    from ..sources.sinks import commit_versioned
+    commit_versioned(spark, {"bookings": current_table(spark, root, "bookings", bookings),
+                             "delivery_details": current_table(spark, root, "delivery_details",
+                                                               delivery_details)},
+                     target_root, version)

@@ -70,3 +70,6 @@ def test_changelog_stream_matches_batch(spark, tmp_path):
     # Only touched bookings were written, not the whole table.
     written = spark.read.parquet(f"{root}/bookings").count()
     assert written <= cmds.select("booking_id").distinct().count() * 2 < t.bookings.count()
+    from orderdesk.streaming.changelog import compact
+    compact(spark, root, t.bookings, t.delivery_details, str(tmp_path / "base"), "000001")
+    assert _same(sinks.read_current(spark, str(tmp_path / "base"), "bookings"), bookings)
