@@ -25,9 +25,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources import schemas as S
-from .commands import fold_batch
+from .commands import fold_batch, fold_payment_batch
 
-KEYS = {"bookings": "id", "delivery_details": "booking_id"}
+KEYS = {"bookings": "id", "delivery_details": "booking_id", "payments": "booking_id"}
 
 
 def _changes(spark: SparkSession, root: str, table: str, schema, before: int | None = None) -> DataFrame:
@@ -56,7 +56,7 @@ def overlay(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 
 def current_table(spark: SparkSession, root: str, table: str, base: DataFrame) -> DataFrame:
-    """The current ``bookings`` or ``delivery_details``: base plus all changes."""
+    """The current ``bookings``, ``delivery_details`` or ``payments``: base plus all changes."""
     return overlay(base, _changes(spark, root, table, base.schema), KEYS[table])
 
 
@@ -66,17 +66,18 @@ def start_changelog_stream(spark: SparkSession, bookings: DataFrame, delivery_de
     """Stream parquet command files from ``source_dir``; write per-batch
     changes of the touched bookings and delivery details under ``root``."""
     base = {"bookings": bookings, "delivery_details": delivery_details}
+    tables = {t: KEYS[t] for t in base}
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         touched = batch.select("booking_id").distinct()
         current = {}
-        for table, key in KEYS.items():
+        for table, key in tables.items():
             ids = touched.withColumnRenamed("booking_id", key) if key != "booking_id" else touched
             b = base[table].join(ids, key, "left_semi")
             prior = _changes(spark, root, table, base[table].schema, before=batch_id).join(ids, key, "left_semi")
             current[table] = overlay(b, prior, key)
         out = fold_batch(current["bookings"], current["delivery_details"], batch)
-        for table, key in KEYS.items():
+        for table, key in tables.items():
             # Only rows of touched bookings are written (the fold keeps the others).
             ids = touched.withColumnRenamed("booking_id", key) if key != "booking_id" else touched
             rows = out[table].join(ids, key, "left_semi")
@@ -91,6 +92,28 @@ def start_changelog_stream(spark: SparkSession, bookings: DataFrame, delivery_de
     return writer.start()
 
 
+def start_payment_changelog_stream(spark: SparkSession, payments: DataFrame, source_dir: str, root: str,
+                                   checkpoint_location: str, files_per_batch: int = 1,
+                                   available_now: bool = True) -> StreamingQuery:
+    """Stream payment-post files; write per-batch changes of the touched
+    payment rows (and the ineffective posts) under ``root``."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        touched = batch.select("booking_id").distinct()
+        b = payments.join(touched, "booking_id", "left_semi")
+        prior = _changes(spark, root, "payments", payments.schema, before=batch_id).join(
+            touched, "booking_id", "left_semi")
+        out = fold_payment_batch(overlay(b, prior, "booking_id"), batch)
+        out["payments"].write.mode("overwrite").parquet(f"{root}/payments/batch={batch_id}")
+        out["rejected_updates"].write.mode("overwrite").parquet(f"{root}/rejected_updates/batch={batch_id}")
+
+    stream = (spark.readStream.schema(S.PAYMENT_UPDATES).option("maxFilesPerTrigger", files_per_batch)
+              .parquet(source_dir))
+    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint_location)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()
+
+
 def compact(spark: SparkSession, root: str, bookings: DataFrame, delivery_details: DataFrame,
             target_root: str, version: str) -> None:
     """Write the current tables (base plus all changes under ``root``) as a

@@ -73,3 +73,16 @@ def test_changelog_stream_matches_batch(spark, tmp_path):
     from orderdesk.streaming.changelog import compact
     compact(spark, root, t.bookings, t.delivery_details, str(tmp_path / "base"), "000001")
     assert _same(sinks.read_current(spark, str(tmp_path / "base"), "bookings"), bookings)
+
+
+def test_payment_changelog_stream_matches_batch(spark, tmp_path):
+    from orderdesk.streaming.changelog import current_table, start_payment_changelog_stream
+    t = tables_for(spark, SMOKE_DIR)
+    ups = t.payment_updates
+    src = _arrivals(spark, ups, str(tmp_path / "posts"))
+    root = str(tmp_path / "changes")
+    q = start_payment_changelog_stream(spark, t.payments, src, root, str(tmp_path / "ckpt"))
+    q.awaitTermination(300)
+    assert q.exception() is None
+    final = current_table(spark, root, "payments", t.payments)
+    assert _same(final, W.payment_updates_applied(t.payments, ups))
