@@ -45,9 +45,10 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
     """
     if hot is None:
         hot = hot_keys(big.select(key), key)
-    # Capped here too, so the broadcast stays bounded whatever list is passed
+    # Deduplicated and capped here too, so the broadcast stays bounded and no
+    # row is copied twice whatever list is passed
     # (salting fewer keys changes the balance, never the result).
-    hot = F.broadcast(hot.select(key).limit(MAX_HOT_KEYS).withColumn("__hot", F.lit(True)))
+    hot = F.broadcast(hot.select(key).distinct().limit(MAX_HOT_KEYS).withColumn("__hot", F.lit(True)))
     content = F.xxhash64(*[F.col(c) for c in big.columns])
     b = (big.join(hot, key, "left")
          .withColumn("__salt", F.when(F.col("__hot"), F.pmod(content, F.lit(SALT_BUCKETS)))
