@@ -73,3 +73,15 @@ def test_workflow_joins_are_salted_in_the_plan(spark):
     text = buf.getvalue()
     # Both joins of commands with one-row-per-booking state use (booking_id, __salt).
     assert text.count("__salt") >= 4 and "xxhash64" in text
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_with_null_keys_and_given_list(spark, low_thresholds, how):
+    big = spark.range(900).select(
+        F.when(F.col("id") % 5 == 0, F.lit(None)).when(F.col("id") % 2 == 0, F.lit(3))
+        .otherwise(F.col("id") % 7).cast("long").alias("k"), F.col("id").alias("v"))
+    small = spark.range(0, 6).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
+    # A given list with duplicates and a cold key: the result must not change.
+    hot = spark.createDataFrame([(3,), (3,), (5,)], "k long")
+    assert _rows(skew.salted_join(big, small, "k", how, hot=hot)) == _rows(big.join(small, "k", how))
+    assert _rows(skew.salted_join(big, small, "k", how)) == _rows(big.join(small, "k", how))
