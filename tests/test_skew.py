@@ -22,7 +22,7 @@ def low_thresholds(monkeypatch):
 
 
 def _rows(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
