@@ -79,11 +79,11 @@ def chart_series(t: Tables, as_of=D.DEFAULT_AS_OF) -> DataFrame:
     """The same points as the page's parallel arrays, in one row:
     ``revenue_labels, revenue_data, status_labels, status_data``."""
     m = R.monthly_revenue(t, as_of)
-    m = m.agg(F.array_sort(F.collect_list(F.struct("month", "month_name", "revenue"))).alias("s"))
+    m = m.agg(F.sort_array(F.collect_list(F.struct("month", "month_name", "revenue"))).alias("s"))
     m = m.select(F.transform("s", lambda x: x["month_name"]).alias("revenue_labels"),
                  F.transform("s", lambda x: x["revenue"]).alias("revenue_data"))
     s = R.status_distribution(t)
-    s = s.agg(F.array_sort(F.collect_list(F.struct("position", "status_label", "n"))).alias("s"))
+    s = s.agg(F.sort_array(F.collect_list(F.struct("position", "status_label", "n"))).alias("s"))
     s = s.select(F.transform("s", lambda x: x["status_label"]).alias("status_labels"),
                  F.transform("s", lambda x: x["n"]).alias("status_data"))
     return one_row(m, s)
