@@ -8,6 +8,8 @@ to a broadcast from the measured shuffle size, or split skewed partitions.
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,17 +20,17 @@ USERS_BROADCAST_ROWS = 100_000
 PRODUCTS_BROADCAST_ROWS = 1_000_000
 
 
-# Size checks already made, by DataFrame identity (the frame is kept alive so
-# its id cannot be reused).
-_CHECKED: dict[tuple[int, int], tuple[DataFrame, bool]] = {}
+# Size checks already made, per DataFrame (weakly held: a frame that is no
+# longer used drops its entry).
+_CHECKED: "weakref.WeakKeyDictionary[DataFrame, dict[int, bool]]" = weakref.WeakKeyDictionary()
 
 
 def is_bounded(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; the count stops at the bound."""
-    key = (id(df), max_rows)
-    if key not in _CHECKED:
-        _CHECKED[key] = (df, df.limit(max_rows + 1).count() <= max_rows)
-    return _CHECKED[key][1]
+    known = _CHECKED.setdefault(df, {})
+    if max_rows not in known:
+        known[max_rows] = df.limit(max_rows + 1).count() <= max_rows
+    return known[max_rows]
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
