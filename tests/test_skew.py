@@ -85,3 +85,20 @@ def test_salted_join_with_null_keys_and_given_list(spark, low_thresholds, how):
     hot = spark.createDataFrame([(3,), (3,), (5,)], "k long")
     assert _rows(skew.salted_join(big, small, "k", how, hot=hot)) == _rows(big.join(small, "k", how))
     assert _rows(skew.salted_join(big, small, "k", how)) == _rows(big.join(small, "k", how))
+
+
+def test_changelog_stream_with_salting(spark, low_thresholds, tmp_path):
+    from orderdesk.catalog import tables_for
+    from orderdesk.operators import workflow as W
+    from orderdesk.streaming.changelog import current_table, start_changelog_stream
+
+    from .test_streaming import _arrivals, _same
+    t = tables_for(spark, "/root/testdata/sf0.01")
+    cmds = t.workflow_commands
+    src = _arrivals(spark, cmds, str(tmp_path / "incoming"))
+    root = str(tmp_path / "changes")
+    q = start_changelog_stream(spark, t.bookings, t.delivery_details, src, root, str(tmp_path / "ckpt"))
+    q.awaitTermination(300)
+    assert q.exception() is None
+    got = current_table(spark, root, "bookings", t.bookings).select("id", "status")
+    assert _same(got, W.workflow_state(t.bookings, cmds).select("id", "status"))
