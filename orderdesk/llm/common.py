@@ -54,14 +54,18 @@ def measured_bytes(df: DataFrame) -> int:
     return int(row["b"] or 0)
 
 
+def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the measured rows of a checkpointed (or otherwise cheap) frame may be broadcast."""
+    return measured_bytes(df) <= limit
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint when its measured size is within ``limit``.
 
-    Pass a checkpointed (or otherwise cheap) frame: it is read once more. A
-    larger frame comes back without a hint and is joined by shuffle, where AQE
-    splits skewed keys.
+    A larger frame comes back without a hint and is joined by shuffle, where
+    AQE splits skewed keys.
     """
-    return F.broadcast(df) if measured_bytes(df) <= limit else df
+    return F.broadcast(df) if is_small(df, limit) else df
 
 
 def word_count(text: Column) -> Column:

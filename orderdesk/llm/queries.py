@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import langid, minhash, mixing, sharding
 from .common import read_table, word_count
 
 
@@ -60,8 +60,21 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__grown_shard").alias("grown_shard"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of the documents on 2-word shingles at 80 percent."""
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), size=2)
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every whole text, learned from the documents outside the held-out fold."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identified(docs).select(
+        "doc_id", F.coalesce(langid.fold(F.col("doc_id")) == langid.HELD_OUT, F.lit(False)).alias("held_out"),
+        F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op2_shard": op2_shard}
+    return {"op1_mix": op1_mix, "op2_shard": op2_shard, "op3_minhash": op3_minhash, "op6_langid": op6_langid}
 
 
 def oracle_sql() -> dict[str, str]:
