@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, sharding
+from . import decontam, langid, minhash, mixing, sharding
 from .common import read_table, word_count
 
 
@@ -73,8 +73,14 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item, the place and the edit distance."""
+    return decontam.contaminations(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op2_shard": op2_shard, "op3_minhash": op3_minhash, "op6_langid": op6_langid}
+    return {"op1_mix": op1_mix, "op2_shard": op2_shard, "op3_minhash": op3_minhash, "op6_langid": op6_langid,
+            "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
