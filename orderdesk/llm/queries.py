@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, minhash, mixing, sharding
+from . import decontam, langid, minhash, mixing, secrets, sharding
 from .common import read_table, word_count
 
 
@@ -73,6 +73,49 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text: counts, a digest of the base spans and all spans."""
+    rows = secrets.scanned(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind: str):
+        return F.size(F.filter("__base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return rows.select(
+        "doc_id", *[count(r.kind) for r in secrets.BASE],
+        F.sha2(secrets.joined(F.col("__base")).cast("binary"), 256).alias("base_sha256"),
+        secrets.joined(F.col("__spans")).alias("spans"))
+
+
+def _op9_sql() -> str:
+    """Each rule searched in every text; places from the lengths of the cut text."""
+    def spans(n: int, r: secrets.Rule) -> str:
+        pattern = r.pattern.replace("'", "''")
+        keep = f"AND length(regexp_extract_all(t, '{pattern}', {r.group})[i]) >= {r.least}" if r.least else ""
+        return f"""
+  SELECT doc_id, i, '{r.kind}' AS kind, {n} AS rank,
+         (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0))::BIGINT AS b,
+         length(found[i]) AS size
+  FROM (SELECT doc_id, t, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS found,
+               unnest(range(1, len(regexp_extract_all(t, '{pattern}')) + 1)) AS i FROM d WHERE regexp_matches(t, '{pattern}'))
+  WHERE true {keep}"""
+    rules = secrets.BASE + secrets.ADDED
+    each = "\n  UNION ALL".join(spans(n, r) for n, r in enumerate(rules))
+    n_base = len(secrets.BASE)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE)
+    text = "kind || ':' || b || ':' || (b + size)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({each}),
+g AS (SELECT doc_id, {counts},
+             string_agg({text}, ',' ORDER BY b, rank) FILTER (rank < {n_base}) AS base,
+             string_agg({text}, ',' ORDER BY b, rank) AS spans
+      FROM s GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the item, the place and the edit distance."""
     return decontam.contaminations(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -80,8 +123,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_mix": op1_mix, "op2_shard": op2_shard, "op3_minhash": op3_minhash, "op6_langid": op6_langid,
-            "op10_decontaminate": op10_decontaminate}
+            "op9_secrets": op9_secrets, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": OP1_SQL}
+    return {"op1_mix": OP1_SQL, "op9_secrets": _op9_sql()}
