@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, minhash, mixing, secrets, sharding
+from . import decontam, langid, minhash, mixing, pii, secrets, sharding
 from .common import read_table, word_count
 
 
@@ -73,6 +73,14 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text with validated personal data replaced by pseudonyms, and what was replaced where."""
+    rows = pii.pseudonymized(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.transform("__spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    return rows.select("doc_id", "text", F.size("__spans").cast("long").alias("n_found"),
+                       F.array_join(spans, ",").alias("spans"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text: counts, a digest of the base spans and all spans."""
     rows = secrets.scanned(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -123,7 +131,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_mix": op1_mix, "op2_shard": op2_shard, "op3_minhash": op3_minhash, "op6_langid": op6_langid,
-            "op9_secrets": op9_secrets, "op10_decontaminate": op10_decontaminate}
+            "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
