@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -139,17 +138,12 @@ class Matcher:
         return {"item_id": item_id, "start": start, "end": end, "distance": distance}
 
 
-@lru_cache(maxsize=2)
-def _matcher(items: tuple[tuple[int | None, str], ...], error_rate: float) -> Matcher:
-    return Matcher(items, error_rate)
-
-
 def _finder(spark, items: list[tuple[int | None, str]], error_rate: float):
     """A column function: text -> the hits of a slice of items."""
     held = spark.sparkContext.broadcast(tuple(items))
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        matcher = _matcher(held.value, error_rate)
+        matcher = Matcher(held.value, error_rate)
         for batch in texts:
             yield pa.array([matcher.hits(t.as_py() or "") for t in batch], pa.list_(_HIT))
 

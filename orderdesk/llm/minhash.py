@@ -31,7 +31,6 @@ when a 128-bit digest of all their shingle hashes agrees.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -76,11 +75,18 @@ def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(acc)
 
 
-@lru_cache(maxsize=64)
+_PROBES: dict[tuple[int, int], np.ndarray] = {}
+
+
 def _probes(bins: int, block: int, width: int = 32) -> np.ndarray:
     """Bins that each empty bin asks next: attempts block*width .. of a universal hash."""
+    if (bins, block) in _PROBES:
+        return _PROBES[bins, block]
     b, t = np.arange(bins, dtype=_U)[:, None], np.arange(block * width, (block + 1) * width, dtype=_U)[None, :]
-    return (_mixed(_mixed(b + _U(1)) + t * _U(0x9E3779B97F4A7C15)) % _U(bins)).astype(np.int64)
+    table = (_mixed(_mixed(b + _U(1)) + t * _U(0x9E3779B97F4A7C15)) % _U(bins)).astype(np.int64)
+    if block < 64:
+        _PROBES[bins, block] = table
+    return table
 
 
 def sketch(hashes: np.ndarray, bins: int) -> np.ndarray:

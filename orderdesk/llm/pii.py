@@ -25,7 +25,6 @@ import datetime as dt
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -74,9 +73,16 @@ class Permutation:
         return self._walk((self._walk(x, False) + turn) % self.size, True)
 
 
-@lru_cache(maxsize=4096)
+_PERMUTATIONS: dict[tuple[int, str, bytes], Permutation] = {}
+
+
 def _permutation(size: int, tweak: str, key: bytes) -> Permutation:
-    return Permutation(size, tweak, key)
+    name = (size, tweak, key)
+    if name not in _PERMUTATIONS:
+        if len(_PERMUTATIONS) >= 4096:
+            _PERMUTATIONS.clear()
+        _PERMUTATIONS[name] = Permutation(size, tweak, key)
+    return _PERMUTATIONS[name]
 
 
 def moved(symbols: list[int], radices: list[int], tweak: str, key: bytes, back: bool) -> list[int]:

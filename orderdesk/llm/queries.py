@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, minhash, mixing, pii, secrets, sharding
+from . import decontam, embeddings, langid, minhash, mixing, pii, secrets, sharding
 from .common import read_table, word_count
 
 
@@ -65,6 +65,11 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), size=2)
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of all vectors at cosine 0.95."""
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every whole text, learned from the documents outside the held-out fold."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -130,7 +135,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op2_shard": op2_shard, "op3_minhash": op3_minhash, "op6_langid": op6_langid,
+    return {"op1_mix": op1_mix, "op2_shard": op2_shard, "op3_minhash": op3_minhash, "op4_embeddings": op4_embeddings, "op6_langid": op6_langid,
             "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_decontaminate": op10_decontaminate}
 
 
