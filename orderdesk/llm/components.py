@@ -20,20 +20,18 @@ def components(edges: DataFrame) -> DataFrame:
     found = None
     while not live.isEmpty():
         both = live.select(F.col("a").alias("x"), F.col("b").alias("y")).union(live.select("b", "a"))
-        hooked = checkpointed(both.groupBy("x").agg(F.min("y").alias("y"))
-                              .select("x", F.least("x", "y").alias("p")))
+        hooked = both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p"))
         over = hooked.select(F.col("x").alias("p"), F.col("p").alias("top"))
         hooked = checkpointed(hooked.join(over, "p").select("x", F.col("top").alias("p")))
         if found is None:
             found = hooked.select(F.col("x").alias("node"), F.col("p").alias("label"))
         else:
-            found = checkpointed(
-                found.join(hooked, found["label"] == hooked["x"], "left")
-                .select("node", F.coalesce("p", "label").alias("label")))
+            found = (found.join(hooked, found["label"] == hooked["x"], "left")
+                     .select("node", F.coalesce("p", "label").alias("label")))
         ends = (live.join(hooked.select(F.col("x").alias("a"), F.col("p").alias("pa")), "a")
                 .join(hooked.select(F.col("x").alias("b"), F.col("p").alias("pb")), "b"))
         live = checkpointed(ends.filter("pa != pb")
                             .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
     if found is None:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0)
-    return found
+    return checkpointed(found)

@@ -2,21 +2,25 @@
 
 1. One pass over the texts makes each document's set of word shingles, its
    one-permutation sketch (one hash of every shingle, its top bits name the
-   bin, the rest is the value; empty bins borrow by optimal densification)
-   and the sketch's band hashes.
+   bin, the rest is the value; empty bins borrow by optimal densification),
+   the sketch's band hashes and the smallest hashes of the set.
 2. Equal sets are one class, led by its smallest id; only leaders go on.
 3. In every band bucket one member is the centre and each other member forms
    a candidate edge with it (a star), so a bucket of m leaders gives m - 1
    pairs. Candidate edges are confirmed on the full shingle sets of the texts.
 4. A bucket whose members already share one component has nothing left to
-   find. In the others new centres follow, in rounds: a member of the
-   bucket's largest component and a number of members that doubles each
-   round, each tried only against members of other components. A bucket ends
-   when it is one component or every member but one has been a centre, so no
-   pair that shares a bucket and could join two components is left untried.
-
-With 32 bands of 4 rows a pair of similarity 0.8 shares no bucket with
-probability 5e-8.
+   find. The others get a second star around another member of their largest
+   component, tried against members of other components.
+5. What is still open is compared in blocks: a bucket's members are dealt into
+   blocks of about ``BLOCK``, a task takes two blocks at a time, compares the
+   smallest hashes of members of different components by one matrix product
+   and hands on only those that look similar, which are then confirmed on the
+   full sets like all others. A pair is compared in its first common bucket
+   only. No bucket is capped and no group is collected into one task.
+
+With 42 bands of 6 rows a pair of similarity 0.8 shares no bucket with
+probability 3e-6; the smallest 128 hashes of such a pair show less than 0.6
+with a probability below 1e-7 (sets of up to 128 shingles are held whole).
 
 Words are the runs of ``[^\\x20\\x09-\\x0D]`` of the text with A-Z lowered.
 
@@ -41,8 +45,11 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, checkpointed, is_small
 from .components import components
 
-BANDS = 32
-ROWS = 4
+BANDS = 42
+ROWS = 6
+BOTTOM = 128  # smallest hashes kept for the comparison in blocks
+LOOKS_SIMILAR = 0.75  # of the similarity asked for
+BLOCK = 96
 SHINGLE = 5
 SIMILARITY = 80  # percent
 
@@ -118,9 +125,11 @@ def band_hashes(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _signatures(size: int, bands: int, rows: int):
+    bins = 1 << (bands * rows - 1).bit_length()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, low, high, parts, ends = [], [], [], [], [0]
+            counts, low, high, parts, smallest, ends, tails = [], [], [], [], [], [0], [0]
             for text in batch.column(1).cast(pa.binary()):
                 hashes = shingle_hashes(words_of(text.as_py() or b""), size)
                 counts.append(len(hashes))
@@ -128,23 +137,28 @@ def _signatures(size: int, bands: int, rows: int):
                     digest = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), np.int64)
                     low.append(int(digest[0]))
                     high.append(int(digest[1]))
-                    parts.append(band_hashes(sketch(hashes, bands * rows), bands, rows))
+                    parts.append(band_hashes(sketch(hashes, bins)[:bands * rows], bands, rows))
+                    smallest.append((hashes[:BOTTOM] >> _U(32)).astype(np.uint32))
                 else:
                     low.append(None)
                     high.append(None)
                 ends.append(ends[-1] + (bands if len(hashes) else 0))
+                tails.append(tails[-1] + min(BOTTOM, len(hashes)))
             values = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
+            bottom = np.concatenate(smallest).view(np.int32) if smallest else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))],
-                ["__id", "__n", "__d1", "__d2", "__bands"])
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)),
+                 pa.ListArray.from_arrays(pa.array(tails, pa.int32()), pa.array(bottom))],
+                ["__id", "__n", "__d1", "__d2", "__bands", "__low"])
     return run
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``__id, __n`` (set size), ``__d1, __d2`` (digest of the set), ``__bands``; texts are read whole."""
+    """``__id, __n`` (set size), ``__d1, __d2`` (digest of the set), ``__bands``, ``__low``; texts are read whole."""
     return docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("__text")).mapInArrow(
-        _signatures(size, bands, rows), "__id long, __n long, __d1 long, __d2 long, __bands array<long>")
+        _signatures(size, bands, rows),
+        "__id long, __n long, __d1 long, __d2 long, __bands array<long>, __low array<int>")
 
 
 def _confirm(size: int, percent: int):
@@ -186,54 +200,113 @@ def _fits(percent: int):
 
 
 def linked_leaders(docs: DataFrame, leaders: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
-    """``(node, label)`` of the leaders that have a link; ``leaders``: ``__id, __n, __bands``."""
-    rows = leaders.select("__id", "__n", F.explode("__bands").alias("__key"))
+    """``(node, label)`` of the leaders that have a link; ``leaders``: ``__id, __n, __bands, __low``."""
+    def confirm(edges: DataFrame) -> DataFrame:
+        return checkpointed(confirmed(docs, edges, doc_id, text, size, percent))
+
+    rows = leaders.select("__id", "__n", F.posexplode("__bands").alias("__band", "__key"))
     centres = (rows.groupBy("__key").agg(F.min(F.struct("__id", "__n")).alias("__c"), F.count("*").alias("__m"))
                .filter("__m > 1").select("__key", F.col("__c.__id").alias("__centre"), F.col("__c.__n").alias("__cn"), "__m"))
     members = checkpointed(rows.join(centres, "__key"))
-    edges = checkpointed(members.filter(F.col("__id") != F.col("__centre")).filter(_fits(percent))
-                         .select(F.least("__id", "__centre").alias("a"), F.greatest("__id", "__centre").alias("b")).distinct())
-    tried, links = edges, checkpointed(confirmed(docs, edges, doc_id, text, size, percent))
-    used = members.select("__key", F.col("__centre").alias("__id")).distinct()
-    members = members.select("__key", "__id", "__n", "__m")
-    draws = 1
-    while True:
-        labels = checkpointed(components(links))
-        open_ = _open_buckets(members, labels, used)
-        if open_.isEmpty():
-            return labels
-        draws *= 2
-        centres = checkpointed(_next_centres(open_, used, draws))
-        edges = (open_.join(centres, "__key").filter("__label != __clabel").filter(_fits(percent))
-                 .select(F.least("__id", "__centre").alias("a"), F.greatest("__id", "__centre").alias("b")).distinct())
-        edges = checkpointed(edges.join(tried, ["a", "b"], "left_anti"))
-        used = checkpointed(used.union(centres.select("__key", "__centre")))
-        tried = checkpointed(tried.union(edges))
-        links = checkpointed(links.union(confirmed(docs, edges, doc_id, text, size, percent)))
-
-
-def _open_buckets(members: DataFrame, labels: DataFrame, used: DataFrame) -> DataFrame:
-    """Members (with ``__label``) of buckets that hold several components and untried pairs."""
+    edges = checkpointed(members.filter("__id != __centre").filter(_fits(percent))
+                         .select(F.col("__centre").alias("a"), F.col("__id").alias("b")).distinct())
+    links = confirm(edges)
+    labels = components(links)
+
+    open_ = _open_buckets(members.filter("__m > 2"), labels)
+    if open_.isEmpty():
+        return labels
+    second = (_second_centres(open_).join(open_.drop("__cn", "__centre"), "__key")
+              .filter("__label != __clabel").filter(_fits(percent))
+              .select(F.least("__id", "__second").alias("a"), F.greatest("__id", "__second").alias("b")).distinct())
+    links = checkpointed(links.union(confirm(checkpointed(second.join(edges, ["a", "b"], "left_anti")))))
+    labels = components(links)
+
+    open_ = _open_buckets(open_.drop("__label"), labels)
+    if open_.isEmpty():
+        return labels
+    rest = checkpointed(_block_pairs(open_, leaders, percent))
+    return components(checkpointed(links.union(confirm(rest))))
+
+
+def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (with ``__label``) of the buckets that hold several components."""
     labelled = (members.join(labels, members["__id"] == labels["node"], "left")
                 .withColumn("__label", F.coalesce("label", "__id")).drop("node", "label"))
-    spread = labelled.groupBy("__key").agg(F.min("__label").alias("__lo"), F.max("__label").alias("__hi"),
-                                           F.first("__m").alias("__bm")).filter("__lo != __hi")
-    done = used.groupBy("__key").agg(F.count("*").alias("__u"))
-    todo = spread.join(done, "__key").filter("__bm > __u + 1").select("__key")
-    return checkpointed(labelled.join(todo, "__key", "left_semi"))
+    several = (labelled.groupBy("__key").agg(F.min("__label").alias("__lo"), F.max("__label").alias("__hi"))
+               .filter("__lo != __hi").select("__key"))
+    return checkpointed(labelled.join(several, "__key"))
 
 
-def _next_centres(open_: DataFrame, used: DataFrame, draws: int) -> DataFrame:
-    """Unused members per bucket: one of its largest component and up to ``draws`` others."""
-    fresh = open_.join(used, ["__key", "__id"], "left_anti")
+def _second_centres(open_: DataFrame) -> DataFrame:
+    """Per bucket a member of its largest component that was not its centre."""
     pick = F.min(F.struct(F.xxhash64("__id", "__key").alias("h"), "__id", "__n", "__label")).alias("__c")
-    main = (fresh.groupBy("__key", "__label").agg(F.count("*").alias("__k"), pick)
-            .groupBy("__key").agg(F.max_by("__c", F.struct("__k", "__label")).alias("__c")))
-    spread = (fresh.groupBy("__key", F.pmod(F.xxhash64("__id"), F.lit(draws)).alias("__g")).agg(pick)
-              .select("__key", "__c"))
-    return (main.union(spread)
-            .select("__key", F.col("__c.__id").alias("__centre"), F.col("__c.__n").alias("__cn"),
-                    F.col("__c.__label").alias("__clabel")).distinct())
+    return (open_.filter("__id != __centre").groupBy("__key", "__label").agg(F.count("*").alias("__k"), pick)
+            .groupBy("__key").agg(F.max_by("__c", F.struct("__k", "__label")).alias("__c"))
+            .select("__key", F.col("__c.__id").alias("__second"), F.col("__c.__n").alias("__cn"),
+                    F.col("__c.__label").alias("__clabel")))
+
+
+def _block_pairs(open_: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a < b`` of open buckets, from different components, whose smallest hashes look similar."""
+    rows = (open_.select("__key", "__band", "__m", "__id", "__label")
+            .join(leaders.select("__id", "__n", "__bands", "__low"), "__id")
+            .withColumn("__blocks", F.ceil(F.col("__m") / BLOCK).cast("int"))
+            .withColumn("__block", F.pmod(F.xxhash64("__id"), F.col("__blocks")).cast("int"))
+            .withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+            .groupBy("__key", "__band", F.least("__block", "__other").alias("__i"), F.greatest("__block", "__other").alias("__j"))
+            .agg(F.collect_list(F.struct("__id", "__label", "__n", "__block", "__bands", "__low")).alias("__rows")))
+    return rows.select("__band", "__i", "__j", "__rows").mapInArrow(_compare(percent), "a long, b long").distinct()
+
+
+def _compare(percent: int):
+    floor = LOOKS_SIMILAR * percent / 100
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [], []
+            for row in range(batch.num_rows):
+                group = batch.column(3)[row].values
+                ids, labels, sizes, block = (group.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                if len(ids) < 2:
+                    continue
+                bands = group.field(4).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                ends = np.cumsum([0, *(len(x) for x in group.field(5))])
+                low = group.field(5).flatten().to_numpy(zero_copy_only=False).view(np.uint32)
+                x, y = np.triu_indices(len(ids), 1)
+                ask = (labels[x] != labels[y]) & (100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y]))
+                if batch.column(1)[row].as_py() != batch.column(2)[row].as_py():
+                    ask &= block[x] != block[y]
+                x, y = x[ask], y[ask]
+                first = (bands[x] == bands[y]).argmax(axis=1) == batch.column(0)[row].as_py()
+                x, y = x[first], y[first]
+                near = similarity(low, ends, sizes, x, y) >= floor
+                left.append(np.minimum(ids[x[near]], ids[y[near]]))
+                right.append(np.maximum(ids[x[near]], ids[y[near]]))
+            none = np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *left])), pa.array(np.concatenate([none, *right]))],
+                                             ["a", "b"])
+    return run
+
+
+def similarity(low: np.ndarray, ends: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Estimated similarity of sets x and y from their smallest hashes (concatenated in ``low``).
+
+    Up to the smaller of the two largest kept hashes both sets are known
+    whole; a set no larger than ``BOTTOM`` is known whole throughout.
+    """
+    if not len(x):
+        return np.empty(0)
+    n = len(ends) - 1
+    names, at = np.unique(low, return_inverse=True)
+    held = np.zeros((n, len(names)), np.float32)
+    held[np.repeat(np.arange(n), np.diff(ends)), at] = 1
+    both = (held @ held.T)[x, y]
+    top = np.array([np.inf if sizes[k] <= BOTTOM else float(low[ends[k + 1] - 1]) for k in range(n)])
+    below = np.stack([np.searchsorted(low[ends[k]:ends[k + 1]], top, side="right") for k in range(n)])  # of set k, up to each top
+    nx = np.where(top[y] < top[x], below[x, y], np.diff(ends)[x])
+    ny = np.where(top[x] < top[y], below[y, x], np.diff(ends)[y])
+    return both / np.maximum(1, nx + ny - both)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE,
@@ -242,13 +315,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = checkpointed(signatures(docs, doc_id, text, size, bands, rows))
     leaders = checkpointed(sets.filter("__n > 0 AND __id IS NOT NULL").groupBy("__d1", "__d2")
                            .agg(F.min("__id").alias("__id"), F.first("__n").alias("__n"),
-                                F.first("__bands").alias("__bands")))
+                                F.first("__bands").alias("__bands"), F.first("__low").alias("__low")))
     labels = linked_leaders(docs, leaders, doc_id, text, size, percent)
     classes = (leaders.select("__d1", "__d2", F.col("__id").alias("__leader"))
                .join(labels, F.col("__leader") == labels["node"], "left")
                .select("__d1", "__d2", F.coalesce("label", "__leader").alias("__component")))
     component = F.when(F.col("__id").isNotNull(), F.coalesce("__component", "__id"))
-    return (sets.drop("__bands").join(classes, ["__d1", "__d2"], "left")
+    return (sets.drop("__bands", "__low").join(classes, ["__d1", "__d2"], "left")
             .select(F.col("__id").alias(doc_id), F.col("__n").alias("n_shingles"), component.alias("component_id"),
                     F.coalesce(F.col("__id") == component, F.lit(True)).alias("kept")))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embeddings, langid, minhash, mixing, pii, secrets, sharding
+from . import decontam, embeddings, langid, lines, minhash, mixing, pii, secrets, sharding
 from .common import read_table, word_count
 
 
@@ -70,6 +70,14 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text without its repeated multi-line chunks, and how much went."""
+    rows = lines.deduplicated(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id", "text", F.size("__removed").cast("long").alias("n_chunks_removed"),
+        F.aggregate("__removed", F.lit(0).cast("long"), lambda n, r: n + r["lines"]).alias("n_lines_removed"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every whole text, learned from the documents outside the held-out fold."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -135,7 +143,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op2_shard": op2_shard, "op3_minhash": op3_minhash, "op4_embeddings": op4_embeddings, "op6_langid": op6_langid,
+    return {"op1_mix": op1_mix, "op2_shard": op2_shard, "op3_minhash": op3_minhash, "op4_embeddings": op4_embeddings, "op5_lines": op5_lines, "op6_langid": op6_langid,
             "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_decontaminate": op10_decontaminate}
 
 
