@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embeddings, langid, lines, minhash, mixing, pii, secrets, sharding
+from . import decontam, embeddings, langid, licenses, lines, minhash, mixing, pii, secrets, sharding
 from .common import read_table, word_count
 
 
@@ -86,6 +86,15 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document: its own by TF-IDF cosine, or its nearest ancestor directory's."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    files = docs.withColumn("path", licenses.document_path(F.col("doc_id"), F.col("source")))
+    return licenses.licensed(files).select(
+        "doc_id", "path", F.col("__licence").alias("licence"), F.col("__cosine").alias("cosine"),
+        F.col("__from").alias("inherited_from"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text with validated personal data replaced by pseudonyms, and what was replaced where."""
     rows = pii.pseudonymized(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -144,7 +153,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_mix": op1_mix, "op2_shard": op2_shard, "op3_minhash": op3_minhash, "op4_embeddings": op4_embeddings, "op5_lines": op5_lines, "op6_langid": op6_langid,
-            "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_decontaminate": op10_decontaminate}
+            "op7_licenses": op7_licenses, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
