@@ -11,8 +11,9 @@ from .common import checkpointed
 def components(edges: DataFrame) -> DataFrame:
     """``(node, label)`` for every node of ``edges`` (columns ``a``, ``b``); label = smallest node of its component.
 
-    Every node hooks onto its smallest neighbour, chains are shortened once,
-    and the edges are rewritten onto the remaining nodes until none is left.
+    Every node hooks onto its smallest neighbour, chains are halved until each
+    node points at its root, and the edges are rewritten onto the roots, until
+    no edge is left.
     Tables stay distributed; each round is cut by a checkpoint. Self-loops and
     repeated edges are harmless, null ends are dropped.
     """
@@ -20,9 +21,13 @@ def components(edges: DataFrame) -> DataFrame:
     found = None
     while not live.isEmpty():
         both = live.select(F.col("a").alias("x"), F.col("b").alias("y")).union(live.select("b", "a"))
-        hooked = both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p"))
-        over = hooked.select(F.col("x").alias("p"), F.col("p").alias("top"))
-        hooked = checkpointed(hooked.join(over, "p").select("x", F.col("top").alias("p")))
+        hooked = checkpointed(both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p")))
+        while True:
+            over = hooked.select(F.col("x").alias("p"), F.col("p").alias("top"))
+            shorter = checkpointed(hooked.join(over, "p").select("x", F.col("top").alias("p"), (F.col("top") != F.col("p")).alias("moved")))
+            hooked = shorter.select("x", "p")
+            if shorter.filter("moved").isEmpty():
+                break
         if found is None:
             found = hooked.select(F.col("x").alias("node"), F.col("p").alias("label"))
         else:

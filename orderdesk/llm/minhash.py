@@ -14,13 +14,16 @@
 5. What is still open is compared in blocks: a bucket's members are dealt into
    blocks of about ``BLOCK``, a task takes two blocks at a time, compares the
    smallest hashes of members of different components by one matrix product
-   and hands on only those that look similar, which are then confirmed on the
-   full sets like all others. A pair is compared in its first common bucket
-   only. No bucket is capped and no group is collected into one task.
+   and hands on candidate edges that are then confirmed on the full sets like
+   all others. Sets of up to ``BOTTOM`` shingles are held whole, so of their
+   pairs only those that are similar enough and join two components are handed
+   on; of larger sets those whose estimate allows the similarity. A pair is
+   compared in its first common bucket only. No bucket is capped and no group
+   is collected into one task.
 
 With 42 bands of 6 rows a pair of similarity 0.8 shares no bucket with
-probability 3e-6; the smallest 128 hashes of such a pair show less than 0.6
-with a probability below 1e-7 (sets of up to 128 shingles are held whole).
+probability 3e-6; the estimate of such a pair falls ``SPREAD`` standard errors
+short with a probability of 3e-6.
 
 Words are the runs of ``[^\\x20\\x09-\\x0D]`` of the text with A-Z lowered.
 
@@ -47,8 +50,8 @@ from .components import components
 
 BANDS = 42
 ROWS = 6
-BOTTOM = 128  # smallest hashes kept for the comparison in blocks
-LOOKS_SIMILAR = 0.75  # of the similarity asked for
+BOTTOM = 256  # smallest hashes kept for the comparison in blocks
+SPREAD = 4.5
 BLOCK = 96
 SHINGLE = 5
 SIMILARITY = 80  # percent
@@ -260,7 +263,8 @@ def _block_pairs(open_: DataFrame, leaders: DataFrame, percent: int) -> DataFram
 
 
 def _compare(percent: int):
-    floor = LOOKS_SIMILAR * percent / 100
+    asked = percent / 100
+    floor = asked - SPREAD * (asked * (1 - asked) / BOTTOM) ** 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,7 +284,10 @@ def _compare(percent: int):
                 x, y = x[ask], y[ask]
                 first = (bands[x] == bands[y]).argmax(axis=1) == batch.column(0)[row].as_py()
                 x, y = x[first], y[first]
-                near = similarity(low, ends, sizes, x, y) >= floor
+                both, union = overlaps(low, ends, sizes, x, y)
+                whole = (sizes[x] <= BOTTOM) & (sizes[y] <= BOTTOM)
+                near = np.flatnonzero(np.where(whole, 100 * both >= percent * union, both >= floor * union) & (both > 0))
+                near = near[_joining(labels[x[near]], labels[y[near]], whole[near])]
                 left.append(np.minimum(ids[x[near]], ids[y[near]]))
                 right.append(np.maximum(ids[x[near]], ids[y[near]]))
             none = np.empty(0, np.int64)
@@ -289,14 +296,35 @@ def _compare(percent: int):
     return run
 
 
-def similarity(low: np.ndarray, ends: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Estimated similarity of sets x and y from their smallest hashes (concatenated in ``low``).
-
-    Up to the smaller of the two largest kept hashes both sets are known
-    whole; a set no larger than ``BOTTOM`` is known whole throughout.
+def _joining(a: np.ndarray, b: np.ndarray, sure: np.ndarray) -> list[int]:
+    """Of sure links between components those that join two not yet joined; all that are not sure."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+    keep = []
+    for k in range(len(a)):
+        if sure[k]:
+            p, q = find(int(a[k])), find(int(b[k]))
+            if p == q:
+                continue
+            root[p] = q
+        keep.append(k)
+    return keep
+
+
+def overlaps(low: np.ndarray, ends: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of intersection and union of sets x and y among their smallest hashes (concatenated in ``low``).
+
+    They count up to the smaller of the two largest kept hashes, where both
+    sets are known whole; a set no larger than ``BOTTOM`` is known whole
+    throughout, so the sizes of two such sets are exact.
     """
     if not len(x):
-        return np.empty(0)
+        return np.empty(0), np.empty(0)
     n = len(ends) - 1
     names, at = np.unique(low, return_inverse=True)
     held = np.zeros((n, len(names)), np.float32)
@@ -306,7 +334,7 @@ def similarity(low: np.ndarray, ends: np.ndarray, sizes: np.ndarray, x: np.ndarr
     below = np.stack([np.searchsorted(low[ends[k]:ends[k + 1]], top, side="right") for k in range(n)])  # of set k, up to each top
     nx = np.where(top[y] < top[x], below[x, y], np.diff(ends)[x])
     ny = np.where(top[x] < top[y], below[y, x], np.diff(ends)[y])
-    return both / np.maximum(1, nx + ny - both)
+    return both, nx + ny - both
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE,
