@@ -37,8 +37,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.placed(docs).select(
-        *docs.columns, F.col("__shard").alias("shard"), F.col("__grown_shard").alias("grown_shard"))
+    return (sharding.placed(docs).withColumns({"shard": F.col("__shard"), "grown_shard": F.col("__grown_shard")})
+            .drop("__shard", "__grown_shard", "__size", "__crc32"))
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontaminate", decontaminate),

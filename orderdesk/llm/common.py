@@ -22,6 +22,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, quoted, so that any name works in a select."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the session names in ``spark.checkpoint.dir``.
 
@@ -49,7 +54,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def measured_bytes(df: DataFrame) -> int:
     """Bytes of all rows as JSON text, from one partial aggregate."""
-    row = df.select(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns]))).alias("__b")).agg(
+    row = df.select(F.octet_length(F.to_json(F.struct(*columns_of(df)))).alias("__b")).agg(
         F.sum("__b").alias("b")).first()
     return int(row["b"] or 0)
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import broadcast_if_small, checkpointed
+from .common import broadcast_if_small, checkpointed, columns_of
 
 SAMPLE_DOCS = 400  # labelled documents per language that training may use
 SAMPLE_CHARS = 768
@@ -100,5 +100,5 @@ def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
 
 def accepted(docs: DataFrame, min_score: float = MIN_SCORE, **options) -> DataFrame:
     """``docs`` whose language is known with at least ``min_score``."""
-    columns = docs.columns
-    return identified(docs, **options).filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= min_score)).select(*columns)
+    return (identified(docs, **options).filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= min_score))
+            .select(*columns_of(docs)))

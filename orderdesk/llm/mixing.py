@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import broadcast_if_small, checkpointed, md5_unit, word_count
+from .common import broadcast_if_small, checkpointed, columns_of, md5_unit, word_count
 
 WEIGHTS = (1, 2, 3)
 MAX_RATE = 3
@@ -102,7 +102,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as it was drawn."""
-    columns = docs.columns
+    columns = columns_of(docs)
     return (mixed(docs, **options).filter(F.col("__copies") > 0)
             .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
             .select(*columns))

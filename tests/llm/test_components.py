@@ -1,0 +1,25 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from orderdesk.llm.components import components
+
+
+@pytest.mark.parametrize("shape", ["path", "star", "random", "none"])
+def test_labels_are_the_smallest_node(spark, shape):
+    rng = random.Random(1)
+    edges = {"path": [(i, i + 1) for i in range(40)], "star": [(99, i) for i in range(60)],
+             "random": [(rng.randrange(300), rng.randrange(300)) for _ in range(220)], "none": []}[shape]
+    label = {}
+
+    def find(x):
+        while label.setdefault(x, x) != x:
+            x = label[x]
+        return x
+    for a, b in edges:
+        x, y = find(a), find(b)
+        label[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(edges + edges[:3] + [(None, 5)] * bool(edges), "a long, b long")
+    assert {r.node: r.label for r in components(df).collect()} == {x: find(x) for x in list(label)}
