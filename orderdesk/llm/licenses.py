@@ -5,8 +5,8 @@ whole text (a licence file) comes closest to, if the cosine reaches
 ``MIN_COSINE``. Vectors are sparse: term weights are frequency times inverse
 document frequency counted over all documents; words in no template weigh 1.
 Only texts that hold one of a template's heavy terms are compared: without any
-of them the cosine cannot reach the threshold, so nothing is lost. Equal lines
-are compared once.
+of them the cosine cannot reach the threshold, so nothing is lost. A text is
+scored where it is read; only paths and licences move.
 
 A file without a licence of its own takes that of the nearest ancestor
 directory that holds a licence file: paths are expanded to their ancestor
@@ -114,53 +114,68 @@ def heavy_terms(weights: list[tuple[str, int, str, float]], least: float) -> lis
 
 def own_licences(files: DataFrame, text: str, templates: tuple[tuple[str, str], ...] = TEMPLATES,
                  min_cosine: float = MIN_COSINE) -> DataFrame:
-    """``files`` with ``__own`` (array of (cosine, licence, whole), best first)."""
+    """``files`` with ``__own``: (minus the cosine, licence, whole) of its close lines and whole text, best first; or null."""
     vocabulary = sorted({t for _, body in templates for t in terms_of(body)})
     idf = inverse_frequencies(files, text, vocabulary)
     weights = template_weights(idf, templates)
     heavy = F.lit("(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in heavy_terms(weights, min_cosine)) + ")(?![a-z0-9])")
-    scored = _scored(files.select(F.col(text).alias("__text")), heavy, idf, weights, min_cosine)
-    scored = broadcast_if_small(checkpointed(scored))
-    found = (_units(files.select(F.col(text).alias("__text")), heavy, F.col("__text"))
-             .join(scored, "__unit").groupBy("__hash")
-             .agg(F.array_distinct(F.sort_array(F.collect_set(F.struct(
-                 (-F.col("__cosine")).alias("minus"), F.col("__licence").alias("licence"), F.col("__whole").alias("whole"))))).alias("__own")))
-    found = broadcast_if_small(checkpointed(found))
-    return files.join(found, _name(F.col(text)) == found["__hash"], "left").drop("__hash")
-
-
-def _name(text: Column) -> Column:
-    return F.sha2(text.cast("binary"), 256)
-
-
-def _units(texts: DataFrame, heavy: Column, text: Column) -> DataFrame:
-    """Lines and whole texts that hold a heavy term: ``__hash`` (of the text), ``__unit``, ``__whole``."""
-    whole = F.struct(text.alias("unit"), F.lit(True).alias("whole"))
-    lines = F.transform(F.filter(F.split(text, "\n", -1), lambda x: F.rlike(F.lower(x), heavy)),
-                        lambda x: F.struct(x.alias("unit"), F.lit(False).alias("whole")))
-    return (texts.filter(F.rlike(F.lower(text), heavy))
-            .select(_name(text).alias("__hash"), F.explode(F.concat(F.array(whole), lines)).alias("__u"))
-            .select("__hash", F.col("__u.unit").alias("__unit"), F.col("__u.whole").alias("__whole")))
-
-
-def _scored(texts: DataFrame, heavy: Column, idf: dict[str, float], weights: list[tuple[str, int, str, float]],
-            min_cosine: float) -> DataFrame:
-    """``__unit, __licence, __cosine``: the best template of every distinct unit that comes close to one."""
-    spark = texts.sparkSession
-    table = F.broadcast(spark.createDataFrame(weights, "__licence string, __template int, __term string, __weight double"))
-    known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "__term string, __idf double"))  # terms of the templates
-    units = _units(texts, heavy, F.col("__text")).select("__unit").distinct()
-    terms = (units.withColumn("__term", F.explode(tokens(F.col("__unit"))))
-             .groupBy(_name(F.col("__unit")).alias("__name"), "__term").agg(F.count("*").alias("__k"), F.min("__unit").alias("__unit"))
-             .join(known, "__term", "left")
-             .withColumn("__w", F.col("__k") * F.coalesce("__idf", F.lit(1.0))))
-    norms = terms.groupBy("__name").agg(F.sqrt(F.sum(F.col("__w") * F.col("__w"))).alias("__norm"))
-    dots = (terms.join(table, "__term").groupBy("__name", "__template", "__licence")
-            .agg(F.sum(F.col("__w") * F.col("__weight")).alias("__dot"), F.min("__unit").alias("__unit")))
-    return (dots.join(norms, "__name").withColumn("__cosine", F.round(F.col("__dot") / F.col("__norm"), 9))
-            .filter(F.col("__cosine") >= min_cosine)
-            .groupBy("__unit").agg(F.min(F.struct((-F.col("__cosine")).alias("minus"), "__licence")).alias("__best"))
-            .select("__unit", F.col("__best.__licence").alias("__licence"), (-F.col("__best.minus")).alias("__cosine")))
+    body = F.col(text)
+    close = F.filter(F.split(body, "\n", -1), lambda line: F.rlike(F.lower(line), heavy))
+    vectors = F.concat(
+        F.array(F.struct(_vector(body, vocabulary).alias("v"), F.lit(True).alias("whole"))),
+        F.transform(close, lambda line: F.struct(_vector(line, vocabulary).alias("v"), F.lit(False).alias("whole"))))
+    found = F.sort_array(F.filter(
+        F.transform(vectors, lambda u: _closest(u["v"], u["whole"], idf, weights, templates)),
+        lambda m: m["minus"] <= -min_cosine))
+    own = F.when(F.rlike(F.lower(body), heavy), found)
+    return files.withColumn("__own", own).withColumn("__own", F.when(F.size("__own") > 0, F.col("__own")))
+
+
+def _vector(text: Column, vocabulary: list[str]) -> Column:
+    """Sparse counts of a text: (term, count) of the templates' terms, and the summed squares of all other counts."""
+    known = F.array(*[F.lit(t) for t in vocabulary])
+    zero = F.struct(F.lit("").alias("term"), F.lit(0.0).alias("k"), F.lit(0.0).alias("other"),
+                    F.array().cast("array<struct<term: string, k: double>>").alias("held"))
+
+    def flushed(acc: Column) -> tuple[Column, Column]:
+        inside = F.array_contains(known, acc["term"])
+        one = F.array(F.struct(acc["term"].alias("term"), acc["k"].alias("k")))
+        return (F.when(inside, acc["other"]).otherwise(acc["other"] + acc["k"] * acc["k"]),
+                F.when(inside, F.concat(acc["held"], one)).otherwise(acc["held"]))
+
+    def step(acc: Column, token: Column) -> Column:
+        other, held = flushed(acc)
+        return F.when(acc["term"] == token, F.struct(token.alias("term"), (acc["k"] + 1).alias("k"), acc["other"].alias("other"),
+                                                     acc["held"].alias("held"))).otherwise(
+            F.struct(token.alias("term"), F.lit(1.0).alias("k"), other.alias("other"), held.alias("held")))
+
+    def done(acc: Column) -> Column:
+        other, held = flushed(acc)
+        return F.struct(other.alias("other"), held.alias("held"))
+    return F.aggregate(F.array_sort(tokens(text)), zero, step, done)
+
+
+def _closest(vector: Column, whole: Column, idf: dict[str, float], weights: list[tuple[str, int, str, float]],
+             templates: tuple[tuple[str, str], ...]) -> Column:
+    """(minus the cosine, licence, whole) of the closest template."""
+    rows: dict[str, list[float]] = {t: [0.0] * len(templates) for t in idf}
+    for _, number, term, weight in weights:
+        rows[term][number] = weight * idf[term]
+    table = F.create_map(*[x for t, row in sorted(rows.items()) for x in (
+        F.lit(t), F.struct(F.lit(idf[t]).alias("idf"), F.array(*[F.lit(w) for w in row]).alias("to")))])
+    none = F.struct(vector["other"].alias("square"), F.array(*[F.lit(0.0)] * len(templates)).alias("dots"))
+
+    def add(acc: Column, e: Column) -> Column:
+        row = F.element_at(table, e["term"])
+        return F.struct((acc["square"] + e["k"] * row["idf"] * e["k"] * row["idf"]).alias("square"),
+                        F.zip_with(acc["dots"], row["to"], lambda d, w: d + e["k"] * w).alias("dots"))
+
+    def best(acc: Column) -> Column:
+        names = F.array(*[F.lit(name) for name, _ in templates])
+        return F.array_min(F.zip_with(acc["dots"], names, lambda d, name: F.struct(
+            (-F.round(d / F.sqrt(F.greatest(acc["square"], F.lit(1e-300))), 9)).alias("minus"), name.alias("licence"))))
+    found = F.aggregate(vector["held"], none, add, best)
+    return F.struct(found["minus"].alias("minus"), found["licence"].alias("licence"), whole.alias("whole"))
 
 
 def ancestors(path: Column) -> Column:
