@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 
 from .joins import product_dim
 
-# Largest proven id set broadcast for restricting the items.
-RESTRICT_BROADCAST_ROWS = 100_000
-
-
 def ordered_listagg(label: Column, sep: str = ", ") -> Column:
     """``GROUP_CONCAT`` with a fixed order: NULL parts skipped, NULL when none
     are left, elements sorted by their text (the reference leaves order open)."""
@@ -31,15 +27,15 @@ def item_labels(items: DataFrame, products: DataFrame, with_quantity: bool = Tru
     """``booking_id, products``: ``"name (qty), ..."`` or ``"name, ..."``.
 
     ``bookings`` (one ``id`` column) restricts the work to those bookings with
-    a semi join before any aggregation. ``bookings_bound`` is a proven upper
-    bound of its rows (e.g. the ``n`` of a top-n); within
-    ``RESTRICT_BROADCAST_ROWS`` the ids are broadcast so the items are
-    filtered in place instead of being shuffled for the semi join.
+    a semi join before any aggregation. ``bookings_bound`` is the ``n`` of a
+    top-n: then the ids are broadcast, so the items are filtered in place
+    instead of being shuffled for the semi join. A booking's text is one
+    output value; a booking with millions of lines is bounded by that value.
     """
     li = items.select("booking_id", "product_id", "quantity")
     if bookings is not None:
         ids = bookings.select(F.col("id").alias("booking_id"))
-        if bookings_bound is not None and bookings_bound <= RESTRICT_BROADCAST_ROWS:
+        if bookings_bound is not None:
             ids = F.broadcast(ids)
         li = li.join(ids, "booking_id", "left_semi")
     j = li.join(product_dim(products, "name"), "product_id", "left")
@@ -62,21 +58,22 @@ def booking_labels(items: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def with_item_labels(b: DataFrame, items: DataFrame, products: DataFrame,
-                     with_quantity: bool = True, restrict: bool = False,
+                     with_quantity: bool = True, restrict: Optional[DataFrame] = None,
                      bound: Optional[int] = None, stored: Optional[DataFrame] = None) -> DataFrame:
-    """``b`` plus a ``products`` column. ``restrict`` first semi-joins the items
-    to the bookings in ``b`` (use it when a filter or top-k narrows ``b``);
-    ``bound`` is a proven upper bound of ``b``'s rows, if any. ``stored`` is a
+    """``b`` plus a ``products`` column. ``restrict`` (bookings with an ``id``,
+    best taken before names are joined) semi-joins the items to those bookings
+    first (use it when a filter or top-k narrows ``b``); ``bound`` is the ``n``
+    of a top-n behind it. ``stored`` is a
     ``booking_labels`` table: then nothing is aggregated, it is only joined."""
     if stored is not None:
         labels = stored.select("booking_id", F.col("products_qty" if with_quantity else "products_names")
                                .alias("products"))
-        if bound is not None and bound <= RESTRICT_BROADCAST_ROWS:
-            # A proven-small set of bookings (a top-n): filter the stored texts
-            # in place with its broadcast ids instead of shuffling them.
-            ids = F.broadcast(b.select(F.col("id").alias("booking_id")))
+        if bound is not None and restrict is not None:
+            # A top-n: filter the stored texts in place with its broadcast ids
+            # instead of shuffling them.
+            ids = F.broadcast(restrict.select(F.col("id").alias("booking_id")))
             labels = labels.join(ids, "booking_id", "left_semi")
         return b.join(labels, b["id"] == labels["booking_id"], "left").drop("booking_id")
-    labels = item_labels(items, products, with_quantity, bookings=b.select("id") if restrict else None,
-                         bookings_bound=bound)
+    labels = item_labels(items, products, with_quantity,
+                         bookings=None if restrict is None else restrict.select("id"), bookings_bound=bound)
     return b.join(labels, b["id"] == labels["booking_id"], "left").drop("booking_id")

@@ -1,54 +1,24 @@
-"""Join helpers: size-checked broadcast and the role-name lookups.
+"""Lookup joins of the small dimensions.
 
-Broadcast policy: a side is hinted for broadcast only after a row count that
-stops at the bound (``limit(bound + 1).count()``) proves it small. Beyond the
-bound nothing is hinted; Catalyst plans a shuffle join and AQE may still switch
-to a broadcast from the measured shuffle size, or split skewed partitions.
+No side is hinted: Catalyst broadcasts a side whose known size is below the
+session's threshold, AQE does so from measured shuffle bytes, and a larger
+side is joined by shuffle, where AQE splits skewed keys.
 """
 
 from __future__ import annotations
 
-import weakref
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Staff accounts: a bounded dimension (head count), safe to broadcast.
-USERS_BROADCAST_ROWS = 100_000
-# Catalogue: broadcast the pruned columns (id, name, price, stock: tens of MB
-# hashed) only while at most this many rows.
-PRODUCTS_BROADCAST_ROWS = 1_000_000
-
-
-# Size checks already made, per DataFrame (weakly held: a frame that is no
-# longer used drops its entry).
-_CHECKED: "weakref.WeakKeyDictionary[DataFrame, dict[int, bool]]" = weakref.WeakKeyDictionary()
-
-
-def is_bounded(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; the count stops at the bound."""
-    known = _CHECKED.setdefault(df, {})
-    if max_rows not in known:
-        known[max_rows] = df.limit(max_rows + 1).count() <= max_rows
-    return known[max_rows]
-
-
-def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``."""
-    return F.broadcast(df) if is_bounded(df, max_rows) else df
-
 
 def with_user_names(b: DataFrame, users: DataFrame, roles: dict[str, str]) -> DataFrame:
     """Left-join the users table once per role: ``{fk column: output name}``.
 
-    The same small dimension is joined several times under different roles
-    (moderator, accountant, storeman). Every join uses an identical broadcast
-    side, renamed only after the join, so Spark builds one broadcast and
-    reuses it for all roles.
+    The same dimension is joined several times under different roles
+    (moderator, accountant, storeman). Every join uses an identical side,
+    renamed only after the join, so Spark builds it once and reuses it.
     """
     names = users.select(F.col("id").alias("__uid"), F.col("full_name").alias("__uname"))
-    if is_bounded(users, USERS_BROADCAST_ROWS):
-        names = F.broadcast(names)
     out = b
     for fk, alias in roles.items():
         out = (out.join(names, out[fk] == names["__uid"], "left")
@@ -57,6 +27,5 @@ def with_user_names(b: DataFrame, users: DataFrame, roles: dict[str, str]) -> Da
 
 
 def product_dim(products: DataFrame, *cols: str) -> DataFrame:
-    """Pruned product columns keyed by ``product_id``, broadcast when bounded."""
-    dim = products.select(F.col("id").alias("product_id"), *cols)
-    return F.broadcast(dim) if is_bounded(products, PRODUCTS_BROADCAST_ROWS) else dim
+    """Pruned product columns keyed by ``product_id``."""
+    return products.select(F.col("id").alias("product_id"), *cols)

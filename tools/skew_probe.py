@@ -23,7 +23,7 @@ for k, v in {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.a
 spark = b.getOrCreate(); spark.sparkContext.setLogLevel("ERROR")
 from orderdesk.operators import workflow as W, skew
 from pyspark.sql import functions as F
-skew.HOT_KEY_ROWS = 10000
+skew.ROWS_PER_SALT = 10000
 if mode == "plain":
     W.salted_join = lambda big, small, key, how="inner", hot=None: big.join(small, key, how)
 n = 300000
