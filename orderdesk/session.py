@@ -15,8 +15,7 @@ from pyspark.sql import SparkSession
 # coalesces small partitions and splits skewed join partitions (a hot booking
 # or product in a join); aggregates pre-combine hot keys map-side. Size-based
 # automatic broadcasts keep Spark's default threshold: it is compared with an
-# estimate from compressed file sizes, so it is not raised here. The library's
-# own broadcasts are behind explicit row-count checks.
+# estimate from compressed file sizes, so it is not raised here.
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -46,11 +45,15 @@ def build_session(master: str = "local[8]", app_name: str = "orderdesk",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; only when it is unset (local tests)
-    a scratch folder is made so ``DataFrame.checkpoint`` works.
+    A cluster must name a shared folder there; only a local session (tests,
+    the bench) without one gets a scratch folder, since executors cannot read
+    a folder of the driver.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="orderdesk-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)

@@ -16,21 +16,25 @@ from .driver import Tables
 
 
 def read_table(spark: SparkSession, url: str, table: str, user: str, password: str,
-               key: str = "id", lower: int = 0, upper: int = 1, num_partitions: int = 1,
+               lower: int, upper: int, num_partitions: int, key: str = "id",
                driver: Optional[str] = None) -> DataFrame:
+    """One table, read in ``num_partitions`` ranges of ``key`` from ``lower`` to ``upper``."""
     reader = (spark.read.format("jdbc").option("url", url).option("dbtable", table)
               .option("user", user).option("password", password))
     if driver:
         reader = reader.option("driver", driver)
-    if num_partitions > 1:
-        reader = (reader.option("partitionColumn", key).option("lowerBound", lower)
-                  .option("upperBound", upper).option("numPartitions", num_partitions))
-    df = reader.load()
+    df = (reader.option("partitionColumn", key).option("lowerBound", lower)
+          .option("upperBound", upper).option("numPartitions", num_partitions).load())
     wanted = [f.name for f in S.LOGICAL[table].fields] if table in S.LOGICAL else df.columns
     return df.select(*[c for c in wanted if c in df.columns])
 
 
-def jdbc_tables(spark: SparkSession, url: str, user: str, password: str, **kw) -> Tables:
-    """The six database tables, read lazily over JDBC."""
-    return Tables(**{name: (lambda n=name: read_table(spark, url, n, user, password, **kw))
+def jdbc_tables(spark: SparkSession, url: str, user: str, password: str,
+                bounds: dict[str, tuple[int, int, int]], driver: Optional[str] = None) -> Tables:
+    """The six database tables, read lazily over JDBC. ``bounds`` names for
+    every table the least and greatest id and the number of ranges to read."""
+    missing = set(S.LOGICAL) - set(bounds)
+    if missing:
+        raise ValueError(f"no id bounds for: {sorted(missing)}")
+    return Tables(**{name: (lambda n=name: read_table(spark, url, n, user, password, *bounds[n], driver=driver))
                      for name in S.LOGICAL})

@@ -2,17 +2,21 @@
 several outputs (the reference's multi-table transaction).
 
 Plain parquet folders have no cross-table transaction. ``commit_versioned``
-writes every output of a job into a new version folder and only then appends
-a commit record for it under ``_commits``; readers take the greatest
-committed version, so they see either the previous complete version or the
-new complete one. Records are only ever added, never rewritten, so there is
-no moment without a committed version. A failed job leaves an unreferenced
-version folder behind, never a half-visible one. Version names must sort in
-commit order (e.g. zero-padded numbers or ISO timestamps).
+writes every output of a job into a folder of its own attempt and only then
+appends a commit record that names the attempt under ``_commits``; readers
+take the greatest committed version, so they see either the previous complete
+version or the new complete one. Records are only ever added: committing a
+version again changes nothing, so a replayed job cannot touch what readers
+read. A failed attempt leaves an unreferenced folder behind, never a
+half-visible one. Version names must sort in commit order (e.g. zero-padded
+numbers or ISO timestamps).
 """
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,24 +32,37 @@ def write_json_documents(df: DataFrame, path: str, column: str = "document", mod
     df.select(F.col(column).alias("value")).write.mode(mode).text(path)
 
 
-def commit_versioned(spark: SparkSession, outputs: dict[str, DataFrame], root: str, version: str) -> None:
-    """Write ``outputs`` under ``root/<name>/version=<version>``, then append
-    the commit record of ``version``. Each output is written in full before
-    the record appears; a retried job rewrites its own (still invisible)
-    version folder."""
-    for name, df in outputs.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}/version={version}")
-    spark.createDataFrame([(version, sorted(outputs))], COMMIT_SCHEMA) \
-        .coalesce(1).write.mode("overwrite").json(f"{root}/_commits/version={version}")
+COMMIT_SCHEMA = "version string, attempt string, tables array<string>"
+
 
+def _commits(spark: SparkSession, root: str) -> DataFrame:
+    """The commit records (one small record per commit); none before the first commit."""
+    try:
+        return spark.read.schema(COMMIT_SCHEMA).json(f"{root}/_commits/*")
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], COMMIT_SCHEMA)
 
-COMMIT_SCHEMA = "version string, tables array<string>"
+
+def commit_versioned(spark: SparkSession, outputs: dict[str, DataFrame], root: str, version: str) -> bool:
+    """Write ``outputs`` under ``root/<name>/version=<version>/attempt=<id>``,
+    then append the commit record. Each output is written in full before the
+    record appears. False, and nothing written, when the version is committed
+    already."""
+    if not _commits(spark, root).filter(F.col("version") == version).isEmpty():
+        return False
+    attempt = uuid.uuid4().hex
+    for name, df in outputs.items():
+        df.write.mode("errorifexists").parquet(f"{root}/{name}/version={version}/attempt={attempt}")
+    spark.createDataFrame([(version, attempt, sorted(outputs))], COMMIT_SCHEMA) \
+        .coalesce(1).write.mode("errorifexists").json(f"{root}/_commits/version={version}")
+    return True
 
 
 def current_version(spark: SparkSession, root: str) -> str:
-    """The greatest committed version under ``root`` (one small record per commit)."""
-    recs = spark.read.schema(COMMIT_SCHEMA).json(f"{root}/_commits/*")
-    return recs.agg(F.max("version")).first()[0]
+    """The greatest committed version under ``root``."""
+    return _commits(spark, root).agg(F.max("version")).first()[0]
 
 
 def read_current(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -54,4 +71,8 @@ def read_current(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def read_version(spark: SparkSession, root: str, name: str, version: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}/version={version}")
+    """Read one output of a committed version, from the attempt its record names."""
+    record = _commits(spark, root).filter(F.col("version") == version).first()
+    if record is None:
+        raise ValueError(f"version {version} is not committed under {root}")
+    return spark.read.parquet(f"{root}/{name}/version={version}/attempt={record['attempt']}")
