@@ -72,7 +72,7 @@ def registry() -> dict[str, Callable[[Tables], DataFrame]]:
         "ready_orders": L.ready_orders,
         "booking_list": L.booking_list,
         "booking_search": lambda t: L.booking_list(t, search="7_3"),
-        "filtered_bookings": lambda t: L.booking_list(t, search="77", status="approved"),
+        "filtered_bookings": lambda t: L.booking_list(t, search=" <b>77</b> ", status=" approved\n"),
         "delivery_list": L.delivery_list,
         "delivery_list_all": lambda t: L.delivery_list(t, status=""),
         "payment_list": L.payment_list,

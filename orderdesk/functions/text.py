@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+import re
 from functools import reduce
 from typing import Iterable, Optional
 
@@ -13,7 +15,13 @@ from pyspark.sql import functions as F
 PHP_TRIM_CHARS = " \t\n\r\x00\x0b"
 EMAIL_PATTERN = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 PHONE_PATTERN = r"^[\+]?[\d\s\-\(\)]{10,}$"
-TAG_PATTERN = r"<[A-Za-z/!?][^>]*>"
+
+# A tag: a comment, or "<" that no whitespace follows, up to the next ">"
+# outside quotes; one that is never closed reaches to the end of the text.
+_TAG = (r"""<!--[\s\S]*?(?:-->|\z)|<(?:(?:[^ \t\n\x0B\f\r"'>]|"[^"]*(?:"|\z)|'[^']*(?:'|\z))"""
+        r"""(?:[^"'>]|"[^"]*(?:"|\z)|'[^']*(?:'|\z))*+)?(?:>|\z)""")
+TAG_PATTERN = _TAG
+_PYTHON_TAG = re.compile(_TAG.replace(r"\z", r"\Z"))
 
 
 def is_set(value: Optional[str]) -> bool:
@@ -21,6 +29,14 @@ def is_set(value: Optional[str]) -> bool:
     return value is not None and value not in ("", "0")
 
 
+def clean_param(value: Optional[str]) -> Optional[str]:
+    """A request parameter cleaned like every form field (``clean_text`` on a
+    plain string): trimmed, without tags, HTML-escaped."""
+    if value is None:
+        return None
+    return html.escape(_PYTHON_TAG.sub("", value.strip(PHP_TRIM_CHARS)), quote=True).replace("&#x27;", "&#039;")
+
+
 def is_blank(c: Column) -> Column:
     """PHP ``empty()`` on a string column: NULL, '' or '0'."""
     return c.isNull() | c.isin("", "0")

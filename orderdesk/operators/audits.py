@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ..functions import text as TX
 from ..sources import schemas as S
 from ..sources.driver import Tables
-from .joins import USERS_BROADCAST_ROWS, is_bounded
 from .skew import salted_join
 
 
@@ -33,7 +32,7 @@ def _tables(t: Tables) -> dict[str, DataFrame]:
 # The declared keys, references, domains, NOT NULL columns and
 # text lengths of the reference's schema.
 UNIQUE_KEYS = [("users", "id"), ("users", "username"), ("products", "id"), ("products", "sku"),
-               ("bookings", "id"), ("delivery_details", "id"), ("delivery_details", "booking_id"),
+               ("bookings", "id"), ("booking_items", "id"), ("delivery_details", "id"), ("delivery_details", "booking_id"),
                ("payments", "id"), ("payments", "booking_id")]
 
 FOREIGN_KEYS = [("bookings", "moderator_id", "users"), ("bookings", "accountant_id", "users"),
@@ -75,14 +74,11 @@ def audit_unique(t: Tables) -> DataFrame:
 def audit_fk(t: Tables) -> DataFrame:
     """Child rows whose non-NULL reference has no parent, per missing value:
     ``table_name, fk_column, missing_id, n``. Children are counted per key
-    before the anti join; parents are read as key columns only and the users
-    table is broadcast after a size check."""
+    before the anti join; parents are read as key columns only."""
     tabs = _tables(t)
     parts = []
     for child, col, parent in FOREIGN_KEYS:
         keys = tabs[parent].select(F.col("id").alias("__parent_id"))
-        if parent == "users" and is_bounded(tabs[parent], USERS_BROADCAST_ROWS):
-            keys = F.broadcast(keys)
         # Count per referenced key first: a hot key is pre-combined in every
         # task, and the anti join sees distinct keys only.
         c = tabs[child].filter(F.col(col).isNotNull()).groupBy(col).count()

@@ -177,11 +177,12 @@ def workflow_rejections(bookings: DataFrame, commands: DataFrame) -> DataFrame:
 def rejections_from_state(commands: DataFrame, state: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """``workflow_rejections`` given an already computed ``workflow_state``."""
     st = state.select(F.col("id").alias("booking_id"), "review_cmd_id", "delivery_cmd_id")
-    wf = commands.filter(F.col("action").isin(*REVIEW_ACTIONS, *DELIVERY_ACTIONS))
-    j = salted_join(wf, st, "booking_id", "left", hot=_hot_bookings(commands) if hot is None else hot)
+    j = salted_join(commands, st, "booking_id", "left", hot=_hot_bookings(commands) if hot is None else hot)
     effective = ((F.col("cmd_id") == F.col("review_cmd_id"))
                  | (F.col("cmd_id") == F.col("delivery_cmd_id")))
-    reason = (F.when(F.col("action").isin(*REVIEW_ACTIONS), F.lit(MSG_REVIEW_NOOP))
+    known = F.coalesce(F.col("action").isin(*REVIEW_ACTIONS, *DELIVERY_ACTIONS), F.lit(False))
+    reason = (F.when(~known, F.lit(MSG_BAD_DELIVERY_STATUS))
+              .when(F.col("action").isin(*REVIEW_ACTIONS), F.lit(MSG_REVIEW_NOOP))
               .when(~_delivery_fits(), F.lit(MSG_DB_DELIVERY))
               .otherwise(F.lit(MSG_DELIVERY_NOOP)))
     return (j.filter(~F.coalesce(effective, F.lit(False)))

@@ -25,7 +25,7 @@ def _money_text(c):
 
 def booking_document(t: Tables) -> DataFrame:
     """``id, document``: the drill-down JSON of every booking — header with
-    staff names and payment status, ``items`` (line order) and
+    staff names and payment status, ``items`` (id order) and
     ``delivery_details`` (``null`` when there is none).
 
     Items are nested per booking with one grouped aggregate and joined once;
@@ -39,7 +39,7 @@ def booking_document(t: Tables) -> DataFrame:
 
     li = t.booking_items.join(product_dim(t.products, F.col("name").alias("product_name")),
                               "product_id", "left")
-    item = F.struct("line_no", "product_id", "quantity", "booking_id",
+    item = F.struct("id", "product_id", "quantity", "booking_id",
                     _money_text(F.col("unit_price")).alias("unit_price"), "product_name")
     items = li.groupBy("booking_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
     b = b.join(items, b["id"] == items["booking_id"], "left").drop("booking_id")
@@ -131,9 +131,15 @@ def clean_documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 # ---------------------------------------------------------------- carts
 
 def merged_cart_lines(cart_lines: DataFrame) -> DataFrame:
-    """Repeat picks of a product in one cart merged into one line; lines whose
-    quantity ends at or below zero are removed."""
-    g = cart_lines.groupBy("cart_id", "product_id").agg(F.sum("quantity").alias("quantity"))
+    """Repeat picks of a product in one cart merged into one line, in pick
+    order. A line is removed the moment its quantity is not above zero, so
+    later picks start afresh: the end is the running sum less its lowest
+    point below zero."""
+    so_far = (Window.partitionBy("cart_id", "product_id").orderBy("pick_no", F.desc("quantity"))
+              .rowsBetween(Window.unboundedPreceding, 0))
+    runs = cart_lines.withColumn("__run", F.sum("quantity").over(so_far))
+    g = runs.groupBy("cart_id", "product_id").agg(
+        (F.sum("quantity") - F.least(F.min("__run"), F.lit(0))).alias("quantity"))
     return g.filter(F.col("quantity") > 0)
 
 

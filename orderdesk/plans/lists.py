@@ -39,6 +39,7 @@ def _out(df: DataFrame, money=("amount", "price")) -> DataFrame:
 
 def booking_search_pred(search: Optional[str]) -> list[Column]:
     """``b.id LIKE %s% OR customer_name LIKE ... OR customer_phone LIKE ...``."""
+    search = TX.clean_param(search)
     if not TX.is_set(search):
         return []
     return [TX.any_contains([F.col("id"), F.col("customer_name"), F.col("customer_phone")], search)]
@@ -74,6 +75,7 @@ def product_categories(t: Tables) -> DataFrame:
 def product_search(t: Tables, search: Optional[str] = None, category: Optional[str] = None) -> DataFrame:
     """Products page: text search over name, description and sku (wildcards
     kept), optional category equality; '' and '0' mean no filter."""
+    search, category = TX.clean_param(search), TX.clean_param(category)
     preds = []
     if TX.is_set(search):
         preds.append(TX.any_contains([F.col("name"), F.col("description"), F.col("sku")], search))
@@ -109,15 +111,15 @@ def _newest(b: DataFrame, n: int) -> DataFrame:
 def recent_bookings(t: Tables, moderator_id: int = 1, n: int = 5) -> DataFrame:
     """A moderator's newest bookings with their product names."""
     top = _newest(t.bookings.filter(F.col("moderator_id") == moderator_id).select(*BOOKING_COLS), n)
-    out = with_item_labels(top, t.booking_items, t.products, with_quantity=False, restrict=True, bound=n,
+    out = with_item_labels(top, t.booking_items, t.products, with_quantity=False, restrict=top, bound=n,
                            stored=t.booking_labels)
     return _out(out.orderBy(F.desc("created_at"), F.desc("id")))
 
 
 def _status_top(t: Tables, status: str, n: int) -> DataFrame:
     top = _newest(t.bookings.filter(F.col("status") == status).select(*BOOKING_COLS), n)
-    top = with_user_names(top, t.users, {"moderator_id": "moderator_name"})
-    out = with_item_labels(top, t.booking_items, t.products, with_quantity=False, restrict=True, bound=n,
+    out = with_user_names(top, t.users, {"moderator_id": "moderator_name"})
+    out = with_item_labels(out, t.booking_items, t.products, with_quantity=False, restrict=top, bound=n,
                            stored=t.booking_labels)
     return _out(out.orderBy(F.desc("created_at"), F.desc("id")))
 
@@ -139,12 +141,13 @@ def booking_list(t: Tables, search: Optional[str] = None, status: Optional[str]
     items as ``name (qty)`` text, payment status and the sort bucket
     (pending first, then newest)."""
     preds = booking_search_pred(search)
+    status = TX.clean_param(status)
     if TX.is_set(status):
         preds.append(F.col("status") == status)
-    b = t.bookings.select(*BOOKING_COLS).filter(TX.all_of(preds))
-    b = with_user_names(b, t.users, {"moderator_id": "moderator_name", "accountant_id": "accountant_name",
-                                     "storeman_id": "storeman_name"})
-    b = with_item_labels(b, t.booking_items, t.products, restrict=bool(preds), stored=t.booking_labels)
+    found = t.bookings.select(*BOOKING_COLS).filter(TX.all_of(preds))
+    b = with_user_names(found, t.users, {"moderator_id": "moderator_name", "accountant_id": "accountant_name",
+                                         "storeman_id": "storeman_name"})
+    b = with_item_labels(b, t.booking_items, t.products, restrict=found if preds else None, stored=t.booking_labels)
     pay = t.payments.select(F.col("booking_id").alias("pay_booking_id"), "payment_status")
     b = b.join(pay, b["id"] == pay["pay_booking_id"], "left").drop("pay_booking_id")
     b = b.withColumn("sort_bucket", F.when(F.col("status") == "pending", 1).otherwise(2))
@@ -155,12 +158,13 @@ def delivery_list(t: Tables, search: Optional[str] = None, status: Optional[str]
     """Deliveries page: approved/delivered/not-delivered bookings (default:
     approved only; '' lists all three) with delivery details."""
     preds = booking_search_pred(search)
+    status = TX.clean_param(status)
     if TX.is_set(status):
         preds.append(F.col("status") == status)
     preds.append(F.col("status").isin("approved", "delivered", "not_delivered"))
-    b = t.bookings.select(*BOOKING_COLS).filter(TX.all_of(preds))
-    b = with_user_names(b, t.users, {"moderator_id": "moderator_name", "accountant_id": "accountant_name"})
-    b = with_item_labels(b, t.booking_items, t.products, restrict=True, stored=t.booking_labels)
+    found = t.bookings.select(*BOOKING_COLS).filter(TX.all_of(preds))
+    b = with_user_names(found, t.users, {"moderator_id": "moderator_name", "accountant_id": "accountant_name"})
+    b = with_item_labels(b, t.booking_items, t.products, restrict=found, stored=t.booking_labels)
     dd = t.delivery_details.select(F.col("booking_id").alias("dd_booking_id"), "delivery_company",
                                    "tracking_number", "delivery_date",
                                    F.col("notes").alias("delivery_notes"))
@@ -174,6 +178,7 @@ def payment_list(t: Tables, search: Optional[str] = None, payment_status: Option
     """Payments page: bookings with their payment row, moderator name and items;
     pending payments first."""
     preds = booking_search_pred(search)
+    payment_status, booking_status = TX.clean_param(payment_status), TX.clean_param(booking_status)
     if TX.is_set(booking_status):
         preds.append(F.col("status") == booking_status)
     b = t.bookings.select(*BOOKING_COLS).filter(TX.all_of(preds))
@@ -183,9 +188,9 @@ def payment_list(t: Tables, search: Optional[str] = None, payment_status: Option
     b = b.join(pay, b["id"] == pay["pay_booking_id"], "left").drop("pay_booking_id")
     if TX.is_set(payment_status):
         b = b.filter(F.col("payment_status") == payment_status)
-    b = with_user_names(b, t.users, {"moderator_id": "moderator_name"})
-    b = with_item_labels(b, t.booking_items, t.products,
-                         restrict=bool(preds) or TX.is_set(payment_status), stored=t.booking_labels)
+    narrowed = bool(preds) or TX.is_set(payment_status)
+    found, b = b, with_user_names(b, t.users, {"moderator_id": "moderator_name"})
+    b = with_item_labels(b, t.booking_items, t.products, restrict=found if narrowed else None, stored=t.booking_labels)
     b = b.withColumn("sort_bucket", F.when(F.col("payment_status") == "pending", 1).otherwise(2))
     return _out(b.orderBy("sort_bucket", F.desc("created_at"), F.asc("id")))
 

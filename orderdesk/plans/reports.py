@@ -114,12 +114,13 @@ def monthly_revenue(t: Tables, as_of=D.DEFAULT_AS_OF, months: int = 6,
 def top_products(t: Tables, n: int = 10, ranked: bool = False, paid: DataFrame | None = None) -> DataFrame:
     """Best sellers among paid bookings: quantity, revenue, distinct orders.
 
-    Items are first summed per (booking, product): partial aggregation, and
-    the shuffle is on both keys, so a hot booking or product is combined map-
-    side and spread. After that a booking has at most one row per product,
-    so the semi join with the paid, existing bookings sees a bounded input
-    per booking, and the distinct-order count is a plain count. The product
-    dimension is joined to the per-product totals (broadcast when bounded).
+    Items are first summed per (booking, product), with partial aggregation
+    on both keys, so a hot booking or product is combined map-side. The paid,
+    existing bookings are kept by a semi join, and the rows are summed per
+    product: a booking has one row per product, so its orders are counted
+    plainly. Products are joined to those totals. Lines whose product is
+    unknown form one line of their own, the only one that needs a distinct
+    count.
     """
     if paid is None:
         paid_ids = (t.payments.filter(F.col("payment_status") == "paid").select("booking_id")
@@ -129,12 +130,18 @@ def top_products(t: Tables, n: int = 10, ranked: bool = False, paid: DataFrame |
     per_order = (t.booking_items.groupBy("booking_id", "product_id")
                  .agg(F.sum("quantity").alias("q"), F.sum(F.col("quantity") * F.col("unit_price")).alias("r")))
     per_order = per_order.join(paid_ids, "booking_id", "left_semi")
-    dim = product_dim(t.products, F.col("id").alias("pid"), "name")
-    j = per_order.join(dim, "product_id", "left")
-    g = j.groupBy("pid", "name").agg(
-        F.sum("q").alias("total_quantity"),
-        F.sum("r").alias("total_revenue"),
-        F.countDistinct("booking_id").alias("order_count"))
+    dim = product_dim(t.products, "name")
+    known = (per_order.groupBy("product_id")
+             .agg(F.sum("q").alias("total_quantity"), F.sum("r").alias("total_revenue"), F.count(F.lit(1)).alias("order_count"))
+             .join(dim, "product_id").withColumnRenamed("product_id", "pid")
+             .select("pid", "name", "total_quantity", "total_revenue", "order_count"))
+    unknown = (per_order.join(dim, "product_id", "left_anti")
+               .agg(F.sum("q").alias("total_quantity"), F.sum("r").alias("total_revenue"),
+                    F.countDistinct("booking_id").alias("order_count"))
+               .filter(F.col("order_count") > 0)
+               .select(F.lit(None).cast("long").alias("pid"), F.lit(None).cast("string").alias("name"),
+                       "total_quantity", "total_revenue", "order_count"))
+    g = known.union(unknown)
     top = g.orderBy(F.desc("total_revenue"), F.asc("pid")).limit(n)
     out = top.select(F.col("pid").alias("product_id"), "name", "total_quantity",
                      _money(F.col("total_revenue")).alias("total_revenue"), "order_count")

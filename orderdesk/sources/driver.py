@@ -97,7 +97,9 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
         p.p_partkey.alias("id"), p.p_name.alias("name"), p.p_brand.alias("description"),
         p.p_type.alias("category"), p.p_retailprice.cast(S.MONEY).alias("price"),
         p.p_size.alias("stock_quantity"),
-        F.concat(F.lit("SKU"), p.p_partkey.cast("string")).alias("sku"),
+        # Every 500th product repeats its neighbour's SKU, so the key audit has work.
+        F.concat(F.lit("SKU"), F.when(p.p_partkey % 500 == 0, p.p_partkey - 1).otherwise(p.p_partkey).cast("string"))
+        .alias("sku"),
         F.lit(None).cast("timestamp_ntz").alias("created_at"),
         F.lit(None).cast("timestamp_ntz").alias("updated_at"))
 
@@ -110,6 +112,8 @@ def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = (F.when(prio == "1", "pending").when(prio == "2", "approved")
               .when(prio == "3", "rejected").when(prio == "4", "delivered")
               .otherwise("not_delivered"))
+    # A few statuses outside the domain and a few unknown accountants, for the audits.
+    status = F.when(F.col("o_orderkey") % 997 == 0, "archived").otherwise(status)
     return j.select(
         F.col("o_orderkey").alias("id"),
         F.col("c_name").alias("customer_name"),
@@ -120,7 +124,7 @@ def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice").cast(S.MONEY).alias("amount"),
         status.alias("status"),
         F.col("c_nationkey").cast("long").alias("moderator_id"),
-        F.when(~F.col("o_orderpriority").startswith("1"), F.col("o_orderkey") % 25).alias("accountant_id"),
+        F.when(~F.col("o_orderpriority").startswith("1"), F.col("o_orderkey") % 27).alias("accountant_id"),
         F.when(prio.isin("4", "5"), F.col("o_custkey") % 25).alias("storeman_id"),
         F.col("o_orderdate").alias("created_at"),
         _plus_days("o_orderdate", F.col("o_orderkey") % 10).cast("timestamp_ntz").alias("updated_at"))
@@ -129,7 +133,7 @@ def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def booking_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _read(spark, sf_dir, "lineitem")
     return li.select(
-        li.l_orderkey.alias("booking_id"), li.l_linenumber.alias("line_no"),
+        (li.l_orderkey * 8 + li.l_linenumber).alias("id"), li.l_orderkey.alias("booking_id"),
         li.l_partkey.alias("product_id"), li.l_quantity.cast("int").alias("quantity"),
         li.l_extendedprice.cast(S.MONEY).alias("unit_price"))
 
@@ -166,11 +170,13 @@ def delivery_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def workflow_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review and delivery commands: click=approve, error=reject,
-    purchase=delivered, view=not_delivered; ``user_id`` names the booking."""
+    purchase=delivered, view=not_delivered (every 40th: a status that does not
+    exist); ``user_id`` names the booking."""
     e = _read(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "error", "purchase", "view"))
     t = F.col("event_type")
     action = (F.when(t == "click", "approve").when(t == "error", "reject")
-              .when(t == "purchase", "delivered").otherwise("not_delivered"))
+              .when(t == "purchase", "delivered").when(F.col("event_id") % 40 == 0, "returned")  # not a valid status
+              .otherwise("not_delivered"))
     is_delivery = t.isin("purchase", "view")
     eid = F.col("event_id")
     return e.select(

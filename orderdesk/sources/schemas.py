@@ -28,7 +28,7 @@ BOOKINGS = _schema(("id", _L, False), ("customer_name", _S, False), ("customer_p
                    ("accountant_id", _L, True), ("storeman_id", _L, True),
                    ("created_at", _TS, True), ("updated_at", _TS, True))
 
-BOOKING_ITEMS = _schema(("booking_id", _L, False), ("line_no", _I, True), ("product_id", _L, False),
+BOOKING_ITEMS = _schema(("id", _L, False), ("booking_id", _L, False), ("product_id", _L, False),
                         ("quantity", _I, False), ("unit_price", MONEY, False))
 
 DELIVERY_DETAILS = _schema(("id", _L, False), ("booking_id", _L, False), ("delivery_company", _S, True),

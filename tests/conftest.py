@@ -53,7 +53,7 @@ def golden(spark):
           ts(u), ts(u)) for i, pt, a, st, m, ac, sm, u in rows], S.BOOKINGS)
     items = [(1, 1, 1, 1), (1, 2, 2, 1), (2, 1, 3, 1), (3, 1, 2, 2), (4, 1, 1, 1), (5, 1, 4, 1), (6, 1, 2, 3)]
     booking_items = spark.createDataFrame(
-        [(b, ln, p, q, price[p]) for b, ln, p, q in items], S.BOOKING_ITEMS)
+        [(b * 8 + ln, b, p, q, price[p]) for b, ln, p, q in items], S.BOOKING_ITEMS)
     pays = [(1, "paid", "2024-03-05"), (2, "pending", None), (3, "paid", None), (4, "paid", "2023-03-01"),
             (5, "failed", None), (6, "paid", "2024-01-20")]
     payments = spark.createDataFrame(

@@ -20,7 +20,7 @@ def _faulty(spark, golden):
     extra_bookings = spark.createDataFrame(
         [(8, "X" * 101, "12345", " ", "Card", Decimal("5.00"), "lost", 77, None, None,
           ts("2024-01-01 00:00:00"), ts("2024-01-01 00:00:00"))], S.BOOKINGS)
-    orphan_items = spark.createDataFrame([(1000, 1, 1, 1, Decimal("99.99")), (8, 1, 555, 1, Decimal("5.00"))],
+    orphan_items = spark.createDataFrame([(8001, 1000, 1, 1, Decimal("99.99")), (65, 8, 555, 1, Decimal("5.00"))],
                                          S.BOOKING_ITEMS)
     return golden.replace(products=golden.products.unionByName(extra_products),
                           bookings=golden.bookings.unionByName(extra_bookings),

@@ -1,0 +1,98 @@
+"""Parameter cleaning, tag stripping, commit safety, cart order, rejected statuses."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from orderdesk.functions import text as TX
+from orderdesk.operators import workflow as W
+from orderdesk.plans import documents as DOC
+from orderdesk.plans import lists as L
+from orderdesk.plans import reports as R
+from orderdesk.sources import sinks
+
+CLEANED = [
+    (" 77 ", "77"), ("<b>77</b>", "77"), ("O'Brien", "O&#039;Brien"), (" 0 ", "0"), ("a < b", "a &lt; b"), ("a <3 x", "a "),
+    ("x<a href='>'>y</a>z", "xyz"), ("x<!-- <b> -->y", "xy"), ("x<!-- never closed", "x"), ('x<a title="un', "x"), ("<>", ""),
+    ("1 > 0", "1 &gt; 0"), ("tail <", "tail "), ("", ""), ("\t\x00 q \n", "q"), ("<br/>a<br >b", "ab"), ('"q"', "&quot;q&quot;"),
+]
+
+
+@pytest.mark.parametrize("raw, want", CLEANED)
+def test_param_cleaning(raw, want):
+    assert TX.clean_param(raw) == want
+    assert TX.clean_param(None) is None
+
+
+def test_column_cleaning_is_the_same(spark):
+    df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(CLEANED)], "i int, t string")
+    got = {r.i: r.c for r in df.select("i", TX.clean_text(F.col("t")).alias("c")).collect()}
+    assert got == {i: w for i, (_, w) in enumerate(CLEANED)}
+    long = spark.createDataFrame([("<a " + "'x' " * 50_000,)], "t string")
+    assert long.select(TX.clean_text(F.col("t"))).first()[0] == ""
+
+
+def test_searches_use_cleaned_parameters(spark, golden):
+    plain = [tuple(r) for r in L.booking_list(golden, search="Customer 3", status="approved").collect()]
+    assert plain and plain == [tuple(r) for r in L.booking_list(golden, search=" <i>Customer 3</i>\n", status=" approved ").collect()]
+    everything = L.booking_list(golden).count()
+    assert L.booking_list(golden, search=" 0 ", status="<b></b>").count() == everything
+    assert L.product_search(golden, search=" <b>case</b> ").count() == L.product_search(golden, search="case").count() > 0
+    assert L.payment_list(golden, payment_status=" paid ").count() == L.payment_list(golden, payment_status="paid").count() > 0
+    named = golden.replace(bookings=golden.bookings.withColumn("customer_name", F.lit("O&#039;Brien")))
+    assert L.booking_list(named, search="O'Brien").count() == everything
+    assert L.delivery_list(named, search="O'Brien", status="").count() > 0
+
+
+def test_commit_is_kept_on_replay(spark, tmp_path):
+    root = str(tmp_path / "out")
+    assert sinks.current_version(spark, root) is None
+    assert sinks.commit_versioned(spark, {"t": spark.range(10)}, root, "v1")
+    assert not sinks.commit_versioned(spark, {"t": spark.range(3)}, root, "v1")
+    assert sinks.read_current(spark, root, "t").count() == 10
+    assert sinks.commit_versioned(spark, {"t": spark.range(3)}, root, "v2")
+    assert sinks.read_current(spark, root, "t").count() == 3 and sinks.read_version(spark, root, "t", "v1").count() == 10
+    with pytest.raises(ValueError):
+        sinks.read_version(spark, root, "t", "v3")
+
+
+def test_failed_attempt_is_not_seen(spark, tmp_path):
+    root = str(tmp_path / "out")
+    bad = spark.range(5).select(F.raise_error(F.lit("boom")).alias("x"))
+    with pytest.raises(Exception, match="boom"):
+        sinks.commit_versioned(spark, {"a": spark.range(4), "b": bad}, root, "v1")
+    assert sinks.current_version(spark, root) is None
+    assert sinks.commit_versioned(spark, {"a": spark.range(6)}, root, "v1")
+    assert sinks.read_current(spark, root, "a").count() == 6
+
+
+def test_cart_lines_start_afresh_after_removal(spark):
+    picks = [(1, 1, 5), (1, 2, -7), (1, 3, 3), (2, 1, 5), (2, 2, -5), (3, 1, -2), (3, 2, 4), (4, 1, 2), (4, 2, 2)]
+    df = spark.createDataFrame([(c, n, 9, q) for c, n, q in picks], "cart_id long, pick_no int, product_id long, quantity int")
+    assert {r.cart_id: r.quantity for r in DOC.merged_cart_lines(df).collect()} == {1: 3, 3: 4, 4: 4}
+
+
+def test_unknown_status_is_rejected_with_its_message(spark, golden):
+    at = dt.datetime(2024, 3, 5)
+    rows = [(1, at, 3, 3, "returned"), (2, at, 3, 3, None), (3, at, 3, 3, "delivered")]
+    cmds = spark.createDataFrame([(*r, None, None, None, None) for r in rows],
+                                 "cmd_id long, ts timestamp_ntz, booking_id long, actor_id long, action string, "
+                                 "delivery_company string, tracking_number string, delivery_date string, notes string")
+    got = {r.cmd_id: r.reason for r in W.workflow_rejections(golden.bookings, cmds).collect()}
+    assert got == {1: W.MSG_BAD_DELIVERY_STATUS, 2: W.MSG_BAD_DELIVERY_STATUS}
+
+
+def test_top_products_group_unknown_products_once(spark, golden):
+    items = golden.booking_items.withColumn("product_id", F.when(F.col("product_id") == 2, 555).otherwise(F.col("product_id")))
+    rows = {r.product_id: (r.name, r.total_quantity, r.order_count)
+            for r in R.top_products(golden.replace(booking_items=items)).collect()}
+    assert rows[None] == (None, 6, 3)
+
+
+def test_documents_carry_item_ids(golden):
+    import json
+    doc = {r.id: json.loads(r.document) for r in DOC.booking_document(golden).collect()}
+    assert [i["id"] for i in doc[1]["items"]] == [9, 10]

@@ -53,7 +53,7 @@ def _tables(rng: random.Random) -> dict[str, list[tuple]]:
                          _maybe(rng, rng.randrange(1, 9)), _maybe(rng, created, 0.05),
                          _maybe(rng, created + dt.timedelta(days=rng.randrange(5)), 0.05)))
         for ln in range(rng.randrange(0, 4)):
-            items.append((b, ln + 1, rng.randrange(1, 16), rng.randrange(1, 6),
+            items.append((b * 8 + ln, b, rng.randrange(1, 16), rng.randrange(1, 6),
                           Decimal(rng.randrange(100, 5000)) / 100))
         if rng.random() < 0.85:
             pay_date = _maybe(rng, day0 + dt.timedelta(days=rng.randrange(240)), 0.25)

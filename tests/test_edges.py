@@ -19,9 +19,9 @@ from .conftest import d
 
 def test_group_concat_skips_null_parts(spark, golden):
     # A NULL quantity violates the declared schema; plant it with a nullable one.
-    items = spark.createDataFrame([(1, 1, 1, None, Decimal("1.00")), (1, 2, 2, 3, Decimal("1.00")),
-                                   (2, 1, 77, 1, Decimal("1.00"))],
-                                  "booking_id long, line_no int, product_id long, quantity int, "
+    items = spark.createDataFrame([(9, 1, 1, None, Decimal("1.00")), (10, 1, 2, 3, Decimal("1.00")),
+                                   (17, 2, 77, 1, Decimal("1.00"))],
+                                  "id long, booking_id long, product_id long, quantity int, "
                                   "unit_price decimal(10,2)")
     t = golden.replace(booking_items=items)
     rows = {r["id"]: r["products"] for r in L.booking_list(t).collect()}

@@ -157,7 +157,7 @@ def test_accepted_request_rows(requests, golden):
 def test_stock_audit_sums_lines(spark, golden):
     # Two accepted lines of product 3 (20 + 20) exceed its stock of 30 together.
     b = golden.bookings.limit(0).unionByName(_bookings(spark, {900: "pending"}))
-    items = spark.createDataFrame([(900, 1, 3, 20, Decimal("79.99")), (900, 2, 3, 20, Decimal("79.99"))],
+    items = spark.createDataFrame([(7201, 900, 3, 20, Decimal("79.99")), (7202, 900, 3, 20, Decimal("79.99"))],
                                   S.BOOKING_ITEMS)
     t = golden.replace(bookings=b, booking_items=items)
     rows = {r["product_id"]: r for r in A.audit_stock(t).collect()}
