@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import dates as D
 from .operators import audits as A
 from .operators import workflow as W
 from .plans import documents as DOC
@@ -81,21 +82,24 @@ def registry() -> dict[str, Callable[[Tables], DataFrame]]:
         "row_text_search": lambda t: L.row_text_search(t, "widget (3"),
         "booking_details": L.booking_details,
         # bulk forms of the write requests
-        "workflow_state": lambda t: W.workflow_state(t.bookings, t.workflow_commands),
-        "workflow_rejections": lambda t: W.workflow_rejections(t.bookings, t.workflow_commands),
+        "workflow_state": lambda t: W.workflow_state(t.booking_core, t.workflow_commands),
+        "workflow_rejections": lambda t: W.workflow_rejections(t.booking_core, t.workflow_commands),
         "payment_updates_applied": lambda t: W.payment_updates_applied(t.payments, t.payment_updates),
         "payment_update_rejections": lambda t: W.payment_update_rejections(t.payments, t.payment_updates),
-        "delivery_upsert": lambda t: W.delivery_upsert(t.delivery_details, t.bookings, t.workflow_commands),
+        "delivery_upsert": lambda t: W.delivery_upsert(t.delivery_details, t.booking_core, t.workflow_commands),
         "price_requests": lambda t: W.price_requests(t.booking_requests, t.booking_request_items, t.products),
         "request_rejections": lambda t: W.request_rejections(t.booking_requests, t.booking_request_items,
                                                              t.products),
         "new_booking_items": lambda t: W.new_booking_items(t.booking_requests, t.booking_request_items,
                                                            t.products),
+        "new_bookings": lambda t: DOC.money_out(W.new_bookings(t.booking_requests, t.booking_request_items, t.products,
+                                                               D.DEFAULT_AS_OF)),
         "initial_payments": lambda t: W.initial_payments(t.booking_requests, t.booking_request_items,
-                                                         t.products),
+                                                         t.products, D.DEFAULT_AS_OF),
         # documents, chart data, export rows, display texts, carts
         "booking_document": DOC.booking_document,
-        "chart_series": DOC.chart_points,
+        "chart_points": DOC.chart_points,
+        "chart_series": DOC.chart_json,
         "monthly_csv_rows": DOC.monthly_csv_rows,
         "display_formats": DOC.display_formats,
         "payment_weeks": DOC.payment_weeks,
@@ -111,7 +115,7 @@ def registry() -> dict[str, Callable[[Tables], DataFrame]]:
         "audit_amounts": A.audit_amounts,
         "audit_stock": A.audit_stock,
         "cascade_delete": lambda t: A.cascade_delete_summary(
-            t, t.bookings.filter(F.col("status") == "rejected").select("id")),
+            t, t.booking_core.filter(F.col("status") == "rejected").select("id")),
     }
 
 

@@ -84,6 +84,13 @@ def clean_text(c: Column) -> Column:
     return html_escape(F.regexp_replace(php_trim(c), TAG_PATTERN, ""))
 
 
+def to_int(c: Column) -> Column:
+    """Text to a whole number as a request id is read: the leading digits after
+    blanks and a sign, else 0 (NULL, no digits, too large for BIGINT)."""
+    digits = F.regexp_extract(c, r"^[ \t\n\r\x0B\f]*([+-]?[0-9]+)", 1)
+    return F.coalesce(digits.try_cast("long"), F.lit(0).cast("long"))
+
+
 def email_ok(c: Column) -> Column:
     return c.rlike(EMAIL_PATTERN)
 

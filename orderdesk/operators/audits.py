@@ -61,7 +61,7 @@ MAX_LENGTH = [("users", "username", 50), ("users", "full_name", 100), ("users",
 def audit_unique(t: Tables) -> DataFrame:
     """Duplicated values of declared unique keys (NULLs never collide):
     ``table_name, key_column, key_value, n``."""
-    tabs = _tables(t)
+    tabs = _tables(t) | {"bookings": t.booking_core}
     parts = []
     for table, col in UNIQUE_KEYS:
         g = (tabs[table].filter(F.col(col).isNotNull()).groupBy(col).count()
@@ -78,7 +78,7 @@ def audit_fk(t: Tables) -> DataFrame:
     tabs = _tables(t)
     parts = []
     for child, col, parent in FOREIGN_KEYS:
-        keys = tabs[parent].select(F.col("id").alias("__parent_id"))
+        keys = (t.booking_core if parent == "bookings" else tabs[parent]).select(F.col("id").alias("__parent_id"))
         # Count per referenced key first: a hot key is pre-combined in every
         # task, and the anti join sees distinct keys only.
         c = tabs[child].filter(F.col(col).isNotNull()).groupBy(col).count()
@@ -169,7 +169,7 @@ def audit_amounts(t: Tables) -> DataFrame:
     ``id, amount, items_total, difference`` (no lines counts as 0)."""
     tot = (t.booking_items.groupBy("booking_id")
            .agg(F.sum(F.col("quantity") * F.col("unit_price")).alias("items_total")))
-    b = t.bookings.select("id", "amount")
+    b = t.booking_core.select("id", "amount")
     j = b.join(tot, b["id"] == tot["booking_id"], "left")
     items_total = F.coalesce(F.col("items_total"), F.lit(0))
     return (j.filter(F.col("amount") != items_total)
@@ -183,7 +183,7 @@ def audit_stock(t: Tables, open_statuses=("pending", "approved")) -> DataFrame:
     delivered or refused). Lines are checked one by one when booked, so two
     lines of one product can pass while their sum exceeds stock:
     ``product_id, name, stock_quantity, demand, shortfall``."""
-    open_ids = t.bookings.filter(F.col("status").isin(*open_statuses)).select(F.col("id").alias("booking_id"))
+    open_ids = t.booking_core.filter(F.col("status").isin(*open_statuses)).select(F.col("id").alias("booking_id"))
     demand = (t.booking_items.join(open_ids, "booking_id", "left_semi")
               .groupBy("product_id").agg(F.sum("quantity").alias("demand")))
     p = t.products.select(F.col("id").alias("product_id"), "name", "stock_quantity")
@@ -217,7 +217,7 @@ def cascade_delete_summary(t: Tables, deleted_ids: DataFrame) -> DataFrame:
     parts = []
     for name, key in (("bookings", "id"), ("booking_items", "booking_id"),
                       ("payments", "booking_id"), ("delivery_details", "booking_id")):
-        per_key = getattr(t, name).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+        per_key = getattr(t, "booking_core" if name == "bookings" else name).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
         j = per_key.join(gone.withColumnRenamed("id", key), key, "left")
         parts.append(j.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("rows_before"),
                            F.coalesce(F.sum(F.when(F.col("__hit").isNull(), F.col("__n"))), F.lit(0))

@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import dates as D
 from ..functions import text as TX
 from ..sources import schemas as S
 from .joins import product_dim
@@ -348,15 +349,22 @@ def accepted_ids(outcomes: DataFrame) -> DataFrame:
             .select("request_id", "amount", F.col("request_id").alias("new_id")))
 
 
-def booking_rows(requests: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Booking rows to append: cleaned customer fields, amount, status pending."""
+def _at(as_of) -> Column:
+    return F.lit(str(as_of)).cast("timestamp_ntz")
+
+
+def booking_rows(requests: DataFrame, accepted: DataFrame, as_of) -> DataFrame:
+    """Booking rows to append, with every declared column: cleaned customer
+    fields, amount, status pending, nobody else assigned, created and updated
+    at ``as_of``; plus the request they come from."""
     r = requests.join(accepted.select("request_id", "amount", "new_id"), "request_id", "inner")
     return r.select(
         F.col("new_id").alias("id"), "request_id",
         *[TX.clean_text(F.col(c)).alias(c) for c in
           ("customer_name", "customer_phone", "customer_address", "payment_type")],
         F.col("amount").cast("decimal(10,2)").alias("amount"), F.lit("pending").alias("status"),
-        "moderator_id")
+        "moderator_id", F.lit(None).cast("long").alias("accountant_id"), F.lit(None).cast("long").alias("storeman_id"),
+        _at(as_of).alias("created_at"), _at(as_of).alias("updated_at"))
 
 
 def item_rows(lines: DataFrame, accepted: DataFrame, hot: DataFrame | None = None) -> DataFrame:
@@ -368,17 +376,24 @@ def item_rows(lines: DataFrame, accepted: DataFrame, hot: DataFrame | None = Non
 
 
 def payment_rows(bookings: DataFrame) -> DataFrame:
-    """Payment row of each new booking: 'Online Paid' → paid, else pending; no date."""
+    """Payment row of each new booking, with every declared column: 'Online
+    Paid' → paid, else pending; no date. It takes the booking's id and times."""
+    none = F.lit(None).cast("string")
     return bookings.select(
-        F.col("id").alias("booking_id"),
+        "id", F.col("id").alias("booking_id"),
         F.when(F.col("payment_type") == "Online Paid", "paid").otherwise("pending").alias("payment_status"),
-        F.lit(None).cast("date").alias("payment_date"),
-        F.col("moderator_id").alias("updated_by"))
+        F.lit(None).cast("date").alias("payment_date"), none.alias("payment_method"), none.alias("transaction_id"),
+        none.alias("notes"), F.col("moderator_id").alias("updated_by"), "created_at", "updated_at")
 
 
-def new_bookings(requests: DataFrame, request_items: DataFrame, products: DataFrame) -> DataFrame:
+def new_bookings(requests: DataFrame, request_items: DataFrame, products: DataFrame, as_of=D.DEFAULT_AS_OF) -> DataFrame:
     """Booking rows to append for the accepted requests (status pending)."""
-    return booking_rows(requests, accepted_ids(price_requests(requests, request_items, products)))
+    return booking_rows(requests, accepted_ids(price_requests(requests, request_items, products)), as_of)
+
+
+def appended(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """``table`` with the new ``rows`` behind it, in the table's columns."""
+    return table.unionByName(rows.select(*table.columns))
 
 
 def new_booking_items(requests: DataFrame, request_items: DataFrame, products: DataFrame) -> DataFrame:
@@ -389,6 +404,6 @@ def new_booking_items(requests: DataFrame, request_items: DataFrame, products: D
     return out.withColumn("unit_price", F.col("unit_price").cast("double"))
 
 
-def initial_payments(requests: DataFrame, request_items: DataFrame, products: DataFrame) -> DataFrame:
+def initial_payments(requests: DataFrame, request_items: DataFrame, products: DataFrame, as_of=D.DEFAULT_AS_OF) -> DataFrame:
     """Payment row of each new booking: 'Online Paid' → paid, else pending; no date."""
-    return payment_rows(new_bookings(requests, request_items, products))
+    return payment_rows(new_bookings(requests, request_items, products, as_of))

@@ -89,6 +89,20 @@ def chart_series(t: Tables, as_of=D.DEFAULT_AS_OF) -> DataFrame:
     return one_row(m, s)
 
 
+def chart_json(t: Tables, as_of=D.DEFAULT_AS_OF) -> DataFrame:
+    """``chart_series`` as the page embeds it: each array as JSON text, money with its cents."""
+    numbers = F.transform("revenue_data", lambda x: x.cast("decimal(20,2)").cast("string"))
+    counts = F.transform("status_data", lambda x: x.cast("string"))
+    return chart_series(t, as_of).select(
+        F.to_json("revenue_labels").alias("revenue_labels"), F.concat(F.lit("["), F.array_join(numbers, ","), F.lit("]")).alias("revenue_data"),
+        F.to_json("status_labels").alias("status_labels"), F.concat(F.lit("["), F.array_join(counts, ","), F.lit("]")).alias("status_data"))
+
+
+def money_out(df: DataFrame) -> DataFrame:
+    """DECIMAL ``amount`` as DOUBLE at the output edge."""
+    return df.withColumn("amount", F.col("amount").cast("double"))
+
+
 def monthly_csv_rows(t: Tables, as_of=D.DEFAULT_AS_OF) -> DataFrame:
     """Rows of the monthly CSV export: ``Month,Orders,Revenue,Avg Order Value``
     (revenue as exact text, average unrounded)."""

@@ -43,7 +43,7 @@ def dense_ids(df: DataFrame, order_col: str, start: int, name: str = "new_id") -
 
 
 def process_booking_requests(spark: SparkSession, t: Tables, root: str, version: str,
-                             dense: bool = False) -> dict[str, DataFrame]:
+                             dense: bool = False, as_of=D.DEFAULT_AS_OF) -> dict[str, DataFrame]:
     """Price and stock-check all requests; commit new bookings, their items,
     their payment rows, their item texts (to append to ``booking_labels``)
     and the rejections as one version under ``root``.
@@ -59,7 +59,7 @@ def process_booking_requests(spark: SparkSession, t: Tables, root: str, version:
         start = (t.bookings.agg(F.max("id")).first()[0] or 0) + 1
         ids = dense_ids(accepted.select("request_id"), "request_id", start, "new_id").checkpoint()
         accepted = accepted.drop("new_id").join(ids, "request_id", "inner")
-    new_bookings = W.booking_rows(t.booking_requests, accepted)
+    new_bookings = W.booking_rows(t.booking_requests, accepted, as_of)
     items = W.item_rows(lines, accepted)
     payments = W.payment_rows(new_bookings)
     rejections = outcome.filter(F.col("outcome") == "rejected").select("request_id", "message")

@@ -204,7 +204,8 @@ def row_text_search(t: Tables, query: str, search: Optional[str] = None,
              F.concat(F.lit("by "), F.col("moderator_name")),
              F.col("customer_name"), F.col("customer_phone"), F.col("products"),
              FM.currency(F.col("amount").cast("decimal(12,2)")), F.col("payment_type"),
-             FM.status_label(F.col("status")), FM.datetime_text(F.col("created_at"))]
+             FM.status_label(F.col("status")), FM.datetime_text(F.col("created_at")),
+             F.concat(F.lit("View"), F.when(F.col("status") == "pending", " Approve Reject").otherwise(""))]
     return rows.filter(TX.row_contains(cells, query))
 
 

@@ -31,7 +31,8 @@ def paid_bookings(t: Tables, *cols: str) -> DataFrame:
     """
     pay = (t.payments.filter(F.col("payment_status") == "paid")
            .select("booking_id", "payment_status", "payment_date"))
-    b = t.bookings.select("id", *cols)
+    core = set(cols) <= set(t.booking_core.columns)
+    b = (t.booking_core if core else t.bookings).select("id", *cols)
     return b.join(pay, b["id"] == pay["booking_id"], "inner").drop("booking_id")
 
 
@@ -60,14 +61,14 @@ def revenue_overview(t: Tables, as_of=D.DEFAULT_AS_OF, same_year: bool = False,
 
 def booking_stats(t: Tables) -> DataFrame:
     """Stats strip of the bookings page: total and four status counts."""
-    return status_counts(t.bookings, "status", {
+    return status_counts(t.booking_core, "status", {
         "pending": "pending", "approved": "approved", "delivered": "delivered",
         "rejected": "rejected"}, total="total")
 
 
 def booking_stats_full(t: Tables) -> DataFrame:
     """Status counts of the reports page, including ``not_delivered``."""
-    return status_counts(t.bookings, "status", {
+    return status_counts(t.booking_core, "status", {
         "pending": "pending", "approved": "approved", "delivered": "delivered",
         "not_delivered": "not_delivered", "rejected": "rejected"}, total="total_bookings")
 
@@ -75,7 +76,7 @@ def booking_stats_full(t: Tables) -> DataFrame:
 def delivery_stats(t: Tables, as_of=D.DEFAULT_AS_OF) -> DataFrame:
     """Storeman figures: ready, delivered today (by ``updated_at``), delivered, not delivered."""
     s = F.col("status")
-    return t.bookings.select("status", "updated_at").agg(
+    return t.booking_core.select("status", "updated_at").agg(
         count_where(s == "approved").alias("ready_for_delivery"),
         count_where((s == "delivered") & D.same_day(F.col("updated_at"), as_of)).alias("delivered_today"),
         count_where(s == "delivered").alias("total_delivered"),
@@ -86,7 +87,7 @@ def payment_stats(t: Tables) -> DataFrame:
     """Payment strip: every booking counts in ``total_payments`` (left join), a
     booking without a payment row lands in no status bucket."""
     pay = t.payments.select("booking_id", "payment_status")
-    b = t.bookings.select("id", "amount")
+    b = t.booking_core.select("id", "amount")
     j = b.join(pay, b["id"] == pay["booking_id"], "left")
     s = F.col("payment_status")
     return j.agg(
@@ -124,7 +125,7 @@ def top_products(t: Tables, n: int = 10, ranked: bool = False, paid: DataFrame |
     """
     if paid is None:
         paid_ids = (t.payments.filter(F.col("payment_status") == "paid").select("booking_id")
-                    .join(t.bookings.select(F.col("id").alias("booking_id")), "booking_id", "left_semi"))
+                    .join(t.booking_core.select(F.col("id").alias("booking_id")), "booking_id", "left_semi"))
     else:
         paid_ids = paid.select(F.col("id").alias("booking_id")).distinct()
     per_order = (t.booking_items.groupBy("booking_id", "product_id")
@@ -197,7 +198,7 @@ def dash_moderator(t: Tables, moderator_id: int = 1) -> DataFrame:
 def dash_accountant(t: Tables) -> DataFrame:
     """Accountant dashboard: bookings, pending, delivered and delivered revenue."""
     s = F.col("status")
-    return t.bookings.select("status", "amount").agg(
+    return t.booking_core.select("status", "amount").agg(
         F.count(F.lit(1)).alias("total_bookings"),
         count_where(s == "pending").alias("pending_approval"),
         count_where(s == "delivered").alias("delivered_orders"),

@@ -24,7 +24,7 @@ class Tables:
 
     FIELDS = ("users", "products", "bookings", "booking_items", "payments", "delivery_details",
               "workflow_commands", "payment_updates", "booking_requests", "booking_request_items",
-              "cart_lines", "booking_labels")
+              "cart_lines", "booking_labels", "booking_core")
 
     def __init__(self, **parts):
         unknown = set(parts) - set(self.FIELDS)
@@ -37,6 +37,8 @@ class Tables:
         if name not in parts:
             raise AttributeError(name)
         value = parts[name]
+        if value is None and name == "booking_core":
+            return self.bookings  # the narrow columns are there too
         if value is not None and not isinstance(value, DataFrame):
             value = parts[name] = value()
         return value
@@ -44,6 +46,8 @@ class Tables:
     def replace(self, **changes) -> "Tables":
         """A copy with some members replaced."""
         merged = dict(self.__dict__["_parts"])
+        if "bookings" in changes:
+            merged["booking_core"] = None  # follows the bookings
         merged.update(changes)
         return Tables(**merged)
 
@@ -104,30 +108,41 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("timestamp_ntz").alias("updated_at"))
 
 
-def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _read(spark, sf_dir, "orders")
-    c = _read(spark, sf_dir, "customer")
-    j = o.join(c, o.o_custkey == c.c_custkey, "left")
+def _booking_core() -> list[Column]:
+    """The booking columns that ``orders`` alone gives."""
     prio = F.substring(F.col("o_orderpriority"), 1, 1)
     status = (F.when(prio == "1", "pending").when(prio == "2", "approved")
               .when(prio == "3", "rejected").when(prio == "4", "delivered")
               .otherwise("not_delivered"))
     # A few statuses outside the domain and a few unknown accountants, for the audits.
     status = F.when(F.col("o_orderkey") % 997 == 0, "archived").otherwise(status)
-    return j.select(
+    return [
         F.col("o_orderkey").alias("id"),
-        F.col("c_name").alias("customer_name"),
-        _phone(F.col("o_custkey")).alias("customer_phone"),
-        F.concat(F.col("c_mktsegment"), F.lit(" district "), F.col("c_nationkey").cast("string"))
-        .alias("customer_address"),
-        _payment_type(F.col("c_mktsegment")).alias("payment_type"),
         F.col("o_totalprice").cast(S.MONEY).alias("amount"),
         status.alias("status"),
-        F.col("c_nationkey").cast("long").alias("moderator_id"),
         F.when(~F.col("o_orderpriority").startswith("1"), F.col("o_orderkey") % 27).alias("accountant_id"),
         F.when(prio.isin("4", "5"), F.col("o_custkey") % 25).alias("storeman_id"),
         F.col("o_orderdate").alias("created_at"),
-        _plus_days("o_orderdate", F.col("o_orderkey") % 10).cast("timestamp_ntz").alias("updated_at"))
+        _plus_days("o_orderdate", F.col("o_orderkey") % 10).cast("timestamp_ntz").alias("updated_at")]
+
+
+def booking_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bookings without their customer and moderator columns: no join."""
+    return _read(spark, sf_dir, "orders").select(*_booking_core())
+
+
+def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _read(spark, sf_dir, "orders")
+    c = _read(spark, sf_dir, "customer")
+    j = o.join(c, o.o_custkey == c.c_custkey, "left").select(
+        *_booking_core(),
+        F.col("c_name").alias("customer_name"),
+        _phone(F.col("o_custkey")).alias("customer_phone"),
+        F.concat(F.col("c_mktsegment"), F.lit(" district "), F.col("c_nationkey").cast("string"))
+        .alias("customer_address"),
+        _payment_type(F.col("c_mktsegment")).alias("payment_type"),
+        F.col("c_nationkey").cast("long").alias("moderator_id"))
+    return j.select(*[f.name for f in S.BOOKINGS.fields])
 
 
 def booking_items(spark: SparkSession, sf_dir: str) -> DataFrame:

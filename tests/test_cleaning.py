@@ -96,3 +96,34 @@ def test_documents_carry_item_ids(golden):
     import json
     doc = {r.id: json.loads(r.document) for r in DOC.booking_document(golden).collect()}
     assert [i["id"] for i in doc[1]["items"]] == [9, 10]
+
+
+def test_text_to_int(spark):
+    cases = [("12", 12), (" 7x", 7), ("-3", -3), ("+4.9", 4), ("abc", 0), ("", 0), (None, 0), ("9" * 30, 0)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    assert [r.n for r in df.orderBy("i").select(TX.to_int(F.col("t")).alias("n")).collect()] == [n for _, n in cases]
+
+
+def test_new_rows_carry_every_column_and_can_be_appended(spark, golden):
+    req = spark.createDataFrame([(50, "Ann", "+1 555 0000000", "Road 1", "Online Paid", 1)],
+                                "request_id long, customer_name string, customer_phone string, customer_address string, "
+                                "payment_type string, moderator_id long")
+    items = spark.createDataFrame([(50, 1, 1, 1)], "request_id long, line_no int, product_id long, quantity int")
+    new = W.new_bookings(req, items, golden.products, "2024-04-01")
+    more = golden.replace(bookings=W.appended(golden.bookings, new),
+                          payments=W.appended(golden.payments, W.payment_rows(new)))
+    assert more.payments.filter("booking_id = 50").first()["payment_status"] == "paid"
+    assert [r.id for r in L.recent_bookings(more, 1).collect()][0] == 50  # the newest first
+
+
+def test_core_bookings_need_no_customer_join(spark):
+    from orderdesk.sources.driver import driver_tables
+
+    from .conftest import SMOKE_DIR
+    t = driver_tables(spark, SMOKE_DIR)
+    plan = R.booking_stats(t)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    assert set(t.booking_core.columns) < set(t.bookings.columns)
+    same = t.bookings.select(*t.booking_core.columns)
+    assert same.exceptAll(t.booking_core).count() == 0 and t.booking_core.exceptAll(same).count() == 0
+    assert t.replace(bookings=t.bookings.limit(3)).booking_core.count() == 3
