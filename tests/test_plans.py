@@ -8,11 +8,11 @@ import io
 
 import pytest
 
-import __spark_entry__ as E
+from orderdesk import catalog
 
 from .conftest import SMOKE_DIR
 
-QUERIES = E.queries()
+QUERIES = catalog.queries()
 
 
 def plan(df) -> str:
