@@ -7,12 +7,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from orderdesk import catalog, oracle
 from tools.check_oracle import TABLES, digest
 
 from .conftest import SMOKE_DIR
 
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = catalog.queries()
+SQL = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
