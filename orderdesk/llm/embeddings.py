@@ -178,13 +178,27 @@ def _lists(table: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(table.reshape(-1).view(np.int64)))
 
 
+def _unit_arrays(vectors: pa.Array) -> pa.Array:
+    """Each vector scaled by its largest component, then to length 1; null unless all components are usable."""
+    values = vectors.flatten().to_numpy(zero_copy_only=False)  # a null component becomes NaN
+    sizes = [0 if not v.is_valid else len(v) for v in vectors]
+    out, at = [], 0
+    for size in sizes:
+        v, at = values[at:at + size], at + size
+        top = np.abs(v).max() if size else 0.0
+        if top > 0 and np.isfinite(v).all():
+            v = v / top
+            out.append(v / np.sqrt(v @ v))
+        else:
+            out.append(None)
+    return pa.array(out, pa.list_(pa.float64()))
+
+
 def _unit(vector: Column) -> Column:
-    """The vector scaled by its largest component, then to length 1; null unless all components are usable."""
-    top = F.array_max(F.transform(vector, F.abs))
-    usable = (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (top > 0)
-    scaled = F.transform(vector, lambda x: x / top)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(usable, F.transform(scaled, lambda x: x / norm))
+    def run(vectors: pa.Array) -> pa.Array:
+        return _unit_arrays(vectors)
+    run.__annotations__ = {"vectors": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<double>")(vector)
 
 
 def cosine(a: Column, b: Column) -> Column:
