@@ -73,18 +73,25 @@ def audit_unique(t: Tables) -> DataFrame:
 
 def audit_fk(t: Tables) -> DataFrame:
     """Child rows whose non-NULL reference has no parent, per missing value:
-    ``table_name, fk_column, missing_id, n``. Children are counted per key
-    before the anti join; parents are read as key columns only."""
+    ``table_name, fk_column, missing_id, n``. All reference columns of a child
+    are stacked and counted per value in one pass; the anti joins with the
+    parents' keys then see each value once, so a hot key is one row."""
     tabs = _tables(t)
-    parts = []
+    parents = tabs | {"bookings": t.booking_core}
+    references: dict[str, list[tuple[str, str]]] = {}
     for child, col, parent in FOREIGN_KEYS:
-        keys = (t.booking_core if parent == "bookings" else tabs[parent]).select(F.col("id").alias("__parent_id"))
-        # Count per referenced key first: a hot key is pre-combined in every
-        # task, and the anti join sees distinct keys only.
-        c = tabs[child].filter(F.col(col).isNotNull()).groupBy(col).count()
-        g = c.join(keys, c[col] == keys["__parent_id"], "left_anti")
-        parts.append(g.select(F.lit(child).alias("table_name"), F.lit(col).alias("fk_column"),
-                              F.col(col).cast("long").alias("missing_id"), F.col("count").alias("n")))
+        references.setdefault(child, []).append((col, parent))
+    parts = []
+    for child, keys in references.items():
+        cols = [col for col, _ in keys]
+        stacked = (tabs[child].select(*[F.col(c).cast("long").alias(c) for c in cols])
+                   .unpivot([], cols, "fk_column", "missing_id").filter(F.col("missing_id").isNotNull()))
+        counts = stacked.groupBy("fk_column", "missing_id").agg(F.count(F.lit(1)).alias("n"))
+        for parent in dict.fromkeys(p for _, p in keys):
+            known = parents[parent].select(F.col("id").alias("__parent_id"))
+            asked = counts.filter(F.col("fk_column").isin(*[c for c, p in keys if p == parent]))
+            parts.append(asked.join(known, asked["missing_id"] == known["__parent_id"], "left_anti")
+                         .select(F.lit(child).alias("table_name"), "fk_column", "missing_id", "n"))
     return _union(parts)
 
 
