@@ -52,7 +52,9 @@ BANDS = 42
 ROWS = 6
 BOTTOM = 256  # smallest hashes kept for the comparison in blocks
 SPREAD = 4.5
-BLOCK = 96
+BLOCK = 256
+PAIRS_AT_ONCE = 1 << 16
+HASHES_AT_ONCE = 1 << 13
 SHINGLE = 5
 SIMILARITY = 80  # percent
 
@@ -277,12 +279,15 @@ def _compare(percent: int):
                 bands = group.field(4).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
                 ends = np.cumsum([0, *(len(x) for x in group.field(5))])
                 low = group.field(5).flatten().to_numpy(zero_copy_only=False).view(np.uint32)
-                x, y = np.triu_indices(len(ids), 1)
+                x, y = np.triu_indices(len(ids), 1)  # of one pair of blocks
                 ask = (labels[x] != labels[y]) & (100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y]))
                 if batch.column(1)[row].as_py() != batch.column(2)[row].as_py():
                     ask &= block[x] != block[y]
                 x, y = x[ask], y[ask]
-                first = (bands[x] == bands[y]).argmax(axis=1) == batch.column(0)[row].as_py()
+                here = batch.column(0)[row].as_py()
+                first = np.concatenate([np.empty(0, bool)] + [
+                    (bands[x[k:k + PAIRS_AT_ONCE]] == bands[y[k:k + PAIRS_AT_ONCE]]).argmax(axis=1) == here
+                    for k in range(0, len(x), PAIRS_AT_ONCE)])
                 x, y = x[first], y[first]
                 both, union = overlaps(low, ends, sizes, x, y)
                 whole = (sizes[x] <= BOTTOM) & (sizes[y] <= BOTTOM)
@@ -327,9 +332,14 @@ def overlaps(low: np.ndarray, ends: np.ndarray, sizes: np.ndarray, x: np.ndarray
         return np.empty(0), np.empty(0)
     n = len(ends) - 1
     names, at = np.unique(low, return_inverse=True)
-    held = np.zeros((n, len(names)), np.float32)
-    held[np.repeat(np.arange(n), np.diff(ends)), at] = 1
-    both = (held @ held.T)[x, y]
+    owner = np.repeat(np.arange(n), np.diff(ends))
+    common = np.zeros((n, n), np.float32)
+    for k in range(0, len(names), HASHES_AT_ONCE):
+        part = (at >= k) & (at < k + HASHES_AT_ONCE)
+        held = np.zeros((n, min(HASHES_AT_ONCE, len(names) - k)), np.float32)
+        held[owner[part], at[part] - k] = 1
+        common += held @ held.T
+    both = common[x, y]
     top = np.array([np.inf if sizes[k] <= BOTTOM else float(low[ends[k + 1] - 1]) for k in range(n)])
     below = np.stack([np.searchsorted(low[ends[k]:ends[k + 1]], top, side="right") for k in range(n)])  # of set k, up to each top
     nx = np.where(top[y] < top[x], below[x, y], np.diff(ends)[x])
