@@ -1,12 +1,16 @@
 """Licence scans: TF-IDF cosine to licence templates, then inheritance by directory.
 
-A file's own licence is the template that one of its lines (a header) or its
-whole text (a licence file) comes closest to, if the cosine reaches
-``MIN_COSINE``. Vectors are sparse: term weights are frequency times inverse
+A file's own licence is the template that one of its lines, a run of its lines
+(a header, wrapped as it may be) or its whole text (a licence file) comes
+closest to, if the cosine reaches ``MIN_COSINE``. Runs are those of consecutive
+lines that hold terms, up to ``RUN`` times the terms of the longest template;
+comment marks and empty lines hold none. Vectors are sparse: term weights are frequency times inverse
 document frequency counted over all documents; words in no template weigh 1.
 Only texts that hold one of a template's heavy terms are compared: without any
-of them the cosine cannot reach the threshold, so nothing is lost. A text is
-scored where it is read; only paths and licences move.
+of them the cosine cannot reach the threshold, so nothing is lost. Likewise
+only runs that begin and end in a line with a term of a template, from a line
+whose longest run holds enough of one, are compared. A text is scored where it
+is read; only paths and licences move.
 
 A file without a licence of its own takes that of the nearest ancestor
 directory that holds a licence file: paths are expanded to their ancestor
@@ -32,6 +36,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, checkpointed
 
 MIN_COSINE = 0.7
+RUN = 1.5
 TOKEN = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 # Licence names and the wording of their usual notices.
@@ -114,21 +119,74 @@ def heavy_terms(weights: list[tuple[str, int, str, float]], least: float) -> lis
 
 def own_licences(files: DataFrame, text: str, templates: tuple[tuple[str, str], ...] = TEMPLATES,
                  min_cosine: float = MIN_COSINE) -> DataFrame:
-    """``files`` with ``__own``: (minus the cosine, licence, whole) of its close lines and whole text, best first; or null."""
+    """``files`` with ``__own``: (minus the cosine, licence, whole) of its close lines, runs and whole text, best first; or null."""
     vocabulary = sorted({t for _, body in templates for t in terms_of(body)})
     idf = inverse_frequencies(files, text, vocabulary)
     weights = template_weights(idf, templates)
-    heavy = F.lit("(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in heavy_terms(weights, min_cosine)) + ")(?![a-z0-9])")
+    heavy = _any_of(heavy_terms(weights, min_cosine))
+    most = int(RUN * max(sum(terms_of(t).values()) for _, t in templates))
     body = F.col(text)
     close = F.filter(F.split(body, "\n", -1), lambda line: F.rlike(F.lower(line), heavy))
     vectors = F.concat(
         F.array(F.struct(_vector(body, vocabulary).alias("v"), F.lit(True).alias("whole"))),
-        F.transform(close, lambda line: F.struct(_vector(line, vocabulary).alias("v"), F.lit(False).alias("whole"))))
+        F.transform(F.concat(close, F.col("__runs")), lambda unit: F.struct(
+            _vector(unit, vocabulary).alias("v"), F.lit(False).alias("whole"))))
     found = F.sort_array(F.filter(
         F.transform(vectors, lambda u: _closest(u["v"], u["whole"], idf, weights, templates)),
         lambda m: m["minus"] <= -min_cosine))
-    own = F.when(F.rlike(F.lower(body), heavy), found)
-    return files.withColumn("__own", own).withColumn("__own", F.when(F.size("__own") > 0, F.col("__own")))
+    asked = F.rlike(F.lower(body), heavy)
+    held = _with_runs(files.withColumn("__body", F.when(asked, body)), weights, heavy, vocabulary, most, min_cosine)
+    return (held.withColumn("__own", F.when(asked, found)).drop("__runs")
+            .withColumn("__own", F.when(F.size("__own") > 0, F.col("__own"))))
+
+
+def _any_of(terms: list[str]) -> Column:
+    return F.lit("(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in terms) + ")(?![a-z0-9])")
+
+
+def _with_runs(files: DataFrame, weights: list[tuple[str, int, str, float]], heavy: Column, vocabulary: list[str],
+               most: int, min_cosine: float) -> DataFrame:
+    """``files`` with ``__runs``: the runs of two or more lines of ``__body``, up to ``most`` terms, that may be close.
+
+    A run is left out only if a shorter one is closer (its first or last line
+    has no term of a template) or if no template can be close (it has no heavy
+    term, or from its first line on too little of any template follows).
+    """
+    squares: dict[str, list[float]] = {t: [0.0] * (1 + max(w[1] for w in weights)) for t in vocabulary}
+    for _, number, term, weight in weights:
+        squares[term][number] = weight * weight
+    table = F.create_map(*[x for t, row in sorted(squares.items()) for x in (F.lit(t), F.array(*[F.lit(w) for w in row]))])
+    known = F.array(*[F.lit(t) for t in vocabulary])
+    zeros = F.array(*[F.lit(0.0)] * len(next(iter(squares.values()))))
+    lines = F.filter(F.transform(F.split("__body", "\n", -1), lambda line: F.struct(
+        line.alias("line"), F.size(tokens(line)).alias("n"), F.rlike(F.lower(line), heavy).cast("int").alias("heavy"),
+        F.rlike(F.lower(line), _any_of(vocabulary)).alias("known"))), lambda x: x["n"] > 0)
+    sums = F.aggregate("__lines", F.array(F.struct(F.lit(0).alias("n"), F.lit(0).alias("heavy"))), lambda acc, x: F.concat(
+        acc, F.array(F.struct((F.element_at(acc, -1)["n"] + x["n"]).alias("n"), (F.element_at(acc, -1)["heavy"] + x["heavy"]).alias("heavy")))))
+
+    def between(a: Column, b: Column, name: str) -> Column:  # of lines a .. b
+        return F.element_at("__sums", b + 1)[name] - F.element_at("__sums", a)[name]
+
+    def joined(a: Column, b: Column) -> Column:
+        return F.array_join(F.transform(F.slice("__lines", a, b - a + 1), lambda x: x["line"]), "\n")
+
+    def enough(a: Column, b: Column) -> Column:
+        present = F.array_intersect(tokens(joined(a, b)), known)
+        return F.array_max(F.aggregate(present, zeros, lambda acc, t: F.zip_with(
+            acc, F.element_at(table, t), lambda x, y: x + y))) >= min_cosine * min_cosine * (1 - 1e-9)
+
+    def last(a: Column) -> Column:  # each line has a term, so it is at most ``most`` lines on
+        return F.array_max(F.filter(F.sequence(a, F.least(a + most - 1, F.size("__lines"))),
+                                    lambda b: (b == a) | (between(a, b, "n") <= most)))
+    firsts = F.filter(F.transform(F.filter(F.sequence(F.lit(1), F.size("__lines")), lambda a: (
+        F.element_at("__lines", a)["known"] & (between(a, F.least(a + most - 1, F.size("__lines")), "heavy") > 0))),
+        lambda a: F.struct(a.alias("a"), last(a).alias("b"))), lambda x: (x["b"] > x["a"]) & enough(x["a"], x["b"]))
+    runs = F.flatten(F.transform(firsts, lambda x: F.transform(
+        F.filter(F.sequence(x["a"] + 1, x["b"]), lambda b: F.element_at("__lines", b)["known"] & (between(x["a"], b, "heavy") > 0)),
+        lambda b: joined(x["a"], b))))
+    return (files.withColumn("__lines", lines).withColumn("__sums", sums)
+            .withColumn("__runs", F.when(F.size("__lines") > 1, runs).otherwise(F.array().cast("array<string>")))
+            .drop("__body", "__lines", "__sums"))
 
 
 def _vector(text: Column, vocabulary: list[str]) -> Column:

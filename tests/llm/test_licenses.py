@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,3 +88,16 @@ def test_odd_rows(spark, odd, none):
                                 "path string, text string")
     assert sorted((r.path or "", r["__licence"] or "", r["__from"]) for r in licenses.licensed(one).collect()) == [
         ("", "", None), ("LICENSE", "MIT", None), ("x/y/z.c", "MIT", ""), ("x/y/z.c", "MIT", "")]
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_wrapped_notices(spark, mark):
+    long = [(name, body) for name, body in licenses.TEMPLATES if len(body) > 100]
+    files = [(f"d{i}/x.c", name, "\n".join([
+        f"{mark}Thor and stone zu {i}", mark.rstrip(), *[mark + x for x in textwrap.wrap(body, 50)], mark.rstrip(), "int main() {", "  return 0;", "}"]))
+        for i, (name, body) in enumerate(long)]
+    files += [(f"p{i}/y.c", None, f"int f{i}() {{\n  return the_sum_of(all, any);\n}}\n# a copy of the file") for i in range(200)]
+    df = spark.createDataFrame([(p, t) for p, _, t in files], "path string, text string").repartition(3)
+    got = {r.path: (r["__licence"], r["__cosine"]) for r in licenses.licensed(df).collect()}
+    assert {p: got[p][0] for p, _, _ in files} == {p: name for p, name, _ in files}
+    assert all(got[p][1] > 0.99 for p, name, _ in files if name)
