@@ -12,6 +12,12 @@ only runs that begin and end in a line with a term of a template, from a line
 whose longest run holds enough of one, are compared. A text is scored where it
 is read; only paths and licences move.
 
+A licence file is one whose whole text is close to a template, one that holds
+the opening of a full licence text, one that is hardly longer than the short
+licence text whose disclaimer it holds, or one named like a licence file
+(``NAMED``) with a licence of its own. An opening of a full text counts before
+notices, and these before a mere "All rights reserved."
+
 A file without a licence of its own takes that of the nearest ancestor
 directory that holds a licence file: paths are expanded to their ancestor
 directories, joined with the directories' licences, and the deepest wins.
@@ -20,7 +26,7 @@ All work is DataFrame functions.
 
 Edge cases: a null or empty text has no licence of its own; a null path has no
 ancestors; ties go to the first licence name; of several licence files in a
-directory the closest counts, then the first name; rows that share a path
+directory the closest of the first kind counts, then the first name; rows that share a path
 share what it inherits; an empty table gives an empty table.
 """
 
@@ -71,6 +77,40 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("proprietary", "All rights reserved."),
 )
 
+_GNU = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+_CC = ("International Creative Commons Corporation is not a law firm and does not provide legal services or legal advice. "
+       "Distribution of Creative Commons public licenses does not create a lawyer-client or other relationship.")
+# Fixed values: (licence, block, terms) that only full licence texts hold: openings of long texts (terms 0), and
+# disclaimers of short ones with the number of terms of the full text.
+TEXTS: tuple[tuple[str, str, int], ...] = (
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, "
+                   "REPRODUCTION, AND DISTRIBUTION", 0),
+    ("CC-BY-4.0", "Attribution 4.0 " + _CC, 0),
+    ("CC-BY-NC-4.0", "Attribution-NonCommercial 4.0 " + _CC, 0),
+    ("CC-BY-SA-4.0", "Attribution-ShareAlike 4.0 " + _CC, 0),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT "
+                "PROVIDE LEGAL SERVICES. DISTRIBUTION OF THIS DOCUMENT DOES NOT CREATE AN ATTORNEY-CLIENT RELATIONSHIP.", 0),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002 " + _GNU, 0),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008 " + _GNU, 0),
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989 " + _GNU, 0),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 " + _GNU, 0),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 " + _GNU, 0),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991 " + _GNU, 0),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 " + _GNU, 0),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 " + _GNU, 0),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that "
+                "creates, contributes to the creation of, or owns Covered Software.", 0),
+    ("BSD-3-Clause", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED '
+                     "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+                     "PARTICULAR PURPOSE ARE DISCLAIMED.", 220),
+    ("ISC", 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL '
+            "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.", 120),
+    ("MIT", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+            "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.", 170),
+)
+SPARE = 1.5  # a short licence text may be this much longer
+NAMED = r"(?i)(?:^|/)(?:[\w.+-]+[-_.])?(?:(?:un)?licen[cs]es?|copying)(?:[-_][a-z0-9+-]+(?:\.[0-9]+)*|\.lesser)?(?:\.(?:txt|md|rst|html?))?$"
+
 
 def terms_of(text: str) -> Counter:
     return Counter(re.findall(TOKEN, text.lower()))
@@ -118,8 +158,10 @@ def heavy_terms(weights: list[tuple[str, int, str, float]], least: float) -> lis
 
 
 def own_licences(files: DataFrame, text: str, templates: tuple[tuple[str, str], ...] = TEMPLATES,
-                 min_cosine: float = MIN_COSINE) -> DataFrame:
-    """``files`` with ``__own``: (minus the cosine, licence, whole) of its close lines, runs and whole text, best first; or null."""
+                 min_cosine: float = MIN_COSINE, texts: tuple[tuple[str, str, int], ...] = TEXTS) -> DataFrame:
+    """``files`` with ``__own``: (kind, minus the cosine, licence, whole) of its close lines, runs and whole text, best first; or null."""
+    marks = [(2 if name == "proprietary" else 1, 0) for name, _ in templates] + [(0 if not n else 1, n or -1) for _, _, n in texts]
+    templates = templates + tuple((name, block) for name, block, _ in texts)
     vocabulary = sorted({t for _, body in templates for t in terms_of(body)})
     idf = inverse_frequencies(files, text, vocabulary)
     weights = template_weights(idf, templates)
@@ -132,7 +174,7 @@ def own_licences(files: DataFrame, text: str, templates: tuple[tuple[str, str],
         F.transform(F.concat(close, F.col("__runs")), lambda unit: F.struct(
             _vector(unit, vocabulary).alias("v"), F.lit(False).alias("whole"))))
     found = F.sort_array(F.filter(
-        F.transform(vectors, lambda u: _closest(u["v"], u["whole"], idf, weights, templates)),
+        F.transform(vectors, lambda u: _closest(u["v"], u["whole"], F.size(tokens(body)), idf, weights, templates, marks)),
         lambda m: m["minus"] <= -min_cosine))
     asked = F.rlike(F.lower(body), heavy)
     held = _with_runs(files.withColumn("__body", F.when(asked, body)), weights, heavy, vocabulary, most, min_cosine)
@@ -191,12 +233,11 @@ def _with_runs(files: DataFrame, weights: list[tuple[str, int, str, float]], hea
 
 def _vector(text: Column, vocabulary: list[str]) -> Column:
     """Sparse counts of a text: (term, count) of the templates' terms, and the summed squares of all other counts."""
-    known = F.array(*[F.lit(t) for t in vocabulary])
     zero = F.struct(F.lit("").alias("term"), F.lit(0.0).alias("k"), F.lit(0.0).alias("other"),
                     F.array().cast("array<struct<term: string, k: double>>").alias("held"))
 
     def flushed(acc: Column) -> tuple[Column, Column]:
-        inside = F.array_contains(known, acc["term"])
+        inside = acc["term"].isin(vocabulary)
         one = F.array(F.struct(acc["term"].alias("term"), acc["k"].alias("k")))
         return (F.when(inside, acc["other"]).otherwise(acc["other"] + acc["k"] * acc["k"]),
                 F.when(inside, F.concat(acc["held"], one)).otherwise(acc["held"]))
@@ -213,9 +254,12 @@ def _vector(text: Column, vocabulary: list[str]) -> Column:
     return F.aggregate(F.array_sort(tokens(text)), zero, step, done)
 
 
-def _closest(vector: Column, whole: Column, idf: dict[str, float], weights: list[tuple[str, int, str, float]],
-             templates: tuple[tuple[str, str], ...]) -> Column:
-    """(minus the cosine, licence, whole) of the closest template."""
+def _closest(vector: Column, whole: Column, size: Column, idf: dict[str, float], weights: list[tuple[str, int, str, float]],
+             templates: tuple[tuple[str, str], ...], marks: list[tuple[int, int]]) -> Column:
+    """(kind, minus the cosine, licence, whole) of the closest template; ``marks``: kind, terms of the text it shows.
+
+    ``whole`` is the unit's, or that the template shows the file of ``size`` terms to be a licence text.
+    """
     rows: dict[str, list[float]] = {t: [0.0] * len(templates) for t in idf}
     for _, number, term, weight in weights:
         rows[term][number] = weight * idf[term]
@@ -229,11 +273,14 @@ def _closest(vector: Column, whole: Column, idf: dict[str, float], weights: list
                         F.zip_with(acc["dots"], row["to"], lambda d, w: d + e["k"] * w).alias("dots"))
 
     def best(acc: Column) -> Column:
-        names = F.array(*[F.lit(name) for name, _ in templates])
+        names = F.array(*[F.struct(F.lit(name).alias("licence"), F.lit(kind).alias("kind"), F.lit(terms).alias("terms"))
+                          for (name, _), (kind, terms) in zip(templates, marks, strict=True)])
         return F.array_min(F.zip_with(acc["dots"], names, lambda d, name: F.struct(
-            (-F.round(d / F.sqrt(F.greatest(acc["square"], F.lit(1e-300))), 9)).alias("minus"), name.alias("licence"))))
+            (-F.round(d / F.sqrt(F.greatest(acc["square"], F.lit(1e-300))), 9)).alias("minus"), name.alias("name"))))
     found = F.aggregate(vector["held"], none, add, best)
-    return F.struct(found["minus"].alias("minus"), found["licence"].alias("licence"), whole.alias("whole"))
+    kind, terms = found["name"]["kind"], found["name"]["terms"]
+    return F.struct(kind.alias("kind"), found["minus"].alias("minus"), found["name"]["licence"].alias("licence"),
+                    (whole | (terms == -1) | (size <= terms * SPARE)).alias("whole"))
 
 
 def ancestors(path: Column) -> Column:
@@ -249,10 +296,10 @@ def licensed(files: DataFrame, path: str = "path", text: str = "text", templates
     judged = own_licences(files, text, templates, min_cosine)
     narrow = checkpointed(judged.select(F.col(path).alias("__path"), "__own"))
     above = F.explode(ancestors(F.col("__path"))).alias("__above")
-    directories = (narrow.filter(F.exists("__own", lambda o: o["whole"]))
-                   .select(ancestors(F.col("__path"))[0]["dir"].alias("__dir"), "__path",
-                           F.filter("__own", lambda o: o["whole"])[0].alias("__best"))
-                   .groupBy("__dir").agg(F.min(F.struct(F.col("__best.minus"), F.col("__best.licence"), "__path")).alias("__best"))
+    full = F.filter("__own", lambda o: o["whole"] | F.rlike(F.col("__path"), F.lit(NAMED)))
+    directories = (narrow.filter(F.size(full) > 0)
+                   .select(ancestors(F.col("__path"))[0]["dir"].alias("__dir"), "__path", full[0].alias("__best"))
+                   .groupBy("__dir").agg(F.min(F.struct(F.col("__best.kind"), F.col("__best.minus"), F.col("__best.licence"), "__path")).alias("__best"))
                    .select("__dir", F.col("__best.licence").alias("__inherited"), (-F.col("__best.minus")).alias("__icosine")))
     directories = broadcast_if_small(checkpointed(directories))
     taken = (narrow.filter("__own IS NULL AND __path IS NOT NULL").select("__path").distinct().select("__path", above)

@@ -101,3 +101,50 @@ def test_wrapped_notices(spark, mark):
     got = {r.path: (r["__licence"], r["__cosine"]) for r in licenses.licensed(df).collect()}
     assert {p: got[p][0] for p, _, _ in files} == {p: name for p, name, _ in files}
     assert all(got[p][1] > 0.99 for p, name, _ in files if name)
+
+
+MIT = """The MIT License (MIT)
+
+Copyright (c) 2020 Thor. All rights reserved.
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_licence_texts_pass_on(spark):
+    body = "\n".join(f"the clause {i} of a long text and any other word {i * 7}" for i in range(300))
+    opening = {name: "\n".join([*textwrap.wrap(block, 60), "", body]) for name, block, n in licenses.TEXTS if not n}
+    texts = {("MIT.txt", "MIT"): MIT, ("LICENSE", "BSD-3-Clause"): "\n".join([
+        "Copyright (c) Thor.", "All rights reserved.", "", *textwrap.wrap(dict(licenses.TEMPLATES[2:3])["BSD-3-Clause"] + ":", 60), body])}
+    texts |= {(f"{i}.text", name): t for i, (name, t) in enumerate(opening.items())}
+    files, want = [(f"p{i}/y.c", f"int f{i}() {{}}") for i in range(200)], {}
+    for i, ((file, name), text) in enumerate(texts.items()):
+        files += [(f"d{i}/{file}", text), (f"d{i}/src/a.c", "int main() {}")]
+        want[f"d{i}/src/a.c"] = (name, f"d{i}")
+    files += [("h/x.c", MIT + "int x(int y);\n" * 90), ("h/y.c", "int y;")]  # a header is no licence file
+    want["h/x.c"], want["h/y.c"] = ("MIT", None), (None, None)
+    df = spark.createDataFrame(files, "path string, text string").repartition(3)
+    got = {r.path: (r["__licence"], r["__from"]) for r in licenses.licensed(df).collect()}
+    assert {p: got[p] for p in want} == want
+
+
+@pytest.mark.parametrize("path, named", [("LICENSE", True), ("a/LICENCE.md", True), ("a/COPYING.LESSER", True), ("LICENSE-APACHE-2.0.txt", True),
+                                         ("a/MIT-LICENSE", True), ("license.py", False), ("a/license_check.py", False), ("LICENSE/a.c", False)])
+def test_names_of_licence_files(spark, path, named):
+    assert spark.range(1).select(F.rlike(F.lit(path), F.lit(licenses.NAMED)).alias("x")).first()["x"] is named
