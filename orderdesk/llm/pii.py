@@ -1,7 +1,10 @@
 """Personal data replaced by format-preserving Feistel pseudonyms.
 
 Numbers and dates are found by pattern and validated (Luhn, mod 97, calendar,
-octets, numbering plan). A value is read as a number in the space of all valid
+octets). A phone is a number of the North American plan, with or without
+separators, or any number written with + and a country code or with its area
+code in brackets; the country code stays, and so does whether a number could be
+one of that plan. A value is read as a number in the space of all valid
 values of its format, moved by a keyed permutation of exactly that space and
 written back in its own layout: a card number stays a valid card number with
 the same separators, a date a date. The permutation depends on the key and the
@@ -141,6 +144,21 @@ def phone(text: str, key: bytes, back: bool) -> str | None:
     return _with_digits(text, head + moved_text(ten, [_LEAD, _DIGITS, _DIGITS, _LEAD, *[_DIGITS] * 6], "phone", key, back))
 
 
+_TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 "
+                        "81 82 84 86 90 91 92 93 94 95 98".split())  # country codes; 1 and 7 have one digit, others three
+
+
+def any_phone(text: str, key: bytes, back: bool) -> str | None:
+    """A number with country code or bracketed area code; the classes of its first and fourth digit stay."""
+    digits = re.sub(r"\D", "", text)
+    head = 0 if text[0] != "+" else 1 if digits[0] in "17" else 2 if digits[:2] in _TWO_DIGITS else 3
+    country, rest = digits[:head], digits[head:]
+    alphabets = [_DIGITS] * len(rest)
+    alphabets[0] = _LEAD if rest[0] in _LEAD else rest[0]
+    alphabets[3] = _LEAD if rest[3] in _LEAD else "01"
+    return _with_digits(text, country + moved_text(rest, alphabets, f"phone{country}", key, back))
+
+
 def ip(text: str, key: bytes, back: bool) -> str | None:
     parts = text.split(".")
     if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
@@ -204,6 +222,10 @@ def email(text: str, key: bytes, back: bool) -> str | None:
 
 
 Mover = Callable[[str, bytes, bool], "str | None"]
+# A further digit of a phone; a space before a card, address or date ends the phone.
+_OTHER = (r"[0-9]{13}|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,7}(?![0-9]| [0-9]{4})|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}"
+          r"|(?:[0-9]{1,3}\.){3}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{4}[/-][0-9]{2}[/-][0-9]{2}|[0-9]{2}[./-][0-9]{2}[./-][0-9]{4}")
+_NEXT = r"(?:[./-]|[ ](?!" + _OTHER + r"))?\(?[0-9]\)?"
 KINDS: tuple[tuple[str, str, Mover], ...] = (
     ("email", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
@@ -211,6 +233,9 @@ KINDS: tuple[tuple[str, str, Mover], ...] = (
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", ip),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", ssn),
     ("phone", r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-]?[0-9]{4}(?![0-9])", phone),
+    ("phone", r"(?<![0-9A-Za-z+])\+(?:1(?:" + _NEXT + r"){10}(?![0-9])|[2-9](?:" + _NEXT + r"){6,14}(?![0-9A-Za-z]|[./-][0-9]))", any_phone),
+    ("phone", r"(?<![0-9A-Za-z])\((?:[0-9]{2,3}|0[0-9]{3,4})\)(?:" + _NEXT + r"){6,8}(?![0-9A-Za-z]|[./-][0-9])", any_phone),
+    ("phone", r"(?<![0-9A-Za-z.+-])[2-9][0-9]{2}[2-9][0-9]{6}(?![0-9A-Za-z]|[.-][0-9])", phone),
     ("card", r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9])", card),
 )
 # Numbers lie in runs of these characters; the number patterns are tried on such runs only.

@@ -63,3 +63,26 @@ def test_operator(spark, odd, none):
     back = pii.pseudonymized(out.drop("__spans"), restored=True)
     assert sorted(map(str, back.drop("__spans").collect())) == sorted(map(str, docs.collect()))
     assert pii.pseudonymized(odd).count() == odd.count() and pii.pseudonymized(none).count() == 0
+
+
+@pytest.mark.parametrize("value", ["+1 (017) 555-7713", "+1 (117) 055-7713", "+1 017 155 7713", "+44 20 7946 0958", "+44 (0)20 7946 0958", "+442079460958",
+                                   "+33 1 23 45 67 89", "+358 9 1234567", "+7 (495) 123-45-67", "(017) 555-7713", "(020) 7946 0958",
+                                   "(03) 9123 4567", "(01632) 960983", "2125550147"])
+def test_phones_of_any_country(value):
+    for after in (", then", " 190.137.223.204", " 4111 1111 1111 1111", " 2024-02-29", " (a)"):
+        for key in (pii.KEY, b"other", b"third"):
+            text = f"call {value}{after}"
+            spans = pii.found(text, key)
+            assert (text[spans[0][0]:spans[0][1]], spans[0][2]) == (value, "phone")
+            new = pii.replaced(text, spans)
+            assert re.sub("[0-9]", "0", new[:len(value) + 5]) == re.sub("[0-9]", "0", text[:len(value) + 5]) and value not in new
+            assert [s[2] for s in pii.found(new, key)] == [s[2] for s in spans]
+            assert pii.replaced(new, pii.found(new, key, back=True)) == text
+
+
+def test_phones_keep_their_country_and_link_across_layouts():
+    digits = lambda s: re.sub(r"\D", "", pii.replaced(s, pii.found(s)))
+    assert digits("+44 20 7946 0958") == digits("+442079460958") and digits("+44 20 7946 0958").startswith("44")
+    assert digits("2125550147") == digits("212-555-0147")
+    for text in ("(1999) 100-200", "a6405768150", "6405768150e", "1700000000", "+12 34"):
+        assert pii.found(text) == []
