@@ -9,6 +9,11 @@ first occurrence (smallest document id, then place) and removed elsewhere,
 after its bytes were compared with those of the first occurrence; equal
 hashes alone remove nothing.
 
+``without_repeated_runs`` has no boundary that could fall wrong: every window
+of the rolling hash (each two lines in a row) is compared, and all lines of a
+window that occurred before go, so whole repeated runs of two lines or more are
+removed up to their edges. A removed line's bytes stay at an earlier place.
+
 All work is DataFrame functions. Chunks are counted by hash with partial
 aggregation, so a chunk found in any share of the rows is no hot group; texts
 move once, to meet what they are compared with.
@@ -103,3 +108,56 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", di
             .withColumn(text, F.when(F.size("__removed") > 0, F.replace(F.array_join(kept, "\n"), F.lit(_ESCAPED), F.lit(_MARK)))
                         .otherwise(F.col(text)))
             .drop("__claimed", "__chunks", "__judged", "__claims", "__key"))
+
+
+def _window(at: Column) -> Column:
+    """The text of the line ``at`` and the next; null beyond the end."""
+    return F.concat(F.get("__lines", at), F.lit("\n"), F.get("__lines", at + 1))
+
+
+def _with_lines(docs: DataFrame, text: str) -> DataFrame:
+    return docs.withColumn("__lines", F.split(F.col(text), "\n", -1))
+
+
+def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``__id, __at, __hash, __first_id, __first_at``: every occurrence of the hash of two lines that occurs more than once."""
+    tags = F.transform(F.sequence(F.lit(0), F.size("__lines") - 2),
+                       lambda i: F.struct(i.alias("at"), F.xxhash64(_window(i)).alias("hash")))
+    rows = checkpointed(_with_lines(docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")), "__text")
+                        .filter(F.size("__lines") > 1).select("__id", F.explode(tags).alias("__tag"))
+                        .select("__id", F.col("__tag.at").alias("__at"), F.col("__tag.hash").alias("__hash")))
+    firsts = (rows.groupBy("__hash").agg(F.count("*").alias("__n"), F.min(F.struct("__id", "__at")).alias("__first"))
+              .filter("__n > 1"))
+    return (rows.join(firsts, "__hash")
+            .select("__id", "__at", "__hash", F.col("__first.__id").alias("__first_id"), F.col("__first.__at").alias("__first_at")))
+
+
+def without_repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with ``text`` without its repeated runs, and ``__removed``: their first lines (from 0) and numbers of lines."""
+    found = checkpointed(repeated_windows(docs, doc_id, text))
+    body = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
+
+    wanted = (found.filter(_same_place()).groupBy(F.col("__id").alias("__key"))
+              .agg(F.collect_set(F.struct("__at", "__hash")).alias("__wanted")))  # at most a document's own lines
+    wanted = broadcast_if_small(checkpointed(wanted))
+    asked = F.transform("__wanted", lambda w: F.struct(w["__hash"].alias("hash"), _window(w["__at"]).alias("window")))
+    originals = (_with_lines(body.join(wanted, F.col("__id").eqNullSafe(F.col("__key"))), "__text")
+                 .select(F.explode(F.filter(asked, lambda a: F.xxhash64(a["window"]) == a["hash"])).alias("__a"))
+                 .select(F.col("__a.hash").alias("__hash"), F.col("__a.window").alias("__original")).distinct())
+
+    claims = (found.filter(~_same_place()).select("__id", "__at", "__hash").join(originals, "__hash")
+              .groupBy(F.col("__id").alias("__key")).agg(F.collect_set(F.struct("__at", "__original")).alias("__claims")))
+    joined = docs.join(claims, docs[doc_id].eqNullSafe(claims["__key"]), "left")
+    # The comparison is on the bytes of the two lines.
+    equal = F.filter("__claims", lambda x: x["__original"] == _window(x["__at"]))
+    gone = F.array_sort(F.array_distinct(F.flatten(F.transform(equal, lambda x: F.array(x["__at"], x["__at"] + 1)))))
+    starts = F.filter("__gone", lambda i: ~F.array_contains(F.col("__gone"), i - 1))
+    ends = F.filter("__gone", lambda i: ~F.array_contains(F.col("__gone"), i + 1))
+    none = F.array().cast("array<struct<line: int, lines: int>>")
+    return (_with_lines(joined.withColumn("__claimed", F.when(F.col("__claims").isNotNull(), F.col(text))), "__claimed")
+            .withColumn("__gone", gone)
+            .withColumn("__removed", F.coalesce(F.zip_with(starts, ends, lambda a, b: F.struct(
+                a.alias("line"), (b - a + 1).alias("lines"))), none))
+            .withColumn(text, F.when(F.size("__removed") > 0, F.array_join(F.filter(
+                "__lines", lambda line, i: ~F.array_contains(F.col("__gone"), i)), "\n")).otherwise(F.col(text)))
+            .drop("__claimed", "__lines", "__gone", "__claims", "__key"))

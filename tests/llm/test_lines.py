@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from orderdesk.llm import lines
+from orderdesk.llm import lines, queries
 from orderdesk.llm.common import read_table
 from tests.conftest import SMOKE_DIR
 
@@ -65,3 +65,45 @@ def test_odd_rows(odd, none):
     by = {r.doc_id: r for r in out.collect()}
     assert by[3].text is None and by[4].text == "" and by[3]["__removed"] == []
     assert lines.deduplicated(none).count() == 0
+
+
+def runs_by_bytes(docs: list[tuple]):
+    """(text, lines removed): all lines of two lines in a row that occurred before go."""
+    seen, out = set(), {}
+    for d, t in sorted(docs, key=lambda r: r[0]):
+        part, gone = t.split("\n") if t is not None else [], set()
+        for i, pair in enumerate(zip(part, part[1:], strict=False)):
+            gone |= {i, i + 1} if pair in seen else set()
+            seen.add(pair)
+        out[d] = (t if not gone else "\n".join(x for i, x in enumerate(part) if i not in gone), len(gone))
+    return out
+
+
+def test_whole_runs_go(spark):
+    rng = random.Random(5)
+    pool = [f"line {i} \x01" if i % 7 == 0 else f"line {i}" for i in range(400)]
+    docs = []
+    for d in range(80):
+        body = [f"{d} {x}" for x in rng.sample(pool, rng.randint(0, 12))]
+        for size in (2, 3, 5):
+            at, k = rng.randint(0, len(body)), rng.randint(0, 9)
+            body[at:at] = [f"passage {size} {k} {i}" for i in range(size)]
+        docs.append((d, "\n".join(body)))
+    docs += [(100, docs[0][1]), (102, ""), (103, None), (104, "\n\n\n\n\n"), (105, "a\na\na"), (106, "b\na\na")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    out = lines.without_repeated_runs(df).collect()
+    assert {r.doc_id: (r.text, sum(x["lines"] for x in r["__removed"])) for r in out} == runs_by_bytes(docs)
+    assert {x for _, t in docs if t for x in t.split("\n")} == {x for r in out if r.text for x in r.text.split("\n")} | {""}
+
+
+def test_query_removes_all_repeated_runs(spark):
+    docs = [tuple(r) for r in read_table(spark, SMOKE_DIR, "documents").select("doc_id", "text").collect()]
+    got = {r.doc_id: (r.text, r.n_lines_removed) for r in queries.op5_lines(spark, SMOKE_DIR).collect()}
+    assert got == runs_by_bytes(docs)
+
+
+def test_runs_of_odd_rows(odd, none):
+    out = lines.without_repeated_runs(odd)
+    by = {r.doc_id: r for r in out.collect()}
+    assert out.count() == odd.count() and by[3].text is None and by[4].text == "" and by[3]["__removed"] == []
+    assert lines.without_repeated_runs(none).count() == 0
