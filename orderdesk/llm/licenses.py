@@ -8,8 +8,7 @@ comment marks and empty lines hold none. Vectors are sparse: term weights are fr
 document frequency counted over all documents; words in no template weigh 1.
 Only texts that hold one of a template's heavy terms are compared: without any
 of them the cosine cannot reach the threshold, so nothing is lost. Likewise
-only runs that begin and end in a line with a term of a template, from a line
-whose longest run holds enough of one, are compared. A text is scored where it
+only runs that may be closer than their lines are compared. A text is scored where it
 is read; only paths and licences move.
 
 A licence file is one whose whole text is close to a template, one that holds
@@ -35,6 +34,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -167,68 +167,79 @@ def own_licences(files: DataFrame, text: str, templates: tuple[tuple[str, str],
     weights = template_weights(idf, templates)
     heavy = _any_of(heavy_terms(weights, min_cosine))
     most = int(RUN * max(sum(terms_of(t).values()) for _, t in templates))
-    body = F.col(text)
-    close = F.filter(F.split(body, "\n", -1), lambda line: F.rlike(F.lower(line), heavy))
+
+    def scores(unit: Column) -> Column:
+        return _scores(_vector(unit, vocabulary), idf, weights, templates)
+
+    asked = files.withColumn("__body", F.when(F.rlike(F.lower(F.col(text)), heavy), F.col(text)))
+    held = _with_runs(asked, scores, templates, heavy, vocabulary, marks, most, min_cosine)
     vectors = F.concat(
-        F.array(F.struct(_vector(body, vocabulary).alias("v"), F.lit(True).alias("whole"))),
-        F.transform(F.concat(close, F.col("__runs")), lambda unit: F.struct(
-            _vector(unit, vocabulary).alias("v"), F.lit(False).alias("whole"))))
+        F.array(F.struct(scores(F.col("__body")).alias("s"), F.lit(True).alias("whole"))),
+        F.transform("__lines", lambda x: F.struct(x["s"].alias("s"), F.lit(False).alias("whole"))),
+        F.transform("__runs", lambda unit: F.struct(scores(unit).alias("s"), F.lit(False).alias("whole"))))
+    size = F.size(tokens(F.col("__body")))
     found = F.sort_array(F.filter(
-        F.transform(vectors, lambda u: _closest(u["v"], u["whole"], F.size(tokens(body)), idf, weights, templates, marks)),
-        lambda m: m["minus"] <= -min_cosine))
-    asked = F.rlike(F.lower(body), heavy)
-    held = _with_runs(files.withColumn("__body", F.when(asked, body)), weights, heavy, vocabulary, most, min_cosine)
-    return (held.withColumn("__own", F.when(asked, found)).drop("__runs")
+        F.transform(vectors, lambda u: _closest(u["s"], u["whole"], size, templates, marks)), lambda m: m["minus"] <= -min_cosine))
+    return (held.withColumn("__own", F.when(F.col("__body").isNotNull(), found)).drop("__body", "__lines", "__runs")
             .withColumn("__own", F.when(F.size("__own") > 0, F.col("__own"))))
 
 
 def _any_of(terms: list[str]) -> Column:
-    return F.lit("(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in terms) + ")(?![a-z0-9])")
+    """One of the terms as a whole, tried by its first letter."""
+    rest: dict[str, list[str]] = {}
+    for t in sorted(terms):
+        rest.setdefault(t[0], []).append(re.escape(t[1:]))
+    return F.lit("(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(r)})" for c, r in rest.items()) + ")(?![a-z0-9])")
 
 
-def _with_runs(files: DataFrame, weights: list[tuple[str, int, str, float]], heavy: Column, vocabulary: list[str],
-               most: int, min_cosine: float) -> DataFrame:
-    """``files`` with ``__runs``: the runs of two or more lines of ``__body``, up to ``most`` terms, that may be close.
+def _with_runs(files: DataFrame, scores: Callable[[Column], Column], templates: tuple[tuple[str, str], ...], heavy: Column,
+               vocabulary: list[str], marks: list[tuple[int, int]], most: int, min_cosine: float) -> DataFrame:
+    """``files`` with ``__lines`` of ``__body`` and ``__runs``: the runs of two or more, up to ``most`` terms, that may be close.
 
     A run is left out only if a shorter one is closer (its first or last line
-    has no term of a template) or if no template can be close (it has no heavy
-    term, or from its first line on too little of any template follows).
+    has no term of a template) or if it cannot be closest: dot products add up
+    over lines and squares at least add up, which bounds its cosine to each
+    template. It must reach ``min_cosine``, and for notices the closest line
+    that counts as much.
     """
-    squares: dict[str, list[float]] = {t: [0.0] * (1 + max(w[1] for w in weights)) for t in vocabulary}
-    for _, number, term, weight in weights:
-        squares[term][number] = weight * weight
-    table = F.create_map(*[x for t, row in sorted(squares.items()) for x in (F.lit(t), F.array(*[F.lit(w) for w in row]))])
-    known = F.array(*[F.lit(t) for t in vocabulary])
-    zeros = F.array(*[F.lit(0.0)] * len(next(iter(squares.values()))))
     lines = F.filter(F.transform(F.split("__body", "\n", -1), lambda line: F.struct(
         line.alias("line"), F.size(tokens(line)).alias("n"), F.rlike(F.lower(line), heavy).cast("int").alias("heavy"),
-        F.rlike(F.lower(line), _any_of(vocabulary)).alias("known"))), lambda x: x["n"] > 0)
-    sums = F.aggregate("__lines", F.array(F.struct(F.lit(0).alias("n"), F.lit(0).alias("heavy"))), lambda acc, x: F.concat(
-        acc, F.array(F.struct((F.element_at(acc, -1)["n"] + x["n"]).alias("n"), (F.element_at(acc, -1)["heavy"] + x["heavy"]).alias("heavy")))))
+        F.rlike(F.lower(line), _any_of(vocabulary)).alias("known"), scores(line).alias("s"))), lambda x: x["n"] > 0)
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("heavy"), F.lit(0.0).alias("square"),
+                    F.array(*[F.lit(0.0)] * len(templates)).alias("dots"))
+
+    def plus(last: Column, x: Column) -> Column:
+        return F.struct((last["n"] + x["n"]).alias("n"), (last["heavy"] + x["heavy"]).alias("heavy"),
+                        (last["square"] + x["s"]["square"]).alias("square"),
+                        F.zip_with(last["dots"], x["s"]["dots"], lambda d, e: d + e).alias("dots"))
+    sums = F.aggregate("__lines", F.array(zero), lambda acc, x: F.concat(acc, F.array(plus(F.element_at(acc, -1), x))))
+    size = F.size(tokens(F.col("__body")))
+    best = F.transform("__lines", lambda x: _closest(x["s"], F.lit(False), size, templates, marks))
+
+    def reached(kind: int) -> Column:
+        return F.greatest(F.lit(min_cosine), F.coalesce(F.array_max(F.transform(
+            F.filter("__best", lambda m: m["kind"] <= kind), lambda m: -m["minus"])), F.lit(0.0))).alias(f"k{kind}")
+    asked = F.array(*[F.lit(min_cosine) if terms or kind == 0 else F.col("__reached")[f"k{kind}"] for kind, terms in marks])
 
     def between(a: Column, b: Column, name: str) -> Column:  # of lines a .. b
         return F.element_at("__sums", b + 1)[name] - F.element_at("__sums", a)[name]
 
-    def joined(a: Column, b: Column) -> Column:
-        return F.array_join(F.transform(F.slice("__lines", a, b - a + 1), lambda x: x["line"]), "\n")
-
-    def enough(a: Column, b: Column) -> Column:
-        present = F.array_intersect(tokens(joined(a, b)), known)
-        return F.array_max(F.aggregate(present, zeros, lambda acc, t: F.zip_with(
-            acc, F.element_at(table, t), lambda x, y: x + y))) >= min_cosine * min_cosine * (1 - 1e-9)
-
-    def last(a: Column) -> Column:  # each line has a term, so it is at most ``most`` lines on
-        return F.array_max(F.filter(F.sequence(a, F.least(a + most - 1, F.size("__lines"))),
-                                    lambda b: (b == a) | (between(a, b, "n") <= most)))
-    firsts = F.filter(F.transform(F.filter(F.sequence(F.lit(1), F.size("__lines")), lambda a: (
-        F.element_at("__lines", a)["known"] & (between(a, F.least(a + most - 1, F.size("__lines")), "heavy") > 0))),
-        lambda a: F.struct(a.alias("a"), last(a).alias("b"))), lambda x: (x["b"] > x["a"]) & enough(x["a"], x["b"]))
-    runs = F.flatten(F.transform(firsts, lambda x: F.transform(
-        F.filter(F.sequence(x["a"] + 1, x["b"]), lambda b: F.element_at("__lines", b)["known"] & (between(x["a"], b, "heavy") > 0)),
-        lambda b: joined(x["a"], b))))
-    return (files.withColumn("__lines", lines).withColumn("__sums", sums)
-            .withColumn("__runs", F.when(F.size("__lines") > 1, runs).otherwise(F.array().cast("array<string>")))
-            .drop("__body", "__lines", "__sums"))
+    def may_be_close(a: Column, b: Column) -> Column:
+        length = F.sqrt(F.greatest(between(a, b, "square"), F.lit(1e-300)))
+        return F.exists(F.zip_with(F.zip_with(F.element_at("__sums", b + 1)["dots"], F.element_at("__sums", a)["dots"],
+                                              lambda x, y: (x - y) / length), F.col("__asked"), lambda c, k: c >= k - 1e-6), lambda x: x)
+    n = F.size("__lines")
+    firsts = F.filter(F.sequence(F.lit(1), n), lambda a: (
+        F.element_at("__lines", a)["known"] & (between(a, F.least(a + most - 1, n), "heavy") > 0)))  # each line has a term
+    runs = F.flatten(F.transform(firsts, lambda a: F.transform(
+        F.filter(F.sequence(a, F.least(a + most - 1, n)), lambda b: (
+            (b > a) & (between(a, b, "n") <= most) & F.element_at("__lines", b)["known"] & (between(a, b, "heavy") > 0)
+            & may_be_close(a, b))),
+        lambda b: F.array_join(F.transform(F.slice("__lines", a, b - a + 1), lambda x: x["line"]), "\n"))))
+    return (files.withColumn("__lines", lines).withColumn("__sums", sums).withColumn("__best", best)
+            .withColumn("__reached", F.struct(reached(1), reached(2))).withColumn("__asked", asked)
+            .withColumn("__runs", F.when(n > 1, runs).otherwise(F.array().cast("array<string>")))
+            .drop("__sums", "__best", "__reached", "__asked"))
 
 
 def _vector(text: Column, vocabulary: list[str]) -> Column:
@@ -254,12 +265,9 @@ def _vector(text: Column, vocabulary: list[str]) -> Column:
     return F.aggregate(F.array_sort(tokens(text)), zero, step, done)
 
 
-def _closest(vector: Column, whole: Column, size: Column, idf: dict[str, float], weights: list[tuple[str, int, str, float]],
-             templates: tuple[tuple[str, str], ...], marks: list[tuple[int, int]]) -> Column:
-    """(kind, minus the cosine, licence, whole) of the closest template; ``marks``: kind, terms of the text it shows.
-
-    ``whole`` is the unit's, or that the template shows the file of ``size`` terms to be a licence text.
-    """
+def _scores(vector: Column, idf: dict[str, float], weights: list[tuple[str, int, str, float]],
+            templates: tuple[tuple[str, str], ...]) -> Column:
+    """The square of a vector's length and its dot products with the templates."""
     rows: dict[str, list[float]] = {t: [0.0] * len(templates) for t in idf}
     for _, number, term, weight in weights:
         rows[term][number] = weight * idf[term]
@@ -271,16 +279,23 @@ def _closest(vector: Column, whole: Column, size: Column, idf: dict[str, float],
         row = F.element_at(table, e["term"])
         return F.struct((acc["square"] + e["k"] * row["idf"] * e["k"] * row["idf"]).alias("square"),
                         F.zip_with(acc["dots"], row["to"], lambda d, w: d + e["k"] * w).alias("dots"))
+    return F.aggregate(vector["held"], none, add)
 
-    def best(acc: Column) -> Column:
-        names = F.array(*[F.struct(F.lit(name).alias("licence"), F.lit(kind).alias("kind"), F.lit(terms).alias("terms"))
-                          for (name, _), (kind, terms) in zip(templates, marks, strict=True)])
-        return F.array_min(F.zip_with(acc["dots"], names, lambda d, name: F.struct(
-            (-F.round(d / F.sqrt(F.greatest(acc["square"], F.lit(1e-300))), 9)).alias("minus"), name.alias("name"))))
-    found = F.aggregate(vector["held"], none, add, best)
-    kind, terms = found["name"]["kind"], found["name"]["terms"]
-    return F.struct(kind.alias("kind"), found["minus"].alias("minus"), found["name"]["licence"].alias("licence"),
-                    (whole | (terms == -1) | (size <= terms * SPARE)).alias("whole"))
+
+def _closest(scores: Column, whole: Column, size: Column, templates: tuple[tuple[str, str], ...],
+             marks: list[tuple[int, int]]) -> Column:
+    """(kind, minus the cosine, licence, whole) of the closest template; ``marks``: kind, terms of the text it shows.
+
+    ``whole`` is the unit's, or that the template shows the file of ``size`` terms to be a licence text.
+    """
+    names = F.array(*[F.struct(F.lit(name).alias("licence"), F.lit(kind).alias("kind"), F.lit(terms).alias("terms"))
+                      for (name, _), (kind, terms) in zip(templates, marks, strict=True)])
+    length = F.sqrt(F.greatest(scores["square"], F.lit(1e-300)))
+    found = F.transform(F.array(F.array_min(F.zip_with(scores["dots"], names, lambda d, name: F.struct(
+        (-F.round(d / length, 9)).alias("minus"), name.alias("name"))))), lambda m: F.struct(
+            m["name"]["kind"].alias("kind"), m["minus"].alias("minus"), m["name"]["licence"].alias("licence"),
+            (whole | (m["name"]["terms"] == -1) | (size <= m["name"]["terms"] * SPARE)).alias("whole")))
+    return found[0]
 
 
 def ancestors(path: Column) -> Column:
