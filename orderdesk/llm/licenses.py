@@ -171,16 +171,15 @@ def own_licences(files: DataFrame, text: str, templates: tuple[tuple[str, str],
     def scores(unit: Column) -> Column:
         return _scores(_vector(unit, vocabulary), idf, weights, templates)
 
-    asked = files.withColumn("__body", F.when(F.rlike(F.lower(F.col(text)), heavy), F.col(text)))
+    asked = files.withColumn("__body", F.when(F.rlike(F.lower(F.col(text)), heavy), F.col(text))).withColumn(
+        "__size", F.size(tokens(F.col("__body"))))
     held = _with_runs(asked, scores, templates, heavy, vocabulary, marks, most, min_cosine)
     vectors = F.concat(
         F.array(F.struct(scores(F.col("__body")).alias("s"), F.lit(True).alias("whole"))),
-        F.transform("__lines", lambda x: F.struct(x["s"].alias("s"), F.lit(False).alias("whole"))),
         F.transform("__runs", lambda unit: F.struct(scores(unit).alias("s"), F.lit(False).alias("whole"))))
-    size = F.size(tokens(F.col("__body")))
-    found = F.sort_array(F.filter(
-        F.transform(vectors, lambda u: _closest(u["s"], u["whole"], size, templates, marks)), lambda m: m["minus"] <= -min_cosine))
-    return (held.withColumn("__own", F.when(F.col("__body").isNotNull(), found)).drop("__body", "__lines", "__runs")
+    found = F.sort_array(F.filter(F.concat("__best", F.transform(
+        vectors, lambda u: _closest(u["s"], u["whole"], F.col("__size"), templates, marks))), lambda m: m["minus"] <= -min_cosine))
+    return (held.withColumn("__own", F.when(F.col("__body").isNotNull(), found)).drop("__body", "__size", "__best", "__runs")
             .withColumn("__own", F.when(F.size("__own") > 0, F.col("__own"))))
 
 
@@ -194,7 +193,7 @@ def _any_of(terms: list[str]) -> Column:
 
 def _with_runs(files: DataFrame, scores: Callable[[Column], Column], templates: tuple[tuple[str, str], ...], heavy: Column,
                vocabulary: list[str], marks: list[tuple[int, int]], most: int, min_cosine: float) -> DataFrame:
-    """``files`` with ``__lines`` of ``__body`` and ``__runs``: the runs of two or more, up to ``most`` terms, that may be close.
+    """``files`` with ``__best`` of each line of ``__body`` and ``__runs``: the runs of two or more lines, up to ``most`` terms, that may be close.
 
     A run is left out only if a shorter one is closer (its first or last line
     has no term of a template) or if it cannot be closest: dot products add up
@@ -213,8 +212,7 @@ def _with_runs(files: DataFrame, scores: Callable[[Column], Column], templates:
                         (last["square"] + x["s"]["square"]).alias("square"),
                         F.zip_with(last["dots"], x["s"]["dots"], lambda d, e: d + e).alias("dots"))
     sums = F.aggregate("__lines", F.array(zero), lambda acc, x: F.concat(acc, F.array(plus(F.element_at(acc, -1), x))))
-    size = F.size(tokens(F.col("__body")))
-    best = F.transform("__lines", lambda x: _closest(x["s"], F.lit(False), size, templates, marks))
+    best = F.transform("__lines", lambda x: _closest(x["s"], F.lit(False), F.col("__size"), templates, marks))
 
     def reached(kind: int) -> Column:
         return F.greatest(F.lit(min_cosine), F.coalesce(F.array_max(F.transform(
@@ -239,7 +237,7 @@ def _with_runs(files: DataFrame, scores: Callable[[Column], Column], templates:
     return (files.withColumn("__lines", lines).withColumn("__sums", sums).withColumn("__best", best)
             .withColumn("__reached", F.struct(reached(1), reached(2))).withColumn("__asked", asked)
             .withColumn("__runs", F.when(n > 1, runs).otherwise(F.array().cast("array<string>")))
-            .drop("__sums", "__best", "__reached", "__asked"))
+            .drop("__lines", "__sums", "__reached", "__asked"))
 
 
 def _vector(text: Column, vocabulary: list[str]) -> Column:
