@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embeddings, langid, licenses, lines, minhash, mixing, pii, secrets, sharding
+from . import decontam, embeddings, langid, licenses, lines, minhash, mixing, negatives, pii, secrets, sharding
 from .common import read_table, word_count
 
 
@@ -151,10 +151,40 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminations(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor (ids divisible by 100) and positive among all vectors."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"), F.col("__id") % 100 == 0, label=label)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * x::DOUBLE) FOR x IN embedding] AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS alike,
+         list_inner_product(a.e, r.e)::BIGINT AS score
+  FROM v a JOIN v r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike
+  AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_mix": op1_mix, "op2_shard": op2_shard, "op3_minhash": op3_minhash, "op4_embeddings": op4_embeddings, "op5_lines": op5_lines, "op6_langid": op6_langid,
-            "op7_licenses": op7_licenses, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_decontaminate": op10_decontaminate}
+            "op7_licenses": op7_licenses, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_decontaminate": op10_decontaminate,
+            "op11_hard_negatives": op11_hard_negatives}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": OP1_SQL, "op9_secrets": _op9_sql()}
+    return {"op1_mix": OP1_SQL, "op9_secrets": _op9_sql(), "op11_hard_negatives": OP11_SQL}
