@@ -47,6 +47,8 @@ N_NEGATIVES = 10
 LOWER, UPPER = 3, 9
 # Rows and anchors of one block: two blocks and a strip of their products fit a task many times over.
 BLOCK = 8192
+# Smaller tables are dealt to this many blocks, so that a cluster shares their work.
+LEAST_BLOCKS, LEAST_BLOCK = 64, 256
 # Anchors scored at once inside a block.
 STRIP = 128
 
@@ -145,7 +147,7 @@ def _table(parts: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.Table:
 def _in_blocks(anchors: DataFrame, rows: DataFrame, score_block) -> DataFrame:
     """``score_block`` over every pair of a block of anchors and a block of rows, each pair in one task."""
     n_anchors, n_rows = anchors.count(), rows.count()
-    a_blocks, r_blocks = max(1, -(-n_anchors // BLOCK)), max(1, -(-n_rows // BLOCK))
+    a_blocks, r_blocks = max(1, -(-n_anchors // BLOCK)), max(1, -(-n_rows // BLOCK), min(LEAST_BLOCKS, n_rows // LEAST_BLOCK))
 
     def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int, *by: str) -> DataFrame:
         return df.withColumns({own: F.pmod(F.xxhash64(*by), F.lit(n_own)),

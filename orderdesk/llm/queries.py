@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embeddings, langid, licenses, lines, minhash, mixing, negatives, pii, secrets, sharding
+from . import decontam, embeddings, extraction, langid, licenses, lines, minhash, mixing, negatives, pii, secrets, sharding
 from .common import read_table, word_count
 
 
@@ -180,10 +180,17 @@ QUALIFY rank <= 10
 """
 
 
+def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every whole page."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extraction.extracted(pages).select("page_id", "url", F.col("__text").alias("text"),
+                                              F.length("__text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_mix": op1_mix, "op2_shard": op2_shard, "op3_minhash": op3_minhash, "op4_embeddings": op4_embeddings, "op5_lines": op5_lines, "op6_langid": op6_langid,
             "op7_licenses": op7_licenses, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_decontaminate": op10_decontaminate,
-            "op11_hard_negatives": op11_hard_negatives}
+            "op11_hard_negatives": op11_hard_negatives, "op12_html": op12_html}
 
 
 def oracle_sql() -> dict[str, str]:
