@@ -7,6 +7,7 @@ clash with them.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, *partition_by: str) -> DataFrame:
+    """``df`` written once as a table in the shared checkpoint folder and read back; cuts lineage like a checkpoint,
+    in a compressed, columnar form."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Bytes of all rows as JSON text, from one partial aggregate."""
     row = df.select(F.octet_length(F.to_json(F.struct(*columns_of(df)))).alias("__b")).agg(

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embeddings, extraction, langid, licenses, lines, minhash, mixing, negatives, pii, secrets, sharding
+from . import alignment, decontam, embeddings, extraction, langid, licenses, lines, minhash, mixing, negatives, pii, secrets, sharding
 from .common import read_table, word_count
 
 
@@ -187,10 +188,19 @@ def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               F.length("__text").cast("long").alias("n_chars"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of two tokenizers over every whole text, and how common the links are."""
+    rows = alignment.aligned(read_table(spark, sf_dir, "documents").select("doc_id", "text"),
+                             written=lambda groups: hashlib.sha256(groups).hexdigest())
+    names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+    return alignment.scored(rows).select(F.col("__id").alias("doc_id"), *[F.col(f"__{n}").alias(n) for n in names],
+                                         F.col("__written").alias("groups_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_mix": op1_mix, "op2_shard": op2_shard, "op3_minhash": op3_minhash, "op4_embeddings": op4_embeddings, "op5_lines": op5_lines, "op6_langid": op6_langid,
             "op7_licenses": op7_licenses, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_decontaminate": op10_decontaminate,
-            "op11_hard_negatives": op11_hard_negatives, "op12_html": op12_html}
+            "op11_hard_negatives": op11_hard_negatives, "op12_html": op12_html, "op13_alignment": op13_alignment}
 
 
 def oracle_sql() -> dict[str, str]:
