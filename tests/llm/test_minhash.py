@@ -99,7 +99,9 @@ def test_sketch_estimates_similarity():
 def test_smallest_hashes_estimate_similarity():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 2**63, 1000, dtype=np.int64).astype(np.uint64)) for _ in range(2)]
-    sets += [sets[0][::2], sets[0][:60], sets[0][10:70], np.sort(np.concatenate([sets[0][:900], sets[1][:100]]))]
+    few = rng.permutation(sets[0])[:70]  # sets of hashes are random, not the smallest of another set
+    sets += [np.sort(s) for s in (rng.permutation(sets[0])[:500], few[:60], few[10:],
+                                  np.concatenate([rng.permutation(sets[0])[:900], rng.permutation(sets[1])[:100]]))]
     low = [(s[:minhash.BOTTOM] >> np.uint64(32)).astype(np.uint32) for s in sets]
     ends = np.cumsum([0, *map(len, low)])
     x, y = np.triu_indices(len(sets), 1)
