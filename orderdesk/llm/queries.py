@@ -72,8 +72,8 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text without its repeated runs of lines, and how much went."""
-    rows = lines.without_repeated_runs(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every whole text without its repeated chunks of lines, and how much went."""
+    rows = lines.deduplicated(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(
         "doc_id", "text", F.size("__removed").cast("long").alias("n_chunks_removed"),
         F.aggregate("__removed", F.lit(0).cast("long"), lambda n, r: n + r["lines"]).alias("n_lines_removed"))

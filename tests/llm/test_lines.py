@@ -1,62 +1,127 @@
 from __future__ import annotations
 
 import random
-from collections import Counter
-
-from pyspark.sql import functions as F
+import time
+from collections import Counter, defaultdict
 
 from orderdesk.llm import lines, queries
 from orderdesk.llm.common import read_table
 from tests.conftest import SMOKE_DIR
 
 
-def check(spark, docs: list[tuple]):
-    """Repeated chunks by their bytes, first occurrence kept."""
+def blank(line):
+    return not line.strip(" \t\r\x0b\x0c")
+
+
+def runs(docs):
+    """(id, first line, lines) of every chunk, by bytes; ``docs``: distinct (id, text), in order."""
+    split = [(d, t.split("\n")) for d, t in docs if t is not None]
+    seen = Counter(w for _, part in split for w in zip(part, part[1:], strict=False) if not (blank(w[0]) and blank(w[1])))
+    for n, (d, part) in enumerate(split):
+        start = None
+        for i in range(len(part)):
+            joined = i + 1 < len(part) and seen[part[i], part[i + 1]] > 1
+            if joined and start is None:
+                start = i
+            if not joined and start is not None:
+                yield n, start, tuple(part[start:i + 1])
+                start = None
+
+
+def brute(docs):
+    """Chunks that equal an earlier one or lie inside a longer one go."""
+    order = sorted({r for r in docs if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
+    found = list(runs(order))
+    gone = defaultdict(set)
+    for k, (n, at, chunk) in enumerate(found):
+        def inside(other, chunk=chunk):
+            return len(other) > len(chunk) and any(other[i:i + len(chunk)] == chunk for i in range(len(other)))
+        if sum(not blank(x) for x in chunk) >= lines.MIN_LINES and (
+                any(c == chunk for _, _, c in found[:k]) or any(inside(c) for _, _, c in found)):
+            gone[n] |= set(range(at, at + len(chunk)))
+    out = {None: (None, 0)}
+    for n, (d, t) in enumerate(order):
+        kept = [x for i, x in enumerate(t.split("\n")) if i not in gone[n]]
+        out[d, t] = ("\n".join(kept), len(gone[n]))
+    return out
+
+
+def assert_nothing_is_lost(before, after):
+    """Every run of lines that occurs twice in the input occurs in the output (runs of blank lines excepted)."""
+    def all_runs(texts, size):
+        return Counter(tuple(part[i:i + size]) for t in texts if t is not None for part in [t.split("\n")]
+                       for i in range(len(part) - size + 1))
+    size, many = 2, 1
+    while many:
+        here = {r for r, n in all_runs(before, size).items() if n > 1 and not any(
+            blank(a) and blank(b) for a, b in zip(r, r[1:], strict=False))}
+        assert here <= set(all_runs(after, size))
+        size, many = size + 1, len(here)
+
+
+def check(spark, docs, exact=True):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    chunks = {r.doc_id: r["__chunks"] for r in lines._with_chunks(df, "text", lines.DIVISOR).collect()}
-    plain = {d: [c.replace(lines._ESCAPED, lines._MARK) for c in part] for d, part in chunks.items() if part is not None}
-    assert {d: "\n".join(part) for d, part in plain.items()} == {d: t for d, t in docs if t is not None}
-    seen, want = Counter(c for part in plain.values() for c in part if "\n" in c), {}
-    first = {}
-    for d in sorted(plain):
-        for i, c in enumerate(plain[d]):
-            first.setdefault(c, (d, i))
-    for d, part in plain.items():
-        kept = [c for i, c in enumerate(part) if "\n" not in c or seen[c] == 1 or first[c] == (d, i)]
-        want[d] = ("\n".join(kept), len(part) - len(kept))
-    got = {r.doc_id: (r.text, r.n) for r in lines.deduplicated(df).select("doc_id", "text", F.size("__removed").alias("n")).collect()}
-    assert got == {d: want.get(d, (None, 0)) for d, _ in docs}
-    return chunks, got
+    got = lines.deduplicated(df).collect()
+    assert len(got) == len(docs) and Counter(r.doc_id for r in got) == Counter(d for d, _ in docs)
+    assert_nothing_is_lost({t for _, t in docs} | {f"{t}" for _, t in docs if t is not None}, [r.text for r in got])
+    if exact:
+        want = brute(docs)
+        assert Counter((r.doc_id, r.text, sum(x["lines"] for x in r["__removed"])) for r in got) == Counter(
+            (d, *(want[d, t] if t is not None else (None, 0))) for d, t in docs)
+    return {r.doc_id: r.text for r in got}
+
+
+def test_overlapping_repeats_are_kept_somewhere(spark):
+    assert check(spark, [(1, "B\nC"), (2, "A\nB\nC"), (3, "A\nB")]) == {1: "", 2: "A\nB\nC", 3: ""}
+    assert check(spark, [(1, "x\nx\nx"), (2, "x\nx")]) == {1: "x\nx\nx", 2: ""}
+    got = check(spark, [(1, "one\n\n\ntwo"), (2, "three\n\n\nfour"), (3, "\n\n")])
+    assert got == {1: "one\n\n\ntwo", 2: "three\n\n\nfour", 3: "\n\n"}
 
 
 def test_matches_removal_by_bytes(spark):
     rng = random.Random(8)
-    pool = [f"line {i} \x01" if i % 7 == 0 else f"line {i}" for i in range(300)]
-    passage = [f"passage {i}" for i in range(14)]
+    pool = [f"line {i} \x01" if i % 7 == 0 else f"line {i}" for i in range(40)] + ["", " "]
+    passages = [[f"passage {k} {i}" for i in range(14)] for k in range(4)]
     docs = []
-    for d in range(60):
-        body = rng.sample(pool, rng.randint(0, 12))
-        if d % 3 == 0:
-            at = rng.randint(0, len(body))
-            body[at:at] = passage
+    for d in range(120):
+        body = [rng.choice([f"{d} {rng.random()}", rng.choice(pool)]) for _ in range(rng.randint(0, 12))]
+        for _ in range(rng.randint(0, 3)):
+            at, a = rng.randint(0, len(body)), rng.randint(0, 10)
+            body[at:at] = rng.choice(passages)[a:rng.randint(a + 1, 14)] if rng.random() < 0.5 else rng.choice(passages)
         docs.append((d, "\n".join(body)))
-    docs += [(100, docs[0][1]), (101, docs[0][1]), (102, ""), (103, None), (104, "\n\n\n\n\n"), (105, "\x01\x01\x02\n\x01")]
-    chunks, got = check(spark, docs)
-    inner = [c for c in chunks[0] if c.count("passage") == c.count("\n") + 1 and "\n" in c]
-    assert len(inner) > 2  # the first may begin in another line elsewhere, the others are found at any shift
-    assert all(c not in got[d][0] for c in inner[1:-1] for d in range(3, 60, 3))
+    docs += [(200, docs[0][1]), (201, docs[0][1]), (201, docs[0][1]), (202, ""), (203, None), (204, "\n\n\n"), (7, "a\nb\nc"), (None, "a\nb\nc"),
+             (205, "a\na\na"), (206, "b\na\na")]
+    got = check(spark, docs)
+    assert sum(t == "" for t in got.values()) > 5
+
 
+def test_random_small_alphabet(spark):
+    rng = random.Random(3)
+    for size in (3, 6):
+        check(spark, [(d, "\n".join(rng.choice("abcdef"[:size]) for _ in range(rng.randint(1, 7)))) for d in range(60)])
 
-def test_smoke_table(spark):
-    check(spark, [tuple(r) for r in read_table(spark, SMOKE_DIR, "documents").select("doc_id", "text").collect()])
+
+def test_smoke_table_and_query(spark):
+    docs = [tuple(r) for r in read_table(spark, SMOKE_DIR, "documents").select("doc_id", "text").collect()]
+    got = check(spark, docs)
+    assert {r.doc_id: r.text for r in queries.op5_lines(spark, SMOKE_DIR).collect()} == got
+    assert sum(t != got[d] for d, t in docs) > 5
 
 
 def test_boundaries_do_not_shift(spark):
     rng = random.Random(1)
     body = [f"{rng.random()}" for _ in range(400)]
-    df = spark.createDataFrame([(1, "\n".join(body)), (2, "\n".join([*body[:5], "new", *body[5:]]))], "doc_id long, text string")
-    a, b = (set(r["__chunks"]) for r in lines._with_chunks(df, "text", lines.DIVISOR).orderBy("doc_id").collect())
-    assert len(a - b) <= 3
+    got = check(spark, [(1, "\n".join(body)), (2, "\n".join(["x", *body[:5], "new", *body[5:], "y"]))], exact=False)
+    assert got == {1: "\n".join(body), 2: "x\nnew\ny"}
+
+
+def test_long_texts_take_linear_time(spark):
+    rng = random.Random(2)
+    body = "\n".join(f"{rng.random()}" for _ in range(20_000))
+    df = spark.createDataFrame([(1, body), (2, body + "\nend"), (3, "start\n" + body)], "doc_id long, text string")
+    began = time.time()
+    assert {r.doc_id: r.text for r in lines.deduplicated(df).collect()} == {1: body, 2: "end", 3: "start"}
+    assert time.time() - began < 60
 
 
 def test_odd_rows(odd, none):
@@ -65,45 +130,3 @@ def test_odd_rows(odd, none):
     by = {r.doc_id: r for r in out.collect()}
     assert by[3].text is None and by[4].text == "" and by[3]["__removed"] == []
     assert lines.deduplicated(none).count() == 0
-
-
-def runs_by_bytes(docs: list[tuple]):
-    """(text, lines removed): all lines of two lines in a row that occurred before go."""
-    seen, out = set(), {}
-    for d, t in sorted(docs, key=lambda r: r[0]):
-        part, gone = t.split("\n") if t is not None else [], set()
-        for i, pair in enumerate(zip(part, part[1:], strict=False)):
-            gone |= {i, i + 1} if pair in seen else set()
-            seen.add(pair)
-        out[d] = (t if not gone else "\n".join(x for i, x in enumerate(part) if i not in gone), len(gone))
-    return out
-
-
-def test_whole_runs_go(spark):
-    rng = random.Random(5)
-    pool = [f"line {i} \x01" if i % 7 == 0 else f"line {i}" for i in range(400)]
-    docs = []
-    for d in range(80):
-        body = [f"{d} {x}" for x in rng.sample(pool, rng.randint(0, 12))]
-        for size in (2, 3, 5):
-            at, k = rng.randint(0, len(body)), rng.randint(0, 9)
-            body[at:at] = [f"passage {size} {k} {i}" for i in range(size)]
-        docs.append((d, "\n".join(body)))
-    docs += [(100, docs[0][1]), (102, ""), (103, None), (104, "\n\n\n\n\n"), (105, "a\na\na"), (106, "b\na\na")]
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    out = lines.without_repeated_runs(df).collect()
-    assert {r.doc_id: (r.text, sum(x["lines"] for x in r["__removed"])) for r in out} == runs_by_bytes(docs)
-    assert {x for _, t in docs if t for x in t.split("\n")} == {x for r in out if r.text for x in r.text.split("\n")} | {""}
-
-
-def test_query_removes_all_repeated_runs(spark):
-    docs = [tuple(r) for r in read_table(spark, SMOKE_DIR, "documents").select("doc_id", "text").collect()]
-    got = {r.doc_id: (r.text, r.n_lines_removed) for r in queries.op5_lines(spark, SMOKE_DIR).collect()}
-    assert got == runs_by_bytes(docs)
-
-
-def test_runs_of_odd_rows(odd, none):
-    out = lines.without_repeated_runs(odd)
-    by = {r.doc_id: r for r in out.collect()}
-    assert out.count() == odd.count() and by[3].text is None and by[4].text == "" and by[3]["__removed"] == []
-    assert lines.without_repeated_runs(none).count() == 0
