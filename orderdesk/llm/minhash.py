@@ -4,7 +4,8 @@
    one-permutation sketch (one hash of every shingle, its top bits name the
    bin, the rest is the value; empty bins borrow by optimal densification),
    the sketch's band hashes and the smallest hashes of the set.
-2. Equal sets are one class, led by its smallest id; only leaders go on.
+2. Equal sets are one class, led by its smallest id; only leaders go on, numbered
+   in the order of their ids (a leader is a set, not an id: ids may repeat).
 3. In every band bucket one member is the centre and each other member forms
    a candidate edge with it (a star), so a bucket of m leaders gives m - 1
    pairs. Candidate edges are confirmed on the full shingle sets of the texts.
@@ -31,7 +32,8 @@ Edge cases: a null or empty text, or one without words, has an empty set and
 is linked with nothing; fewer words than a shingle make one shingle; a null
 document id is linked with nothing and is kept; repeated rows of one id and
 text share one decision; rows that share an id but not the text are judged by
-their own text; an empty table gives an empty table. Two sets count as equal
+their own text; an empty table gives an empty table; other columns may have any
+name. Two sets count as equal
 when a 128-bit digest of all their shingle hashes agrees.
 """
 
@@ -45,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpointed, is_small
+from .common import broadcast_if_small, checkpointed
 from .components import components
 
 BANDS = 42
@@ -152,18 +154,24 @@ def _signatures(size: int, bands: int, rows: int):
             values = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
             bottom = np.concatenate(smallest).view(np.int32) if smallest else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()),
+                [batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)),
                  pa.ListArray.from_arrays(pa.array(tails, pa.int32()), pa.array(bottom))],
-                ["__id", "__n", "__d1", "__d2", "__bands", "__low"])
+                ["__id", "__t", "__n", "__d1", "__d2", "__bands", "__low"])
     return run
 
 
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``__id, __text`` and ``__t``, a hash of the text: rows of one id are told apart by it."""
+    return docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("__text"),
+                       F.xxhash64(F.col(text).cast("string")).alias("__t"))
+
+
 def signatures(docs: DataFrame, doc_id: str, text: str, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``__id, __n`` (set size), ``__d1, __d2`` (digest of the set), ``__bands``, ``__low``; texts are read whole."""
-    return docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("__text")).mapInArrow(
+    """``__id, __t, __n`` (set size), ``__d1, __d2`` (digest of the set), ``__bands``, ``__low``; texts are read whole."""
+    return _rows(docs, doc_id, text).mapInArrow(
         _signatures(size, bands, rows),
-        "__id long, __n long, __d1 long, __d2 long, __bands array<long>, __low array<int>")
+        "__id long, __t long, __n long, __d1 long, __d2 long, __bands array<long>, __low array<int>")
 
 
 def _confirm(size: int, percent: int):
@@ -184,18 +192,17 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def confirmed(docs: DataFrame, edges: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
+def confirmed(docs: DataFrame, edges: DataFrame, places: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
     """The edges (``a``, ``b``; checkpointed) whose full shingle sets are similar enough.
 
-    Each edge asks for two texts, so the texts move at most once; while the
-    questions are few they are broadcast and the texts do not move before.
+    ``places`` names a row for each leader: ``__node, __id, __t``. Each edge asks for two texts, so the texts
+    move at most once; while the questions are few they are broadcast and the texts do not move before.
     """
-    asked = edges.select("a", "b", F.explode(F.array("a", "b")).alias("__id"))
-    asked = F.broadcast(asked) if is_small(edges) else asked
-    body = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("__text"))
-    pairs = (body.join(asked, "__id").groupBy("a", "b")
-             .agg(F.max(F.when(F.col("__id") == F.col("a"), F.col("__text"))).alias("__ta"),
-                  F.max(F.when(F.col("__id") == F.col("b"), F.col("__text"))).alias("__tb")))
+    asked = edges.select("a", "b", F.explode(F.array("a", "b")).alias("__node")).join(places, "__node")
+    asked = broadcast_if_small(checkpointed(asked))
+    pairs = (_rows(docs, doc_id, text).join(asked, ["__id", "__t"]).groupBy("a", "b")
+             .agg(F.max(F.when(F.col("__node") == F.col("a"), F.col("__text"))).alias("__ta"),
+                  F.max(F.when(F.col("__node") == F.col("b"), F.col("__text"))).alias("__tb")))
     return pairs.select("a", "b", "__ta", "__tb").mapInArrow(_confirm(size, percent), "a long, b long")
 
 
@@ -205,9 +212,12 @@ def _fits(percent: int):
 
 
 def linked_leaders(docs: DataFrame, leaders: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
-    """``(node, label)`` of the leaders that have a link; ``leaders``: ``__id, __n, __bands, __low``."""
+    """``(node, label)`` of the leaders that have a link; ``leaders``: ``__node, __id, __t, __n, __bands, __low``."""
+    places = leaders.select("__node", "__id", "__t")
+    leaders = leaders.drop("__id", "__t").withColumnRenamed("__node", "__id")
+
     def confirm(edges: DataFrame) -> DataFrame:
-        return checkpointed(confirmed(docs, edges, doc_id, text, size, percent))
+        return checkpointed(confirmed(docs, edges, places, doc_id, text, size, percent))
 
     rows = leaders.select("__id", "__n", F.posexplode("__bands").alias("__band", "__key"))
     centres = (rows.groupBy("__key").agg(F.min(F.struct("__id", "__n")).alias("__c"), F.count("*").alias("__m"))
@@ -231,7 +241,11 @@ def linked_leaders(docs: DataFrame, leaders: DataFrame, doc_id: str, text: str,
     if open_.isEmpty():
         return labels
     rest = checkpointed(_block_pairs(open_, leaders, percent))
-    return components(checkpointed(links.union(confirm(rest))))
+    right = confirm(rest.select("a", "b").distinct())
+    if not rest.filter("sure").join(right, ["a", "b"], "left_anti").isEmpty():
+        # Equal halves of different hashes: a pair left out for a false one may be a link.
+        right = confirm(checkpointed(_block_pairs(open_, leaders, percent, settle=False).select("a", "b").distinct()))
+    return components(checkpointed(links.union(right)))
 
 
 def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -252,8 +266,10 @@ def _second_centres(open_: DataFrame) -> DataFrame:
                     F.col("__c.__label").alias("__clabel")))
 
 
-def _block_pairs(open_: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a < b`` of open buckets, from different components, whose smallest hashes look similar."""
+def _block_pairs(open_: DataFrame, leaders: DataFrame, percent: int, settle: bool = True) -> DataFrame:
+    """Pairs ``a < b`` of open buckets, from different components, whose smallest hashes look similar.
+
+    ``sure``: the hashes hold both sets whole. ``settle`` leaves out pairs that sure ones connect already."""
     rows = (open_.select("__key", "__band", "__m", "__id", "__label")
             .join(leaders.select("__id", "__n", "__bands", "__low"), "__id")
             .withColumn("__blocks", F.ceil(F.col("__m") / BLOCK).cast("int"))
@@ -261,16 +277,17 @@ def _block_pairs(open_: DataFrame, leaders: DataFrame, percent: int) -> DataFram
             .withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
             .groupBy("__key", "__band", F.least("__block", "__other").alias("__i"), F.greatest("__block", "__other").alias("__j"))
             .agg(F.collect_list(F.struct("__id", "__label", "__n", "__block", "__bands", "__low")).alias("__rows")))
-    return rows.select("__band", "__i", "__j", "__rows").mapInArrow(_compare(percent), "a long, b long").distinct()
+    return rows.select("__band", "__i", "__j", "__rows").mapInArrow(
+        _compare(percent, settle), "a long, b long, sure boolean").distinct()
 
 
-def _compare(percent: int):
+def _compare(percent: int, settle: bool):
     asked = percent / 100
     floor = asked - SPREAD * (asked * (1 - asked) / BOTTOM) ** 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = [], []
+            left, right, held = [], [], []
             for row in range(batch.num_rows):
                 group = batch.column(3)[row].values
                 ids, labels, sizes, block = (group.field(k).to_numpy(zero_copy_only=False) for k in range(4))
@@ -291,13 +308,20 @@ def _compare(percent: int):
                 x, y = x[first], y[first]
                 both, union = overlaps(low, ends, sizes, x, y)
                 whole = (sizes[x] <= BOTTOM) & (sizes[y] <= BOTTOM)
-                near = np.flatnonzero(np.where(whole, 100 * both >= percent * union, both >= floor * union) & (both > 0))
-                near = near[_joining(labels[x[near]], labels[y[near]], whole[near])]
+                # Hashes of one set that agree in their kept half count once; they may hide as many common shingles.
+                twice = np.concatenate([[0], np.cumsum(np.diff(low.astype(np.int64), prepend=-1) == 0)])
+                hidden = twice[ends[1:]] - twice[np.minimum(ends[:-1] + 1, ends[1:])]
+                hidden = hidden[x] + hidden[y]
+                near = np.flatnonzero(np.where(whole, 100 * (both + hidden) >= percent * (union - hidden), both >= floor * union) & (both > 0))
+                whole = whole & (hidden == 0)
+                if settle:
+                    near = near[_joining(labels[x[near]], labels[y[near]], whole[near])]
+                held.append(whole[near])
                 left.append(np.minimum(ids[x[near]], ids[y[near]]))
                 right.append(np.maximum(ids[x[near]], ids[y[near]]))
             none = np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *left])), pa.array(np.concatenate([none, *right]))],
-                                             ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *left])), pa.array(np.concatenate([none, *right])),
+                                              pa.array(np.concatenate([np.empty(0, bool), *held]))], ["a", "b", "sure"])
     return run
 
 
@@ -347,26 +371,42 @@ def overlaps(low: np.ndarray, ends: np.ndarray, sizes: np.ndarray, x: np.ndarray
     return both, nx + ny - both
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE,
-                    percent: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``, one row per row of ``docs``."""
+def _classed(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """``__id, __t, __n`` of every row, its ``__component`` and whether it is ``__kept``."""
     sets = checkpointed(signatures(docs, doc_id, text, size, bands, rows))
-    leaders = checkpointed(sets.filter("__n > 0 AND __id IS NOT NULL").groupBy("__d1", "__d2")
-                           .agg(F.min("__id").alias("__id"), F.first("__n").alias("__n"),
-                                F.first("__bands").alias("__bands"), F.first("__low").alias("__low")))
+    leaders = (sets.filter("__n > 0 AND __id IS NOT NULL").groupBy("__d1", "__d2")
+               .agg(F.min(F.struct("__id", "__t")).alias("__lead"), F.first("__n").alias("__n"),
+                    F.first("__bands").alias("__bands"), F.first("__low").alias("__low"))
+               .select("__d1", "__d2", "__lead.*", "__n", "__bands", "__low"))
+    leaders = checkpointed(leaders)
+    # Numbers in the order of the ids, so that the smallest number of a component has its smallest id.
+    numbers = checkpointed(leaders.select("__d1", "__d2", "__id").orderBy("__id", "__d1", "__d2")
+                           .select("__d1", "__d2", F.monotonically_increasing_id().alias("__node")))
+    leaders = leaders.join(numbers, ["__d1", "__d2"])
     labels = linked_leaders(docs, leaders, doc_id, text, size, percent)
-    classes = (leaders.select("__d1", "__d2", F.col("__id").alias("__leader"))
-               .join(labels, F.col("__leader") == labels["node"], "left")
-               .select("__d1", "__d2", F.coalesce("label", "__leader").alias("__component")))
+    first = leaders.select(F.col("__node").alias("label"), F.col("__id").alias("__component"))
+    linked = labels.join(first, "label").select(F.col("node").alias("__node"), "__component")
+    classes = (leaders.select("__d1", "__d2", "__node", F.col("__id").alias("__own")).join(linked, "__node", "left")
+               .select("__d1", "__d2", F.coalesce("__component", "__own").alias("__component")))
     component = F.when(F.col("__id").isNotNull(), F.coalesce("__component", "__id"))
     return (sets.drop("__bands", "__low").join(classes, ["__d1", "__d2"], "left")
-            .select(F.col("__id").alias(doc_id), F.col("__n").alias("n_shingles"), component.alias("component_id"),
-                    F.coalesce(F.col("__id") == component, F.lit(True)).alias("kept")))
+            .select("__id", "__t", "__n", component.alias("__component"))
+            .withColumn("__kept", F.coalesce(F.col("__id") == F.col("__component"), F.lit(True))))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE,
+                    percent: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept``, one row per row of ``docs``."""
+    return _classed(docs, doc_id, text, size, percent, bands, rows).select(
+        F.col("__id").alias(doc_id), F.col("__n").alias("n_shingles"), F.col("__component").alias("component_id"),
+        F.col("__kept").alias("kept"))
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that are not the first of their group."""
-    drop = (near_duplicates(docs, doc_id, text, **options).filter("NOT kept")
-            .select(F.col(doc_id).alias("__drop")).distinct())
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE,
+                 percent: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``docs`` without the rows that are not the first of their group."""
+    drop = (_classed(docs, doc_id, text, size, percent, bands, rows).filter("NOT __kept")
+            .select(F.col("__id").alias("__drop"), F.col("__t").alias("__of")).distinct())
     drop = broadcast_if_small(checkpointed(drop))
-    return docs.join(drop, docs[doc_id].cast("long") == drop["__drop"], "left_anti")
+    return docs.join(drop, (docs[doc_id].cast("long") == drop["__drop"])
+                     & (F.xxhash64(docs[text].cast("string")) == drop["__of"]), "left_anti")

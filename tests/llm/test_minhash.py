@@ -79,6 +79,32 @@ def test_small_blocks_give_the_same(spark, monkeypatch):
     check(spark, [(i, " ".join(edited(rng, base, rng.choice([0.04, 0.06, 0.09])))) for i in range(40)])
 
 
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    rng = random.Random(4)
+    first = [f"w{i}" for i in range(60)]
+    texts = {"t1": first, "t2": edited(rng, first, 0.03), "own": [f"z{i}" for i in range(60)]}
+    rows = [(1, "t1"), (2, "t2"), (2, "own"), (3, "own"), (3, "t1")]
+    df = spark.createDataFrame([(d, " ".join(texts[t]), t) for d, t in rows], "doc_id long, text string, name string").repartition(3)
+    got = [tuple(r) for r in minhash.near_duplicates(df, size=2).select("doc_id", "component_id", "kept").collect()]
+    assert sorted(got) == [(1, 1, True), (2, 1, False), (2, 2, True), (3, 1, False), (3, 2, False)]
+    left = [(r.doc_id, r.name) for r in minhash.deduplicated(df, size=2).collect()]
+    assert sorted(left) == [(1, "t1"), (2, "own")]
+
+
+def test_hashes_that_agree_in_the_kept_half_lose_no_link(spark, monkeypatch):
+    """Hashes with few different upper halves, so that the comparison in blocks errs both ways."""
+    true = minhash.shingle_hashes
+
+    def coarse(words, size):
+        h = true(words, size)
+        return np.unique(h & np.uint64(0xFF000000FFFFFFFF))
+    monkeypatch.setattr(minhash, "shingle_hashes", coarse)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rng = random.Random(6)
+    bases = [[f"w{k}{i}" for i in range(60)] for k in range(3)]
+    check(spark, [(i, " ".join(edited(rng, bases[i % 3], rng.choice([0.02, 0.04, 0.06])))) for i in range(36)])
+
+
 def test_smoke_table_matches_brute_force(spark):
     docs = [tuple(r) for r in read_table(spark, SMOKE_DIR, "documents").select("doc_id", "text").collect()]
     check(spark, docs)

@@ -39,7 +39,8 @@ def test_clean_documents_stay(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_equal_their_statement(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMOKE_DIR}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMOKE_DIR}/{table}.parquet'")
     df = queries.queries()[name](spark, SMOKE_DIR)
     want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in df.collect())
@@ -47,4 +48,4 @@ def test_queries_equal_their_statement(spark, name):
 
 def test_every_operator_is_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{n}" for n in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{n}" for n in range(1, 14)]
