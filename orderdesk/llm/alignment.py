@@ -5,9 +5,9 @@ byte-level BPE file, and B, a piece model. Byte offsets where tokens of both
 end cut the tokens into groups; tokens of A and B in one group are linked.
 
 A text is read in byte ranges. The tokens that end in a range make a fragment:
-an open prefix (the tokens up to the first common end), closed groups, and an
-open suffix (the tokens behind the last common end), or only a prefix if no
-end is common. Two neighbouring fragments compose (``composed``): suffix and
+an open prefix (the tokens up to the first common end; the text's start is one),
+closed groups, and an open suffix (the tokens behind the last common end), or
+only a prefix if no end is common. Two neighbouring fragments compose (``composed``): suffix and
 prefix between them become one group. Composition is associative, so the
 fragments of a long text, made in different tasks, are reduced as a tree of
 ``FAN`` children by Spark; a text of one range is done where it is read.
@@ -67,9 +67,10 @@ def _byte_letters() -> dict[str, int]:
 
 @dataclass
 class Vocabulary:
-    """One tokenizer in a task: ``encode`` cuts raw text (no space added) into ids."""
+    """One tokenizer in a task: ``encode`` cuts raw text (no space added; also given in UTF-8) into ids, or gives None
+    if their bytes are not the text's."""
 
-    encode: Callable[[str], np.ndarray]
+    encode: Callable[[str, bytes], np.ndarray | None]
     token_bytes: list[bytes]
     meets: Callable[[str, str], bool]  # whether a token may hold the two characters next to each other
     lengths: np.ndarray = field(init=False)
@@ -79,9 +80,6 @@ class Vocabulary:
         self.lengths = np.array([len(b) for b in self.token_bytes], np.int64)
         self.digits = np.array([str(k) for k in range(len(self.token_bytes))], "S").view(np.uint8).reshape(len(self.token_bytes), -1)
 
-    def is_text(self, ids: np.ndarray, raw: bytes) -> bool:
-        return b"".join(map(self.token_bytes.__getitem__, ids.tolist())) == raw
-
 
 def merges_alone(file: bytes) -> bool:
     """Whether the file's merges may be applied by rank of the merged token.
@@ -124,14 +122,16 @@ def byte_level(file: bytes, by_rank: bool) -> Vocabulary:
     if by_rank:
         fast = tiktoken.Encoding("a", pat_str=PRETOKENS, mergeable_ranks=vocab, special_tokens={})
 
-        def encode(text: str) -> np.ndarray:
+        def encode(text: str, raw: bytes) -> np.ndarray | None:
+            # Merges of bytes under a whole alphabet: the tokens' bytes are the text's.
             return fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
     else:
         whole = Tokenizer.from_str(file.decode())
         whole.encode_special_tokens = True
 
-        def encode(text: str) -> np.ndarray:
-            return np.array(whole.encode(text, add_special_tokens=False).ids, np.int64)
+        def encode(text: str, raw: bytes) -> np.ndarray | None:
+            ids = whole.encode(text, add_special_tokens=False).ids
+            return np.array(ids, np.int64) if b"".join(map(names.__getitem__, ids)) == raw else None
 
     return Vocabulary(encode, names, lambda x, y: bool(near[x.encode()[-1], y.encode()[0]]))
 
@@ -156,8 +156,9 @@ def pieces(file: bytes) -> Vocabulary:
     if any("\n" in pair for pair in near) or not 1 <= len(lead) <= 2:
         raise ValueError("the piece model joins line feeds with other characters")
 
-    def encode(text: str) -> np.ndarray:
-        return np.array(model.encode("\n" + text)[len(lead):], np.int64)
+    def encode(text: str, raw: bytes) -> np.ndarray | None:
+        ids = model.encode("\n" + text)[len(lead):]
+        return np.array(ids, np.int64) if b"".join(map(names.__getitem__, ids)) == raw else None
 
     return Vocabulary(encode, names, lambda x, y: (x.replace(" ", "▁"), y.replace(" ", "▁")) in near)
 
@@ -243,6 +244,7 @@ class Fragment:
 
 
 _NONE = np.empty(0, np.int64)
+_WRONG = Fragment(False, False, _NONE, _NONE, b"", 0, 0, 0, 0, _NONE, _NONE, _NONE, _NONE)
 
 
 def _links(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, n: int) -> np.ndarray:
@@ -275,17 +277,19 @@ def _written(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, n
 def fragment(window: Window, pair: Pair) -> Fragment:
     """The tokens that end in the window's range."""
     raw = window.text.encode()
-    a, b = pair.a.encode(window.text), pair.b.encode(window.text)
-    right = pair.a.is_text(a, raw) and pair.b.is_text(b, raw)
-    if not right:
-        return Fragment(False, False, _NONE, _NONE, b"", 0, 0, 0, 0, _NONE, _NONE, _NONE, _NONE)
+    a, b = pair.a.encode(window.text, raw), pair.b.encode(window.text, raw)
+    if a is None or b is None:
+        return _WRONG
     ends = []
     for ids, vocabulary in ((a, pair.a), (b, pair.b)):
         end = window.start + np.cumsum(vocabulary.lengths[ids])
         mine = slice(np.searchsorted(end, window.lo, "right"), np.searchsorted(end, window.hi, "right"))
         ends.append((ids[mine], end[mine]))
     (a, end_a), (b, end_b) = ends
-    common = np.intersect1d(end_a, end_b)
+    at = np.searchsorted(end_b, end_a)
+    common = end_a[end_b[np.minimum(at, len(end_b) - 1)] == end_a] if len(end_b) else _NONE
+    if window.lo == 0:  # the start of the text is a common end
+        common = np.concatenate([[0], common])
     if not len(common):
         return Fragment(True, False, a, b, b"", 0, 0, len(a), len(b), _NONE, _NONE, _NONE, _NONE)
     in_a, in_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
@@ -306,7 +310,7 @@ def _group(a: np.ndarray, b: np.ndarray) -> bytes:
 def composed(parts: list[Fragment]) -> Fragment:
     """Neighbouring fragments as one. Associative; the same whatever the brackets."""
     if not all(f.right for f in parts):
-        return Fragment(False, False, _NONE, _NONE, b"", 0, 0, 0, 0, _NONE, _NONE, _NONE, _NONE)
+        return _WRONG
     pre: list[tuple[np.ndarray, np.ndarray]] = []
     open_: list[tuple[np.ndarray, np.ndarray]] = []
     groups, links, n_groups, n_links, cut = [], [], 0, 0, False
@@ -332,18 +336,17 @@ def composed(parts: list[Fragment]) -> Fragment:
     def joined(tokens: list[tuple[np.ndarray, np.ndarray]], side: int) -> np.ndarray:
         return np.concatenate([t[side] for t in tokens]) if tokens else _NONE
 
-    keys, at = np.unique(np.concatenate([k for k, _ in links]) if links else _NONE, return_inverse=True)
-    times = np.bincount(at, np.concatenate([t for _, t in links]) if links else _NONE, len(keys)).astype(np.int64)
+    keys, at = np.unique(np.concatenate([_NONE, *(k for k, _ in links)]), return_inverse=True)
+    times = np.bincount(at, np.concatenate([_NONE, *(t for _, t in links)]), len(keys)).astype(np.int64)
     return Fragment(True, cut, joined(pre, 0), joined(pre, 1), b";".join(groups), n_groups, n_links, sum(f.n_a for f in parts),
                     sum(f.n_b for f in parts), keys, times, joined(open_, 0), joined(open_, 1))
 
 
 def closed(f: Fragment) -> Fragment:
-    """The fragment of a whole text with all its groups closed: its first group was its prefix."""
-    nothing = Fragment(True, True, _NONE, _NONE, b"", 0, 0, 0, 0, _NONE, _NONE, _NONE, _NONE)
-    if not f.right or not f.cut:
-        return nothing
-    return composed([nothing, f])
+    """The fragment of a whole text; without any tokens if they do not give the text."""
+    if not f.right or len(f.post_a) or len(f.post_b):
+        return Fragment(True, True, _NONE, _NONE, b"", 0, 0, 0, 0, _NONE, _NONE, _NONE, _NONE)
+    return f
 
 
 _FRAGMENT = [("__right", "boolean"), ("__cut", "boolean"), ("__pre_a", "binary"), ("__pre_b", "binary"), ("__groups", "binary"),

@@ -124,7 +124,7 @@ def test_merges_by_rank_are_proven_for_the_file():
     assert not alignment.merges_alone(raw.replace(b'"use_regex":true', b'"use_regex":false').replace(b'"use_regex": true', b'"use_regex": false'))
     slow = alignment.byte_level(raw, False)
     fast = alignment.byte_level(raw, True)
-    assert all((slow.encode(t) == fast.encode(t)).all() for t in texts(8, 100))
+    assert all((slow.encode(t, t.encode()) == fast.encode(t, t.encode())).all() for t in texts(8, 100))
 
 
 def brute(rows, plain):
