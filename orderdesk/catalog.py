@@ -17,6 +17,7 @@ from .operators import audits as A
 from .operators import workflow as W
 from .plans import documents as DOC
 from .plans import lists as L
+from .plans import maintained as M
 from .plans import reports as R
 from .sources.driver import Tables, driver_tables, read_driver_table
 
@@ -96,6 +97,16 @@ def registry() -> dict[str, Callable[[Tables], DataFrame]]:
                                                                D.DEFAULT_AS_OF)),
         "initial_payments": lambda t: W.initial_payments(t.booking_requests, t.booking_request_items,
                                                          t.products, D.DEFAULT_AS_OF),
+        # the same by maintained state: indexes, batches of commands, rollups
+        "indexed_booking_search": lambda t: L.indexed_booking_list(t, L.booking_index(t), "mer#%077"),
+        "indexed_row_search": lambda t: L.indexed_row_search(t, L.row_index(t), "widget (3"),
+        "workflow_state_in_batches": M.workflow_state_in_batches,
+        "rolled_revenue_overview": M.rolled_revenue_overview,
+        "rolled_payment_type_stats": M.rolled_payment_type_stats,
+        "dash_accountant_after_jobs": M.dash_accountant_after_jobs,
+        "delivery_stats_after_jobs": M.delivery_stats_after_jobs,
+        "payment_stats_after_jobs": M.payment_stats_after_jobs,
+        "monthly_revenue_after_jobs": M.monthly_revenue_after_jobs,
         # documents, chart data, export rows, display texts, carts
         "booking_document": DOC.booking_document,
         "chart_points": DOC.chart_points,

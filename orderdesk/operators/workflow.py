@@ -97,7 +97,7 @@ def _fits(c: Column, n: int) -> Column:
     return F.coalesce((F.length(c) * 6 <= n) | (F.length(TX.clean_text(c)) <= n), F.lit(True))
 
 
-def _delivery_fits() -> Column:
+def delivery_fits() -> Column:
     return (_date_ok(F.col("delivery_date")) & _fits(F.col("delivery_company"), 100)
             & _fits(F.col("tracking_number"), 100))
 
@@ -130,7 +130,7 @@ def _winning_delivery(gate: DataFrame, commands: DataFrame, hot: DataFrame | Non
                          .alias("after")))
     # Delivery details the database refuses roll back with the status change,
     # so such a command never counts.
-    dl = commands.filter(F.col("action").isin(*DELIVERY_ACTIONS) & _delivery_fits())
+    dl = commands.filter(F.col("action").isin(*DELIVERY_ACTIONS) & delivery_fits())
     dl = salted_join(dl, open_from, "booking_id", "inner",
                      hot=_hot_bookings(commands) if hot is None else hot)
     later = F.col("after").isNull() | (F.struct("ts", "cmd_id") > F.col("after"))
@@ -162,6 +162,15 @@ def workflow_state(bookings: DataFrame, commands: DataFrame, hot: DataFrame | No
         F.col("r.cmd_id").alias("review_cmd_id"), F.col("d.cmd_id").alias("delivery_cmd_id"))
 
 
+def bookings_after(bookings: DataFrame, state: DataFrame) -> DataFrame:
+    """The booking rows with the status, staff and time that ``workflow_state`` gives them."""
+    new = ("status", "accountant_id", "storeman_id", "updated_at")
+    s = state.select(F.col("id").alias("__id"), *[F.col(c).alias(f"__{c}") for c in new])
+    return bookings.join(s, bookings["id"] == s["__id"], "left").select(
+        *[F.when(F.col("__id").isNotNull(), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c)
+          for c in bookings.columns])
+
+
 def effective_deliveries(bookings: DataFrame, commands: DataFrame) -> DataFrame:
     """The one effective delivery command per booking, with its form payload."""
     d = _winning_delivery(_review_gate(bookings, commands), commands)
@@ -181,13 +190,17 @@ def rejections_from_state(commands: DataFrame, state: DataFrame, hot: DataFrame
     j = salted_join(commands, st, "booking_id", "left", hot=_hot_bookings(commands) if hot is None else hot)
     effective = ((F.col("cmd_id") == F.col("review_cmd_id"))
                  | (F.col("cmd_id") == F.col("delivery_cmd_id")))
-    known = F.coalesce(F.col("action").isin(*REVIEW_ACTIONS, *DELIVERY_ACTIONS), F.lit(False))
-    reason = (F.when(~known, F.lit(MSG_BAD_DELIVERY_STATUS))
-              .when(F.col("action").isin(*REVIEW_ACTIONS), F.lit(MSG_REVIEW_NOOP))
-              .when(~_delivery_fits(), F.lit(MSG_DB_DELIVERY))
-              .otherwise(F.lit(MSG_DELIVERY_NOOP)))
     return (j.filter(~F.coalesce(effective, F.lit(False)))
-            .select("cmd_id", "booking_id", "action", reason.alias("reason")))
+            .select("cmd_id", "booking_id", "action", rejection_reason().alias("reason")))
+
+
+def rejection_reason() -> Column:
+    """Why a command that changed nothing did not."""
+    known = F.coalesce(F.col("action").isin(*REVIEW_ACTIONS, *DELIVERY_ACTIONS), F.lit(False))
+    return (F.when(~known, F.lit(MSG_BAD_DELIVERY_STATUS))
+            .when(F.col("action").isin(*REVIEW_ACTIONS), F.lit(MSG_REVIEW_NOOP))
+            .when(~delivery_fits(), F.lit(MSG_DB_DELIVERY))
+            .otherwise(F.lit(MSG_DELIVERY_NOOP)))
 
 
 # ---------------------------------------------------------------- payment updates
@@ -202,14 +215,14 @@ def _payment_fits() -> Column:
             & _fits(F.col("transaction_id"), 100))
 
 
-def _valid_payment_update() -> Column:
+def valid_payment_update() -> Column:
     return _valid_payment_status() & _payment_fits()
 
 
 def payment_updates_applied(payments: DataFrame, updates: DataFrame) -> DataFrame:
     """Payments after all update posts: the last valid post per booking
     overwrites status, method, transaction, date ('' → NULL), notes and actor."""
-    valid = updates.filter(_valid_payment_update())
+    valid = updates.filter(valid_payment_update())
     last = valid.groupBy("booking_id").agg(
         _last("actor_id", "payment_status", "payment_method", "transaction_id",
               "payment_date", "notes").alias("u"))

@@ -18,7 +18,7 @@ from ..operators.items import booking_labels
 from . import reports as R
 from ..session import ensure_checkpoint_dir
 from ..sources.driver import Tables
-from ..sources.sinks import commit_versioned
+from ..sources.sinks import commit_versioned, read_version
 
 
 def dense_ids(df: DataFrame, order_col: str, start: int, name: str = "new_id") -> DataFrame:
@@ -42,6 +42,12 @@ def dense_ids(df: DataFrame, order_col: str, start: int, name: str = "new_id") -
     return out.select(*df.columns, (F.lit(start) + F.col("__off") + pos).alias(name))
 
 
+def _committed(spark: SparkSession, outputs: dict[str, DataFrame], root: str, version: str) -> dict[str, DataFrame]:
+    """Commit the outputs and return what is stored for the version, by this attempt or an earlier one."""
+    commit_versioned(spark, outputs, root, version)
+    return {name: read_version(spark, root, name, version) for name in outputs}
+
+
 def process_booking_requests(spark: SparkSession, t: Tables, root: str, version: str,
                              dense: bool = False, as_of=D.DEFAULT_AS_OF) -> dict[str, DataFrame]:
     """Price and stock-check all requests; commit new bookings, their items,
@@ -66,8 +72,7 @@ def process_booking_requests(spark: SparkSession, t: Tables, root: str, version:
     outputs = {"new_bookings": new_bookings, "new_booking_items": items, "new_payments": payments,
                "new_booking_labels": booking_labels(items, t.products),
                "request_rejections": rejections}
-    commit_versioned(spark, outputs, root, version)
-    return outputs
+    return _committed(spark, outputs, root, version)
 
 
 def apply_commands(spark: SparkSession, t: Tables, root: str, version: str) -> dict[str, DataFrame]:
@@ -76,13 +81,7 @@ def apply_commands(spark: SparkSession, t: Tables, root: str, version: str) -> d
     commands, committed together under ``root``."""
     ensure_checkpoint_dir(spark)
     state = W.workflow_state(t.bookings, t.workflow_commands).checkpoint()
-    s = state.select(F.col("id").alias("__id"), F.col("status").alias("__status"),
-                     F.col("accountant_id").alias("__acc"), F.col("storeman_id").alias("__store"),
-                     F.col("updated_at").alias("__upd"))
-    b = t.bookings.join(s, t.bookings["id"] == s["__id"], "left")
-    replaced = {"status": "__status", "accountant_id": "__acc", "storeman_id": "__store", "updated_at": "__upd"}
-    bookings = b.select(*[F.coalesce(F.col(replaced[c]), F.col(c)).alias(c) if c in replaced else F.col(c)
-                          for c in t.bookings.columns])
+    bookings = W.bookings_after(t.bookings, state)
     effective = state.filter(F.col("delivery_cmd_id").isNotNull()).select(F.col("id").alias("booking_id"),
                                                                            "delivery_cmd_id")
     cmds = t.workflow_commands
@@ -94,8 +93,7 @@ def apply_commands(spark: SparkSession, t: Tables, root: str, version: str) -> d
         W.payment_update_rejections(t.payments, t.payment_updates))
     outputs = {"bookings": bookings, "delivery_details": deliveries, "payments": payments,
                "rejected_commands": rejected}
-    commit_versioned(spark, outputs, root, version)
-    return outputs
+    return _committed(spark, outputs, root, version)
 
 
 def reports_page(spark: SparkSession, t: Tables, root: str, version: str,
@@ -113,5 +111,4 @@ def reports_page(spark: SparkSession, t: Tables, root: str, version: str,
         "recent_transactions": R.recent_transactions(t, paid=paid),
         "payment_type_stats": R.payment_type_stats(t, paid=paid),
     }
-    commit_versioned(spark, outputs, root, version)
-    return outputs
+    return _committed(spark, outputs, root, version)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import formats as FM
 from ..functions import text as TX
+from ..operators import search as SEARCH
 from ..operators.items import with_item_labels
 from ..operators.joins import with_user_names
 from ..sources.driver import Tables
@@ -136,18 +137,28 @@ def ready_orders(t: Tables, n: int = 5) -> DataFrame:
 
 # ---------------------------------------------------------------- full lists
 
-def booking_list(t: Tables, search: Optional[str] = None, status: Optional[str] = None) -> DataFrame:
+def search_texts() -> dict[str, Column]:
+    """The texts that the search box of the list pages looks at."""
+    return {c: F.col(c).cast("string") for c in ("id", "customer_name", "customer_phone")}
+
+
+def booking_list(t: Tables, search: Optional[str] = None, status: Optional[str] = None,
+                 ids: Optional[DataFrame] = None) -> DataFrame:
     """Bookings page: every matching booking with three staff names, its
     items as ``name (qty)`` text, payment status and the sort bucket
-    (pending first, then newest)."""
+    (pending first, then newest). ``ids`` (an ``id`` column, once each) names
+    the only bookings to look at, such as candidates of an index."""
     preds = booking_search_pred(search)
     status = TX.clean_param(status)
     if TX.is_set(status):
         preds.append(F.col("status") == status)
     found = t.bookings.select(*BOOKING_COLS).filter(TX.all_of(preds))
+    if ids is not None:
+        found = found.join(ids, "id", "left_semi")
+    narrowed = bool(preds) or ids is not None
     b = with_user_names(found, t.users, {"moderator_id": "moderator_name", "accountant_id": "accountant_name",
                                          "storeman_id": "storeman_name"})
-    b = with_item_labels(b, t.booking_items, t.products, restrict=found if preds else None, stored=t.booking_labels)
+    b = with_item_labels(b, t.booking_items, t.products, restrict=found if narrowed else None, stored=t.booking_labels)
     pay = t.payments.select(F.col("booking_id").alias("pay_booking_id"), "payment_status")
     b = b.join(pay, b["id"] == pay["pay_booking_id"], "left").drop("pay_booking_id")
     b = b.withColumn("sort_bucket", F.when(F.col("status") == "pending", 1).otherwise(2))
@@ -195,18 +206,46 @@ def payment_list(t: Tables, search: Optional[str] = None, payment_status: Option
     return _out(b.orderBy("sort_bucket", F.desc("created_at"), F.asc("id")))
 
 
-def row_text_search(t: Tables, query: str, search: Optional[str] = None,
-                    status: Optional[str] = None) -> DataFrame:
-    """Live filter of the bookings table: keep rows whose shown text contains
-    ``query`` case-insensitively (``%`` and ``_`` are literal here)."""
-    rows = booking_list(t, search, status)
-    cells = [F.concat(F.lit("#"), F.col("id").cast("string")),
+def row_cells() -> list[Column]:
+    """The cells of a row of the bookings table, as shown."""
+    return [F.concat(F.lit("#"), F.col("id").cast("string")),
              F.concat(F.lit("by "), F.col("moderator_name")),
              F.col("customer_name"), F.col("customer_phone"), F.col("products"),
              FM.currency(F.col("amount").cast("decimal(12,2)")), F.col("payment_type"),
              FM.status_label(F.col("status")), FM.datetime_text(F.col("created_at")),
              F.concat(F.lit("View"), F.when(F.col("status") == "pending", " Approve Reject").otherwise(""))]
-    return rows.filter(TX.row_contains(cells, query))
+
+
+def row_text_search(t: Tables, query: str, search: Optional[str] = None,
+                    status: Optional[str] = None, ids: Optional[DataFrame] = None) -> DataFrame:
+    """Live filter of the bookings table: keep rows whose shown text contains
+    ``query`` case-insensitively (``%`` and ``_`` are literal here); ``ids`` as
+    in ``booking_list``."""
+    return booking_list(t, search, status, ids).filter(TX.row_contains(row_cells(), query))
+
+
+def indexed_booking_list(t: Tables, index: DataFrame, search: str, status: Optional[str] = None) -> DataFrame:
+    """``booking_list`` with its search answered through an index of ``search_texts`` (``operators.search``)."""
+    pattern = TX.clean_param(search)
+    ids = SEARCH.found(index.sparkSession, index, pattern) if TX.is_set(pattern) else None
+    return booking_list(t, search, status, ids)
+
+
+def indexed_row_search(t: Tables, index: DataFrame, query: str, search: Optional[str] = None,
+                       status: Optional[str] = None) -> DataFrame:
+    """``row_text_search`` answered through an index of the rows' shown texts."""
+    return row_text_search(t, query, search, status, SEARCH.found(index.sparkSession, index, query, wildcards=False))
+
+
+def booking_index(t: Tables) -> DataFrame:
+    """Index of the texts behind the search box."""
+    return SEARCH.postings(t.bookings, "id", search_texts())
+
+
+def row_index(t: Tables) -> DataFrame:
+    """Index of the whole shown rows of the bookings table."""
+    text = F.concat_ws(" ", *[c.cast("string") for c in row_cells()])
+    return SEARCH.postings(booking_list(t), "id", {"row": text})
 
 
 def booking_details(t: Tables, ids: Optional[DataFrame] = None) -> DataFrame:

@@ -1,25 +1,14 @@
 """Sinks: CSV report export, JSON documents, and a versioned commit of
-several outputs (the reference's multi-table transaction).
-
-Plain parquet folders have no cross-table transaction. ``commit_versioned``
-writes every output of a job into a folder of its own attempt and only then
-appends a commit record that names the attempt under ``_commits``; readers
-take the greatest committed version, so they see either the previous complete
-version or the new complete one. Records are only ever added: committing a
-version again changes nothing, so a replayed job cannot touch what readers
-read. A failed attempt leaves an unreferenced folder behind, never a
-half-visible one. Version names must sort in commit order (e.g. zero-padded
-numbers or ISO timestamps).
+several outputs (the reference's multi-table transaction; see ``versions``).
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import versions as V
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with a header line (one file per task; the export is not funnelled
@@ -32,47 +21,31 @@ def write_json_documents(df: DataFrame, path: str, column: str = "document", mod
     df.select(F.col(column).alias("value")).write.mode(mode).text(path)
 
 
-COMMIT_SCHEMA = "version string, attempt string, tables array<string>"
-
-
-def _commits(spark: SparkSession, root: str) -> DataFrame:
-    """The commit records (one small record per commit); none before the first commit."""
-    try:
-        return spark.read.schema(COMMIT_SCHEMA).json(f"{root}/_commits/*")
-    except AnalysisException as exc:
-        if exc.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], COMMIT_SCHEMA)
-
-
 def commit_versioned(spark: SparkSession, outputs: dict[str, DataFrame], root: str, version: str) -> bool:
-    """Write ``outputs`` under ``root/<name>/version=<version>/attempt=<id>``,
-    then append the commit record. Each output is written in full before the
-    record appears. False, and nothing written, when the version is committed
-    already."""
-    if not _commits(spark, root).filter(F.col("version") == version).isEmpty():
-        return False
-    attempt = uuid.uuid4().hex
-    for name, df in outputs.items():
-        df.write.mode("errorifexists").parquet(f"{root}/{name}/version={version}/attempt={attempt}")
-    spark.createDataFrame([(version, attempt, sorted(outputs))], COMMIT_SCHEMA) \
-        .coalesce(1).write.mode("errorifexists").json(f"{root}/_commits/version={version}")
-    return True
+    """Write ``outputs`` under ``root`` and commit them together as ``version``.
+    The outputs replace their tables whole, so a commit that came in between
+    does not matter: it becomes the base. False when the version is committed
+    already, by whichever attempt."""
+    while True:
+        try:
+            return V.committed(V.latest(spark, root), version, {name: V.Write(df) for name, df in outputs.items()})[1]
+        except V.StaleBase:
+            continue
 
 
 def current_version(spark: SparkSession, root: str) -> str:
-    """The greatest committed version under ``root``."""
-    return _commits(spark, root).agg(F.max("version")).first()[0]
+    """The newest committed version under ``root``."""
+    return V.latest(spark, root).version
 
 
 def read_current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Read one output of the committed version."""
-    return read_version(spark, root, name, current_version(spark, root))
+    """One output of the newest version; to read several of one version take ``versions.latest`` once."""
+    return V.latest(spark, root).read(name)
 
 
 def read_version(spark: SparkSession, root: str, name: str, version: str) -> DataFrame:
-    """Read one output of a committed version, from the attempt its record names."""
-    record = _commits(spark, root).filter(F.col("version") == version).first()
-    if record is None:
+    """Read one output of a committed version."""
+    snapshot = V.version_of(spark, root, version)
+    if snapshot is None:
         raise ValueError(f"version {version} is not committed under {root}")
-    return spark.read.parquet(f"{root}/{name}/version={version}/attempt={record['attempt']}")
+    return snapshot.read(name)
