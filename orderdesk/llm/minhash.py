@@ -4,8 +4,8 @@
    one-permutation sketch (one hash of every shingle, its top bits name the
    bin, the rest is the value; empty bins borrow by optimal densification),
    the sketch's band hashes and the smallest hashes of the set.
-2. Equal sets are one class, led by its smallest id; only leaders go on, numbered
-   in the order of their ids (a leader is a set, not an id: ids may repeat).
+2. Equal sets are one class, led by its smallest id; only leaders go on, under
+   numbers of their own (a leader is a set, not an id: ids may repeat).
 3. In every band bucket one member is the centre and each other member forms
    a candidate edge with it (a star), so a bucket of m leaders gives m - 1
    pairs. Candidate edges are confirmed on the full shingle sets of the texts.
@@ -47,6 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import ROWS_PER_SALT, salted_join
 from .common import broadcast_if_small, checkpointed
 from .components import components
 
@@ -59,6 +60,7 @@ PAIRS_AT_ONCE = 1 << 16
 HASHES_AT_ONCE = 1 << 13
 SHINGLE = 5
 SIMILARITY = 80  # percent
+ASKED_BYTES = 32 << 20  # of questions for texts that are broadcast; beyond it the texts are shuffled
 
 _U = np.uint64
 
@@ -196,13 +198,18 @@ def confirmed(docs: DataFrame, edges: DataFrame, places: DataFrame, doc_id: str,
     """The edges (``a``, ``b``; checkpointed) whose full shingle sets are similar enough.
 
     ``places`` names a row for each leader: ``__node, __id, __t``. Each edge asks for two texts, so the texts
-    move at most once; while the questions are few they are broadcast and the texts do not move before.
+    move at most once; while the questions (five numbers each) are within ``ASKED_BYTES`` they are broadcast and
+    the texts do not move before.
     """
-    asked = edges.select("a", "b", F.explode(F.array("a", "b")).alias("__node")).join(places, "__node")
-    asked = broadcast_if_small(checkpointed(asked))
-    pairs = (_rows(docs, doc_id, text).join(asked, ["__id", "__t"]).groupBy("a", "b")
-             .agg(F.max(F.when(F.col("__node") == F.col("a"), F.col("__text"))).alias("__ta"),
-                  F.max(F.when(F.col("__node") == F.col("b"), F.col("__text"))).alias("__tb")))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("own"), F.col("b").alias("other")),
+                             F.struct(F.col("b").alias("own"), F.col("a").alias("other"))))
+    asked = checkpointed(edges.select(ends.alias("__e")).select(F.col("__e.own").alias("__node"), F.col("__e.other").alias("__other"))
+                         .join(places, "__node"))
+    asked = F.broadcast(asked) if asked.count() * 40 <= ASKED_BYTES else asked
+    own = F.col("__node") < F.col("__other")
+    pairs = (_rows(docs, doc_id, text).join(asked, ["__id", "__t"])
+             .groupBy(F.least("__node", "__other").alias("a"), F.greatest("__node", "__other").alias("b"))
+             .agg(F.max(F.when(own, F.col("__text"))).alias("__ta"), F.max(F.when(~own, F.col("__text"))).alias("__tb")))
     return pairs.select("a", "b", "__ta", "__tb").mapInArrow(_confirm(size, percent), "a long, b long")
 
 
@@ -378,14 +385,14 @@ def _classed(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, b
                .agg(F.min(F.struct("__id", "__t")).alias("__lead"), F.first("__n").alias("__n"),
                     F.first("__bands").alias("__bands"), F.first("__low").alias("__low"))
                .select("__d1", "__d2", "__lead.*", "__n", "__bands", "__low"))
-    leaders = checkpointed(leaders)
-    # Numbers in the order of the ids, so that the smallest number of a component has its smallest id.
-    numbers = checkpointed(leaders.select("__d1", "__d2", "__id").orderBy("__id", "__d1", "__d2")
-                           .select("__d1", "__d2", F.monotonically_increasing_id().alias("__node")))
-    leaders = leaders.join(numbers, ["__d1", "__d2"])
+    # A number for each leader; the smallest id of a component is looked up at the end.
+    leaders = checkpointed(leaders.withColumn("__node", F.monotonically_increasing_id()))
     labels = linked_leaders(docs, leaders, doc_id, text, size, percent)
-    first = leaders.select(F.col("__node").alias("label"), F.col("__id").alias("__component"))
-    linked = labels.join(first, "label").select(F.col("node").alias("__node"), "__component")
+    members = labels.join(leaders.select(F.col("__node").alias("node"), "__id"), "node")
+    first = members.groupBy("label").agg(F.min("__id").alias("__component"), F.count("*").alias("__many"))
+    hot = first.filter(F.col("__many") > ROWS_PER_SALT).select("label", F.ceil(F.col("__many") / ROWS_PER_SALT).cast("int").alias("__salts"))
+    linked = (salted_join(labels, first.select("label", "__component"), "label", hot=hot)
+              .select(F.col("node").alias("__node"), "__component"))
     classes = (leaders.select("__d1", "__d2", "__node", F.col("__id").alias("__own")).join(linked, "__node", "left")
                .select("__d1", "__d2", F.coalesce("__component", "__own").alias("__component")))
     component = F.when(F.col("__id").isNotNull(), F.coalesce("__component", "__id"))
