@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dates as D
+from .operators import audit_counts as AC
 from .operators import audits as A
 from .operators import workflow as W
 from .plans import documents as DOC
@@ -103,6 +104,8 @@ def registry() -> dict[str, Callable[[Tables], DataFrame]]:
         "workflow_state_in_batches": M.workflow_state_in_batches,
         "rolled_revenue_overview": M.rolled_revenue_overview,
         "rolled_payment_type_stats": M.rolled_payment_type_stats,
+        "rolled_top_products": M.rolled_top_products,
+        "top_products_after_jobs": M.top_products_after_jobs,
         "dash_accountant_after_jobs": M.dash_accountant_after_jobs,
         "delivery_stats_after_jobs": M.delivery_stats_after_jobs,
         "payment_stats_after_jobs": M.payment_stats_after_jobs,
@@ -117,6 +120,9 @@ def registry() -> dict[str, Callable[[Tables], DataFrame]]:
         "merged_cart_lines": lambda t: DOC.merged_cart_lines(t.cart_lines),
         "cart_totals": DOC.cart_totals,
         # integrity audits
+        "counted_audit_unique": lambda t: AC.audit_unique(AC.counts(A.all_tables(t))),
+        "counted_audit_fk": lambda t: AC.audit_fk(AC.counts(A.all_tables(t))),
+        "counted_audit_stock": lambda t: AC.audit_stock(AC.counts(A.all_tables(t)), t.products),
         "audit_unique": A.audit_unique,
         "audit_fk": A.audit_fk,
         "audit_enum": A.audit_enum,

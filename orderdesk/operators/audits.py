@@ -23,7 +23,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def _tables(t: Tables) -> dict[str, DataFrame]:
+def all_tables(t: Tables) -> dict[str, DataFrame]:
     return {"users": t.users, "products": t.products, "bookings": t.bookings,
             "booking_items": t.booking_items, "delivery_details": t.delivery_details,
             "payments": t.payments}
@@ -61,13 +61,15 @@ MAX_LENGTH = [("users", "username", 50), ("users", "full_name", 100), ("users",
 def audit_unique(t: Tables) -> DataFrame:
     """Duplicated values of declared unique keys (NULLs never collide):
     ``table_name, key_column, key_value, n``."""
-    tabs = _tables(t) | {"bookings": t.booking_core}
+    tabs = all_tables(t) | {"bookings": t.booking_core}
     parts = []
-    for table, col in UNIQUE_KEYS:
-        g = (tabs[table].filter(F.col(col).isNotNull()).groupBy(col).count()
-             .filter(F.col("count") > 1))
-        parts.append(g.select(F.lit(table).alias("table_name"), F.lit(col).alias("key_column"),
-                              F.col(col).cast("string").alias("key_value"), F.col("count").alias("n")))
+    for table in dict.fromkeys(name for name, _ in UNIQUE_KEYS):
+        # The key columns of a table are stacked and counted in one pass.
+        cols = [c for name, c in UNIQUE_KEYS if name == table]
+        stacked = (tabs[table].select(*[F.col(c).cast("string").alias(c) for c in cols])
+                   .unpivot([], cols, "key_column", "key_value").filter(F.col("key_value").isNotNull()))
+        g = stacked.groupBy("key_column", "key_value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+        parts.append(g.select(F.lit(table).alias("table_name"), "key_column", "key_value", "n"))
     return _union(parts)
 
 
@@ -76,7 +78,7 @@ def audit_fk(t: Tables) -> DataFrame:
     ``table_name, fk_column, missing_id, n``. All reference columns of a child
     are stacked and counted per value in one pass; the anti joins with the
     parents' keys then see each value once, so a hot key is one row."""
-    tabs = _tables(t)
+    tabs = all_tables(t)
     parents = tabs | {"bookings": t.booking_core}
     references: dict[str, list[tuple[str, str]]] = {}
     for child, col, parent in FOREIGN_KEYS:
@@ -97,7 +99,7 @@ def audit_fk(t: Tables) -> DataFrame:
 
 def audit_enum(t: Tables) -> DataFrame:
     """Values outside an enum's domain: ``table_name, column_name, value, n``."""
-    tabs = _tables(t)
+    tabs = all_tables(t)
     parts = []
     for table, col, domain in ENUMS:
         bad = tabs[table].filter(F.col(col).isNotNull() & ~F.col(col).isin(*domain))
@@ -110,7 +112,7 @@ def audit_enum(t: Tables) -> DataFrame:
 def audit_not_null(t: Tables) -> DataFrame:
     """NULL count of every NOT NULL column, one scan per table:
     ``table_name, column_name, n_null``."""
-    tabs = _tables(t)
+    tabs = all_tables(t)
     parts = []
     for table, cols in NOT_NULL.items():
         wide = tabs[table].agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
@@ -132,7 +134,7 @@ def _rows_per_table(df: DataFrame, rows: list[dict], aggs: list) -> DataFrame:
 def audit_length(t: Tables) -> DataFrame:
     """Texts longer than their declared ``VARCHAR(n)``, counted per column with
     one scan per table: ``table_name, column_name, max_length, n_too_long, longest``."""
-    tabs = _tables(t)
+    tabs = all_tables(t)
     parts = []
     for table in dict.fromkeys(tbl for tbl, _, _ in MAX_LENGTH):
         specs = [(c, n) for tbl, c, n in MAX_LENGTH if tbl == table]
@@ -157,7 +159,7 @@ def audit_formats(t: Tables) -> DataFrame:
                      ("customer_phone", "phone", TX.phone_ok)],
         "users": [("email", "email", TX.email_ok)],
     }
-    tabs = _tables(t)
+    tabs = all_tables(t)
     parts = []
     for table, specs in checks.items():
         aggs, rows = [], []

@@ -5,43 +5,69 @@ single bookings contribute, so a job that changes some bookings adds the
 contributions of their new rows and subtracts those of their old rows
 (``change``); nothing else is read. A group that comes to nothing is dropped.
 The dashboards then read the rollups alone: a row per status and day, per
-moderator and status, and per payment type, payment status and payment day,
-whatever the number of bookings.
+moderator and status, per payment type, payment status and payment day, and
+per product and payment month, whatever the number of bookings.
+
+Distinct orders of a product add up too: a booking counts once per product and
+is paid in one month, so the orders of several months are the sum of theirs.
+Unknown products are one line; their bookings are counted under no product.
 """
 
 from __future__ import annotations
 
+from typing import Optional, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import formats as FM
+from .joins import product_dim
 from .stats import one_row
 
 _AMOUNT = "decimal(28,2)"
 GROUPS = {"status_days": ("status", "day"), "moderator_statuses": ("moderator_id", "status"),
-          "payment_days": ("payment_type", "payment_status", "payment_date")}
+          "payment_days": ("payment_type", "payment_status", "payment_date"),
+          "product_months": ("product_id", "month")}
+_MEASURES = {"n": "long", "quantity": "long", "amount": _AMOUNT}
+
+
+def _summed(df: DataFrame, name: str) -> DataFrame:
+    return df.groupBy(*GROUPS[name]).agg(*[F.sum(m).cast(kind).alias(m) for m, kind in _MEASURES.items()])
 
 
-def _summed(df: DataFrame, name: str, n: Column, amount: Column) -> DataFrame:
-    return df.groupBy(*GROUPS[name]).agg(F.sum(n).alias("n"), F.sum(amount).cast(_AMOUNT).alias("amount"))
+def _counted(df: DataFrame, name: str) -> DataFrame:
+    return _summed(df.select(*GROUPS[name], F.lit(1).alias("n"), F.lit(0).alias("quantity"), "amount"), name)
 
 
-def rollups(bookings: DataFrame, payments: DataFrame) -> dict[str, DataFrame]:
-    """All rollups of some bookings and their payment rows."""
+def product_months(bookings: DataFrame, payments: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
+    """Pieces, revenue and orders of paid bookings per product (null: unknown) and month of payment."""
+    paid = (payments.filter(F.col("payment_status") == "paid").select("booking_id", FM.month_key(F.col("payment_date")).alias("month"))
+            .distinct().join(bookings.select(F.col("id").alias("booking_id")), "booking_id", "left_semi"))
+    lines = items.groupBy("booking_id", "product_id").agg(
+        F.sum("quantity").alias("quantity"), F.sum(F.col("quantity") * F.col("unit_price")).alias("amount"))
+    known = products.select(F.col("id").alias("product_id"), F.lit(True).alias("__known")).distinct()
+    named = (lines.join(paid, "booking_id").join(known, "product_id", "left")
+             .withColumn("product_id", F.when(F.col("__known"), F.col("product_id"))))
+    # A booking with several unknown products is one order of that line.
+    orders = (named.groupBy("booking_id", "product_id", "month").agg(F.sum("quantity").alias("quantity"), F.sum("amount").alias("amount"))
+              .withColumn("n", F.lit(1)))
+    return _summed(orders, "product_months")
+
+
+def rollups(bookings: DataFrame, payments: DataFrame, items: DataFrame, products: DataFrame) -> dict[str, DataFrame]:
+    """All rollups of some bookings, their payment rows and their items, under a catalogue."""
     b = bookings.select("id", "status", F.to_date("updated_at").alias("day"), "moderator_id", "payment_type", "amount")
     paid = payments.select("booking_id", "payment_status", "payment_date")
     # A booking without a payment row counts under no payment status.
     j = b.join(paid, b["id"] == paid["booking_id"], "left")
-    one, amount = F.lit(1).cast("long"), F.col("amount")
-    return {"status_days": _summed(b, "status_days", one, amount),
-            "moderator_statuses": _summed(b, "moderator_statuses", one, amount),
-            "payment_days": _summed(j, "payment_days", one, amount)}
+    return {"status_days": _counted(b, "status_days"), "moderator_statuses": _counted(b, "moderator_statuses"),
+            "payment_days": _counted(j, "payment_days"), "product_months": product_months(bookings, payments, items, products)}
 
 
 def change(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """What to add to the rollups when bookings with the rollups ``old`` become those of ``new``."""
-    return {name: new[name].unionByName(old[name].withColumns({"n": -F.col("n"), "amount": -F.col("amount")})) for name in GROUPS}
+    return {name: new[name].unionByName(old[name].withColumns({m: -F.col(m) for m in _MEASURES})) for name in GROUPS}
 
 
 def added(stored: dict[str, DataFrame], *changes: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -51,7 +77,7 @@ def added(stored: dict[str, DataFrame], *changes: dict[str, DataFrame]) -> dict[
         rows = stored[name]
         for c in changes:
             rows = rows.unionByName(c[name])
-        out[name] = _summed(rows, name, F.col("n"), F.col("amount")).filter((F.col("n") != 0) | (F.col("amount") != 0))
+        out[name] = _summed(rows, name).filter((F.col("n") != 0) | (F.col("amount") != 0) | (F.col("quantity") != 0))
     return out
 
 
@@ -131,3 +157,15 @@ def payment_type_stats(r: dict[str, DataFrame]) -> DataFrame:
     total = F.sum("revenue").over(Window.partitionBy())  # one row per payment type
     share = F.round(F.col("revenue").cast("double") * 100.0 / F.when(total != 0, total).otherwise(F.lit(1)).cast("double"), 1)
     return g.select("payment_type", "count", F.col("revenue").cast("double").alias("revenue"), share.alias("pct"), FM.pct_text(share).alias("pct_text"))
+
+
+def top_products(r: dict[str, DataFrame], products: DataFrame, n: int = 10, months: Optional[Sequence[str]] = None) -> DataFrame:
+    """Best sellers among paid bookings, of all time or of some payment months (``yyyy-MM``), without reading an item."""
+    rows = r["product_months"]
+    rows = rows if months is None else rows.filter(F.col("month").isin(*months))
+    g = rows.groupBy("product_id").agg(F.sum("quantity").alias("total_quantity"), F.sum("amount").alias("__revenue"),
+                                       F.sum("n").alias("order_count")).filter(F.col("order_count") > 0)
+    names = product_dim(products, "name")
+    top = g.orderBy(F.desc("__revenue"), F.asc("product_id")).limit(n).join(names, "product_id", "left")
+    return top.orderBy(F.desc("__revenue"), F.asc("product_id")).select(
+        "product_id", "name", "total_quantity", F.col("__revenue").cast("double").alias("total_revenue"), "order_count")

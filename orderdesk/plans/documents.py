@@ -144,16 +144,31 @@ def clean_documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 # ---------------------------------------------------------------- carts
 
-def merged_cart_lines(cart_lines: DataFrame) -> DataFrame:
+# Picks of one product in one cart that a task takes in a row.
+PICK_RANGE = 1 << 16
+
+
+def merged_cart_lines(cart_lines: DataFrame, pick_range: int = PICK_RANGE) -> DataFrame:
     """Repeat picks of a product in one cart merged into one line, in pick
     order. A line is removed the moment its quantity is not above zero, so
     later picks start afresh: the end is the running sum less its lowest
-    point below zero."""
-    so_far = (Window.partitionBy("cart_id", "product_id").orderBy("pick_no", F.desc("quantity"))
-              .rowsBetween(Window.unboundedPreceding, 0))
-    runs = cart_lines.withColumn("__run", F.sum("quantity").over(so_far))
-    g = runs.groupBy("cart_id", "product_id").agg(
-        (F.sum("quantity") - F.least(F.min("__run"), F.lit(0))).alias("quantity"))
+    point below zero.
+
+    A stretch of picks counts by its sum and its lowest running sum, and two
+    stretches in a row make one: the sums add up, the lowest point is the
+    first's or the first's sum and the second's. So the picks are summed up in
+    ranges of ``pick_no``, spread over tasks, and a window sees one row per
+    range: a cart with millions of picks of one product is no hot task."""
+    line = ("cart_id", "product_id")
+    ranged = cart_lines.withColumn("__range", F.floor(F.col("pick_no") / F.lit(pick_range)))
+    in_range = (Window.partitionBy(*line, "__range").orderBy("pick_no", F.desc("quantity"))
+                .rowsBetween(Window.unboundedPreceding, 0))
+    stretches = (ranged.withColumn("__run", F.sum("quantity").over(in_range)).groupBy(*line, "__range")
+                 .agg(F.sum("quantity").alias("__sum"), F.min("__run").alias("__low")))
+    before = Window.partitionBy(*line).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    low = F.coalesce(F.sum("__sum").over(before), F.lit(0)) + F.col("__low")
+    g = stretches.withColumn("__lowest", low).groupBy(*line).agg(
+        (F.sum("__sum") - F.least(F.min("__lowest"), F.lit(0))).alias("quantity"))
     return g.filter(F.col("quantity") > 0)
 
 

@@ -27,14 +27,28 @@ def workflow_state_in_batches(t: Tables) -> DataFrame:
     return fold.folded_in_batches(t.booking_core, _batches(t.workflow_commands))
 
 
+def _rollups(t: Tables, bookings: DataFrame, payments: DataFrame) -> dict[str, DataFrame]:
+    return RU.rollups(bookings, payments, t.booking_items, t.products)
+
+
 def rolled_revenue_overview(t: Tables, as_of=D.DEFAULT_AS_OF) -> DataFrame:
     """Revenue overview from the payment-day rollup."""
-    return RU.revenue_overview(RU.rollups(t.bookings, t.payments), as_of)
+    return RU.revenue_overview(_rollups(t, t.bookings, t.payments), as_of)
 
 
 def rolled_payment_type_stats(t: Tables) -> DataFrame:
     """Payment-type shares from the payment-day rollup."""
-    return RU.payment_type_stats(RU.rollups(t.bookings, t.payments))
+    return RU.payment_type_stats(_rollups(t, t.bookings, t.payments))
+
+
+def rolled_top_products(t: Tables) -> DataFrame:
+    """Top products from the product-month rollup."""
+    return RU.top_products(_rollups(t, t.bookings, t.payments), t.products)
+
+
+def top_products_after_jobs(t: Tables) -> DataFrame:
+    """Top products after all payment posts."""
+    return RU.top_products(rollups_after_jobs(t), t.products)
 
 
 def rollups_after_jobs(t: Tables) -> dict[str, DataFrame]:
@@ -44,8 +58,8 @@ def rollups_after_jobs(t: Tables) -> dict[str, DataFrame]:
     bookings = t.bookings.join(named.withColumnRenamed("booking_id", "id"), "id", "left_semi")
     payments = t.payments.join(named, "booking_id", "left_semi")
     state = W.workflow_state(bookings, t.workflow_commands)
-    new = RU.rollups(W.bookings_after(bookings, state), W.payment_updates_applied(payments, t.payment_updates))
-    return RU.added(RU.rollups(t.bookings, t.payments), RU.change(RU.rollups(bookings, payments), new))
+    new = _rollups(t, W.bookings_after(bookings, state), W.payment_updates_applied(payments, t.payment_updates))
+    return RU.added(_rollups(t, t.bookings, t.payments), RU.change(_rollups(t, bookings, payments), new))
 
 
 def dash_accountant_after_jobs(t: Tables) -> DataFrame:

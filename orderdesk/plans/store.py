@@ -16,6 +16,8 @@ Beside the current tables the store keeps
   commands are not in it: ``rejected`` adds those that have no effect as of a version;
 * ``booking_grams``: the trigram index of the search box (``operators.search``);
   what it covers is never edited, so it only grows;
+* ``audit_counts``: the counts behind the key, reference and stock audits
+  (``operators.audit_counts``), changed in the buckets of the values that change;
 * the rollups of the dashboards (``operators.rollups``), changed by what the touched
   bookings contribute before and after.
 """
@@ -30,7 +32,7 @@ from pyspark.sql import types as T
 
 from ..functions import dates as D
 from ..functions import text as TX
-from ..operators import fold, rollups, search
+from ..operators import audit_counts, fold, rollups, search
 from ..operators import workflow as W
 from . import lists as L
 from ..session import ensure_checkpoint_dir
@@ -41,7 +43,8 @@ from ..sources.driver import Tables
 BUCKETS = 64
 _KEYS = {"bookings": "id", "booking_items": "booking_id", "payments": "booking_id", "delivery_details": "booking_id",
          "booking_start": "id", "payment_start": "booking_id", "delivery_start": "booking_id",
-         "open_commands": "booking_id", "open_posts": "booking_id", "booking_grams": "gram_hash"}
+         "open_commands": "booking_id", "open_posts": "booking_id", "booking_grams": "gram_hash",
+         "audit_counts": "value_hash"}
 _START = ("id", "status", "accountant_id", "storeman_id", "updated_at")
 _REJECTION = "cmd_id long, booking_id long, action string, reason string"
 
@@ -54,10 +57,11 @@ def create(spark: SparkSession, t: Tables, root: str, buckets: int = BUCKETS, ve
     """The first version: all tables of ``t``, no commands, and the rollups."""
     rows = {"bookings": t.bookings, "booking_items": t.booking_items, "payments": t.payments, "delivery_details": t.delivery_details,
             "booking_start": t.bookings.select(*_START), "payment_start": t.payments, "delivery_start": t.delivery_details,
+            "audit_counts": audit_counts.counts({name: getattr(t, name) for name in S.LOGICAL}),
             "booking_grams": L.booking_index(t), "open_commands": _none(spark, S.WORKFLOW_COMMANDS), "open_posts": _none(spark, S.PAYMENT_UPDATES)}
     writes = {name: V.Write(df, key=_KEYS[name], buckets=buckets) for name, df in rows.items()}
     writes |= {"users": V.Write(t.users), "products": V.Write(t.products), "rejections": V.Write(_none(spark, _REJECTION))}
-    writes |= {name: V.Write(df) for name, df in rollups.rollups(t.bookings, t.payments).items()}
+    writes |= {name: V.Write(df) for name, df in rollups.rollups(t.bookings, t.payments, t.booking_items, t.products).items()}
     return V.commit(V.latest(spark, root), version, writes)
 
 
@@ -71,6 +75,12 @@ def stored_rollups(snapshot: V.Snapshot) -> dict[str, DataFrame]:
     return {name: snapshot.read(name) for name in rollups.GROUPS}
 
 
+def _counted(snapshot: V.Snapshot, change: DataFrame) -> V.Write:
+    """The stored counts with a change (checkpointed), in the buckets it touches."""
+    touched = snapshot.touched("audit_counts", change, "value_hash")
+    return V.Write(audit_counts.added(snapshot.read("audit_counts", touched), change), "buckets", touched=tuple(touched))
+
+
 def rejected(snapshot: V.Snapshot) -> DataFrame:
     """All commands and posts without effect as of a version, with the reason."""
     held = snapshot.read("open_commands")
@@ -101,11 +111,17 @@ def apply_batch(snapshot: V.Snapshot, version: str, commands: Optional[DataFrame
     lost = W.payment_update_rejections(old("payment_start"), posts)
     bookings = W.bookings_after(old("bookings"), W.workflow_state(start, open_)).checkpoint()
     payments = W.payment_updates_applied(old("payment_start"), open_posts).checkpoint()
-    deliveries = W.upsert_deliveries(old("delivery_start"), W.effective_deliveries(start, open_))
-    change = rollups.change(rollups.rollups(old("bookings"), old("payments")), rollups.rollups(bookings, payments))
+    deliveries = W.upsert_deliveries(old("delivery_start"), W.effective_deliveries(start, open_)).checkpoint()
+    items, products = old("booking_items"), snapshot.read("products")
+    change = rollups.change(rollups.rollups(old("bookings"), old("payments"), items, products),
+                            rollups.rollups(bookings, payments, items, products))
     changed = {"bookings": bookings, "payments": payments, "delivery_details": deliveries,
                "open_commands": open_, "open_posts": open_posts}
     writes = {name: V.Write(df, "buckets", touched=tuple(touched)) for name, df in changed.items()}
+    names = ("bookings", "payments", "delivery_details")
+    counted = audit_counts.change({n: old(n) for n in names} | {"booking_items": items},
+                                  {n: changed[n] for n in names} | {"booking_items": items}).checkpoint()
+    writes["audit_counts"] = _counted(snapshot, counted)
     writes["rejections"] = V.Write(settled.unionByName(lost), "append")
     writes |= {name: V.Write(df) for name, df in rollups.added(stored_rollups(snapshot), change).items()}
     return V.commit(snapshot, version, writes)
@@ -130,8 +146,10 @@ def append_requests(snapshot: V.Snapshot, version: str, requests: DataFrame, req
             "booking_start": bookings, "payment_start": payments,
             "booking_grams": search.postings(bookings, "id", L.search_texts())}
     writes = {name: V.Write(df, "append") for name, df in rows.items()}
-    change = rollups.rollups(bookings, payments)
+    change = rollups.rollups(bookings, payments, items, snapshot.read("products"))
     writes |= {name: V.Write(df) for name, df in rollups.added(stored_rollups(snapshot), change).items()}
+    counted = audit_counts.counts({"bookings": bookings, "booking_items": items, "payments": payments}).checkpoint()
+    writes["audit_counts"] = _counted(snapshot, counted)
     return V.commit(snapshot, version, writes)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +76,22 @@ def test_cart_lines_start_afresh_after_removal(spark):
     assert {r.cart_id: r.quantity for r in DOC.merged_cart_lines(df).collect()} == {1: 3, 3: 4, 4: 4}
 
 
+def test_picks_in_ranges_are_merged_as_one_by_one(spark):
+    rng = random.Random(4)
+    picks = [(c, n, rng.choice([9, 10]), rng.choice([5, 2, 1, -1, -3, -8])) for c in range(30) for n in range(rng.randint(1, 60))]
+    picks += [(99, n, 9, rng.choice([4, -3])) for n in range(1500)]  # one cart with many picks
+    have = {}
+    for c, n, p, q in sorted(picks):
+        have[c, p] = max(have.get((c, p), 0) + q, 0)
+    df = spark.createDataFrame(picks, "cart_id long, pick_no int, product_id long, quantity int").repartition(5)
+    for size in (1, 4, 64, DOC.PICK_RANGE):
+        merged = DOC.merged_cart_lines(df, size)
+        assert {(r.cart_id, r.product_id): r.quantity for r in merged.collect()} == {k: q for k, q in have.items() if q > 0}
+    plan = DOC.merged_cart_lines(df, 64)._jdf.queryExecution().optimizedPlan().toString()
+    # Rows meet in a window by cart, product and range; only ranges meet by cart and product.
+    assert plan.count("Window") == 2 and "__range" in plan.split("Window")[2]
+
+
 def test_unknown_status_is_rejected_with_its_message(spark, golden):
     at = dt.datetime(2024, 3, 5)
     rows = [(1, at, 3, 3, "returned"), (2, at, 3, 3, None), (3, at, 3, 3, "delivered")]

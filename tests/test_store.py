@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderdesk.catalog import tables_for
+from orderdesk.operators import audit_counts
+from orderdesk.operators import audits as A
 from orderdesk.operators import fold, rollups
 from orderdesk.operators import workflow as W
 from orderdesk.plans import reports as R
@@ -35,6 +37,13 @@ def assert_dashboards(snap):
     t, r = store.tables(snap), store.stored_rollups(snap)
     for name, scan in DASHBOARDS.items():
         assert same(getattr(rollups, name)(r), scan(t)), name
+    assert same(rollups.top_products(r, t.products), R.top_products(t))
+    c = snap.read("audit_counts")
+    assert same(audit_counts.audit_unique(c), A.audit_unique(t)) and same(audit_counts.audit_fk(c), A.audit_fk(t))
+    assert same(audit_counts.audit_stock(c, t.products), A.audit_stock(t))
+    months = ["2001-01", "2001-05", "2001-06"]
+    some = t.replace(payments=t.payments.filter(F.date_format("payment_date", "yyyy-MM").isin(months)))
+    assert same(rollups.top_products(r, t.products, months=months), R.top_products(some))
     for moderator in (1, 3):
         assert same(rollups.dash_moderator(r, t.products, moderator), R.dash_moderator(t, moderator))
 
@@ -117,8 +126,10 @@ def test_only_touched_buckets_change(spark, small, tmp_path):
     state = W.workflow_state(small.bookings, cmds)
     assert rows(second.read("bookings")) == rows(W.bookings_after(small.bookings, state))
     assert second.read("bookings").filter(F.col("id") == one).first()["status"] == "approved"
-    plan = explain(rollups.revenue_overview(store.stored_rollups(second)))
-    assert "payment_days" in plan and "bookings" not in plan and "/payments" not in plan
+    for df, table in ((rollups.revenue_overview(store.stored_rollups(second)), "payment_days"),
+                      (rollups.top_products(store.stored_rollups(second), second.read("products")), "product_months")):
+        plan = explain(df)
+        assert f"/{table}/" in plan and "/bookings/" not in plan and "/payments/" not in plan and "/booking_items/" not in plan
 
 
 def test_appended_requests(spark, small, tmp_path):
@@ -160,8 +171,9 @@ def test_jobs_at_the_same_time_all_count(spark, small, tmp_path):
 
 def test_rollups_add_and_retract(spark, golden):
     parts = [golden.bookings.filter(F.col("id") % 2 == k) for k in (0, 1)]
-    one, two = (rollups.rollups(p, golden.payments) for p in parts)
-    whole = rollups.rollups(golden.bookings, golden.payments)
+    rest = (golden.payments, golden.booking_items, golden.products.filter("id != 2"))  # an unknown product
+    one, two = (rollups.rollups(p, *rest) for p in parts)
+    whole = rollups.rollups(golden.bookings, *rest)
     for name in rollups.GROUPS:
         assert rows(rollups.added(one, two)[name]) == rows(whole[name]) == rows(rollups.added(two, one)[name])
         assert rows(rollups.added(whole, rollups.change(two, {n: d.limit(0) for n, d in two.items()}))[name]) == rows(one[name])
