@@ -79,3 +79,36 @@ def test_odd_rows(spark, odd, none):
     assert decontam.contaminations(none, items).count() == 0
     assert decontam.contaminations(odd, items.limit(0)).count() == 0
     assert decontam.decontaminated(odd, items.limit(0)).count() == odd.count()
+
+
+def test_slices_leave_one_by_one(spark, monkeypatch):
+    """Many slices: never two broadcasts alive, the same hits, and rows are dropped by text alone."""
+    docs, items = cases(5)
+    items += [(100 + i, t.upper()) for i, t in items[:3]]  # equal items under other ids
+    d = spark.createDataFrame(docs + docs[:5], "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string").repartition(2)
+    alive, most, make = set(), [0], spark.sparkContext.broadcast
+
+    def counted(value):
+        held = make(value)
+        alive.add(id(held))
+        most[0] = max(most[0], len(alive))
+        destroy = held.destroy
+        held.destroy = lambda *a: (alive.discard(id(held)), destroy(*a))
+        return held
+    want = sorted(map(tuple, decontam.contaminations(d, b).collect()))
+    left = sorted(map(tuple, decontam.decontaminated(d, b).collect()))
+    monkeypatch.setattr(spark.sparkContext, "broadcast", counted)
+    assert sorted(map(tuple, decontam.contaminations(d, b, slice_bytes=150).collect())) == want
+    assert sorted(map(tuple, decontam.decontaminated(d, b, slice_bytes=150).collect())) == left
+    assert most[0] == 1 and not alive and len(want) > 20
+
+
+def test_short_items(spark):
+    items = spark.createDataFrame([(1, "a"), (2, "cat dog"), (3, " \t"), (4, None), (5, "he is")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a cat, a CAT   dog."), (2, "the concat dogma"), (3, "cat dogs, cat dog"), (4, "she is"), (5, "(he is)")],
+                                 "doc_id long, text string")
+    rows = decontam.contaminations(docs, items).collect()
+    assert {(r.doc_id, r.item_id, r.start) for r in rows} == {(1, 2, 9), (3, 2, 10), (5, 5, 1)}
+    assert sorted(r.item_id for r in decontam.skipped(items).collect()) == [1, 3, 4]
+    assert {r.doc_id for r in decontam.decontaminated(docs, items).collect()} == {2, 4}
