@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import collation as C
 from .functions import dates as D
 from .operators import audit_counts as AC
 from .operators import audits as A
@@ -98,6 +99,10 @@ def registry() -> dict[str, Callable[[Tables], DataFrame]]:
                                                                D.DEFAULT_AS_OF)),
         "initial_payments": lambda t: W.initial_payments(t.booking_requests, t.booking_request_items,
                                                          t.products, D.DEFAULT_AS_OF),
+        # under a collation that ignores case
+        "user_lookup_any_case": lambda t: C.collated_frame(L.user_lookup(C.collated(t), "FRANCE"), "UTF8_BINARY"),
+        "category_spellings": lambda t: L.category_spellings(C.collated(M.mixed_case_categories(t))),
+        "audit_unique_any_case": lambda t: A.audit_unique(C.collated(M.mixed_case_categories(t))),
         # the same by maintained state: indexes, batches of commands, rollups
         "indexed_booking_search": lambda t: L.indexed_booking_list(t, L.booking_index(t), "mer#%077"),
         "indexed_row_search": lambda t: L.indexed_row_search(t, L.row_index(t), "widget (3"),

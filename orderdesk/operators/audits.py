@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as TX
 from ..sources import schemas as S
@@ -58,17 +59,30 @@ MAX_LENGTH = [("users", "username", 50), ("users", "full_name", 100), ("users",
               ("payments", "payment_method", 50), ("payments", "transaction_id", 100)]
 
 
+BINARY = "UTF8_BINARY"
+
+
+def _collation(df: DataFrame, cols: list[str]) -> str:
+    """The collation of a table's text columns; values that collide under it are one key."""
+    found = {df.schema[c].dataType.collation for c in cols if isinstance(df.schema[c].dataType, T.StringType)} - {BINARY}
+    return found.pop() if found else BINARY
+
+
 def audit_unique(t: Tables) -> DataFrame:
     """Duplicated values of declared unique keys (NULLs never collide):
-    ``table_name, key_column, key_value, n``."""
+    ``table_name, key_column, key_value, n``. Under a collation
+    (``functions.collation``) texts that it holds equal collide; the first
+    spelling is named."""
     tabs = all_tables(t) | {"bookings": t.booking_core}
     parts = []
     for table in dict.fromkeys(name for name, _ in UNIQUE_KEYS):
         # The key columns of a table are stacked and counted in one pass.
         cols = [c for name, c in UNIQUE_KEYS if name == table]
-        stacked = (tabs[table].select(*[F.col(c).cast("string").alias(c) for c in cols])
-                   .unpivot([], cols, "key_column", "key_value").filter(F.col("key_value").isNotNull()))
-        g = stacked.groupBy("key_column", "key_value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+        collation = _collation(tabs[table], cols)
+        stacked = (tabs[table].select(*[F.collate(F.col(c).cast("string"), collation).alias(c) for c in cols])
+                   .unpivot([], cols, "key_column", "__value").filter(F.col("__value").isNotNull()))
+        g = stacked.groupBy("key_column", "__value").agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.collate("__value", BINARY)).alias("key_value")).filter(F.col("n") > 1)
         parts.append(g.select(F.lit(table).alias("table_name"), "key_column", "key_value", "n"))
     return _union(parts)
 

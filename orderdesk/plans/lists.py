@@ -87,9 +87,20 @@ def product_search(t: Tables, search: Optional[str] = None, category: Optional[s
 
 # ---------------------------------------------------------------- users and simple booking reads
 
-def user_lookup(t: Tables) -> DataFrame:
-    """Login lookup columns (the password hash is not carried)."""
-    return t.users.select("id", "username", "role", "full_name")
+def user_lookup(t: Tables, username: Optional[str] = None) -> DataFrame:
+    """Login lookup columns (the password hash is not carried), of all users or of a login name; which names are
+    equal follows the column's collation."""
+    users = t.users if username is None else t.users.filter(F.col("username") == username)
+    return users.select("id", "username", "role", "full_name")
+
+
+def category_spellings(t: Tables) -> DataFrame:
+    """``product_categories`` of tables under a collation: per category its first spelling by bytes and how many
+    products and spellings it has."""
+    plain = F.collate(F.col("category"), "UTF8_BINARY")
+    return (t.products.filter(F.col("category").isNotNull()).groupBy("category")
+            .agg(F.min(plain).alias("first_spelling"), F.countDistinct(plain).alias("n_spellings"), F.count(F.lit(1)).alias("n_products"))
+            .select("first_spelling", "n_spellings", "n_products").orderBy("first_spelling"))
 
 
 def bookings_by_moderator(t: Tables, moderator_id: int = 1) -> DataFrame:

@@ -80,3 +80,12 @@ def payment_stats_after_jobs(t: Tables) -> DataFrame:
 def monthly_revenue_after_jobs(t: Tables, as_of=D.DEFAULT_AS_OF) -> DataFrame:
     """Paid revenue per month after all payment posts."""
     return RU.monthly_revenue(rollups_after_jobs(t), as_of)
+
+
+def mixed_case_categories(t: Tables) -> Tables:
+    """The catalogue with the spellings of several suppliers: categories as they come or lower-cased, and SKUs too.
+
+    The driver's table has one spelling of each; every third product is given the other one."""
+    other = F.col("id") % 3 == 0
+    p = t.products.withColumns({c: F.when(other, F.lower(c)).otherwise(F.col(c)) for c in ("category", "sku")})
+    return t.replace(products=p)

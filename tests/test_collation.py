@@ -1,0 +1,60 @@
+"""Case variants meet under a collation and stay apart without one."""
+
+from __future__ import annotations
+
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from orderdesk.functions import collation as C
+from orderdesk.operators import audits as A
+from orderdesk.plans import lists as L
+from orderdesk.plans import reports as R
+from orderdesk.sources import schemas as S
+
+from .test_versions import rows
+
+
+@pytest.fixture(scope="module")
+def mixed(spark, golden):
+    more = spark.createDataFrame([(6, "Ring", None, "electronics", Decimal("1.00"), 5, "wh001", None, None),
+                                  (7, "ring", None, "ACCESSORIES", Decimal("1.00"), 5, None, None, None)], S.PRODUCTS)
+    users = spark.createDataFrame([(9, "ADMIN_MOD", "moderator", "Other", None, None)], S.USERS)
+    return golden.replace(products=golden.products.unionByName(more), users=golden.users.unionByName(users))
+
+
+def test_categories_are_one_whatever_the_case(mixed):
+    assert len(rows(L.product_categories(mixed))) == 4
+    assert sorted(r["category"].lower() for r in L.product_categories(C.collated(mixed)).collect()) == ["accessories", "electronics"]
+    assert rows(L.category_spellings(C.collated(mixed))) == [("ACCESSORIES", 2, 3), ("Electronics", 2, 4)]
+
+
+def test_keys_collide(mixed):
+    assert rows(A.audit_unique(mixed)) == []
+    found = {(r["table_name"], r["key_column"], r["key_value"].lower(), r["n"]) for r in A.audit_unique(C.collated(mixed)).collect()}
+    assert found == {("products", "sku", "wh001", 2), ("users", "username", "admin_mod", 2)}
+
+
+def test_equality_follows_the_collation(mixed):
+    assert [r["id"] for r in L.user_lookup(mixed, "Admin_Mod").collect()] == []
+    assert sorted(r["id"] for r in L.user_lookup(C.collated(mixed), "Admin_Mod").collect()) == [1, 9]
+    assert L.product_search(C.collated(mixed), category="ELECTRONICS").count() == 4
+    assert L.product_search(mixed, category="ELECTRONICS").count() == 0
+
+
+def test_other_collations(spark):
+    df = spark.createDataFrame([("Straße",), ("STRASSE",), ("résumé",), ("RESUME",)], "s string")
+    n = {c: C.collated_frame(df, c).select("s").distinct().count() for c in ("UTF8_BINARY", "UTF8_LCASE", "UNICODE_CI", "UNICODE_CI_AI")}
+    assert n["UTF8_BINARY"] == n["UTF8_LCASE"] == 4 and n["UNICODE_CI_AI"] < n["UTF8_LCASE"]
+
+
+def test_schemas_and_reports_keep_their_results(spark, golden):
+    schema = C.collated_schema(S.PRODUCTS, columns=["category"])
+    assert schema["category"].dataType == T.StringType("UTF8_LCASE") and schema["name"].dataType == T.StringType()
+    assert spark.createDataFrame([], schema).schema["category"].dataType == T.StringType("UTF8_LCASE")
+    t = C.collated(golden)
+    for report in (R.booking_stats, R.payment_stats, R.revenue_overview, R.dash_accountant, L.booking_list):
+        assert rows(report(t)) == rows(report(golden))
+    assert t.bookings.select(C.binary(F.col("status")).alias("s")).schema["s"].dataType == T.StringType()
