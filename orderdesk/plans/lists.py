@@ -111,6 +111,8 @@ def bookings_by_moderator(t: Tables, moderator_id: int = 1) -> DataFrame:
 def delivered_today(t: Tables, as_of=D.DEFAULT_AS_OF) -> DataFrame:
     """Bookings delivered on ``as_of`` (by their last update)."""
     b = t.bookings.filter((F.col("status") == "delivered") & D.same_day(F.col("updated_at"), as_of))
+    if "updated_month" in b.columns:  # stored by month: no other month is listed
+        b = b.filter(F.col("updated_month") == FM.month_key(D.as_of_date(as_of)))
     return _out(b.select(*BOOKING_COLS))
 
 

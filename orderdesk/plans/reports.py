@@ -22,15 +22,19 @@ def _money(c):
 PAID_COLS = ("amount", "customer_name", "payment_type", "created_at")
 
 
-def paid_bookings(t: Tables, *cols: str) -> DataFrame:
-    """Bookings joined to their paid payment row.
+def paid_bookings(t: Tables, *cols: str, since=None) -> DataFrame:
+    """Bookings joined to their paid payment row, with ``since`` only those paid on that date or later.
 
     The reference writes ``LEFT JOIN payments ... WHERE payment_status='paid'``;
     the filter rejects NULLs, so this is an inner join with the status filter
     pushed into the payments scan.
     """
-    pay = (t.payments.filter(F.col("payment_status") == "paid")
-           .select("booking_id", "payment_status", "payment_date"))
+    pay = t.payments.filter(F.col("payment_status") == "paid")
+    if since is not None:
+        pay = pay.filter(F.col("payment_date") >= since)
+        if "payment_month" in pay.columns:  # stored by month: no other month is listed
+            pay = pay.filter(F.col("payment_month") >= FM.month_key(since))
+    pay = pay.select("booking_id", "payment_status", "payment_date")
     core = set(cols) <= set(t.booking_core.columns)
     b = (t.booking_core if core else t.bookings).select("id", *cols)
     return b.join(pay, b["id"] == pay["booking_id"], "inner").drop("booking_id")
@@ -102,8 +106,8 @@ def monthly_revenue(t: Tables, as_of=D.DEFAULT_AS_OF, months: int = 6,
                     paid: DataFrame | None = None) -> DataFrame:
     """Paid revenue per payment month since ``as_of - months`` (lower bound
     only, so future-dated payments count), with orders and average value."""
-    j = (_paid(t, paid, "amount")
-         .filter(F.col("payment_date") >= D.months_back(as_of, months)))
+    since = D.months_back(as_of, months)
+    j = paid_bookings(t, "amount", since=since) if paid is None else paid.filter(F.col("payment_date") >= since)
     g = j.groupBy(FM.month_key(F.col("payment_date")).alias("month"),
                   FM.month_name(F.col("payment_date")).alias("month_name")).agg(
         F.sum("amount").alias("revenue"), F.count("id").alias("orders"))

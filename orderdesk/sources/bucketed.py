@@ -11,26 +11,40 @@ broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import formats as FM
 from ..operators.items import booking_labels
 from .driver import Tables
 
 BOOKING_KEYED = {"bookings": "id", "booking_items": "booking_id", "payments": "booking_id",
                  "delivery_details": "booking_id", "booking_labels": "booking_id"}
 OTHER = ("users", "products")
+# Partition column of a table and the date it is the month of.
+MONTHS = {"payments": ("payment_month", "payment_date"), "bookings": ("updated_month", "updated_at")}
+
+
+def with_month(df: DataFrame, name: str) -> DataFrame:
+    month, date = MONTHS[name]
+    return df.withColumn(month, FM.month_key(F.col(date)))
 
 
 def save_bucketed(spark: SparkSession, t: Tables, database: str, buckets: int,
-                  location: str | None = None) -> None:
+                  location: str | None = None, months: bool = False) -> None:
     """Write the six tables and the item texts into ``database``: booking-keyed
-    ones bucketed and sorted by the booking id into ``buckets`` buckets, the
-    others plain."""
+    ones bucketed and sorted by the booking id into ``buckets`` buckets (with
+    ``months`` inside month partitions, where a table has them), the others plain."""
     where = f" LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{where}")
     for name, key in BOOKING_KEYED.items():
         df = booking_labels(t.booking_items, t.products) if name == "booking_labels" else getattr(t, name)
-        (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+        if months and name in MONTHS:
+            # A task writes whole buckets, one file per month and bucket.
+            writer = with_month(df, name).repartition(buckets, key).write.partitionBy(MONTHS[name][0])
+        else:
+            writer = df.write
+        (writer.mode("overwrite").bucketBy(buckets, key).sortBy(key)
          .format("parquet").saveAsTable(f"{database}.{name}"))
     for name in OTHER:
         getattr(t, name).write.mode("overwrite").format("parquet").saveAsTable(f"{database}.{name}")

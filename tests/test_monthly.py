@@ -1,0 +1,63 @@
+"""Month partitions beside buckets: window reports list the months they ask for."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from orderdesk.catalog import registry, tables_for
+from orderdesk.plans import lists as L
+from orderdesk.plans import reports as R
+from orderdesk.sources.bucketed import bucketed_tables, save_bucketed
+
+from .conftest import SMOKE_DIR
+from .test_versions import explain, rows
+
+
+@pytest.fixture(scope="module")
+def both(spark, tmp_path_factory):
+    t = tables_for(spark, SMOKE_DIR)
+    save_bucketed(spark, t, "orderdesk_test_months", 2, location=str(tmp_path_factory.mktemp("months") / "db"), months=True)
+    return t, bucketed_tables(spark, "orderdesk_test_months", base=t)
+
+
+def filters(df, column):
+    return [line for line in explain(df).split("\n") if "PartitionFilters" in line and column in line]
+
+
+def test_window_reports_read_their_months_only(spark, both):
+    t, mt = both
+    some = t.payments.filter("payment_status = 'paid'").agg(F.max("payment_date")).first()[0]
+    for as_of in ("2001-06-15", str(some)):
+        assert rows(R.monthly_revenue(mt, as_of)) == rows(R.monthly_revenue(t, as_of))
+    (line,) = filters(R.monthly_revenue(mt, "2001-06-15"), "payment_month")
+    assert "2000-12" in line  # constant folded, so the other partitions are not listed
+    day = t.bookings.filter("status = 'delivered'").agg(F.max("updated_at")).first()[0]
+    assert L.delivered_today(mt, str(day.date())).count() == L.delivered_today(t, str(day.date())).count() > 0
+    (line,) = filters(L.delivered_today(mt, str(day.date())), "updated_month")
+    assert day.strftime("%Y-%m") in line
+
+
+def test_months_read_are_few(spark, both):
+    _, mt = both
+    df = R.paid_bookings(mt, "amount", since=F.lit("1998-06-01").cast("date"))
+    df.collect()
+    every = spark.sql("SHOW PARTITIONS orderdesk_test_months.payments").count()
+    files = {r[0] for r in mt.payments.filter("payment_month >= '1998-06'").select(F.input_file_name()).distinct().collect()}
+    assert every > 60 and len(files) < every
+
+
+@pytest.mark.parametrize("name", ["monthly_revenue", "revenue_overview", "payment_stats", "booking_list", "payment_list", "delivered_today",
+                                  "top_products", "workflow_state", "payment_updates_applied", "delivery_upsert", "booking_details"])
+def test_same_results(both, name):
+    t, mt = both
+    assert [str(r) for r in rows(registry()[name](mt))] == [str(r) for r in rows(registry()[name](t))]
+
+
+def test_booking_joins_stay_without_shuffle(spark, both):
+    _, mt = both
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "hashpartitioning" not in explain(R.paid_bookings(mt, "amount"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
