@@ -10,7 +10,14 @@ written back in its own layout: a card number stays a valid card number with
 the same separators, a date a date. The permutation depends on the key and the
 format only, so equal values get equal pseudonyms in all documents, different
 values different ones, and no value maps to itself. With the key the
-replacement can be undone (``restored=True``).
+replacement can be undone (``restored=True``), so the caller must give one and
+keep it; there is no built-in key.
+
+A date of the form 31/12/1999 is read day first, and month first where only
+that is a date (12/31/1999). Dates after the 12th move among themselves and so
+do the others, so a month-first date stays one and equals its other layouts.
+A number with +1 and the same one without it are one number; a number written
+without country code is not linked to its form with another country's.
 
 The permutation is an alternating Feistel network on the smallest even number
 of bits that holds the space, walked until it falls inside; conjugating a
@@ -19,7 +26,8 @@ keyed rotation with it leaves no fixed point.
 Edge cases: a null text stays null with no spans; an empty text is unchanged;
 values that fail validation are left alone; a space with a single value cannot
 move; where patterns overlap the earlier start wins, then the order of
-``KINDS``; repeated rows are changed alike; an empty table gives an empty table.
+``KINDS``; repeated rows are changed alike; an empty table gives an empty table;
+other columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,13 +35,13 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEY = b"orderdesk-pseudonyms"
 ROUNDS = 8
 
 _DIGITS, _LEAD = "0123456789", "23456789"
@@ -156,7 +164,9 @@ def any_phone(text: str, key: bytes, back: bool) -> str | None:
     alphabets = [_DIGITS] * len(rest)
     alphabets[0] = _LEAD if rest[0] in _LEAD else rest[0]
     alphabets[3] = _LEAD if rest[3] in _LEAD else "01"
-    return _with_digits(text, country + moved_text(rest, alphabets, f"phone{country}", key, back))
+    # +1 adds nothing to a number of that plan.
+    tweak = "phone" if country in ("", "1") else f"phone{country}"
+    return _with_digits(text, country + moved_text(rest, alphabets, tweak, key, back))
 
 
 def ip(text: str, key: bytes, back: bool) -> str | None:
@@ -171,21 +181,34 @@ def ip(text: str, key: bytes, back: bool) -> str | None:
 
 
 _FIRST, _LAST = dt.date(1900, 1, 1), dt.date(2099, 12, 31)
+_MIDDLE = 12  # later days are no months
+_MONTHS = [dt.date(y, m, 1) for y in range(_FIRST.year, _LAST.year + 1) for m in range(1, 13)]
+# Dates after the 12th before each month.
+_LATE = [0]
+for _month in _MONTHS:
+    _LATE.append(_LATE[-1] + ((_month + dt.timedelta(days=31)).replace(day=1) - _month).days - _MIDDLE)
+
+
+def _moved_date(day: dt.date, key: bytes, back: bool) -> dt.date:
+    """A date moved among those after the 12th or among the others."""
+    month = (day.year - _FIRST.year) * 12 + day.month - 1
+    if day.day <= _MIDDLE:
+        [new] = moved([month * _MIDDLE + day.day - 1], [len(_MONTHS) * _MIDDLE], "date", key, back)
+        return _MONTHS[new // _MIDDLE].replace(day=new % _MIDDLE + 1)
+    [new] = moved([_LATE[month] + day.day - _MIDDLE - 1], [_LATE[-1]], "late date", key, back)
+    month = bisect_right(_LATE, new) - 1
+    return _MONTHS[month].replace(day=new - _LATE[month] + _MIDDLE + 1)
 
 
 def date(text: str, key: bytes, back: bool) -> str | None:
-    if text[4] in "-/.":
-        order, sep = ("%Y", "%m", "%d"), text[4]
-    else:
-        order, sep = ("%d", "%m", "%Y"), text[2]
-    try:
-        day = dt.datetime.strptime(text, sep.join(order)).date()
-    except ValueError:
-        return None
-    if not _FIRST <= day <= _LAST:
-        return None
-    [new] = moved([(day - _FIRST).days], [(_LAST - _FIRST).days + 1], "date", key, back)
-    return (_FIRST + dt.timedelta(days=new)).strftime(sep.join(order))
+    sep = text[4] if text[4] in "-/." else text[2]
+    for order in (("%Y", "%m", "%d"),) if text[4] == sep else (("%d", "%m", "%Y"), ("%m", "%d", "%Y")):
+        try:
+            day = dt.datetime.strptime(text, sep.join(order)).date()
+        except ValueError:
+            continue
+        return _moved_date(day, key, back).strftime(sep.join(order)) if _FIRST <= day <= _LAST else None
+    return None
 
 
 def ssn(text: str, key: bytes, back: bool) -> str | None:
@@ -243,7 +266,7 @@ _RUN = re.compile(r"[0-9][0-9()+./ -]{5,}[0-9]")
 _PATTERNS = [(n, kind, re.compile(pattern), move) for n, (kind, pattern, move) in enumerate(KINDS)]
 
 
-def found(text: str, key: bytes = KEY, back: bool = False) -> list[tuple[int, int, str, str]]:
+def found(text: str, key: bytes, back: bool = False) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of every validated value, in order and without overlap."""
     places: list[tuple[int, int]] = [(max(0, m.start() - 4), m.end()) for m in _RUN.finditer(text)]
     hits = []
@@ -294,7 +317,7 @@ def _rewriter(key: bytes, back: bool):
     return F.arrow_udf(run, _DDL)
 
 
-def pseudonymized(docs: DataFrame, text: str = "text", key: bytes = KEY, restored: bool = False) -> DataFrame:
-    """``docs`` with ``text`` rewritten and ``__spans``: (start, end, kind) in code points of the text before."""
+def pseudonymized(docs: DataFrame, key: bytes, text: str = "text", restored: bool = False) -> DataFrame:
+    """``docs`` with ``text`` rewritten under the ``key`` and ``__spans``: (start, end, kind) in code points of the text before."""
     return (docs.withColumn("__new", _rewriter(key, restored)(F.col(text)))
             .withColumn(text, F.col("__new.text")).withColumn("__spans", F.col("__new.spans")).drop("__new"))

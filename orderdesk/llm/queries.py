@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,8 +98,13 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text with validated personal data replaced by pseudonyms, and what was replaced where."""
-    rows = pii.pseudonymized(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every whole text with validated personal data replaced by pseudonyms, and what was replaced where.
+
+    The key is the session's setting ``spark.orderdesk.pii.key``; without it a random one, which nobody keeps, so
+    that the pseudonyms of a run cannot be undone."""
+    named = spark.conf.get("spark.orderdesk.pii.key", None)
+    key = named.encode() if named else os.urandom(32)
+    rows = pii.pseudonymized(read_table(spark, sf_dir, "documents").select("doc_id", "text"), key)
     spans = F.transform("__spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
     return rows.select("doc_id", "text", F.size("__spans").cast("long").alias("n_found"),
                        F.array_join(spans, ",").alias("spans"))
