@@ -306,8 +306,11 @@ def ancestors(path: Column) -> Column:
 def licensed(files: DataFrame, path: str = "path", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES,
              min_cosine: float = MIN_COSINE) -> DataFrame:
     """``files`` with ``__licence``, ``__cosine`` and ``__from`` (the directory it was inherited from, or null)."""
-    judged = own_licences(files, text, templates, min_cosine)
-    narrow = checkpointed(judged.select(F.col(path).alias("__path"), "__own"))
+    # Texts are scored once: what they say is kept by a 128-bit name of path and text, and joined back.
+    body = F.col(text).cast("string")
+    file = (F.xxhash64(F.col(path), body).alias("__f1"), F.xxhash64(F.lit(1), body, F.lit("|"), F.col(path)).alias("__f2"))
+    judged = own_licences(files.select(F.col(path).alias("__path"), body.alias("__text"), *file), "__text", templates, min_cosine)
+    narrow = checkpointed(judged.select("__f1", "__f2", "__path", "__own"))
     above = F.explode(ancestors(F.col("__path"))).alias("__above")
     full = F.filter("__own", lambda o: o["whole"] | F.rlike(F.col("__path"), F.lit(NAMED)))
     directories = (narrow.filter(F.size(full) > 0)
@@ -321,10 +324,13 @@ def licensed(files: DataFrame, path: str = "path", text: str = "text", templates
              .groupBy(F.col("__path").alias("__heir"))
              .agg(F.max(F.struct("__depth", "__dir", "__inherited", "__icosine")).alias("__near")))
     taken = broadcast_if_small(checkpointed(taken))
+    said = broadcast_if_small(narrow.filter("__own IS NOT NULL").select("__f1", "__f2", F.get("__own", F.lit(0)).alias("__own"))
+                              .dropDuplicates(["__f1", "__f2"]))
     own = F.col("__own").isNotNull()
+    judged = files.join(said, (file[0] == said["__f1"]) & (file[1] == said["__f2"]), "left").drop("__f1", "__f2")
     return (judged.join(taken, F.when(F.col("__own").isNull(), F.col(path)) == taken["__heir"], "left")
-            .withColumn("__licence", F.when(own, F.get("__own", F.lit(0))["licence"]).otherwise(F.col("__near.__inherited")))
-            .withColumn("__cosine", F.when(own, -F.get("__own", F.lit(0))["minus"]).otherwise(F.col("__near.__icosine")))
+            .withColumn("__licence", F.when(own, F.col("__own.licence")).otherwise(F.col("__near.__inherited")))
+            .withColumn("__cosine", F.when(own, -F.col("__own.minus")).otherwise(F.col("__near.__icosine")))
             .withColumn("__from", F.when(~own, F.col("__near.__dir")))
             .drop("__own", "__heir", "__near"))
 
