@@ -60,7 +60,7 @@ PAIRS_AT_ONCE = 1 << 16
 HASHES_AT_ONCE = 1 << 13
 SHINGLE = 5
 SIMILARITY = 80  # percent
-ASKED_BYTES = 32 << 20  # of questions for texts that are broadcast; beyond it the texts are shuffled
+ASKED_BYTES = 16 << 20  # of questions for texts that are broadcast; beyond it the texts are shuffled
 
 _U = np.uint64
 
@@ -198,16 +198,18 @@ def confirmed(docs: DataFrame, edges: DataFrame, places: DataFrame, doc_id: str,
     """The edges (``a``, ``b``; checkpointed) whose full shingle sets are similar enough.
 
     ``places`` names a row for each leader: ``__node, __id, __t``. Each edge asks for two texts, so the texts
-    move at most once; while the questions (five numbers each) are within ``ASKED_BYTES`` they are broadcast and
+    move at most once; while the questions (five words of memory each) are within ``ASKED_BYTES`` they are broadcast and
     the texts do not move before.
     """
     ends = F.explode(F.array(F.struct(F.col("a").alias("own"), F.col("b").alias("other")),
                              F.struct(F.col("b").alias("own"), F.col("a").alias("other"))))
-    asked = checkpointed(edges.select(ends.alias("__e")).select(F.col("__e.own").alias("__node"), F.col("__e.other").alias("__other"))
-                         .join(places, "__node"))
-    asked = F.broadcast(asked) if asked.count() * 40 <= ASKED_BYTES else asked
+    asked = (edges.select(ends.alias("__e")).select(F.col("__e.own").alias("__node"), F.col("__e.other").alias("__other"))
+             .join(places, "__node").select("__node", "__other", F.xxhash64("__id", "__t").alias("__h"), F.col("__id").alias("__of")))
+    asked = F.broadcast(asked) if edges.count() * 80 <= ASKED_BYTES else asked  # two questions an edge, 40 bytes each
     own = F.col("__node") < F.col("__other")
-    pairs = (_rows(docs, doc_id, text).join(asked, ["__id", "__t"])
+    # One number is the key, which keeps a broadcast small; the id is compared beside it.
+    rows = _rows(docs, doc_id, text).withColumn("__h", F.xxhash64("__id", "__t"))
+    pairs = (rows.join(asked, (rows["__h"] == asked["__h"]) & rows["__id"].between(asked["__of"], asked["__of"]))
              .groupBy(F.least("__node", "__other").alias("a"), F.greatest("__node", "__other").alias("b"))
              .agg(F.max(F.when(own, F.col("__text"))).alias("__ta"), F.max(F.when(~own, F.col("__text"))).alias("__tb")))
     return pairs.select("a", "b", "__ta", "__tb").mapInArrow(_confirm(size, percent), "a long, b long")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -37,6 +38,47 @@ def test_pooling_covers_every_byte_of_long_and_short_texts():
         assert lengths.sum() == len(text)
 
 
+def scalar(p, text, window):
+    """The mean class probabilities of a text, unit by unit and byte by byte, in Python floats."""
+    stride, hidden, classes = p["embed_f"].shape[0], p["state_f"].shape[0], len(p["bias"])
+    sums = [0.0] * classes
+    for at in range(0, len(text), window):
+        part = text[at:at + window]
+        steps = [list((part + bytes(window))[k:k + stride]) for k in range(0, window, stride)]
+        logits = [[float(x) for x in p["bias"]] for _ in steps]
+        for d, order in (("f", range(len(steps))), ("b", range(len(steps) - 1, -1, -1))):
+            h = [0.0] * hidden
+            for t in order:
+                x = [float(p[f"gate_{d}"][i]) + sum(float(p[f"embed_{d}"][k, b, i]) for k, b in enumerate(steps[t])) for i in range(3 * hidden)]
+                u = [sum(h[j] * float(p[f"state_{d}"][j, i]) for j in range(hidden)) for i in range(3 * hidden)]
+                new = []
+                for i in range(hidden):
+                    z = 1 / (1 + math.exp(-(x[i] + u[i])))
+                    r = 1 / (1 + math.exp(-(x[hidden + i] + u[hidden + i])))
+                    n = math.tanh(x[2 * hidden + i] + r * u[2 * hidden + i])
+                    new.append((1 - z) * n + z * h[i])
+                h = new
+                for c in range(classes):
+                    logits[t][c] += sum(h[j] * float(p[f"out_{d}"][j, c]) for j in range(hidden))
+        for place, byte in enumerate(part):
+            each = [math.exp(logits[place // stride][c] + float(p["byte"][byte, c])) for c in range(classes)]
+            for c in range(classes):
+                sums[c] += each[c] / sum(each)
+    return [x / max(1, len(text)) for x in sums]
+
+
+def test_network_matches_a_scalar_one():
+    p = gru.init_params(3, hidden=5, seed=11)
+    rng = np.random.default_rng(4)
+    p["byte"] = rng.normal(size=(256, 3)).astype(np.float32)
+    p["bias"] = rng.normal(size=3).astype(np.float32)
+    for d in "fb":
+        p[f"gate_{d}"] = rng.normal(size=15).astype(np.float32)
+    texts = [b"a", b"abc", "héllo wörld, schön".encode(), bytes(range(256)), b"xyz " * 41, rng.integers(0, 256, 333).astype(np.uint8).tobytes()]
+    for text, row in zip(texts, gru.pooled(p, texts, window=64), strict=True):
+        assert np.allclose(row, scalar(p, text, 64), atol=1e-4)
+
+
 def test_held_out_accuracy_and_clean_sample(spark):
     docs = read_table(spark, DATA, "documents")
     pairs = langid.sample(docs)

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import math
+import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from orderdesk.llm import sharding
@@ -53,3 +56,41 @@ def test_odd_rows(odd, none):
     assert {(r["__size"], r["__crc32"]) for r in rows if r["doc_id"] in (3, 4)} == {(16, 0)}
     assert len({r["__shard"] for r in rows if r["doc_id"] is None}) == 1
     assert sharding.shard_table(none).count() == 0
+
+
+def drawn(key, tree):
+    """The tree descended in plain Python: xxhash64 of the key (if any) and the child's name, lowest -ln(u) / weight."""
+    node = ""
+    while node in tree:
+        def score(child):
+            name, weight = child
+            seed = 42 if key is None else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), seed=42)
+            u = ((xxhash.xxh64_intdigest(name.encode(), seed=seed) >> 11) + 0.5) / 2**53
+            return -math.log(u) / weight, name
+        node = min(map(score, tree[node]))[1]
+    return int(node)
+
+
+def test_shards_match_plain_draws(spark):
+    rng = random.Random(3)
+    rows = [(rng.randint(-2**62, 2**62), "é" * rng.randint(0, 3)) for _ in range(1500)] + [(k, None) for k in range(300)] + [(None, ""), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (40, 7):
+        got = [tuple(r) for r in sharding.placed(df, n_shards=n).select("doc_id", "text", "__shard", "__grown_shard", "__size", "__crc32").collect()]
+        assert sorted(got, key=str) == sorted(
+            ((k, t, drawn(k, sharding.uniform_tree(n)), drawn(k, sharding.uniform_tree(n + 1)), len((t or "").encode()) + 16,
+              zlib.crc32((t or "").encode())) for k, t in rows), key=str)
+    tree = sharding.uniform_tree(12, weights={3: 2.5, 11: 0.25})
+    got = dict(df.filter("doc_id IS NOT NULL").select("doc_id", sharding.shard_of(F.col("doc_id"), tree)).collect())
+    assert got == {k: drawn(k, tree) for k, _ in rows if k is not None}
+
+
+def test_slots_number_each_shard_without_gaps(spark):
+    rows = [(k % 500, "t" * (k % 3)) for k in range(2000)] + [(7, "same")] * 600  # repeated ids and rows
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    out = sharding.shard_table(df, n_shards=5, rows_per_range=40).collect()
+    slots = defaultdict(list)
+    for r in out:
+        slots[r["__shard"]].append(r["__slot"])
+    assert len(out) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert Counter(r["__shard"] for r in out) == Counter(drawn(k, sharding.uniform_tree(5)) for k, _ in rows)
