@@ -4,8 +4,8 @@
    one-permutation sketch (one hash of every shingle, its top bits name the
    bin, the rest is the value; empty bins borrow by optimal densification),
    the sketch's band hashes and the smallest hashes of the set.
-2. Equal sets are one class, led by its smallest id; only leaders go on, under
-   numbers of their own (a leader is a set, not an id: ids may repeat).
+2. Equal sets are one class, led by its smallest id; only leaders go on, numbered
+   in the order of their ids (a leader is a set, not an id: ids may repeat).
 3. In every band bucket one member is the centre and each other member forms
    a candidate edge with it (a star), so a bucket of m leaders gives m - 1
    pairs. Candidate edges are confirmed on the full shingle sets of the texts.
@@ -47,7 +47,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import ROWS_PER_SALT, salted_join
 from .common import broadcast_if_small, checkpointed
 from .components import components
 
@@ -383,17 +382,16 @@ def overlaps(low: np.ndarray, ends: np.ndarray, sizes: np.ndarray, x: np.ndarray
 def _classed(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, bands: int, rows: int) -> DataFrame:
     """``__id, __t, __n`` of every row, its ``__component`` and whether it is ``__kept``."""
     sets = checkpointed(signatures(docs, doc_id, text, size, bands, rows))
-    leaders = (sets.filter("__n > 0 AND __id IS NOT NULL").groupBy("__d1", "__d2")
-               .agg(F.min(F.struct("__id", "__t")).alias("__lead"), F.first("__n").alias("__n"),
-                    F.first("__bands").alias("__bands"), F.first("__low").alias("__low"))
-               .select("__d1", "__d2", "__lead.*", "__n", "__bands", "__low"))
-    # A number for each leader; the smallest id of a component is looked up at the end.
-    leaders = checkpointed(leaders.withColumn("__node", F.monotonically_increasing_id()))
+    known = sets.filter("__n > 0 AND __id IS NOT NULL")
+    # Numbers in the order of the ids, so that the smallest number of a component has its smallest id, and the
+    # first of a group, often its original, is the centre of its buckets.
+    first = known.groupBy("__d1", "__d2").agg(F.min(F.struct("__id", "__t")).alias("__lead")).select("__d1", "__d2", "__lead.*")
+    numbers = checkpointed(first.orderBy("__id", "__d1", "__d2").withColumn("__node", F.monotonically_increasing_id()))
+    leaders = checkpointed(known.groupBy("__d1", "__d2").agg(
+        F.first("__n").alias("__n"), F.first("__bands").alias("__bands"), F.first("__low").alias("__low"))
+        .join(numbers, ["__d1", "__d2"]))
     labels = linked_leaders(docs, leaders, doc_id, text, size, percent)
-    members = labels.join(leaders.select(F.col("__node").alias("node"), "__id"), "node")
-    first = members.groupBy("label").agg(F.min("__id").alias("__component"), F.count("*").alias("__many"))
-    hot = first.filter(F.col("__many") > ROWS_PER_SALT).select("label", F.ceil(F.col("__many") / ROWS_PER_SALT).cast("int").alias("__salts"))
-    linked = (salted_join(labels, first.select("label", "__component"), "label", hot=hot)
+    linked = (labels.join(numbers.select(F.col("__node").alias("label"), F.col("__id").alias("__component")), "label")
               .select(F.col("node").alias("__node"), "__component"))
     classes = (leaders.select("__d1", "__d2", "__node", F.col("__id").alias("__own")).join(linked, "__node", "left")
                .select("__d1", "__d2", F.coalesce("__component", "__own").alias("__component")))
