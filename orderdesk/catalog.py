@@ -122,6 +122,7 @@ def registry() -> dict[str, Callable[[Tables], DataFrame]]:
         "monthly_csv_rows": DOC.monthly_csv_rows,
         "display_formats": DOC.display_formats,
         "payment_weeks": DOC.payment_weeks,
+        "phone_numbers": DOC.phone_numbers,
         "merged_cart_lines": lambda t: DOC.merged_cart_lines(t.cart_lines),
         "cart_totals": DOC.cart_totals,
         # integrity audits
@@ -145,6 +146,7 @@ def _text_queries() -> dict[str, QueryFn]:
     """Input cleaning over the driver's raw texts (whole documents and pages)."""
     return {
         "clean_documents": lambda spark, d: DOC.clean_documents(read_driver_table(spark, d, "documents"), "doc_id", "text"),
+        "document_numbers": lambda spark, d: DOC.leading_numbers(read_driver_table(spark, d, "documents"), "doc_id", "text"),
         "clean_pages": lambda spark, d: DOC.clean_documents(read_driver_table(spark, d, "pages"), "page_id", "html"),
     }
 

@@ -142,6 +142,17 @@ def clean_documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(id_col, TX.clean_text(F.col(text_col)).alias("clean_text"))
 
 
+def phone_numbers(t: Tables) -> DataFrame:
+    """What a phone text of a booking gives as a whole number, as a request id is read (its leading digits, else 0)."""
+    return t.bookings.select("id", "customer_phone", TX.to_int(F.col("customer_phone")).alias("leading_number"),
+                             TX.to_int(F.regexp_replace("customer_phone", "[^0-9]", "")).alias("digits"))
+
+
+def leading_numbers(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Whole texts read as a request id."""
+    return df.select(id_col, TX.to_int(F.col(text_col)).alias("number"))
+
+
 # ---------------------------------------------------------------- carts
 
 # Picks of one product in one cart that a task takes in a row.

@@ -4,6 +4,8 @@ several outputs (the reference's multi-table transaction; see ``versions``).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,23 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
+def write_csv_file(df: DataFrame, path: str) -> None:
+    """One CSV file with a header line, rows in the order of ``df``: the download of a report.
+
+    For reports, whose rows are bounded by the calendar or a top-n: one task writes them. The file appears
+    under its name when it is whole; an existing one is replaced."""
+    spark = df.sparkSession
+    fs, target = V.file_system(spark, path)
+    own = f"{path}.{uuid.uuid4().hex}"
+    df.coalesce(1).write.option("header", True).csv(own)
+    parts = [n for n in V.names_in(spark, own) if n.startswith("part-")]
+    if parts:
+        if fs.exists(target):
+            fs.delete(target, False)
+        fs.rename(V.file_system(spark, f"{own}/{parts[0]}")[1], target)
+    fs.delete(V.file_system(spark, own)[1], True)
+
+
 def write_json_documents(df: DataFrame, path: str, column: str = "document", mode: str = "overwrite") -> None:
     """One JSON document per line, as produced by ``booking_document``."""
     df.select(F.col(column).alias("value")).write.mode(mode).text(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import functions as F
 
 from orderdesk.catalog import tables_for
@@ -55,6 +57,17 @@ def test_csv_and_json_sinks(spark, tmp_path):
     back = spark.read.option("header", True).csv(csv_path)
     assert back.columns == ["Month", "Orders", "Revenue", "Avg Order Value"]
     assert back.count() == R.monthly_revenue(t).count()
+    expect = [tuple(r) for r in DOC.monthly_csv_rows(t).collect()]
+    typed = spark.read.option("header", True).schema(DOC.monthly_csv_rows(t).schema).csv(csv_path)
+    assert sorted(map(tuple, typed.collect())) == sorted(expect)
+    one = str(tmp_path / "report.csv")
+    for _ in range(2):  # a download replaces the one before
+        sinks.write_csv_file(DOC.monthly_csv_rows(t), one)
+    with open(one, newline="") as f:
+        header, *lines = csv.reader(f)
+    assert header == back.columns
+    assert [(m, int(n), r, float(a)) for m, n, r, a in lines] == [(m, n, str(r), float(a)) for m, n, r, a in expect]
+    assert sorted(x.name for x in tmp_path.iterdir() if not x.name.endswith(".crc")) == ["monthly.csv", "report.csv"]
     json_path = str(tmp_path / "docs")
     sinks.write_json_documents(DOC.booking_document(t), json_path)
     docs = spark.read.json(json_path)
