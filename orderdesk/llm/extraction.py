@@ -64,7 +64,7 @@ NAMES = frozenset("""ad ads adv advert adverts advertisement advertising sponsor
     sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs footer copyright comment comments commentlist
     reply replies respond disqus cookie cookies consent gdpr notice notices alert popup modal overlay disclaimer
     newsletter subscribe subscription signup login share sharing social related recommended recommendations widget
-    widgets toolbar pagination pager masthead""".split())
+    widgets toolbar pagination pager masthead side topbar subnav promoted teaser teasers trending discussion feedback""".split())
 # A name with one of these says what a container has, not what it is.
 ABOUT = frozenset("with has no without".split())
 
