@@ -112,14 +112,14 @@ def audit_fk(t: Tables) -> DataFrame:
 
 
 def audit_enum(t: Tables) -> DataFrame:
-    """Values outside an enum's domain: ``table_name, column_name, value, n``."""
+    """Values outside an enum's domain: ``table_name, column_name, value, n``; one scan per table."""
     tabs = all_tables(t)
     parts = []
-    for table, col, domain in ENUMS:
-        bad = tabs[table].filter(F.col(col).isNotNull() & ~F.col(col).isin(*domain))
-        g = bad.groupBy(col).count()
-        parts.append(g.select(F.lit(table).alias("table_name"), F.lit(col).alias("column_name"),
-                              F.col(col).alias("value"), F.col("count").alias("n")))
+    for table in dict.fromkeys(name for name, _, _ in ENUMS):
+        outside = {c: F.when(~F.col(c).isin(*domain), F.col(c)).alias(c) for name, c, domain in ENUMS if name == table}
+        stacked = tabs[table].select(*outside.values()).unpivot([], list(outside), "column_name", "value")
+        g = stacked.filter(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+        parts.append(g.select(F.lit(table).alias("table_name"), "column_name", "value", "n"))
     return _union(parts)
 
 

@@ -28,7 +28,7 @@ ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "date":
          "timestamp_ntz": pa.timestamp("us"), "decimal(10,2)": pa.decimal128(10, 2)}
 
 # Queries over the driver's raw texts only (no logical table).
-SKIP = {"clean_documents", "clean_pages"}
+SKIP = {"clean_documents", "clean_pages", "document_numbers"}
 
 
 def _maybe(rng, value, p=0.2):
