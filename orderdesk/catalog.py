@@ -104,8 +104,8 @@ def registry() -> dict[str, Callable[[Tables], DataFrame]]:
         "category_spellings": lambda t: L.category_spellings(C.collated(M.mixed_case_categories(t))),
         "audit_unique_any_case": lambda t: A.audit_unique(C.collated(M.mixed_case_categories(t))),
         # the same by maintained state: indexes, batches of commands, rollups
-        "indexed_booking_search": lambda t: L.indexed_booking_list(t, L.booking_index(t), "mer#%077"),
-        "indexed_row_search": lambda t: L.indexed_row_search(t, L.row_index(t), "widget (3"),
+        "indexed_booking_search": lambda t: L.indexed_booking_list(t, L.booking_index(t, "mer#%077"), "mer#%077"),
+        "indexed_row_search": lambda t: L.indexed_row_search(t, L.row_index(t, "widget (3"), "widget (3"),
         "workflow_state_in_batches": M.workflow_state_in_batches,
         "rolled_revenue_overview": M.rolled_revenue_overview,
         "rolled_payment_type_stats": M.rolled_payment_type_stats,

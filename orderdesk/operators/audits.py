@@ -76,14 +76,24 @@ def audit_unique(t: Tables) -> DataFrame:
     tabs = all_tables(t) | {"bookings": t.booking_core}
     parts = []
     for table in dict.fromkeys(name for name, _ in UNIQUE_KEYS):
-        # The key columns of a table are stacked and counted in one pass.
+        # The number keys of a table are stacked and counted in one pass, and so are its text keys.
         cols = [c for name, c in UNIQUE_KEYS if name == table]
-        collation = _collation(tabs[table], cols)
-        stacked = (tabs[table].select(*[F.collate(F.col(c).cast("string"), collation).alias(c) for c in cols])
-                   .unpivot([], cols, "key_column", "__value").filter(F.col("__value").isNotNull()))
-        g = stacked.groupBy("key_column", "__value").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.collate("__value", BINARY)).alias("key_value")).filter(F.col("n") > 1)
-        parts.append(g.select(F.lit(table).alias("table_name"), "key_column", "key_value", "n"))
+        texts = [c for c in cols if isinstance(tabs[table].schema[c].dataType, T.StringType)]
+        for some, kind in (([c for c in cols if c not in texts], "long"), (texts, "string")):
+            if not some:
+                continue
+            collation = _collation(tabs[table], some)
+            key = F.collate("__value", BINARY)
+            values = tabs[table].select(*[F.col(c).cast(kind).alias(c) if kind == "long" else F.col(c) for c in some])
+            if len(some) > 1:
+                values = values.unpivot([], some, "key_column", "__value")
+            else:
+                values = values.select(F.lit(some[0]).alias("key_column"), F.col(some[0]).alias("__value"))
+            first = [] if collation == BINARY else [F.min(key).alias("key_value")]  # one spelling is the value itself
+            g = (values.filter(F.col("__value").isNotNull()).groupBy("key_column", "__value")
+                 .agg(F.count(F.lit(1)).alias("n"), *first).filter(F.col("n") > 1))
+            value = F.col("key_value") if first else F.col("__value").cast("string")
+            parts.append(g.select(F.lit(table).alias("table_name"), "key_column", value.alias("key_value"), "n"))
     return _union(parts)
 
 
@@ -117,7 +127,8 @@ def audit_enum(t: Tables) -> DataFrame:
     parts = []
     for table in dict.fromkeys(name for name, _, _ in ENUMS):
         outside = {c: F.when(~F.col(c).isin(*domain), F.col(c)).alias(c) for name, c, domain in ENUMS if name == table}
-        stacked = tabs[table].select(*outside.values()).unpivot([], list(outside), "column_name", "value")
+        some = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in outside])
+        stacked = tabs[table].select(*outside.values()).filter(some).unpivot([], list(outside), "column_name", "value")
         g = stacked.filter(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
         parts.append(g.select(F.lit(table).alias("table_name"), "column_name", "value", "n"))
     return _union(parts)

@@ -43,6 +43,16 @@ def postings(df: DataFrame, id_col: str, texts: Mapping[str, Column]) -> DataFra
     return each.select(F.xxhash64("gram").alias("gram_hash"), "place", "gram", F.col("__row").alias("id"))
 
 
+def lists(df: DataFrame, id_col: str, texts: Mapping[str, Column], a: "Asked") -> DataFrame:
+    """The part of ``postings`` that a pattern asks for, made without the rest: for a search without a stored index."""
+    wanted = F.array(*[F.lit(g) for g in a.grams])
+    places = F.array(*[F.struct(F.lit(name).alias("place"), F.lower(text.cast("string")).alias("low")) for name, text in texts.items()])
+    each = (df.select(F.col(id_col).alias("__row"), F.explode(places).alias("__p"))
+            .select("__row", F.col("__p.place").alias("place"), F.explode(F.filter(
+                wanted, lambda g: F.contains(F.col("__p.low"), g))).alias("gram")))
+    return each.select(F.xxhash64("gram").alias("gram_hash"), "place", "gram", F.col("__row").alias("id"))
+
+
 @dataclass(frozen=True)
 class Asked:
     """What a pattern asks of the index: trigrams that every matching text holds; none: scan."""

@@ -250,15 +250,19 @@ def indexed_row_search(t: Tables, index: DataFrame, query: str, search: Optional
     return row_text_search(t, query, search, status, SEARCH.found(index.sparkSession, index, query, wildcards=False))
 
 
-def booking_index(t: Tables) -> DataFrame:
-    """Index of the texts behind the search box."""
-    return SEARCH.postings(t.bookings, "id", search_texts())
-
-
-def row_index(t: Tables) -> DataFrame:
-    """Index of the whole shown rows of the bookings table."""
-    text = F.concat_ws(" ", *[c.cast("string") for c in row_cells()])
-    return SEARCH.postings(booking_list(t), "id", {"row": text})
+def booking_index(t: Tables, search: Optional[str] = None) -> DataFrame:
+    """Index of the texts behind the search box; with ``search`` only the lists that it asks for."""
+    if search is None:
+        return SEARCH.postings(t.bookings, "id", search_texts())
+    return SEARCH.lists(t.bookings, "id", search_texts(), SEARCH.asked(t.bookings.sparkSession, TX.clean_param(search)))
+
+
+def row_index(t: Tables, query: Optional[str] = None) -> DataFrame:
+    """Index of the whole shown rows of the bookings table; with ``query`` only the lists that it asks for."""
+    rows, text = booking_list(t), {"row": F.concat_ws(" ", *[c.cast("string") for c in row_cells()])}
+    if query is None:
+        return SEARCH.postings(rows, "id", text)
+    return SEARCH.lists(rows, "id", text, SEARCH.asked(rows.sparkSession, query, wildcards=False))
 
 
 def booking_details(t: Tables, ids: Optional[DataFrame] = None) -> DataFrame:

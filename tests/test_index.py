@@ -72,6 +72,15 @@ def test_index_may_hold_more_than_is_true(spark):
     assert rows(search.found(spark, index, "eta_amm")) == [(2,)]
 
 
+def test_lists_of_a_pattern_are_those_of_the_index(spark):
+    t = tables_for(spark, SMOKE_DIR)
+    for pattern in ("mer#%077", "5 0000_77", "Customer", "no such text"):
+        a = search.asked(spark, pattern)
+        assert rows(L.booking_index(t, pattern)) == rows(L.booking_index(t).filter(F.col("gram").isin(*a.grams)))
+    a = search.asked(spark, "Widget (3", wildcards=False)
+    assert rows(L.row_index(t, "Widget (3")) == rows(L.row_index(t).filter(F.col("gram").isin(*a.grams)))
+
+
 def test_row_search_equal_to_the_scan(spark):
     t = tables_for(spark, SMOKE_DIR)
     index = L.row_index(t).cache()
