@@ -145,12 +145,15 @@ def _table(parts: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.Table:
 
 
 def _in_blocks(anchors: DataFrame, rows: DataFrame, score_block) -> DataFrame:
-    """``score_block`` over every pair of a block of anchors and a block of rows, each pair in one task."""
+    """``score_block`` over every pair of a block of anchors and a block of rows, each pair in one task.
+
+    Block numbers are ints on both sides: a shuffle places an int and an equal long differently, and a pair whose
+    halves are placed apart would be lost without an error."""
     n_anchors, n_rows = anchors.count(), rows.count()
     a_blocks, r_blocks = max(1, -(-n_anchors // BLOCK)), max(1, -(-n_rows // BLOCK), min(LEAST_BLOCKS, n_rows // LEAST_BLOCK))
 
     def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int, *by: str) -> DataFrame:
-        return df.withColumns({own: F.pmod(F.xxhash64(*by), F.lit(n_own)),
+        return df.withColumns({own: F.pmod(F.xxhash64(*by), F.lit(n_own)).cast("int"),
                                other: F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))})
 
     left = dealt(anchors, "__ab", a_blocks, "__rb", r_blocks, "__a")

@@ -83,3 +83,18 @@ def test_tasks_hand_on_only_the_first_rows(spark):
     rows = spark.range(4000).selectExpr("id AS vec_id", "array(CAST(rand(1) AS FLOAT)) AS embedding", "CAST(id % 2 AS INT) AS label")
     plan = negatives.hard_negatives(rows, F.col("__id") % 100 == 0)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_no_pair_of_blocks_is_lost(spark, monkeypatch):
+    """Both halves of a pair of blocks come to one task, also when the shuffle keeps several partitions."""
+    monkeypatch.setattr(negatives, "LEAST_BLOCK", 16)
+    monkeypatch.setattr(negatives, "BLOCK", 32)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=4))], int(rng.integers(0, 3))) for i in range(160)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    coalescing = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalescing, "false")
+    try:
+        assert mined(df) == brute(rows)
+    finally:
+        spark.conf.set(coalescing, "true")
