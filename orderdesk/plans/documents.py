@@ -10,6 +10,7 @@ from ..functions import dates as D
 from ..functions import formats as FM
 from ..functions import text as TX
 from ..operators.joins import product_dim, with_user_names
+from ..operators.spread import spread
 from ..operators.stats import one_row
 from ..sources.driver import Tables
 from . import reports as R
@@ -169,16 +170,22 @@ def merged_cart_lines(cart_lines: DataFrame, pick_range: int = PICK_RANGE) -> Da
     stretches in a row make one: the sums add up, the lowest point is the
     first's or the first's sum and the second's. So the picks are summed up in
     ranges of ``pick_no``, spread over tasks, and a window sees one row per
-    range: a cart with millions of picks of one product is no hot task."""
+    range: a cart with millions of picks of one product is no hot task. Lines
+    hardly repeat, so both shuffles get partitions by the number of picks."""
+    return _merged(cart_lines, pick_range, cart_lines.count())
+
+
+def _merged(cart_lines: DataFrame, pick_range: int, rows: int) -> DataFrame:
     line = ("cart_id", "product_id")
-    ranged = cart_lines.withColumn("__range", F.floor(F.col("pick_no") / F.lit(pick_range)))
+    ranged = spread(cart_lines.withColumn("__range", F.floor(F.col("pick_no") / F.lit(pick_range))),
+                    *line, "__range", rows=rows)
     in_range = (Window.partitionBy(*line, "__range").orderBy("pick_no", F.desc("quantity"))
                 .rowsBetween(Window.unboundedPreceding, 0))
     stretches = (ranged.withColumn("__run", F.sum("quantity").over(in_range)).groupBy(*line, "__range")
                  .agg(F.sum("quantity").alias("__sum"), F.min("__run").alias("__low")))
     before = Window.partitionBy(*line).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     low = F.coalesce(F.sum("__sum").over(before), F.lit(0)) + F.col("__low")
-    g = stretches.withColumn("__lowest", low).groupBy(*line).agg(
+    g = spread(stretches, *line, rows=rows).withColumn("__lowest", low).groupBy(*line).agg(
         (F.sum("__sum") - F.least(F.min("__lowest"), F.lit(0))).alias("quantity"))
     return g.filter(F.col("quantity") > 0)
 
@@ -186,9 +193,10 @@ def merged_cart_lines(cart_lines: DataFrame, pick_range: int = PICK_RANGE) -> Da
 def cart_totals(t: Tables) -> DataFrame:
     """Per cart: merged lines, lines with a known price, and the total of
     price x quantity over those (lines without a product are skipped)."""
-    m = merged_cart_lines(t.cart_lines)
+    rows = t.cart_lines.count()
+    m = _merged(t.cart_lines, PICK_RANGE, rows)
     j = m.join(product_dim(t.products, "price"), "product_id", "left")
-    return j.groupBy("cart_id").agg(
+    return spread(j, "cart_id", rows=rows).groupBy("cart_id").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.count("price").alias("n_priced"),
         F.coalesce(F.sum(F.col("price") * F.col("quantity")), F.lit(0)).cast("double").alias("total"))

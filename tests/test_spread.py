@@ -1,0 +1,65 @@
+"""Partitions by the number of rows: their number grows with the input, results stay those of plain shuffles."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as E
+from orderdesk.operators import skew, spread
+
+SF = "/root/testdata/sf0.001"
+
+
+def _rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def _dealt(df):
+    """Partition numbers of the shuffles that a plan asks for by number."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [int(n) for n in re.findall(r"RepartitionByExpression \[.*\], (\d+)", plan)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left_semi"])
+@pytest.mark.parametrize("hot", [50, 1 << 20])
+def test_spread_join_equals_plain_join(spark, monkeypatch, how, hot):
+    monkeypatch.setattr(skew, "ROWS_PER_SALT", hot)
+    monkeypatch.setattr(spread, "ROWS_PER_TASK", 100)
+    big = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).when(F.col("id") % 11 != 0, F.col("id") % 100).alias("k"), F.col("id").alias("v"))
+    small = spark.range(0, 60).select((F.col("id") % 30).alias("k"), (F.col("id") * 10).alias("w"))
+    small = small.union(spark.createDataFrame([(None, 1)], "k long, w long"))
+    got = spread.spread_join(big, small, "k", "v", how)
+    assert _rows(got) == _rows(big.join(small, "k", how))
+    assert set(_dealt(got)) == {spread.partitions(big.filter("k IS NOT NULL").count())}
+    assert (spread.dealing(big, "k")[1] is None) == (hot > 3000)
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_SALT", 50)
+    big = spark.range(1000).select(F.lit(7).cast("long").alias("k"), F.col("id").alias("v"))
+    joined = spread.spread_join(big, spark.range(7, 8).withColumnRenamed("id", "k"), "k", "v", dealt=(1 << 24, spread.dealing(big, "k")[1]))
+    assert joined.select(F.spark_partition_id().alias("p")).distinct().count() > 5
+    assert joined.count() == 1000
+    with pytest.raises(TypeError):
+        spread.spread_join(big, spark.range(9).select(F.col("id").cast("int").alias("k")), "k", "v")
+
+
+def test_empty_tables(spark):
+    none = spark.range(0).withColumn("v", F.col("id"))
+    assert spread.spread(none, "id").count() == 0
+    assert spread.spread_join(none, none.select("id"), "id", "v").count() == 0
+
+
+@pytest.mark.parametrize("name, shuffles", [("merged_cart_lines", 2), ("cart_totals", 3)])
+def test_cart_shuffles_grow_with_the_picks(spark, monkeypatch, name, shuffles):
+    want = _rows(E.queries()[name](spark, SF))
+    monkeypatch.setattr(spread, "ROWS_PER_TASK", 500)
+    df = E.queries()[name](spark, SF)
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert _dealt(df) == [spread.partitions(rows)] * shuffles and rows > 5000
+    assert df.rdd.getNumPartitions() == spread.partitions(rows)
+    assert _rows(df) == want
