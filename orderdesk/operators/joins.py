@@ -29,3 +29,10 @@ def with_user_names(b: DataFrame, users: DataFrame, roles: dict[str, str]) -> Da
 def product_dim(products: DataFrame, *cols: str) -> DataFrame:
     """Pruned product columns keyed by ``product_id``."""
     return products.select(F.col("id").alias("product_id"), *cols)
+
+
+def with_known_products(lines: DataFrame, products: DataFrame) -> DataFrame:
+    """``lines`` with a null ``product_id`` where the catalogue has no such product."""
+    known = products.select(F.col("id").alias("product_id"), F.lit(True).alias("__known")).distinct()
+    return (lines.join(known, "product_id", "left")
+            .withColumn("product_id", F.when(F.col("__known"), F.col("product_id"))).drop("__known"))

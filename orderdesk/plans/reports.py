@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import formats as FM
-from ..operators.joins import product_dim
+from ..operators.joins import product_dim, with_known_products
+from ..operators.spread import spread_join
 from ..operators.stats import count_where, one_row, status_counts, sum_where
 from ..sources.driver import Tables
 
@@ -119,34 +120,25 @@ def monthly_revenue(t: Tables, as_of=D.DEFAULT_AS_OF, months: int = 6,
 def top_products(t: Tables, n: int = 10, ranked: bool = False, paid: DataFrame | None = None) -> DataFrame:
     """Best sellers among paid bookings: quantity, revenue, distinct orders.
 
-    Items are first summed per (booking, product), with partial aggregation
-    on both keys, so a hot booking or product is combined map-side. The paid,
-    existing bookings are kept by a semi join, and the rows are summed per
-    product: a booking has one row per product, so its orders are counted
-    plainly. Products are joined to those totals. Lines whose product is
-    unknown form one line of their own, the only one that needs a distinct
-    count.
+    The items of paid, existing bookings are kept by a semi join, dealt by
+    booking into partitions by the number of items (a hot booking is split by
+    product). Lines whose product is unknown form one line of their own, so
+    they lose their product before items are summed per (booking, product).
+    A booking then has one row per product, and these are summed per product,
+    map-side first, with orders counted plainly. Names are joined to the totals.
     """
     if paid is None:
         paid_ids = (t.payments.filter(F.col("payment_status") == "paid").select("booking_id")
                     .join(t.booking_core.select(F.col("id").alias("booking_id")), "booking_id", "left_semi"))
     else:
         paid_ids = paid.select(F.col("id").alias("booking_id")).distinct()
-    per_order = (t.booking_items.groupBy("booking_id", "product_id")
+    lines = spread_join(t.booking_items.select("booking_id", "product_id", "quantity", "unit_price"), paid_ids,
+                        "booking_id", "product_id", "left_semi")
+    per_order = (with_known_products(lines, t.products).groupBy("booking_id", "product_id")
                  .agg(F.sum("quantity").alias("q"), F.sum(F.col("quantity") * F.col("unit_price")).alias("r")))
-    per_order = per_order.join(paid_ids, "booking_id", "left_semi")
-    dim = product_dim(t.products, "name")
-    known = (per_order.groupBy("product_id")
-             .agg(F.sum("q").alias("total_quantity"), F.sum("r").alias("total_revenue"), F.count(F.lit(1)).alias("order_count"))
-             .join(dim, "product_id").withColumnRenamed("product_id", "pid")
-             .select("pid", "name", "total_quantity", "total_revenue", "order_count"))
-    unknown = (per_order.join(dim, "product_id", "left_anti")
-               .agg(F.sum("q").alias("total_quantity"), F.sum("r").alias("total_revenue"),
-                    F.countDistinct("booking_id").alias("order_count"))
-               .filter(F.col("order_count") > 0)
-               .select(F.lit(None).cast("long").alias("pid"), F.lit(None).cast("string").alias("name"),
-                       "total_quantity", "total_revenue", "order_count"))
-    g = known.union(unknown)
+    g = (per_order.groupBy("product_id")
+         .agg(F.sum("q").alias("total_quantity"), F.sum("r").alias("total_revenue"), F.count(F.lit(1)).alias("order_count"))
+         .join(product_dim(t.products, "name"), "product_id", "left").withColumnRenamed("product_id", "pid"))
     top = g.orderBy(F.desc("total_revenue"), F.asc("pid")).limit(n)
     out = top.select(F.col("pid").alias("product_id"), "name", "total_quantity",
                      _money(F.col("total_revenue")).alias("total_revenue"), "order_count")

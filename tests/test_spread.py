@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from orderdesk.operators import skew, spread
+from orderdesk.plans import reports as R
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,3 +64,24 @@ def test_cart_shuffles_grow_with_the_picks(spark, monkeypatch, name, shuffles):
     assert _dealt(df) == [spread.partitions(rows)] * shuffles and rows > 5000
     assert df.rdd.getNumPartitions() == spread.partitions(rows)
     assert _rows(df) == want
+
+
+@pytest.mark.parametrize("name", ["top_products", "top_products_ranked"])
+def test_top_products_reads_items_once_in_partitions_by_their_number(spark, monkeypatch, name):
+    want = _rows(E.queries()[name](spark, SF))
+    monkeypatch.setattr(spread, "ROWS_PER_TASK", 500)
+    monkeypatch.setattr(skew, "ROWS_PER_SALT", 50)
+    df = E.queries()[name](spark, SF)
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert set(_dealt(df)) == {spread.partitions(rows)} and plan.count("l_suppkey#") == 1
+    assert _rows(df) == want
+
+
+def test_top_products_with_a_hot_booking(spark, golden, monkeypatch):
+    items = golden.booking_items.crossJoin(spark.range(40).select("id").withColumnRenamed("id", "__i"))
+    items = items.withColumn("product_id", F.when(F.col("__i") % 4 == 0, 900 + F.col("__i")).otherwise(F.col("product_id"))).drop("__i")
+    hot = golden.replace(booking_items=items)
+    want = _rows(R.top_products(hot))
+    monkeypatch.setattr(skew, "ROWS_PER_SALT", 10)
+    assert _rows(R.top_products(hot)) == want and any(r[0] is None and r[4] == 4 for r in want)
