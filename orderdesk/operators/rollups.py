@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import formats as FM
-from .joins import product_dim
+from .joins import product_dim, with_known_products
+from .spread import Dealing, spread_join
 from .stats import one_row
 
 _AMOUNT = "decimal(28,2)"
@@ -40,29 +41,31 @@ def _counted(df: DataFrame, name: str) -> DataFrame:
     return _summed(df.select(*GROUPS[name], F.lit(1).alias("n"), F.lit(0).alias("quantity"), "amount"), name)
 
 
-def product_months(bookings: DataFrame, payments: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
-    """Pieces, revenue and orders of paid bookings per product (null: unknown) and month of payment."""
+def product_months(bookings: DataFrame, payments: DataFrame, items: DataFrame, products: DataFrame,
+                   dealt: Optional[Dealing] = None) -> DataFrame:
+    """Pieces, revenue and orders of paid bookings per product (null: unknown) and month of payment.
+
+    With ``dealt`` (``spread.dealing`` of the items by booking) items are dealt into partitions by their number."""
     paid = (payments.filter(F.col("payment_status") == "paid").select("booking_id", FM.month_key(F.col("payment_date")).alias("month"))
             .distinct().join(bookings.select(F.col("id").alias("booking_id")), "booking_id", "left_semi"))
-    lines = items.groupBy("booking_id", "product_id").agg(
-        F.sum("quantity").alias("quantity"), F.sum(F.col("quantity") * F.col("unit_price")).alias("amount"))
-    known = products.select(F.col("id").alias("product_id"), F.lit(True).alias("__known")).distinct()
-    named = (lines.join(paid, "booking_id").join(known, "product_id", "left")
-             .withColumn("product_id", F.when(F.col("__known"), F.col("product_id"))))
+    lines = items.select("booking_id", "product_id", "quantity", "unit_price")
+    lines = lines.join(paid, "booking_id") if dealt is None else spread_join(lines, paid, "booking_id", "product_id", dealt=dealt)
     # A booking with several unknown products is one order of that line.
-    orders = (named.groupBy("booking_id", "product_id", "month").agg(F.sum("quantity").alias("quantity"), F.sum("amount").alias("amount"))
+    orders = (with_known_products(lines, products).groupBy("booking_id", "product_id", "month")
+              .agg(F.sum("quantity").alias("quantity"), F.sum(F.col("quantity") * F.col("unit_price")).alias("amount"))
               .withColumn("n", F.lit(1)))
     return _summed(orders, "product_months")
 
 
-def rollups(bookings: DataFrame, payments: DataFrame, items: DataFrame, products: DataFrame) -> dict[str, DataFrame]:
-    """All rollups of some bookings, their payment rows and their items, under a catalogue."""
+def rollups(bookings: DataFrame, payments: DataFrame, items: DataFrame, products: DataFrame,
+            dealt: Optional[Dealing] = None) -> dict[str, DataFrame]:
+    """All rollups of some bookings, their payment rows and their items, under a catalogue; ``dealt`` as in ``product_months``."""
     b = bookings.select("id", "status", F.to_date("updated_at").alias("day"), "moderator_id", "payment_type", "amount")
     paid = payments.select("booking_id", "payment_status", "payment_date")
     # A booking without a payment row counts under no payment status.
     j = b.join(paid, b["id"] == paid["booking_id"], "left")
     return {"status_days": _counted(b, "status_days"), "moderator_statuses": _counted(b, "moderator_statuses"),
-            "payment_days": _counted(j, "payment_days"), "product_months": product_months(bookings, payments, items, products)}
+            "payment_days": _counted(j, "payment_days"), "product_months": product_months(bookings, payments, items, products, dealt)}
 
 
 def change(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from . import skew
 
 ROWS_PER_TASK = 1 << 18
+# Number of rows and parts of a key (``dealing``).
+Dealing = tuple[int, Column | None]
 # Buckets of keys whose rows are counted to find the hot ones.
 _BUCKETS = 1 << 16
 
@@ -28,7 +30,7 @@ def spread(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
     return df.repartition(partitions(df.count() if rows is None else rows), *keys)
 
 
-def dealing(df: DataFrame, key: str) -> tuple[int, Column | None]:
+def dealing(df: DataFrame, key: str) -> Dealing:
     """Number of rows, and in how many parts the rows of a key are dealt (None: no key is split).
 
     Rows are counted per bucket of keys, combined map-side. A bucket with more than ``skew.ROWS_PER_SALT`` rows holds
@@ -42,7 +44,7 @@ def dealing(df: DataFrame, key: str) -> tuple[int, Column | None]:
 
 
 def spread_join(big: DataFrame, small: DataFrame, key: str, within: str, how: str = "inner",
-                dealt: tuple[int, Column | None] | None = None) -> DataFrame:
+                dealt: Dealing | None = None) -> DataFrame:
     """``big.join(small, key, how)``, inner or left semi, dealt by ``key``: a group by it needs no further shuffle.
 
     Hot keys of ``big`` are split by ``within``; then a group by ``key`` has its own shuffle, combined map-side.

@@ -6,6 +6,8 @@ used in one go, so that its results can be held against full computations.
 
 from __future__ import annotations
 
+from typing import Optional
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from ..functions import dates as D
 from ..operators import fold
 from ..operators import rollups as RU
 from ..operators import workflow as W
+from ..operators.spread import Dealing, dealing
 from ..sources.driver import Tables
 
 
@@ -27,8 +30,8 @@ def workflow_state_in_batches(t: Tables) -> DataFrame:
     return fold.folded_in_batches(t.booking_core, _batches(t.workflow_commands))
 
 
-def _rollups(t: Tables, bookings: DataFrame, payments: DataFrame) -> dict[str, DataFrame]:
-    return RU.rollups(bookings, payments, t.booking_items, t.products)
+def _rollups(t: Tables, bookings: DataFrame, payments: DataFrame, dealt: Optional[Dealing] = None) -> dict[str, DataFrame]:
+    return RU.rollups(bookings, payments, t.booking_items, t.products, dealt)
 
 
 def rolled_revenue_overview(t: Tables, as_of=D.DEFAULT_AS_OF) -> DataFrame:
@@ -43,23 +46,24 @@ def rolled_payment_type_stats(t: Tables) -> DataFrame:
 
 def rolled_top_products(t: Tables) -> DataFrame:
     """Top products from the product-month rollup."""
-    return RU.top_products(_rollups(t, t.bookings, t.payments), t.products)
+    return RU.top_products(_rollups(t, t.bookings, t.payments, dealing(t.booking_items, "booking_id")), t.products)
 
 
 def top_products_after_jobs(t: Tables) -> DataFrame:
     """Top products after all payment posts."""
-    return RU.top_products(rollups_after_jobs(t), t.products)
+    return RU.top_products(rollups_after_jobs(t, dealing(t.booking_items, "booking_id")), t.products)
 
 
-def rollups_after_jobs(t: Tables) -> dict[str, DataFrame]:
+def rollups_after_jobs(t: Tables, dealt: Optional[Dealing] = None) -> dict[str, DataFrame]:
     """The rollups of all bookings, changed by what the bookings of the workflow commands and payment posts
-    contribute before and after those: no other booking is looked at for the change."""
+    contribute before and after those: no other booking is looked at for the change. ``dealt`` is for the
+    product months."""
     named = t.workflow_commands.select("booking_id").union(t.payment_updates.select("booking_id")).distinct()
     bookings = t.bookings.join(named.withColumnRenamed("booking_id", "id"), "id", "left_semi")
     payments = t.payments.join(named, "booking_id", "left_semi")
     state = W.workflow_state(bookings, t.workflow_commands)
-    new = _rollups(t, W.bookings_after(bookings, state), W.payment_updates_applied(payments, t.payment_updates))
-    return RU.added(_rollups(t, t.bookings, t.payments), RU.change(_rollups(t, bookings, payments), new))
+    new = _rollups(t, W.bookings_after(bookings, state), W.payment_updates_applied(payments, t.payment_updates), dealt)
+    return RU.added(_rollups(t, t.bookings, t.payments, dealt), RU.change(_rollups(t, bookings, payments, dealt), new))
 
 
 def dash_accountant_after_jobs(t: Tables) -> DataFrame:
