@@ -18,6 +18,7 @@ from ..functions import text as TX
 from ..sources import schemas as S
 from ..sources.driver import Tables
 from .skew import salted_join
+from .spread import spread
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -72,7 +73,8 @@ def audit_unique(t: Tables) -> DataFrame:
     """Duplicated values of declared unique keys (NULLs never collide):
     ``table_name, key_column, key_value, n``. Under a collation
     (``functions.collation``) texts that it holds equal collide; the first
-    spelling is named."""
+    spelling is named. Number keys hardly repeat, so they are dealt into
+    partitions by the number of rows; texts are combined map-side."""
     tabs = all_tables(t) | {"bookings": t.booking_core}
     parts = []
     for table in dict.fromkeys(name for name, _ in UNIQUE_KEYS):
@@ -89,8 +91,11 @@ def audit_unique(t: Tables) -> DataFrame:
                 values = values.unpivot([], some, "key_column", "__value")
             else:
                 values = values.select(F.lit(some[0]).alias("key_column"), F.col(some[0]).alias("__value"))
+            values = values.filter(F.col("__value").isNotNull())
+            if kind == "long":
+                values = spread(values, *(["key_column"] if len(some) > 1 else []), "__value", rows=tabs[table].count() * len(some))
             first = [] if collation == BINARY else [F.min(key).alias("key_value")]  # one spelling is the value itself
-            g = (values.filter(F.col("__value").isNotNull()).groupBy("key_column", "__value")
+            g = (values.groupBy("key_column", "__value")
                  .agg(F.count(F.lit(1)).alias("n"), *first).filter(F.col("n") > 1))
             value = F.col("key_value") if first else F.col("__value").cast("string")
             parts.append(g.select(F.lit(table).alias("table_name"), "key_column", value.alias("key_value"), "n"))
