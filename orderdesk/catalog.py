@@ -45,6 +45,17 @@ def _on_tables(fn: Callable[[Tables], DataFrame]) -> QueryFn:
     return run
 
 
+def _counted_audit_unique(t: Tables) -> DataFrame:
+    tables = A.all_tables(t)
+    return AC.audit_unique(AC.counts(tables, AC.row_counts(tables)))
+
+
+def _counted_audit_fk(t: Tables) -> DataFrame:
+    tables = A.all_tables(t)
+    rows = AC.row_counts(tables)
+    return AC.audit_fk(AC.counts(tables, rows), rows)
+
+
 def registry() -> dict[str, Callable[[Tables], DataFrame]]:
     return {
         # reports and stats strips
@@ -126,8 +137,8 @@ def registry() -> dict[str, Callable[[Tables], DataFrame]]:
         "merged_cart_lines": lambda t: DOC.merged_cart_lines(t.cart_lines),
         "cart_totals": DOC.cart_totals,
         # integrity audits
-        "counted_audit_unique": lambda t: AC.audit_unique(AC.counts(A.all_tables(t))),
-        "counted_audit_fk": lambda t: AC.audit_fk(AC.counts(A.all_tables(t))),
+        "counted_audit_unique": _counted_audit_unique,
+        "counted_audit_fk": _counted_audit_fk,
         "counted_audit_stock": lambda t: AC.audit_stock(AC.counts(A.all_tables(t)), t.products),
         "audit_unique": A.audit_unique,
         "audit_fk": A.audit_fk,

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .audits import FOREIGN_KEYS, UNIQUE_KEYS
+from .spread import spread
 
 OPEN = ("pending", "approved")
 _BY = ("value_hash", "kind", "table_name", "column_name", "value")
@@ -27,10 +28,17 @@ def _row(kind: str, table: str, column: Column, value: Column, n: Column) -> lis
     return [F.xxhash64(F.lit(kind), F.lit(table), column, value.cast("string")).alias("value_hash"), *name, n.cast("long").alias("n")]
 
 
-def counts(tables: Mapping[str, DataFrame]) -> DataFrame:
+def row_counts(tables: Mapping[str, DataFrame]) -> dict[str, int]:
+    """Rows of whole tables, for ``counts`` and ``audit_fk`` to deal large tables into partitions by them."""
+    return {name: df.count() for name, df in tables.items()}
+
+
+def counts(tables: Mapping[str, DataFrame], rows: Mapping[str, int] | None = None) -> DataFrame:
     """``value_hash, kind, table_name, column_name, value, n`` of some rows of some tables: occurrences of every
     declared key (``key``) and reference (``ref``), and pieces of every product in open bookings (``demand``; needs
-    the bookings and their items). All columns of a table are stacked and counted in one pass."""
+    the bookings and their items). All columns of a table are stacked and counted in one pass. With ``rows``
+    (``row_counts``), keys are dealt into partitions by their number, since they hardly repeat; references do, and
+    are combined map-side."""
     parts = []
     for kind, declared in (("key", [(t, c) for t, c in UNIQUE_KEYS]), ("ref", [(t, c) for t, c, _ in FOREIGN_KEYS])):
         for table in dict.fromkeys(t for t, _ in declared):
@@ -39,6 +47,8 @@ def counts(tables: Mapping[str, DataFrame]) -> DataFrame:
             columns = [c for t, c in declared if t == table]
             stacked = (tables[table].select(*[F.col(c).cast("string").alias(c) for c in columns])
                        .unpivot([], columns, "__column", "__value").filter(F.col("__value").isNotNull()))
+            if kind == "key" and rows is not None:
+                stacked = spread(stacked, "__column", "__value", rows=rows[table] * len(columns))
             g = stacked.groupBy("__column", "__value").agg(F.count(F.lit(1)).alias("__n"))
             parts.append(g.select(*_row(kind, table, F.col("__column"), F.col("__value"), F.col("__n"))))
     if "bookings" in tables and "booking_items" in tables:
@@ -68,12 +78,17 @@ def audit_unique(c: DataFrame) -> DataFrame:
         "table_name", F.col("column_name").alias("key_column"), F.col("value").alias("key_value"), "n")
 
 
-def audit_fk(c: DataFrame) -> DataFrame:
-    """``audits.audit_fk`` from the counts: references to values that no parent has as its id."""
+def audit_fk(c: DataFrame, rows: Mapping[str, int] | None = None) -> DataFrame:
+    """``audits.audit_fk`` from the counts: references to values that no parent has as its id. Of the keys only the
+    ids of tables that are referred to are asked for; ``rows`` (``row_counts``) as in ``counts``."""
     parent = F.create_map(*[F.lit(x) for t, col, p in FOREIGN_KEYS for x in (f"{t}.{col}", p)])
-    refs = c.filter(F.col("kind") == "ref").withColumn("__parent", parent[F.concat_ws(".", "table_name", "column_name")])
-    ids = c.filter((F.col("kind") == "key") & (F.col("column_name") == "id")).select(
+    parents = sorted({p for _, _, p in FOREIGN_KEYS})
+    refs = c.filter(F.col("kind") == "ref").select(
+        "table_name", "column_name", "value", "n", parent[F.concat_ws(".", "table_name", "column_name")].alias("__parent"))
+    ids = c.filter((F.col("kind") == "key") & (F.col("column_name") == "id") & F.col("table_name").isin(parents)).select(
         F.col("table_name").alias("__parent"), "value")
+    if rows is not None:  # one row per value on either side, so no key is hot
+        refs, ids = (spread(side, "__parent", "value", rows=sum(rows.values())) for side in (refs, ids))
     return refs.join(ids, ["__parent", "value"], "left_anti").select(
         "table_name", F.col("column_name").alias("fk_column"), F.col("value").cast("long").alias("missing_id"), "n")
 

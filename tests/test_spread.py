@@ -85,3 +85,12 @@ def test_top_products_with_a_hot_booking(spark, golden, monkeypatch):
     want = _rows(R.top_products(hot))
     monkeypatch.setattr(skew, "ROWS_PER_SALT", 10)
     assert _rows(R.top_products(hot)) == want and any(r[0] is None and r[4] == 4 for r in want)
+
+
+@pytest.mark.parametrize("name", ["rolled_top_products", "counted_audit_unique", "counted_audit_fk", "audit_unique_any_case"])
+def test_large_shuffles_grow_with_the_rows(spark, monkeypatch, name):
+    want = _rows(E.queries()[name](spark, SF))
+    monkeypatch.setattr(spread, "ROWS_PER_TASK", 500)
+    df = E.queries()[name](spark, SF)
+    assert max(_dealt(df), default=0) > 10
+    assert _rows(df) == want
