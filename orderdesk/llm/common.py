@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Bytes up to which a table may be broadcast; beyond it Spark joins by shuffle.
@@ -53,6 +53,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def counted(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
+    """``df`` checkpointed, and its number of rows (or of those where ``what`` is true), counted as it is written."""
+    seen = Observation()
+    rows = F.count(F.lit(1)) if what is None else F.count(F.when(what, 1))
+    out = checkpointed(df.observe(seen, rows.alias("n")))
+    return out, int(seen.get["n"])
+
+
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     """``df`` written once as a table in the shared checkpoint folder and read back; cuts lineage like a checkpoint,
     in a compressed, columnar form."""
@@ -84,6 +92,11 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if is_small(df, limit) else df
 
 
+def broadcast_if_few(df: DataFrame, rows: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, of a few numbers a row, with a broadcast hint when at most ``rows`` rows of 80 bytes are within ``limit``."""
+    return F.broadcast(df) if rows * 80 <= limit else df
+
+
 def word_count(text: Column) -> Column:
     """Number of maximal runs outside space and \\x09-\\x0D; null gives 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -12,8 +12,9 @@
 4. A bucket whose members already share one component has nothing left to
    find. The others get a second star around another member of their largest
    component, tried against members of other components.
-5. What is still open is compared in blocks: a bucket's members are dealt into
-   blocks of about ``BLOCK``, a task takes two blocks at a time, compares the
+5. What is still open, without the two centres, which are done, is compared in
+   blocks: a bucket's members are dealt into blocks of about ``BLOCK``, those of
+   its largest component apart (they are not compared with each other); a task takes two blocks at a time, compares the
    smallest hashes of members of different components by one matrix product
    and hands on candidate edges that are then confirmed on the full sets like
    all others. Sets of up to ``BOTTOM`` shingles are held whole, so of their
@@ -47,8 +48,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpointed
-from .components import components
+from .common import broadcast_if_few, broadcast_if_small, checkpointed, counted
+from .components import components, joined
 
 BANDS = 42
 ROWS = 6
@@ -193,8 +194,8 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def confirmed(docs: DataFrame, edges: DataFrame, places: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
-    """The edges (``a``, ``b``; checkpointed) whose full shingle sets are similar enough.
+def confirmed(docs: DataFrame, edges: DataFrame, n: int, places: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
+    """The ``n`` edges (``a``, ``b``; checkpointed) whose full shingle sets are similar enough.
 
     ``places`` names a row for each leader: ``__node, __id, __t``. Each edge asks for two texts, so the texts
     move at most once; while the questions (five words of memory each) are within ``ASKED_BYTES`` they are broadcast and
@@ -202,9 +203,10 @@ def confirmed(docs: DataFrame, edges: DataFrame, places: DataFrame, doc_id: str,
     """
     ends = F.explode(F.array(F.struct(F.col("a").alias("own"), F.col("b").alias("other")),
                              F.struct(F.col("b").alias("own"), F.col("a").alias("other"))))
-    asked = (edges.select(ends.alias("__e")).select(F.col("__e.own").alias("__node"), F.col("__e.other").alias("__other"))
-             .join(places, "__node").select("__node", "__other", F.xxhash64("__id", "__t").alias("__h"), F.col("__id").alias("__of")))
-    asked = F.broadcast(asked) if edges.count() * 80 <= ASKED_BYTES else asked  # two questions an edge, 40 bytes each
+    asked = edges.select(ends.alias("__e")).select(F.col("__e.own").alias("__node"), F.col("__e.other").alias("__other"))
+    # Two questions an edge, 40 bytes each.
+    asked = (broadcast_if_few(asked, n, ASKED_BYTES).join(places, "__node").select("__node", "__other", F.xxhash64("__id", "__t").alias("__h"), F.col("__id").alias("__of")))
+    asked = broadcast_if_few(asked, n, ASKED_BYTES)
     own = F.col("__node") < F.col("__other")
     # One number is the key, which keeps a broadcast small; the id is compared beside it.
     rows = _rows(docs, doc_id, text).withColumn("__h", F.xxhash64("__id", "__t"))
@@ -219,50 +221,61 @@ def _fits(percent: int):
     return 100 * F.least("__n", "__cn") >= percent * F.greatest("__n", "__cn")
 
 
-def linked_leaders(docs: DataFrame, leaders: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
-    """``(node, label)`` of the leaders that have a link; ``leaders``: ``__node, __id, __t, __n, __bands, __low``."""
-    places = leaders.select("__node", "__id", "__t")
-    leaders = leaders.drop("__id", "__t").withColumnRenamed("__node", "__id")
+def linked_leaders(docs: DataFrame, sets: DataFrame, places: DataFrame, buckets: DataFrame, doc_id: str, text: str, size: int,
+                   percent: int) -> DataFrame:
+    """``(node, label)`` of the leaders that have a link.
 
-    def confirm(edges: DataFrame) -> DataFrame:
-        return checkpointed(confirmed(docs, edges, places, doc_id, text, size, percent))
+    ``places``: ``__node, __id, __t`` of the leaders; ``buckets``: ``__id`` (their node), ``__n, __band, __key``; ``sets``: signatures."""
+    def confirm(edges: DataFrame, n: int) -> tuple[DataFrame, int]:
+        return counted(confirmed(docs, edges, n, places, doc_id, text, size, percent))
 
-    rows = leaders.select("__id", "__n", F.posexplode("__bands").alias("__band", "__key"))
-    centres = (rows.groupBy("__key").agg(F.min(F.struct("__id", "__n")).alias("__c"), F.count("*").alias("__m"))
+    # One shuffle for the centres and for their members: both read the same columns of it.
+    rows = buckets.repartition("__key")
+    centres = (rows.groupBy("__key").agg(F.min(F.struct("__id", "__n", "__band")).alias("__c"), F.count("*").alias("__m"))
                .filter("__m > 1").select("__key", F.col("__c.__id").alias("__centre"), F.col("__c.__n").alias("__cn"), "__m"))
     members = checkpointed(rows.join(centres, "__key"))
-    edges = checkpointed(members.filter("__id != __centre").filter(_fits(percent))
-                         .select(F.col("__centre").alias("a"), F.col("__id").alias("b")).distinct())
-    links = confirm(edges)
-    labels = components(links)
+    edges, n = counted(members.filter("__id != __centre").filter(_fits(percent))
+                       .select(F.col("__centre").alias("a"), F.col("__id").alias("b")).distinct())
+    links, n = confirm(edges, n)
+    labels, nodes = components(links), 2 * n
 
-    open_ = _open_buckets(members.filter("__m > 2"), labels)
-    if open_.isEmpty():
+    open_, n = _open_buckets(members.filter("__m > 2"), labels, nodes)
+    if not n:
         return labels
-    second = (_second_centres(open_).join(open_.drop("__cn", "__centre"), "__key")
+    seconds = checkpointed(_second_centres(open_))
+    second = (seconds.join(open_.drop("__cn", "__centre"), "__key")
               .filter("__label != __clabel").filter(_fits(percent))
               .select(F.least("__id", "__second").alias("a"), F.greatest("__id", "__second").alias("b")).distinct())
-    links = checkpointed(links.union(confirm(checkpointed(second.join(edges, ["a", "b"], "left_anti")))))
-    labels = components(links)
-
-    open_ = _open_buckets(open_.drop("__label"), labels)
-    if open_.isEmpty():
+    links, n = confirm(*counted(second.join(edges, ["a", "b"], "left_anti")))
+    labels, nodes = joined(labels, links, nodes, n), nodes + 2 * n
+
+    # The two stars tried their centres against all that they could join; what is left is among the other members.
+    others = (open_.join(seconds.select("__key", "__second"), "__key").filter("__id != __centre AND __id != __second")
+              .select("__key", "__band", "__id", "__n"))
+    open_, n = _open_buckets(others, labels, nodes)
+    if not n:
         return labels
-    rest = checkpointed(_block_pairs(open_, leaders, percent))
-    right = confirm(rest.select("a", "b").distinct())
-    if not rest.filter("sure").join(right, ["a", "b"], "left_anti").isEmpty():
+    held = checkpointed(_held(open_, n, sets, places))
+    rest, n = counted(_block_pairs(open_, held, percent))
+    right, n = confirm(rest.select("a", "b"), n)
+    if not rest.filter("sure").join(broadcast_if_few(right, n), ["a", "b"], "left_anti").isEmpty():
         # Equal halves of different hashes: a pair left out for a false one may be a link.
-        right = confirm(checkpointed(_block_pairs(open_, leaders, percent, settle=False).select("a", "b").distinct()))
-    return components(checkpointed(links.union(right)))
+        rest, n = counted(_block_pairs(open_, held, percent, settle=False))
+        right, n = confirm(rest.select("a", "b"), n)
+    return joined(labels, right, nodes, n)
+
 
+def _open_buckets(members: DataFrame, labels: DataFrame, nodes: int) -> tuple[DataFrame, int]:
+    """Members (with ``__label``) of the buckets that hold several components, and their number.
 
-def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (with ``__label``) of the buckets that hold several components."""
+    ``__all`` is the bucket's size, ``__top`` its largest component and ``__most`` that one's size."""
+    labels = broadcast_if_few(labels, nodes)
     labelled = (members.join(labels, members["__id"] == labels["node"], "left")
-                .withColumn("__label", F.coalesce("label", "__id")).drop("node", "label"))
-    several = (labelled.groupBy("__key").agg(F.min("__label").alias("__lo"), F.max("__label").alias("__hi"))
-               .filter("__lo != __hi").select("__key"))
-    return checkpointed(labelled.join(several, "__key"))
+                .withColumn("__label", F.coalesce("label", "__id")).drop("node", "label").repartition("__key"))
+    several = (labelled.groupBy("__key", "__label").agg(F.count("*").alias("__k")).groupBy("__key")
+               .agg(F.count("*").alias("__labels"), F.sum("__k").alias("__all"), F.max(F.struct("__k", "__label")).alias("__t"))
+               .filter("__labels > 1").select("__key", "__all", F.col("__t.__label").alias("__top"), F.col("__t.__k").alias("__most")))
+    return counted(labelled.join(several, "__key"))
 
 
 def _second_centres(open_: DataFrame) -> DataFrame:
@@ -274,19 +287,35 @@ def _second_centres(open_: DataFrame) -> DataFrame:
                     F.col("__c.__label").alias("__clabel")))
 
 
-def _block_pairs(open_: DataFrame, leaders: DataFrame, percent: int, settle: bool = True) -> DataFrame:
+def _held(open_: DataFrame, n: int, sets: DataFrame, places: DataFrame) -> DataFrame:
+    """``__id`` (a node), ``__bands, __low`` of the ``n`` members of open buckets; broadcasts end at ``ASKED_BYTES``."""
+    nodes = open_.select(F.col("__id").alias("__node")).distinct()
+    asked, n = counted(broadcast_if_few(nodes, n, ASKED_BYTES).join(places, "__node"))
+    return (sets.join(broadcast_if_few(asked, n, ASKED_BYTES), ["__id", "__t"])
+            .groupBy("__node").agg(F.first("__bands").alias("__bands"), F.first("__low").alias("__low"))
+            .withColumnRenamed("__node", "__id"))
+
+
+def _block_pairs(open_: DataFrame, held: DataFrame, percent: int, settle: bool = True) -> DataFrame:
     """Pairs ``a < b`` of open buckets, from different components, whose smallest hashes look similar.
 
+    The largest component of a bucket of several blocks has blocks of its own, which are compared with
+    the blocks of the rest and not with each other.
     ``sure``: the hashes hold both sets whole. ``settle`` leaves out pairs that sure ones connect already."""
-    rows = (open_.select("__key", "__band", "__m", "__id", "__label")
-            .join(leaders.select("__id", "__n", "__bands", "__low"), "__id")
-            .withColumn("__blocks", F.ceil(F.col("__m") / BLOCK).cast("int"))
-            .withColumn("__block", F.pmod(F.xxhash64("__id"), F.col("__blocks")).cast("int"))
-            .withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    large, top = F.col("__all") > BLOCK, F.col("__label") == F.col("__top")
+    tops = F.when(large, F.ceil(F.col("__most") / BLOCK)).otherwise(0).cast("int")  # blocks of the largest component, numbered first
+    rests = F.when(large, F.ceil((F.col("__all") - F.col("__most")) / BLOCK)).otherwise(1).cast("int")
+    rows = (open_.withColumns({"__tops": tops, "__rests": rests, "__first": large & top})
+            .withColumn("__block", F.when(F.col("__first"), F.pmod(F.xxhash64("__id"), "__tops"))
+                        .otherwise(F.col("__tops") + F.pmod(F.xxhash64("__id"), "__rests")).cast("int"))
+            .select("__key", "__band", "__id", "__label", "__n", "__block", F.when(F.col("__first"), F.col("__tops")).otherwise(0).alias("__from"),
+                    (F.col("__tops") + F.col("__rests") - 1).alias("__to"))
+            .join(held, "__id")
+            .withColumn("__other", F.explode(F.sequence("__from", "__to")))
             .groupBy("__key", "__band", F.least("__block", "__other").alias("__i"), F.greatest("__block", "__other").alias("__j"))
             .agg(F.collect_list(F.struct("__id", "__label", "__n", "__block", "__bands", "__low")).alias("__rows")))
     return rows.select("__band", "__i", "__j", "__rows").mapInArrow(
-        _compare(percent, settle), "a long, b long, sure boolean").distinct()
+        _compare(percent, settle), "a long, b long, sure boolean").distinct()  # ``sure`` depends on the pair alone
 
 
 def _compare(percent: int, settle: bool):
@@ -387,13 +416,14 @@ def _classed(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, b
     # first of a group, often its original, is the centre of its buckets.
     first = known.groupBy("__d1", "__d2").agg(F.min(F.struct("__id", "__t")).alias("__lead")).select("__d1", "__d2", "__lead.*")
     numbers = checkpointed(first.orderBy("__id", "__d1", "__d2").withColumn("__node", F.monotonically_increasing_id()))
-    leaders = checkpointed(known.groupBy("__d1", "__d2").agg(
-        F.first("__n").alias("__n"), F.first("__bands").alias("__bands"), F.first("__low").alias("__low"))
-        .join(numbers, ["__d1", "__d2"]))
-    labels = linked_leaders(docs, leaders, doc_id, text, size, percent)
+    # The smallest hashes stay in ``sets`` until step 5 asks for those of a few leaders.
+    buckets = (known.groupBy("__d1", "__d2").agg(F.first("__n").alias("__n"), F.first("__bands").alias("__bands"))
+               .join(numbers, ["__d1", "__d2"])
+               .select(F.col("__node").alias("__id"), "__n", F.posexplode("__bands").alias("__band", "__key")))
+    labels = linked_leaders(docs, known, numbers.select("__node", "__id", "__t"), buckets, doc_id, text, size, percent)
     linked = (labels.join(numbers.select(F.col("__node").alias("label"), F.col("__id").alias("__component")), "label")
               .select(F.col("node").alias("__node"), "__component"))
-    classes = (leaders.select("__d1", "__d2", "__node", F.col("__id").alias("__own")).join(linked, "__node", "left")
+    classes = (numbers.select("__d1", "__d2", "__node", F.col("__id").alias("__own")).join(linked, "__node", "left")
                .select("__d1", "__d2", F.coalesce("__component", "__own").alias("__component")))
     component = F.when(F.col("__id").isNotNull(), F.coalesce("__component", "__id"))
     return (sets.drop("__bands", "__low").join(classes, ["__d1", "__d2"], "left")

@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from orderdesk.llm.components import components
+from orderdesk.llm import components as module
+from orderdesk.llm.components import components, joined
 
 
 @pytest.mark.parametrize("shape", ["path", "star", "random", "none"])
@@ -23,3 +24,14 @@ def test_labels_are_the_smallest_node(spark, shape):
         label[max(x, y)] = min(x, y)
     df = spark.createDataFrame(edges + edges[:3] + [(None, 5)] * bool(edges), "a long, b long")
     assert {r.node: r.label for r in components(df).collect()} == {x: find(x) for x in list(label)}
+
+
+@pytest.mark.parametrize("limit", [0, 8 << 20])
+def test_more_edges_give_the_same_as_all_at_once(spark, monkeypatch, limit):
+    few = module.broadcast_if_few
+    monkeypatch.setattr(module, "broadcast_if_few", lambda df, rows: few(df, rows, limit))
+    rng = random.Random(3)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
+    old, new = (spark.createDataFrame(x, "a long, b long") for x in (edges[:110], edges[110:]))
+    got = joined(components(old), new, 220, 40)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, components(old.union(new)).collect()))

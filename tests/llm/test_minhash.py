@@ -79,6 +79,32 @@ def test_small_blocks_give_the_same(spark, monkeypatch):
     check(spark, [(i, " ".join(edited(rng, base, rng.choice([0.04, 0.06, 0.09])))) for i in range(40)])
 
 
+def test_blocks_do_not_meet_their_own_component(spark, monkeypatch):
+    """60 copies of one component and 4 texts beside it: blocks of 4 move each copy once a bucket, not 15 times."""
+    moved = spark.sparkContext.accumulator(0)
+    true = minhash._compare
+
+    def compare(*args):
+        run = true(*args)
+
+        def counting(batches):
+            def seen():
+                for batch in batches:
+                    for rows in batch.column(3):
+                        moved.add(len(rows))
+                    yield batch
+            return run(seen())
+        return counting
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "_compare", compare)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join(edited(rng, base, 0.01))) for i in range(60)]
+    docs += [(100 + i, " ".join(edited(rng, base, 0.085))) for i in range(4)]
+    check(spark, docs)
+    assert 0 < moved.value < 3000  # 11,782 when each pair of blocks was compared
+
+
 def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
     rng = random.Random(4)
     first = [f"w{i}" for i in range(60)]
